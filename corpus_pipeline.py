@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import near_dedup
+from reelframe.llm import near_dedup, toxicity
+
+
+def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain rejects go."""
+    labels = toxicity.chain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject_toxic(docs, toxicity.train(docs, labels, toxicity.CATEGORIES))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +18,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("minhash_near_dedup", minhash_near_dedup)]
+STAGES = [("toxicity_chain", toxicity_chain), ("minhash_near_dedup", minhash_near_dedup)]
 
 #: Sampling and trained models are not SQL; tests/llm/test_pipeline.py compares run() with a plain version.
 ORACLE_SQL = None
