@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import near_dedup, toxicity
+from reelframe.llm import decontaminate, near_dedup, secrets, toxicity
 
 
 def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,17 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("toxicity_chain", toxicity_chain), ("minhash_near_dedup", minhash_near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced in the texts; every document stays."""
+    return secrets.redact(docs)
+
+
+STAGES = [("toxicity_chain", toxicity_chain), ("minhash_near_dedup", minhash_near_dedup), ("benchmark_decontamination", benchmark_decontamination), ("secret_scan", secret_scan)]
 
 #: Sampling and trained models are not SQL; tests/llm/test_pipeline.py compares run() with a plain version.
 ORACLE_SQL = None
