@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import decontaminate, near_dedup, secrets, toxicity
+from reelframe.llm import decontaminate, near_dedup, secrets, sentencepiece_sampling, toxicity
 
 
 def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
-STAGES = [("toxicity_chain", toxicity_chain), ("minhash_near_dedup", minhash_near_dedup), ("benchmark_decontamination", benchmark_decontamination), ("secret_scan", secret_scan)]
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's sampled pieces, with the columns that name it; the pieces decode to the text."""
+    return sentencepiece_sampling.encode(docs).select("doc_id", "lang", "source", "n_chars", "pieces", "lossless")
+
+
+STAGES = [("toxicity_chain", toxicity_chain), ("minhash_near_dedup", minhash_near_dedup), ("benchmark_decontamination", benchmark_decontamination), ("secret_scan", secret_scan), ("sentencepiece_encoding", sentencepiece_encoding)]
 
 #: Sampling and trained models are not SQL; tests/llm/test_pipeline.py compares run() with a plain version.
 ORACLE_SQL = None

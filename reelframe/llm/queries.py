@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, secrets, toxicity
+from . import decontaminate, near_dedup, secrets, sentencepiece_sampling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,3 +73,11 @@ c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY 1)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id, coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+@query
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document's sampled pieces: how many, a digest of the ids in order, and whether they decode to the text."""
+    coded = sentencepiece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.array_join(F.coalesce("pieces", F.array().cast("array<int>")), ",")
+    return coded.select("doc_id", F.coalesce(F.size(F.coalesce("pieces", F.array().cast("array<int>"))), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("pieces_sha256"), "lossless")
