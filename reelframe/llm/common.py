@@ -42,11 +42,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that go to Python at once; texts are long, and the default of 10,000 rows holds too much memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def slices(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows whose texts have ``most`` bytes at most, or one row.
 

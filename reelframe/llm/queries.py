@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, secrets, sentencepiece_sampling, toxicity
+from . import chat_format, decontaminate, language_id, near_dedup, secrets, sentencepiece_sampling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -81,3 +81,41 @@ def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = F.array_join(F.coalesce("pieces", F.array().cast("array<int>")), ",")
     return coded.select("doc_id", F.coalesce(F.size(F.coalesce("pieces", F.array().cast("array<int>"))), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("pieces_sha256"), "lossless")
+
+
+@query
+def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return found.where("kind in ('response', 'revisit')").select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), warc.page_of("refers_to").alias("refers_to"))
+
+
+ORACLE_SQL["op10_warc_salvage"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> first THEN first END AS refers_to FROM m
+"""
+
+
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat_format.conversation_digests(chat_format.turn_spans(rows.union(more))).drop("rewrites")
+
+
+ORACLE_SQL["op2_chat_format"] = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?INST\]')) AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(escaped + length(role) + 21) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
+"""
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = language_id.dictionaries(docs.where(~language_id.held_out()))
+    return language_id.identify(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), known).drop("text")
