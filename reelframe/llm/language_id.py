@@ -7,6 +7,7 @@ next is narrow, the prediction is marked as rejected.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,20 @@ from ..session import small_batches
 
 #: Sampled texts of each language, at most, and bytes of its dictionary.
 ROWS, DICTIONARY = 200, 96 << 10
-LEVEL = 3
+LEVEL = 9
 #: Below this score a prediction is marked as rejected.
 NARROW = 0.6
 UNKNOWN = "und"
 
 
+def plain(text: str) -> bytes:
+    """Lower-case words of letters, a space before each: case, digits, punctuation and markup say little about a language."""
+    return (" " + " ".join(_BREAK.split(text.lower())).strip()).encode("utf-8", "replace")
+
+
+_BREAK = re.compile(r"[\W\d_]+")
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     """The documents that nothing is learned from: crc32 of the id as text, modulo 4, is 2. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
@@ -33,7 +42,8 @@ def dictionaries(labelled: DataFrame, rows: int = ROWS, size: int = DICTIONARY)
     """A dictionary for each ``lang`` of ``labelled`` (doc_id, text, lang), from ``rows`` texts of it whose ids hash lowest.
 
     Each text gives an equal share of the bytes. Languages are counted over all rows; the sample is
-    thinned by those counts before it is ranked, so no language's rows meet in one task.
+    thinned by those counts before it is ranked, so no language's rows meet in one task. The most
+    frequent language comes first.
     """
     known = labelled.where("lang is not null and text is not null and length(text) > 0").select("doc_id", "text", "lang")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
@@ -45,15 +55,15 @@ def dictionaries(labelled: DataFrame, rows: int = ROWS, size: int = DICTIONARY)
         keep = keep | ((F.col("lang") == lang) & (place < int((1 << 30) * min(1.0, 2 * rows / n))))
     thin = known.where(keep).select("lang", "text", place.alias("place"))
     table = thin.toArrow().sort_by([("lang", "ascending"), ("place", "ascending"), ("text", "ascending")])
-    texts: dict[str, list[str]] = {}
+    texts: dict[str, list[bytes]] = {}
     for lang, text in zip(table.column("lang").to_pylist(), table.column("text").to_pylist(), strict=True):
         if len(texts.setdefault(lang, [])) < rows:
-            texts[lang].append(text.lower())
+            texts[lang].append(plain(text))
     out = {}
-    for lang, found in sorted(texts.items()):
+    for lang, found in sorted(texts.items(), key=lambda x: (-counts[x[0]], x[0])):
         share = max(64, size // len(found))
-        whole = b"\n".join(x.encode()[:share] for x in found)
-        spare = b"\n".join(x.encode()[share:] for x in found)
+        whole = b"".join(x[:share] for x in found)
+        spare = b"".join(x[share:] for x in found)
         out[lang] = (spare[: max(0, size - len(whole))] + whole)[-size:]
     return out
 
@@ -64,7 +74,7 @@ class Sizes:
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard
 
-        self.languages = sorted(dictionaries)
+        self.languages = list(dictionaries)
 
         def make(lang: str, level: int) -> zstandard.ZstdCompressor:
             raw = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -88,7 +98,7 @@ class Sizes:
         """(language, score): the score is the winner's share when a byte less weighs more, the shorter the text."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
-        sizes = self.of(text.lower().encode())
+        sizes = self.of(plain(text))
         weight = np.exp(-(sizes - sizes.min()) / (1 + 0.004 * sizes.min()))
         return self.languages[int(sizes.argmin())], float(weight.max() / weight.sum())
 
@@ -97,7 +107,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """``docs`` with lang_pred, score (0 to 1) and rejected (the margin is narrow, or ``und``), in place of columns of such names.
 
     Null texts and texts without a letter are ``und`` with score 0. Of languages with equal sizes the
-    first by name is taken. Nothing but the text is read. An empty table gives an empty result.
+    most frequent one is taken. Nothing but the text is read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
