@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, near_dedup, secrets, sentencepiece_sampling, toxicity, warc
+from . import chat_format, decontaminate, language_id, near_dedup, secrets, sentencepiece_sampling, toxicity, url_trust, vector_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -119,3 +119,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = language_id.dictionaries(docs.where(~language_id.held_out()))
     return language_id.identify(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), known).drop("text")
+
+
+@query
+def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
