@@ -4,12 +4,13 @@ Categories are predicted in order; the model of each category sees the text's fe
 log-odds of all earlier categories. While fitting, those log-odds come from models that did not see
 the row (out of fold), so a later model learns to trust an earlier one as far as it deserves.
 
-The chain is fitted on a bounded sample of labelled rows (``ROWS``), at the driver; scoring goes over
-every whole text in Arrow batches, with the fitted arrays (a few hundred kilobytes) in the closure.
+The chain is fitted on a bounded sample of labelled rows (``ROWS``), in one task, and comes to the driver
+as a few hundred kilobytes of weights; scoring goes over every whole text in Arrow batches.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from .common import slices
 from .hashing import U64, Words
 
 #: Labelled rows that the chain is fitted on, at most: those whose ids hash lowest.
-ROWS = 8_000
+ROWS = 6_000
 #: Features of each category: the most strongly associated ones that ``LEAST`` sampled texts have.
 FEATURES, LEAST = 256, 4
 FOLDS, RIDGE = 4, 1.0
@@ -194,11 +195,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], rows: i
     """
     known = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().dropDuplicates(["doc_id"])
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    table = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").toArrow()
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts = table.column("text").cast(pa.large_string()).combine_chunks()
-    y = np.stack([table.column(c).to_numpy() for c in categories], axis=1) if len(table) else np.zeros((0, len(categories)))
-    return fit_chain(texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, y, categories)
+    names = tuple(categories)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if found:
+            table = pa.Table.from_batches(found).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            texts = table.column("text").cast(pa.large_string()).combine_chunks()
+            texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+            chain = fit_chain(texts, np.stack([table.column(c).to_numpy() for c in names], axis=1), names)
+        else:
+            chain = fit_chain(pa.array([], pa.large_string()), np.zeros((0, len(names))), names)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
+
+    small_batches(docs.sparkSession)
+    rows_of = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    made = rows_of.repartition(1).mapInArrow(run, "chain binary").first()
+    return pickle.loads(made[0]) if made else fit_chain(pa.array([], pa.large_string()), np.zeros((0, len(names))), names)
 
 
 def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
