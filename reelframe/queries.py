@@ -1,10 +1,8 @@
-"""Relational forms of the operators on the star-schema tables, with the SQL that checks them."""
+"""All relational forms of the operators on the star-schema tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import frames, timelines
+from .plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "frames", "timelines"]
