@@ -5,11 +5,13 @@ its shingle set, a 128-bit digest of the set, ``BANDS`` keys of ``ROWS`` MinHash
 odd sketch: the MinHash samples folded into a parity bitmap. Then, in Spark:
 
 1. documents with the same set collapse into one representative, the smallest id;
-2. representatives that share a band key with the key's smallest member become candidates (a star,
-   linear in the bucket); the population count of the XOR of two sketches estimates how many samples
-   differ and drops low pairs; the others are confirmed on full shingle sets; links give components;
-3. buckets that still hold several components give the pairs across components that the sketches
-   pass. They are confirmed as well, so that no link between different texts is lost.
+2. each representative is a candidate with the smallest member of all its buckets (band keys), one
+   pair each; the population count of the XOR of two odd sketches estimates how many samples differ
+   and drops low pairs; the others are confirmed on full shingle sets, and links give components;
+3. buckets that still hold several components are dealt out in blocks of ``BLOCK`` members. Within two
+   blocks, sketches of different components are compared; members that pass are fetched with their
+   texts and confirmed on full sets, and what leaves the task is a spanning forest of the links. No
+   pair list is ever made, and no link between different texts is lost.
 
 Two sets with similarity 0.75 share no band with probability (1 - 0.75^6)^64 = 4e-6.
 """
@@ -20,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, long_lists, longs, slices, small_batches, written
+from ..session import small_batches
+from .common import BROADCAST_ROWS, cut, long_lists, longs, slices, written
 from .components import components
 from .hashing import U64, Words, mix, runs
 
@@ -33,6 +37,8 @@ BANDS, ROWS = 64, 6
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch.
 BITS = 512
+#: Members of a bucket that are compared with as many others in one task.
+BLOCK = 1024
 
 _rng = np.random.default_rng(97)
 _A = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -107,7 +113,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sums[i] = mix(found).sum(dtype=np.uint64), mix(found ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
                     samples[i] = minima(found)
             full = pa.array(n == 0)
-            null = lambda column: pa.compute.if_else(full, None, column)
+            null = lambda column: pc.if_else(full, None, column)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, end - first).cast(pa.int64()), pa.array(n), null(longs(sums[:, 0].copy())), null(longs(sums[:, 1].copy())), null(long_lists(band_keys(samples))), null(long_lists(odd_sketches(samples)))],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
@@ -135,19 +141,129 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough.
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``ids`` (id), written to the shared folder.
 
-    Only texts of documents in a pair are shuffled: their ids are broadcast if there are
-    ``BROADCAST_ROWS`` at most, and joined by a shuffle otherwise.
+    The ids are broadcast if there are ``BROADCAST_ROWS`` at most, and joined by a shuffle otherwise.
     """
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
+    return written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose full shingle sets are similar enough; only their texts are shuffled."""
+    texts = _texts(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct()
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with the same first three columns; a run may go on over several batches."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(3)]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        now = tuple(c[0] for c in columns)
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if waiting and (k or now != last):
+                yield pa.concat_batches(waiting) if len(waiting) > 1 else waiting[0]
+                waiting = []
+            waiting.append(batch.slice(lo, hi - lo))
+        last = tuple(c[-1] for c in columns)
+    if waiting:
+        yield pa.concat_batches(waiting) if len(waiting) > 1 else waiting[0]
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(-1, width)
+
+
+def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first and of the second block; the same rows where a block meets itself."""
+    one, two, own = (group.column(i)[0].as_py() if i < 3 else group.column(i).to_numpy() for i in (1, 2, 3))
+    return np.flatnonzero(own == one), np.flatnonzero(own == two)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group, the rows with a partner of another component whose sketch is near enough.
+
+    Two rows share several buckets as a rule; only the one of the first band that they share counts.
+    """
+    most = widest(SIMILAR / 100)
+    kept: list[pa.RecordBatch] = []
+    for group in _groups(batches):
+        left, right = _sides(group)
+        component, sketches, bands = group.column(5).to_numpy(), _matrix(group.column(6), BITS // 64), _matrix(group.column(7), BANDS)
+        if not len(left) or not len(right):
+            continue
+        key = np.uint64(group.column(0)[0].as_py() % 2**64)
+        band = int((bands[0] == key).argmax())
+        need = np.zeros(group.num_rows, dtype=bool)
+        for i in range(0, len(left), 64):
+            rows = left[i : i + 64]
+            differ = np.bitwise_count(sketches[rows, None, :] ^ sketches[None, right, :]).sum(axis=2, dtype=np.int32)
+            x, y = np.nonzero((differ <= most) & (component[rows, None] != component[None, right]))
+            for j in range(0, len(x), 4096):
+                p, q = rows[x[j : j + 4096]], right[y[j : j + 4096]]
+                first = (bands[p] == bands[q]).argmax(axis=1) == band
+                need[p[first]] = need[q[first]] = True
+        if need.any():
+            kept.append(group.filter(pa.array(need)).select(list(range(6))))
+        if len(kept) >= 256:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept = []
+    if kept:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group, links on full shingle sets that join all components which such links join."""
+    a, b = [], []
+    for group in _groups(batches):
+        left, right = _sides(group)
+        sets = [x for _, _, data, offsets in slices(group.column(6)) for x in shingle_set(data, offsets)]
+        sizes = np.array([len(x) for x in sets])
+        flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        _, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+        often = times > 1  # shingles of one row alone add to no intersection
+        number = np.cumsum(often) - 1
+        use = often[place]
+        of, place = of[use], number[place[use]]
+        both = np.zeros((len(left), len(right)), np.float32)
+        at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+        at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+        for lo in range(0, int(often.sum()), 4096):
+            part = (place >= lo) & (place < lo + 4096)
+            x, y = (np.zeros((len(side), 4096), np.float32) for side in (left, right))
+            for m, at in ((x, at_left), (y, at_right)):
+                here = part & (at[of] >= 0)
+                m[at[of[here]], place[here] - lo] = 1
+            both += x @ y.T
+        component, rep = group.column(5).to_numpy(), group.column(4).to_numpy()
+        x, y = np.nonzero((100 * both >= SIMILAR * (sizes[left][:, None] + sizes[right][None, :] - both)) & (component[left][:, None] != component[right][None, :]))
+        above: dict[int, int] = {}
+        for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
+            u, v = int(component[p]), int(component[q])
+            while u in above:
+                u = above[u]
+            while v in above:
+                v = above[v]
+            if u != v:
+                above[max(u, v)] = min(u, v)
+                a.append(min(rep[p], rep[q]))
+                b.append(max(rep[p], rep[q]))
+        if len(a) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _differ(left: str, right: str) -> F.Column:
     """The number of bits in which two sketches differ."""
     return F.expr(" + ".join(f"bit_count({left}[{i}] ^ {right}[{i}])" for i in range(BITS // 64)))
@@ -169,22 +285,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = banded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     shared = written(banded.join(buckets, "key").select("key", "rep", "least"), "shared")
 
-    star = shared.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    # One candidate for each representative: the smallest member of all its buckets.
+    star = shared.groupBy(F.col("rep").alias("b")).agg(F.min("least").alias("a")).where("a < b").select("a", "b")
     a, b = (leaders.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    most = widest(SIMILAR / 100)
-    star = cut(star.join(a, "a").join(b, "b").where(_differ("sketch_a", "sketch_b") <= most).select("a", "b"))
+    star = cut(star.join(a, "a").join(b, "b").where(_differ("sketch_a", "sketch_b") <= widest(SIMILAR / 100)).select("a", "b"))
     links = cut(confirmed(docs, star))
     joined = components(links)
 
-    # Where a bucket still holds several components, every pair across them is a candidate.
+    # Buckets that still hold several components, block against block.
     placed = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = written(placed.join(open_keys, "key", "left_semi").join(leaders.select("rep", "sketch"), "rep"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & (_differ("x.sketch", "y.sketch") <= most))
-    across = cut(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        more = cut(confirmed(docs, across))
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
+    dealt = placed.join(keys, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "rep", "component", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rep", "component")
+    apart = dealt.join(leaders, "rep").select("key", "one", "two", "own", "rep", "component", "sketch", "bands")
+    apart = apart.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_near, "key long, one int, two int, own int, rep long, component long")
+    apart = written(apart, "apart")
+    if not apart.isEmpty():
+        ids = cut(apart.select(F.col("rep").alias("id")).distinct())
+        texts = _texts(docs, ids).withColumnRenamed("id", "rep")
+        groups = apart.join(texts, "rep").select("key", "one", "two", "own", "rep", "component", "text")
+        more = groups.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_link, "a long, b long")
+        more = cut(more.distinct())
         if not more.isEmpty():
             joined = components(links.union(more))
 
