@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import frames, measures, names, timelines
+from .plans import frames, live, measures, names, timelines
 from .plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "frames", "measures", "names", "timelines"]
+__all__ = ["ORACLE_SQL", "QUERIES", "frames", "live", "measures", "names", "timelines"]
