@@ -185,13 +185,18 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_column: str =
             scores = x @ index.sample.T
             scores[ids[:, None] == index.ids[None, :]] = -np.inf
             bound = np.full(len(x), -np.inf)
+            near = np.zeros((len(x), 0), np.int64)
             if len(index.ids) > k:
-                bound = -np.partition(-scores, k - 1, axis=1)[:, k - 1].astype(np.float64) - 1e-4 * (1 + index.norm**2)
+                near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                bound = np.take_along_axis(scores, near, axis=1).min(axis=1).astype(np.float64) - 1e-4 * (1 + index.norm**2)
+            exact = (index.sample[near].astype(np.float64) * x[:, None, :].astype(np.float64)).sum(axis=2)
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * near.shape[1])
+            known = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(index.ids[near].reshape(-1), pa.int64()), pa.array(exact.reshape(-1))], names=["vec_id", "score"]))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound), lists], names=["id", "v", "bound", "lists"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound), lists, known], names=["id", "v", "bound", "lists", "known"])
 
-    asked = rows.where(is_query).mapInArrow(probe, "id long, v array<float>, bound double, lists array<int>")
-    asked = asked.select("id", "v", "bound", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")  # LISTS rows at most
+    probed = written(rows.where(is_query).mapInArrow(probe, "id long, v array<float>, bound double, lists array<int>, known array<struct<vec_id: long, score: double>>"), "probed")
+    asked = probed.select("id", "v", "bound", F.explode("lists").alias("list")).join(F.broadcast(sizes), "list")  # LISTS rows at most
     asked = asked.select("list", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(1).alias("side"), "id", "v", "bound")
     stored = listed.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "v", F.lit(0.0).alias("bound"))
 
@@ -219,6 +224,8 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_column: str =
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[at_q]), pa.array(ready[2][at_x]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     both = stored.union(asked).repartition("list", "part").sortWithinPartitions("list", "part", "side")
-    found = both.mapInArrow(run, FOUND)
+    # The sample's nearest are rows too: with them no query is left with fewer than k.
+    found = both.mapInArrow(run, FOUND).union(probed.select("id", F.explode("known").alias("x")).select("id", "x.vec_id", "x.score"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
