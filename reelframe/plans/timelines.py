@@ -250,10 +250,10 @@ def flt06_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.only_languages(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", ["de", "fr"]).select("doc_id")
 
 
-@query("""WITH v AS (SELECT l_returnflag AS rendition, max(CAST(l_extendedprice AS BIGINT)) AS peak, min(CAST(l_extendedprice AS BIGINT)) AS average FROM lineitem GROUP BY 1)
+@query("""WITH v AS (SELECT l_returnflag AS rendition, max(CAST(floor(l_extendedprice) AS BIGINT)) AS peak, min(CAST(floor(l_extendedprice) AS BIGINT)) AS average FROM lineitem GROUP BY 1)
 SELECT rendition, average + (SELECT max(p_size) FROM part) + (SELECT max(s_nationkey) FROM supplier) AS average, peak + (SELECT max(p_size * 2) FROM part) + (SELECT max(s_nationkey * 2) FROM supplier) AS peak FROM v""")
 def agg14_variant_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.round("l_extendedprice").cast("long")
+    price = F.floor("l_extendedprice").cast("long")
     v = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("rendition")).agg(F.max(price).alias("peak"), F.min(price).alias("average"))
     two = lambda df, c: df.select(F.col(c).cast("long").alias("average"), (F.col(c) * 2).cast("long").alias("peak"))
     return segments.variant_rates(v, two(table(spark, sf_dir, "part"), "p_size"), two(table(spark, sf_dir, "supplier"), "s_nationkey"))

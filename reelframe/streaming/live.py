@@ -59,8 +59,9 @@ STATUS = "source string, time long, slot long, status string, repeats long"
 _STATE = "start long, written long"
 
 
-def live_status(stream: DataFrame, source: str, time: str, rate_num: int, rate_den: int, max_gap: int, idle_ms: int = 60_000) -> DataFrame:
-    """STR-01/05/11 on a stream: a row for each frame as it is placed, and one with status ``idle`` when a source falls silent.
+def live_status(stream: DataFrame, source: str, time: str, rate_num: int, rate_den: int, max_gap: int, idle_ms: int | None = None) -> DataFrame:
+    """STR-01/05/11 on a stream: a row for each frame as it is placed, and, with ``idle_ms``, one with status
+    ``idle`` when a source is silent for so long.
 
     State is the anchor and the number of frames written of each source. A jump beyond ``max_gap``
     slots either way moves the anchor, so that the frame takes the next slot. Frames of one batch
@@ -93,10 +94,11 @@ def live_status(stream: DataFrame, source: str, time: str, rate_num: int, rate_d
                     written = slot + 1
             yield pd.DataFrame(out, columns=["source", "time", "slot", "status", "repeats"])
         state.update((start, written))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
 
     rows = stream.select(F.col(source).cast("string").alias("source"), F.col(time).cast("long").alias("time"))
-    return rows.groupBy("source").applyInPandasWithState(place, STATUS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("source").applyInPandasWithState(place, STATUS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def read_arriving(spark: SparkSession, path: str, schema: str, files: int = 8) -> DataFrame:
