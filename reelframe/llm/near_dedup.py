@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing.
     Rows with the same doc_id are one document with several texts: they share a component. A null
-    doc_id takes part in no link and is its own component. Ties: the smallest id stands for a group.
+    doc_id takes part in no link, has a null component and is kept. Ties: the smallest id stands for a group.
     An empty table gives an empty result.
     """
     signed = written(signatures(docs), "signed")
@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     moved = sets.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     moved = cut(moved)
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(moved, ["set_a", "set_b"], "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
