@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: Words of a window.
 WINDOW = 10
 #: So many windows are broadcast at most, about 100 bytes each.
@@ -60,7 +62,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = windows(benchmark).persist()
     n = known.count()
     sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # at most WINDOW values
-    base = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
+    base = spread(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
     base = base.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"), "w", F.expr("transform(w, x -> xxhash64(x))").alias("wh"))
     passed = {}
     for size in sizes:

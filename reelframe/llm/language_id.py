@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_batches
+from .common import spread
 
 #: Sampled texts of each language, at most, and bytes of its dictionary.
 ROWS, DICTIONARY = 200, 96 << 10
@@ -122,4 +123,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             score = np.array([x[1] for x in found])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array(score), pa.array(score < NARROW)], names=[*rest, "lang_pred", "score", "rejected"])
 
-    return docs.select(rest).mapInArrow(run, docs.select(rest).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
+    return spread(docs.select(rest)).mapInArrow(run, docs.select(rest).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))

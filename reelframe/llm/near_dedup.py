@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_batches
-from .common import BROADCAST_ROWS, cut, long_lists, longs, slices, written
+from .common import BROADCAST_ROWS, cut, long_lists, longs, slices, spread, written
 from .components import components
 from .hashing import U64, Words, mix, runs
 
@@ -123,7 +123,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def signatures(docs: DataFrame) -> DataFrame:
     """For each row (doc_id, text): the set's size and digest, band keys and odd sketch; null ones without words."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, SIGNED)
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(_sign, SIGNED)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

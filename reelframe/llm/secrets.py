@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 # The kinds in order, their patterns, and what a match needs to count.
 KINDS = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(g2) >= 6"),
@@ -109,7 +111,7 @@ def scan(docs: DataFrame, table: np.ndarray | None = None, text: str = "text") -
     if table is None:
         table = train(labelled_samples(docs.sparkSession))
     none = "cast(array() as array<struct<m:string,start:int,end:int>>)"
-    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    out = spread(docs).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     parts = []
     for order, (kind, (pattern, needs)) in enumerate(KINDS.items()):
         quick = QUICK.get(kind, pattern)

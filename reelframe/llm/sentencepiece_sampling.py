@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import small_batches
-from .common import slices
+from .common import slices, spread
 from .hashing import U64, mix, powers
 
 #: The vocabulary's file, and the exponent on the pieces' weights: 0 takes all segmentations alike, large values the best.
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, key: Column | str = "doc_id", text: str = "text", mo
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(same)], names=[*rest, into, "lossless"])
 
     schema = docs.select(rest).schema.add(into, T.ArrayType(T.IntegerType())).add("lossless", "boolean")
-    return docs.select(*rest, F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key).alias("_key")).mapInArrow(run, schema)
+    return spread(docs.select(*rest, F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key).alias("_key"))).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, pieces_column: str = "pieces", model: str = MODEL, into: str = "decoded") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_batches
-from .common import slices
+from .common import slices, spread
 from .hashing import U64, Words
 
 #: Labelled rows that the chain is fitted on, at most: those whose ids hash lowest.
@@ -232,7 +232,7 @@ def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
     schema = docs.select(rest).schema
     for name in added:
         schema = schema.add(name, "double")
-    return docs.select(rest).mapInArrow(run, schema)
+    return spread(docs.select(rest)).mapInArrow(run, schema)
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:
