@@ -196,3 +196,76 @@ def filtered(frames: DataFrame, chain: Sequence[Kernel]) -> DataFrame:
 
     ordered = frames.selectExpr(*rest, "cast(width as int) width", "cast(height as int) height", "pixels")
     return ordered.mapInArrow(run, ordered.schema)
+
+
+def grayscale(planes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """PIX-06: neutral chroma."""
+    return planes[0], np.full_like(planes[1], 128), np.full_like(planes[2], 128)
+
+
+def overlaid(p: np.ndarray, mark: np.ndarray, alpha: np.ndarray, x: int, y: int) -> np.ndarray:
+    """PIX-11: ``mark`` over the plane with its left top at (x, y), by ``alpha`` of 0 to 255; what lies outside is cut."""
+    out = p.copy()
+    h, w = max(0, min(mark.shape[0], p.shape[0] - y)), max(0, min(mark.shape[1], p.shape[1] - x))
+    a = alpha[:h, :w].astype(np.float32) / 255
+    out[y : y + h, x : x + w] = _bytes(mark[:h, :w] * a + p[y : y + h, x : x + w] * (1 - a))
+    return out
+
+
+def nlmeans(p: np.ndarray, patch: int = 3, search: int = 9, sigma: float = 10.0) -> np.ndarray:
+    """PIX-16: neighbours within ``search``, weighted by how alike the patches around them are."""
+    reach, half = search // 2, patch // 2
+    x = p.astype(np.float32)
+    wide = np.pad(x, reach, mode="edge")
+    total, weights = np.zeros_like(x), np.zeros_like(x)
+    for dy in range(search):
+        for dx in range(search):
+            other = wide[dy : dy + x.shape[0], dx : dx + x.shape[1]]
+            apart = _around((x - other) ** 2, half).mean(axis=0)
+            w = np.exp(-apart / sigma**2)
+            total += w * other
+            weights += w
+    return _bytes(total / weights)
+
+
+def halved(plane: np.ndarray) -> np.ndarray:
+    """CLR-04: the mean of each 2x2 block, edges repeated for odd sizes."""
+    wide = np.pad(plane.astype(np.float32), ((0, plane.shape[0] % 2), (0, plane.shape[1] % 2)), mode="edge")
+    return _bytes((wide[::2, ::2] + wide[1::2, ::2] + wide[::2, 1::2] + wide[1::2, 1::2]) / 4)
+
+
+def narrowed(plane: np.ndarray, bits: int = 10) -> np.ndarray:
+    """CLR-06: to 8 bits, rounded."""
+    shift = bits - 8
+    return np.minimum((plane.astype(np.uint32) + (1 << shift >> 1)) >> shift, 255).astype(np.uint8)
+
+
+def widened(plane: np.ndarray, bits: int = 10) -> np.ndarray:
+    """CLR-06: from 8 bits, shifted."""
+    return plane.astype(np.uint16) << (bits - 8)
+
+
+def _luma_weights(kr: float, kb: float) -> np.ndarray:
+    """RGB to Y, Cb, Cr of full range for the two weights of a standard."""
+    kg = 1 - kr - kb
+    return np.array([[kr, kg, kb], [-kr / (2 * (1 - kb)), -kg / (2 * (1 - kb)), 0.5], [0.5, -kg / (2 * (1 - kr)), -kb / (2 * (1 - kr))]])
+
+
+def bt601_to_709(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """CLR-03: limited-range planes of one size, through RGB, from the one standard's weights to the other's."""
+    turn = _luma_weights(0.2126, 0.0722) @ np.linalg.inv(_luma_weights(0.299, 0.114))
+    scaled = np.stack([(y.astype(np.float64) - 16) / 219, (u.astype(np.float64) - 128) / 224, (v.astype(np.float64) - 128) / 224])
+    out = np.einsum("ij,jhw->ihw", turn, scaled)
+    return _bytes(np.clip(out[0] * 219 + 16, 16, 235)), _bytes(np.clip(out[1] * 224 + 128, 16, 240)), _bytes(np.clip(out[2] * 224 + 128, 16, 240))
+
+
+def resampled(samples: np.ndarray, source: int, target: int, taps: int = 64, beta: float = 12.3) -> np.ndarray:
+    """AUD-03: a windowed sinc up to nine tenths of the lower half rate; ceil(n * target / source) samples, without delay."""
+    n = -(-len(samples) * target // source)
+    at = np.arange(n) * (source / target)
+    cut_at = 0.9 * min(1.0, target / source)
+    k = np.floor(at).astype(int)[:, None] + np.arange(1 - taps, taps + 1)[None, :]
+    away = at[:, None] - k
+    window = np.i0(beta * np.sqrt(np.clip(1 - (away / taps) ** 2, 0, None))) / np.i0(beta)
+    held = np.where((k >= 0) & (k < len(samples)), samples[np.clip(k, 0, max(len(samples) - 1, 0))], 0.0) if len(samples) else np.zeros(k.shape)
+    return (held * cut_at * np.sinc(cut_at * away) * window).sum(axis=1)
