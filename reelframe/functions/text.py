@@ -10,16 +10,56 @@ from pyspark.sql import functions as F
 from .timebase import _c
 
 # Fixed values: (ISO 639-2/T, 639-2/B, 639-1, name).
-LANGUAGES = tuple(
-    tuple(x.split(","))
-    for x in (
-        "ara,,ar,Arabic bul,,bg,Bulgarian cat,,ca,Catalan ces,cze,cs,Czech cym,wel,cy,Welsh dan,,da,Danish deu,ger,de,German ell,gre,el,Greek "
-        "eng,,en,English est,,et,Estonian eus,baq,eu,Basque fas,per,fa,Persian fin,,fi,Finnish fra,fre,fr,French gle,,ga,Irish glg,,gl,Galician "
-        "heb,,he,Hebrew hin,,hi,Hindi hrv,,hr,Croatian hun,,hu,Hungarian ind,,id,Indonesian isl,ice,is,Icelandic ita,,it,Italian jpn,,ja,Japanese "
-        "kat,geo,ka,Georgian kor,,ko,Korean lav,,lv,Latvian lit,,lt,Lithuanian mkd,mac,mk,Macedonian msa,may,ms,Malay nld,dut,nl,Dutch nor,,no,Norwegian "
-        "pol,,pl,Polish por,,pt,Portuguese ron,rum,ro,Romanian rus,,ru,Russian slk,slo,sk,Slovak slv,,sl,Slovenian spa,,es,Spanish srp,,sr,Serbian "
-        "swe,,sv,Swedish tam,,ta,Tamil tha,,th,Thai tur,,tr,Turkish ukr,,uk,Ukrainian vie,,vi,Vietnamese zho,chi,zh,Chinese"
-    ).split(" ")
+LANGUAGES = (
+    ("ara", "", "ar", "Arabic"),
+    ("bul", "", "bg", "Bulgarian"),
+    ("cat", "", "ca", "Catalan"),
+    ("ces", "cze", "cs", "Czech"),
+    ("cym", "wel", "cy", "Welsh"),
+    ("dan", "", "da", "Danish"),
+    ("deu", "ger", "de", "German"),
+    ("ell", "gre", "el", "Greek"),
+    ("eng", "", "en", "English"),
+    ("est", "", "et", "Estonian"),
+    ("eus", "baq", "eu", "Basque"),
+    ("fas", "per", "fa", "Persian"),
+    ("fin", "", "fi", "Finnish"),
+    ("fra", "fre", "fr", "French"),
+    ("gle", "", "ga", "Irish"),
+    ("glg", "", "gl", "Galician"),
+    ("heb", "", "he", "Hebrew"),
+    ("hin", "", "hi", "Hindi"),
+    ("hrv", "", "hr", "Croatian"),
+    ("hun", "", "hu", "Hungarian"),
+    ("ind", "", "id", "Indonesian"),
+    ("isl", "ice", "is", "Icelandic"),
+    ("ita", "", "it", "Italian"),
+    ("jpn", "", "ja", "Japanese"),
+    ("kat", "geo", "ka", "Georgian"),
+    ("kor", "", "ko", "Korean"),
+    ("lav", "", "lv", "Latvian"),
+    ("lit", "", "lt", "Lithuanian"),
+    ("mkd", "mac", "mk", "Macedonian"),
+    ("msa", "may", "ms", "Malay"),
+    ("nld", "dut", "nl", "Dutch"),
+    ("nor", "", "no", "Norwegian"),
+    ("nob", "", "nb", "Norwegian Bokmål"),
+    ("nno", "", "nn", "Norwegian Nynorsk"),
+    ("pol", "", "pl", "Polish"),
+    ("por", "", "pt", "Portuguese"),
+    ("ron", "rum", "ro", "Romanian"),
+    ("rus", "", "ru", "Russian"),
+    ("slk", "slo", "sk", "Slovak"),
+    ("slv", "", "sl", "Slovenian"),
+    ("spa", "", "es", "Spanish"),
+    ("srp", "", "sr", "Serbian"),
+    ("swe", "", "sv", "Swedish"),
+    ("tam", "", "ta", "Tamil"),
+    ("tha", "", "th", "Thai"),
+    ("tur", "", "tr", "Turkish"),
+    ("ukr", "", "uk", "Ukrainian"),
+    ("vie", "", "vi", "Vietnamese"),
+    ("zho", "chi", "zh", "Chinese"),
 )
 
 
