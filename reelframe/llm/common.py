@@ -45,7 +45,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """The same rows over all cores where a small input has fewer partitions than these; large inputs stay as they are.
 
-    A file of one row group is one task, however many cores wait.
+    A file of one row group is one task, however many cores wait. For tables as they are read: of a
+    frame with shuffles, the count of partitions is known only once these have run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

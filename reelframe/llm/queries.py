@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, language_id, near_dedup, secrets, sentencepiece_sampling, toxicity, url_trust, vector_search, warc
+from .common import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f
@@ -24,7 +29,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
 @query
@@ -32,18 +37,18 @@ def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probabilities and whether it is rejected."""
     docs = table(spark, sf_dir, "documents")
     chain = toxicity.train(docs, toxicity.chain_labels(table(spark, sf_dir, "labels")), toxicity.CATEGORIES)
-    marked = toxicity.score(docs.select("doc_id", "text"), chain)
+    marked = toxicity.score(documents(spark, sf_dir, "doc_id", "text"), chain)
     return marked.select("doc_id", *(f"p_{c}" for c in toxicity.CATEGORIES), (F.col("p_toxic") >= toxicity.CUT).alias("toxic"))
 
 
 @query
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.report(documents(spark, sf_dir, "doc_id", "text"))
 
 
 @query
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+    return decontaminate.contamination(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
 _OP8_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
@@ -78,7 +83,7 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 @query
 def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document's sampled pieces: how many, a digest of the ids in order, and whether they decode to the text."""
-    coded = sentencepiece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    coded = sentencepiece_sampling.encode(documents(spark, sf_dir, "doc_id", "text"))
     ids = F.array_join(F.coalesce("pieces", F.array().cast("array<int>")), ",")
     return coded.select("doc_id", F.coalesce(F.size(F.coalesce("pieces", F.array().cast("array<int>"))), F.lit(0)).cast("long").alias("n_pieces"), F.sha2(ids, 256).alias("pieces_sha256"), "lossless")
 
@@ -118,7 +123,8 @@ CAST(sum(escaped + length(role) + 21) AS BIGINT) AS formatted_chars FROM e GROUP
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = language_id.dictionaries(docs.where(~language_id.held_out()))
-    return language_id.identify(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), known).drop("text")
+    rows = documents(spark, sf_dir, "doc_id", "text").select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.identify(rows, known).drop("text")
 
 
 @query
