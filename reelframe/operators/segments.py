@@ -20,11 +20,11 @@ def totals(segments: DataFrame, rendition: str, size: str, seconds: str) -> Data
 
 def merge_check(parts: DataFrame, rendition: str, sequence: str, agree: list[str]) -> DataFrame:
     """AGG-12, SET-02: what is wrong with the united contributions to each rendition: duplicates, gaps, or fields that disagree."""
-    one = [F.count_distinct(c).alias(f"_{c}") for c in agree]
+    one = [(F.min(c) != F.max(c)).alias(f"_{c}") for c in agree]
     out = parts.groupBy(rendition).agg(F.count("*").alias("n"), F.count_distinct(sequence).alias("_d"), (F.max(sequence) - F.min(sequence) + 1).alias("_span"), *one)
     wrong = F.when(F.col("n") != F.col("_d"), "duplicate").when(F.col("_span") != F.col("_d"), "gap")
     for c in agree:
-        wrong = wrong.when(F.col(f"_{c}") > 1, f"disagrees on {c}")
+        wrong = wrong.when(F.col(f"_{c}"), f"disagrees on {c}")
     return out.select(rendition, "n", wrong.alias("problem"))
 
 
@@ -33,8 +33,8 @@ def composition_offsets(packets: DataFrame, stream: str, arrival: str, pts: str,
     w = Window.partitionBy(stream)
     running = F.coalesce(F.sum(duration).over(w.orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = packets.withColumn("_place", F.row_number().over(w.orderBy(arrival))).withColumn("_rank", F.row_number().over(w.orderBy(pts))).withColumn("_dt", running)
-    twice = packets.groupBy(stream, pts).count().where("count > 1").select(stream).distinct()
-    base = base.join(twice, stream, "left_anti")
+    same = (F.lag(pts).over(w.orderBy(pts)) == F.col(pts)).cast("int")
+    base = base.withColumn("_same", same).withColumn("_twice", F.max("_same").over(w)).where("_twice is null or _twice = 0").drop("_same", "_twice")
     at = base.select(stream, F.col("_place").alias("_rank"), F.col("_dt").alias("_at"))
     return base.join(at, [stream, "_rank"]).withColumn("offset", F.col("_at") - F.col("_dt")).drop("_place", "_rank", "_dt", "_at")
 
