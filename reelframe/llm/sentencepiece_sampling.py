@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import small_batches
-from .common import slices, spread
+from .common import slices, tidy
 from .hashing import U64, mix, powers
 
 #: The vocabulary's file, and the exponent on the pieces' weights: 0 takes all segmentations alike, large values the best.
 MODEL, ALPHA, SEED = "/opt/tokenizers/piece_bpe_32k.model", 1.0, 1
 #: Bytes of text in one lattice; a longer single text is a lattice of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _SPACE = 32
 
 
@@ -283,6 +283,7 @@ def encode(docs: DataFrame, key: Column | str = "doc_id", text: str = "text", mo
     rest = [c for c in docs.columns if c not in (into, "lossless", "_key")]
     at = rest.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model, alpha)
         for batch in batches:
@@ -298,7 +299,7 @@ def encode(docs: DataFrame, key: Column | str = "doc_id", text: str = "text", mo
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(same)], names=[*rest, into, "lossless"])
 
     schema = docs.select(rest).schema.add(into, T.ArrayType(T.IntegerType())).add("lossless", "boolean")
-    return spread(docs.select(*rest, F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key).alias("_key"))).mapInArrow(run, schema)
+    return docs.select(*rest, F.xxhash64(F.lit(seed), F.col(key) if isinstance(key, str) else key).alias("_key")).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, pieces_column: str = "pieces", model: str = MODEL, into: str = "decoded") -> DataFrame:
@@ -307,6 +308,7 @@ def decode(coded: DataFrame, pieces_column: str = "pieces", model: str = MODEL,
     rest = [c for c in coded.columns if c != into]
     at = rest.index(pieces_column)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
         for batch in batches:
