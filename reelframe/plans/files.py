@@ -37,10 +37,10 @@ def snk09_master_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.master_playlist(rows, "p_brand").select("p_brand", F.sha2("playlist", 256).alias("playlist"))
 
 
-@query("SELECT url FROM pages WHERE page_id % 3 = 0 AND url IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
+@query("SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE length(html) > 4000)")
 def snk17_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return layout.overwritten(p.where("page_id % 3 = 0"), p.where("page_id % 2 = 0"), "url").select("url")
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return layout.overwritten(p.select("page_id", "url"), p.where(F.length("html") > 4000), "url").select("page_id", "url")
 
 
 @query("""WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)

@@ -239,10 +239,10 @@ def jon13_continued_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.continued_tracks(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "lang", "doc_id")
 
 
-@query("SELECT l.doc_id FROM documents l WHERE l.source NOT IN (SELECT source FROM documents WHERE doc_id % 7 = 0 AND n_chars < 300)")
+@query("SELECT l.doc_id FROM documents l WHERE l.source NOT IN (SELECT source FROM documents WHERE n_chars < 9)")
 def flt07_deny_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return joins.without(d, d.where("doc_id % 7 = 0 and n_chars < 300"), ["source"]).select("doc_id")
+    return joins.without(d, d.where("n_chars < 9"), ["source"]).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE lang IN ('de', 'fr')")
@@ -259,9 +259,8 @@ def agg14_variant_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.variant_rates(v, two(table(spark, sf_dir, "part"), "p_size"), two(table(spark, sf_dir, "supplier"), "s_nationkey"))
 
 
-@query("""SELECT l_orderkey, sha256('#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || CAST(CAST(ceil(max(l_quantity)) AS BIGINT) AS VARCHAR) || chr(10) || string_agg('#EXTINF:' || format('{:.3f}', l_quantity) || ',' || chr(10) || 'seg' || l_linenumber || '.m4s' || chr(10), '' ORDER BY l_linenumber, l_quantity, l_partkey) || '#EXT-X-ENDLIST' || chr(10)) AS playlist FROM lineitem WHERE l_orderkey % 5 = 0 AND l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = count(DISTINCT l_linenumber)) GROUP BY 1""")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, '#EXTINF:' || format('{:.3f}', l_quantity) || ',' || chr(10) || 'seg' || l_linenumber || '.m4s' || chr(10) AS line FROM lineitem)
+SELECT l_orderkey, sha256('#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || CAST(CAST(ceil(max(l_quantity)) AS BIGINT) AS VARCHAR) || chr(10) || string_agg(line, '' ORDER BY l_linenumber, line) || '#EXT-X-ENDLIST' || chr(10)) AS playlist FROM l GROUP BY 1""")
 def txt18_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
-    single = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_linenumber").alias("d")).where("n = d").select("l_orderkey")
-    rows = rows.join(single, "l_orderkey").withColumn("uri", F.concat(F.lit("seg"), F.col("l_linenumber").cast("string"), F.lit(".m4s")))
+    rows = table(spark, sf_dir, "lineitem").withColumn("uri", F.concat(F.lit("seg"), F.col("l_linenumber").cast("string"), F.lit(".m4s")))
     return segments.media_playlist(rows, "l_orderkey", "l_linenumber", "l_quantity", "uri").select("l_orderkey", F.sha2("playlist", 256).alias("playlist"))
