@@ -111,13 +111,13 @@ def flt11_capable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.capable(devices, table_of, "1", F.col("c_acctbal")).select("c_custkey")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, turn * 30 AS s, turn * 30 + 10 + length(text) % 60 AS e FROM conversations), l AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN conv_id % 7 ELSE 0 END AS late FROM c GROUP BY 1)
+@query("""WITH c AS (SELECT conv_id, turn, turn * 30 AS s, turn * 30 + 10 + length(text) % 60 AS e FROM conversations), l AS (SELECT conv_id, conv_id % 7 AS late FROM c GROUP BY 1)
 SELECT conv_id, turn, CAST(s - late AS BIGINT) AS start, CAST(e - late AS BIGINT) AS until FROM c JOIN l USING (conv_id)""")
 def jon11_shifted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import joins
 
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 30).alias("start"), (F.col("turn") * 30 + 10 + F.length("text") % 60).alias("end"))
-    video = c.where("conv_id % 2 = 0").select("conv_id", (F.col("conv_id") % 7).alias("start")).distinct()
+    video = c.select("conv_id", (F.col("conv_id") % 7).alias("start")).distinct()
     return joins.shifted_windows(video, c, "conv_id").select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("until"))
 
 

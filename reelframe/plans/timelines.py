@@ -232,11 +232,11 @@ def set03_distinct_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.distinct_placements(rungs, "p_brand", "pos", ["w"]).where("same_as is null").select("p_partkey")
 
 
-@query("""WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE doc_id % 2 = 0), b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE doc_id % 2 = 1)
+@query("""WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE source < 'src15'), b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE source >= 'src15')
 SELECT coalesce(a.lang, b.lang) AS lang, CAST(coalesce(a.place, b.place) AS INTEGER) AS place, a.doc_id AS track, b.doc_id AS clip_track FROM a FULL JOIN b ON a.lang = b.lang AND a.place = b.place""")
 def jon13_continued_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("lang", "doc_id")
-    return joins.continued_tracks(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "lang", "doc_id")
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "source")
+    return joins.continued_tracks(d.where("source < 'src15'"), d.where("source >= 'src15'"), "lang", "doc_id")
 
 
 @query("SELECT l.doc_id FROM documents l WHERE l.source NOT IN (SELECT source FROM documents WHERE n_chars < 9)")
