@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelframe.llm import decontaminate, near_dedup, secrets, sentencepiece_sampling, toxicity
-from reelframe.llm.common import spread, written
+from reelframe.llm.common import Scratch, spread
 
 
 def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written to the shared folder before the next one reads it."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    before = Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        after = Scratch(spark)
+        docs = after.written(stage(spark, docs, sf_dir), name)
+        before.clear()
+        before = after
     return STAGES[-1][1](spark, docs, sf_dir)

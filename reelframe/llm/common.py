@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A broadcast side may have this many rows at most; beyond it the same join is shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 #: Bytes of text that a Python worker handles at once; a longer single text is a batch of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -34,12 +36,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Parquet tables in the shared folder that can be removed together, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        """The same rows as a table."""
+        path = f"{shared_dir(self.spark)}/{what}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths.clear()
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    """The same rows as a Parquet table in the shared folder, which stays."""
+    return Scratch(df.sparkSession).written(df, what)
+
+
+def tidy(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A batch function that gives freed memory back to the system at its end: Python workers live on between stages."""
+
+    @functools.wraps(f)
+    def run(*args) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_batches
+from .common import tidy
 
 #: Sampled texts of each language, at most, and bytes of its dictionary.
 ROWS, DICTIONARY = 200, 96 << 10
@@ -115,6 +116,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     at = rest.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(shared.value)
         for batch in batches:

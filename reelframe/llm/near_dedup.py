@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_batches
-from .common import BROADCAST_ROWS, cut, long_lists, longs, slices, written
+from .common import BROADCAST_ROWS, Scratch, cut, long_lists, longs, slices, tidy, written
 from .components import components
 from .hashing import U64, Words, mix, runs
 
@@ -101,6 +101,7 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 
 
+@tidy
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in slices(batch.column(1)):
@@ -126,6 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, SIGNED)
 
 
+@tidy
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, dtype=bool)
@@ -141,18 +143,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, text) of the documents in ``ids`` (id), written to the shared folder.
 
     The ids are broadcast if there are ``BROADCAST_ROWS`` at most, and joined by a shuffle otherwise.
     """
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
+    return scratch.written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"), "texts")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough; only their texts are shuffled."""
-    texts = _texts(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    texts = _texts(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), scratch)
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long").distinct()
 
@@ -190,6 +192,7 @@ def _sides(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(own == one), np.flatnonzero(own == two)
 
 
+@tidy
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each group, the rows with a partner of another component whose sketch is near enough.
 
@@ -222,6 +225,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
 
 
+@tidy
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each group, links on full shingle sets that join all components which such links join."""
     a, b = [], []
@@ -277,19 +281,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id takes part in no link, has a null component and is kept. Ties: the smallest id stands for a group.
     An empty table gives an empty result.
     """
+    scratch = Scratch(docs.sparkSession)
     signed = written(signatures(docs), "signed")
     sets = cut(signed.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     leaders = signed.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sketch")
-    leaders = written(leaders, "leaders")
+    leaders = scratch.written(leaders, "leaders")
     banded = leaders.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    shared = written(banded.join(buckets, "key").select("key", "rep", "least"), "shared")
+    shared = scratch.written(banded.join(buckets, "key").select("key", "rep", "least"), "shared")
 
     # One candidate for each representative: the smallest member of all its buckets.
     star = shared.groupBy(F.col("rep").alias("b")).agg(F.min("least").alias("a")).where("a < b").select("a", "b")
     a, b = (leaders.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     star = cut(star.join(a, "a").join(b, "b").where(_differ("sketch_a", "sketch_b") <= widest(SIMILAR / 100)).select("a", "b"))
-    links = cut(confirmed(docs, star))
+    links = cut(confirmed(docs, star, scratch))
     joined = components(links)
 
     # Buckets that still hold several components, block against block.
@@ -300,10 +305,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = dealt.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rep", "component")
     apart = dealt.join(leaders, "rep").select("key", "one", "two", "own", "rep", "component", "sketch", "bands")
     apart = apart.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_near, "key long, one int, two int, own int, rep long, component long")
-    apart = written(apart, "apart")
+    apart = scratch.written(apart, "apart")
     if not apart.isEmpty():
         ids = cut(apart.select(F.col("rep").alias("id")).distinct())
-        texts = _texts(docs, ids).withColumnRenamed("id", "rep")
+        texts = _texts(docs, ids, scratch).withColumnRenamed("id", "rep")
         groups = apart.join(texts, "rep").select("key", "one", "two", "own", "rep", "component", "text")
         more = groups.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(_link, "a long, b long")
         more = cut(more.distinct())
@@ -312,6 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     moved = sets.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     moved = cut(moved)
+    scratch.clear()
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(moved, ["set_a", "set_b"], "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 

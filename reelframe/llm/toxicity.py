@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_batches
-from .common import slices
+from .common import slices, tidy
 from .hashing import U64, Words
 
 #: Labelled rows that the chain is fitted on, at most: those whose ids hash lowest.
-ROWS = 6_000
+ROWS = 4_000
 #: Features of each category: the most strongly associated ones that ``LEAST`` sampled texts have.
 FEATURES, LEAST = 256, 4
 FOLDS, RIDGE = 4, 1.0
@@ -197,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], rows: i
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     names = tuple(categories)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)
         if found:
@@ -224,6 +225,7 @@ def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
     added = [f"p_{c}" for c in chain.categories]
     rest = [c for c in docs.columns if c not in added]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = chain.probabilities(batch.column(batch.schema.get_field_index(column)))
