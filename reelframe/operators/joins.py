@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+#: Members of a bucket of hashes that are compared with as many others at once.
+BLOCK = 2048
+
 
 def overlapping(cues: DataFrame, segments: DataFrame, track: str, cue: tuple[str, str], segment: tuple[str, str], width: int) -> DataFrame:
     """JON-01: each cue with each segment of its track that it overlaps (half-open intervals of the same clock).
@@ -73,23 +81,65 @@ def distinct_placements(rungs: DataFrame, ladder: str, position: str, placement:
     return rungs.withColumn("same_as", F.when(F.col(position) != first, first))
 
 
-def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int, bands: int = 8) -> DataFrame:
-    """JON-09: (a, b, distance) for pairs of 64-bit hashes that differ in ``most`` bits at most; needs most < bands, so one band is equal.
+def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int, bands: int = 8, bits: int = 64) -> DataFrame:
+    """JON-09: (a, b, distance) for pairs of hashes that differ in ``most`` bits at most; needs most < bands, so one band is equal.
 
-    Equal hashes collapse first: pairs are between representatives (the smallest key of each value).
-    A pair counts in the first band that it shares.
+    Equal hashes collapse first: pairs are between representatives (the smallest key of each value);
+    ``hamming_members`` says which rows stand behind each. The bands are cut from the lowest ``bits`` bits, those
+    that hashes use: bits that are the same everywhere would put all rows into one bucket. Buckets are dealt out in
+    blocks of ``BLOCK`` members and compared block against block. A pair counts in the first band
+    that it shares. Null keys and hashes are in no pair.
     """
-    if most >= bands:
+    if not most < bands <= bits <= 64:
         raise ValueError("some pairs would share no band")
-    width = 64 // bands
-    one = hashes.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(key).alias("key"))
-    parts = F.array(*(F.expr(f"shiftrightunsigned({value}, {i * width}) & {(1 << width) - 1}L") for i in range(bands)))
-    cut = one.withColumn("_parts", parts).select("key", F.col(value).alias("h"), "_parts", F.posexplode("_parts").alias("_band", "_part"))
-    a, b = cut.alias("a"), cut.alias("b")
-    near = F.expr(f"bit_count(a.h ^ b.h) <= {most}")
-    first = F.expr("array_position(zip_with(a._parts, b._parts, (x, y) -> x = y), true) = a._band + 1")
-    both = a.join(b, (F.col("a._band") == F.col("b._band")) & (F.col("a._part") == F.col("b._part")) & (F.col("a.key") < F.col("b.key")) & near & first)
-    return both.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.expr("cast(bit_count(a.h ^ b.h) as int)").alias("distance"))
+    ship(hashes.sparkSession)
+    edges = [i * bits // bands for i in range(bands + 1)]
+    masks = [((1 << (end - start)) - 1) << start for start, end in zip(edges[:-1], edges[1:], strict=True)]
+    signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
+
+    def near(group: pa.Table) -> pa.Table:
+        band, one, two = (group.column(c)[0].as_py() for c in ("band", "one", "two"))
+        keys, h, own = group.column("key").combine_chunks(), group.column("h").to_numpy().view(np.uint64), group.column("own").to_numpy()
+        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
+        found = []
+        for i in range(0, len(left), 64):
+            x = h[left[i : i + 64], None] ^ h[None, right]
+            p, q = np.nonzero(np.bitwise_count(x) <= most)
+            x, p, q = x[p, q], left[i + p], right[q]
+            good = (p < q) | (one != two)
+            for mask in masks[:band]:
+                good &= (x & np.uint64(mask)) != 0
+            found.append((p[good], q[good], np.bitwise_count(x[good]).astype(np.int32)))
+        p, q, distance = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)
+        x, y = keys.take(pa.array(p)), keys.take(pa.array(q))
+        first = pc.less(x, y)
+        return pa.table({"a": pc.if_else(first, x, y), "b": pc.if_else(first, y, x), "distance": pa.array(distance)})
+
+    one = hashes.where(F.col(value).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(value).cast("long").alias("h")).agg(F.min(key).alias("key"))
+    parts = F.array(*(F.struct(F.lit(i).alias("band"), F.expr(f"h & {signed(mask)}L").alias("part")) for i, mask in enumerate(masks)))
+    cut = one.select("key", "h", F.inline(parts))
+    # Buckets of more than one block: at most bands / BLOCK of the rows.
+    large = cut.groupBy("band", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = cut.join(F.broadcast(large), ["band", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "h", "band", "part", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.select("key", "h", "band", "part", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own")
+    by, kind = ["band", "part", "one", "two"], one.schema["key"].dataType.simpleString()
+    dealt = dealt.repartition(4 * hashes.sparkSession.sparkContext.defaultParallelism, *by)
+    return dealt.groupBy(*by).applyInArrow(near, f"a {kind}, b {kind}, distance int")
+
+
+def hamming_members(hashes: DataFrame, key: str, value: str, pairs: DataFrame) -> DataFrame:
+    """JON-09: (key, class_id, links) for every row: the representative of its hash in ``pairs`` (of ``hamming_pairs``) and how many other rows are near.
+
+    Those with the same hash count, and those behind the representatives that pair up with its own. Keys name
+    one row each; a null key or hash has no class and no links.
+    """
+    rows = hashes.select(key, F.when(F.col(key).isNotNull(), F.col(value)).alias("_h"))
+    classes = rows.where("_h is not null").groupBy("_h").agg(F.min(key).alias("class_id"), F.count("*").alias("_n"))
+    both = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("_other")).union(pairs.select("b", "a"))
+    near = both.join(classes.select(F.col("class_id").alias("_other"), "_n"), "_other").groupBy("class_id").agg(F.sum("_n").alias("_near"))
+    classes = classes.join(near, "class_id", "left").select("_h", "class_id", (F.col("_n") - 1 + F.coalesce("_near", F.lit(0))).alias("links"))
+    return rows.join(classes, "_h", "left").select(key, "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def prerolled(packets: DataFrame, track: str, order: str, start: str, end: str, edit: tuple[int, int], packets_before: int, ticks_before: int) -> DataFrame:

@@ -140,7 +140,14 @@ def hsh02_dhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_HASH}, r AS (SELECT steps, min(vec_id) AS k FROM h GROUP BY 1) SELECT a.k AS a, b.k AS b, CAST(hamming(a.steps, b.steps) AS INTEGER) AS distance FROM r a JOIN r b ON a.k < b.k AND hamming(a.steps, b.steps) <= 15")
 def jon09_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.hamming_pairs(hashes(spark, sf_dir), "vec_id", "dhash", 15, bands=16)
+    return joins.hamming_pairs(hashes(spark, sf_dir), "vec_id", "dhash", 15, bands=16, bits=56)
+
+
+@query(f"""WITH {_HASH}, r AS (SELECT steps, min(vec_id) AS k, count(*) AS n FROM h GROUP BY 1), l AS (SELECT a.k AS k, sum(b.n) AS near FROM r a JOIN r b ON a.k <> b.k AND hamming(a.steps, b.steps) <= 15 GROUP BY 1)
+SELECT vec_id, k AS class_id, CAST(n - 1 + coalesce(near, 0) AS BIGINT) AS links FROM h JOIN r USING (steps) LEFT JOIN l USING (k)""")
+def jon09_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = hashes(spark, sf_dir)
+    return joins.hamming_members(h, "vec_id", "dhash", joins.hamming_pairs(h, "vec_id", "dhash", 15, bands=16, bits=56))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, sha1(text) AS sha1, md5(text) AS md5 FROM documents")

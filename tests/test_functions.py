@@ -1,5 +1,6 @@
 """Closed forms of column functions, and properties of operators without SQL."""
 
+import collections
 import struct
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelframe.functions import audio, picture, text, timebase
 from reelframe.kernels import pixels
-from reelframe.operators import frames, metadata, segments, selection
+from reelframe.operators import frames, joins, metadata, segments, selection
 
 
 def one(spark, column):
@@ -159,3 +160,21 @@ def test_wav_and_cues(spark, tmp_path):
     assert rows(media.playlist(spark, str(tmp_path / "p")), "sequence", "seconds", "uri") == [(7, 4.0, "a.m4s"), (8, 3.5, "b.m4s")]
     (tmp_path / "jobs.json").write_text('{"defaults": {"codec": "av1", "crf": 30}, "jobs": [{"input": "a", "crf": 20}, {"input": "b"}]}')
     assert rows(media.manifest(spark, str(tmp_path / "jobs.json"), ["input", "codec", "crf"])) == [(0, "a", "av1", 20), (1, "b", "av1", 30)]
+
+
+def test_hamming_pairs_and_members_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 7)  # several blocks in most buckets
+    rng = np.random.default_rng(11)
+    base = [int(x) for x in rng.integers(0, 2**56, 12)]
+    values = [b ^ sum(1 << int(i) for i in rng.choice(56, rng.integers(0, 12), replace=False)) for b in base for _ in range(8)] + [base[0]] * 40 + [None]
+    df = spark.createDataFrame(list(enumerate(values)) + [(None, base[0])], "id long, h long")
+    first, size = {}, collections.Counter(values)
+    for i, h in enumerate(values):
+        first.setdefault(h, i)
+    far = lambda x, y: (x ^ y).bit_count()
+    near = [(first[x], first[y], far(x, y)) for x in first for y in first if x is not None and y is not None and first[x] < first[y] and far(x, y) <= 15]
+    pairs = joins.hamming_pairs(df, "id", "h", 15, bands=16, bits=56)
+    assert rows(pairs) == sorted(near, key=repr)
+    links = lambda x: sum(n for y, n in size.items() if y is not None and far(x, y) <= 15) - 1
+    want = [(i, first[h], links(h)) if h is not None else (i, None, 0) for i, h in enumerate(values)] + [(None, None, 0)]
+    assert rows(joins.hamming_members(df, "id", "h", pairs)) == sorted(want, key=repr)
