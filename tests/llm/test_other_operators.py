@@ -51,6 +51,40 @@ def test_templates_that_rewrite_history(spark):
     assert got == [(0, False, 0, 8), (1, True, 3, 11), (2, True, 6, 14)]
 
 
+def stateful():
+    def numbered(turns):
+        return "".join(f"{i}:{r}:{t};" for i, (r, t) in enumerate(turns))
+
+    def prompt_in_newest(turns):
+        newest = max(i for i, (r, _) in enumerate(turns) if r == "user")
+        return "".join(f"{r}:{turns[0][1] + '|' if i == newest else ''}{t};" for i, (r, t) in enumerate(turns))
+
+    def alternating(turns):
+        if any(r != ("user", "assistant")[i % 2] for i, (r, _) in enumerate(turns)):
+            raise ValueError("roles must alternate")
+        return "".join(f"<{t}>" for _, t in turns)
+
+    def first_late(turns):  # the hundredth turn changes the first
+        return "".join(f"<{'late' if len(turns) > 99 and not i else t}>" for i, (_, t) in enumerate(turns))
+
+    return {f.__name__: f for f in (numbered, prompt_in_newest, alternating, first_late)}
+
+
+@pytest.mark.parametrize("name", ["numbered", "prompt_in_newest", "alternating", "first_late"])
+def test_long_conversations_with_stateful_templates(spark, name):
+    template = stateful()[name]
+    turns = [(("user", "assistant")[t % 2], f"text{t}") for t in range(150)]
+    df = spark.createDataFrame([(1, t, *x) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    want, before = [], ""
+    for t in range(len(turns)):
+        now = template(turns[: t + 1])
+        kept = next((i for i, (x, y) in enumerate(zip(before, now)) if x != y), min(len(before), len(now)))
+        want.append((t, kept, len(now), not now.startswith(before), now[kept:]))
+        before = now
+    got = chat_format.turn_spans(df, template, lambda piece: None).orderBy("turn").collect()
+    assert [(r.turn, r.start, r.end, r.rewrites, r.piece) for r in got] == want
+
+
 # URL trust
 
 
