@@ -4,7 +4,8 @@ Records are made of column expressions and written by Spark's text writer, whose
 the CRLF pair that ends a record; files go where ``path`` says. The reader checks each record: the
 version line, the header fields, the length, the final CRLF pair and the digest. After a failed
 check it searches for the next gzip member or version line that passes all checks, goes on from
-there, and logs the bytes between as a quarantined gap. It reads plain files and gzip members alike.
+there, and logs the bytes between as a quarantined gap. It reads plain files and gzip members alike;
+inside a member, damaged or cut short as it may be, it goes on at the next version line.
 """
 
 from __future__ import annotations
@@ -127,46 +128,64 @@ def _plain(data: bytes, at: int) -> Record | str:
     return Record(at, start + size + 4, fields, payload)
 
 
-def _member(data: bytes, at: int) -> tuple[int, list[Record]] | str:
-    """The end of the gzip member at ``at`` and its records, or why there are none."""
-    z = zlib.decompressobj(31)
-    try:
-        plain = z.decompress(data[at:])
-    except zlib.error as e:
-        return str(e)
-    if not z.eof:
-        return "member cut short"
-    end, inside, found = len(data) - len(z.unused_data), 0, []
-    while inside < len(plain):
-        record = _plain(plain, inside)
-        if isinstance(record, str):
-            return record
-        inside = record.end
-        record.start, record.end = at, end
-        found.append(record)
-    return end, found
-
-
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All records that pass their checks, in order, and the gaps between them."""
+def _single(data: bytes, at: int) -> tuple[int, list[Record | Gap], str]:
+    """The end of the plain record at ``at`` and the record, or why there is none."""
+    got = _plain(data, at)
+    return (at, [], got) if isinstance(got, str) else (got.end, [got], "")
+
+
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What can be read of the gzip member at ``at``, where it stops, and why if that is not its end."""
+    z, out, step = zlib.decompressobj(31), [], 1 << 16
+    while at < len(data) and not z.eof:
+        kept = z.copy()
+        try:
+            out.append(z.decompress(data[at : at + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), at, str(e)
+            z, step = kept, step // 16
+            continue
+        at = min(at + step, len(data))
+    return b"".join(out), at - len(z.unused_data), "" if z.eof else "member cut short"
+
+
+def _member(data: bytes, at: int) -> tuple[int, list[Record | Gap], str]:
+    """The end of the gzip member at ``at``, its records and the gaps between them, and what is wrong with it as a whole.
+
+    All have the bounds of the member, or of the part that can be read. Without a single record the member is no member.
+    """
+    plain, end, failed = _inflated(data, at)
+    found = []
+    for x in salvage(plain, members=False):
+        if isinstance(x, Gap):
+            if failed and x.end == len(plain):
+                break  # the rest of a member that fails: part of the gap after it
+            x.reason = f"bytes {x.start} to {x.end} of the member: {x.reason}"
+        x.start, x.end = at, end
+        found.append(x)
+    if found and not any(isinstance(x, Record) for x in found):
+        return at, [], failed or found[0].reason
+    return end, found, failed
+
+
+def salvage(data: bytes, members: bool = True) -> Iterator[Record | Gap]:
+    """All records that pass their checks, in order, and the gaps between them; ``members``: gzip members too."""
+    marks = _NEXT if members else _VERSION
     at, bad, reason = 0, None, ""
     while at < len(data):
-        if data.startswith(b"\x1f\x8b\x08", at):
-            got = _member(data, at)
-        else:
-            got = _plain(data, at)
-            got = got if isinstance(got, str) else (got.end, [got])
-        if isinstance(got, str):
-            if bad is None:
-                bad, reason = at, got
-            after = _NEXT.search(data, at + 1)
-            at = after.start() if after else len(data)
-            continue
-        if bad is not None:
+        end, got, failed = (_member if members and data.startswith(b"\x1f\x8b\x08", at) else _single)(data, at)
+        if bad is not None and (got or not failed):
             yield Gap(bad, at, reason)
             bad = None
-        yield from got[1]
-        at = got[0]
+        yield from got
+        if failed:
+            if bad is None:
+                bad, reason = at, failed
+            after = marks.search(data, at + 1)
+            at = after.start() if after else len(data)
+        else:
+            at = end
     if bad is not None:
         yield Gap(bad, len(data), reason)
 
@@ -178,6 +197,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """A row for each record below ``path`` (kind: its WARC type) and for each gap (kind ``gap``, with the reason).
 
     payload_bytes and payload_digest (bare hex SHA-1) are of the full payload, for revisits too.
+    All files count, in folders of any depth, but for those that Spark skips (names with _ or . first).
     Each file is read whole by one task; ``write_archives`` bounds the records of a file.
     """
     small_batches(spark, 2)
@@ -201,7 +221,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(run, READ)
 
 

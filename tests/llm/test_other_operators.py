@@ -206,6 +206,30 @@ def test_salvage(pack):
     assert names(b"") == [] and names(b"\x00" * 100) == [(0, 100)]
 
 
+def test_damaged_archives_of_any_name(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    parts = [record(i, rng.bytes(3000)) for i in range(6)]
+    damaged = bytearray(parts[2])
+    damaged[-100] ^= 1
+    one = gzip.compress(b"".join([*parts[:2], bytes(damaged), *parts[3:]]))
+    short = gzip.compress(b"".join(parts))
+    (tmp_path / "more").mkdir()
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "more" / "b.warc.gz").write_bytes(one)
+    (tmp_path / "more" / "c.warc.gz").write_bytes(short[: len(short) * 3 // 4])
+    (tmp_path / "d.warc.gz").write_bytes(short[: len(short) * 3 // 4] + gzip.compress(parts[5]))
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    found = {}
+    for r in warc.read_archives(spark, str(tmp_path)).orderBy("path", "start").collect():
+        found.setdefault(r.path.split("/")[-1], []).append(r.record_id or r.kind)
+    names = [f"<urn:{i}>" for i in range(6)]
+    assert found["a.warc"] == names
+    assert sorted(found["b.warc.gz"]) == sorted([*names[:2], "gap", *names[3:]])
+    assert sorted(found["c.warc.gz"]) == sorted([*names[:4], "gap"])
+    assert sorted(found["d.warc.gz"]) == sorted([*names[:4], "gap", names[5]])
+    assert set(found) == {"a.warc", "b.warc.gz", "c.warc.gz", "d.warc.gz"}
+
+
 # Shared helpers
 
 
