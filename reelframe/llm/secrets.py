@@ -3,7 +3,9 @@
 Two first-order Markov models over the bytes of a run of ``[A-Za-z0-9+/_=-]`` are trained from
 labelled samples, one on random strings and one on ordinary identifiers. Their bigram log-likelihood
 ratios go into one array literal, indexed by the two characters; a run of ``LEAST`` characters or
-more whose summed ratio reaches ``THRESHOLD`` is a finding of kind ``markov``.
+more whose summed ratio reaches ``THRESHOLD`` is a finding of kind ``markov``. In other runs, which may be
+a secret with the path or key around it, each best stretch of ``LEAST`` characters or more that
+reaches it is one, widened to the next ``/``, ``=``, ``_`` or ``-`` on both sides.
 """
 
 from __future__ import annotations
@@ -87,6 +89,28 @@ def ratio(run: str, table: np.ndarray) -> str:
     return f"aggregate(split({run}, ''), struct(0D as s, -1 as last), (a, x) -> struct(a.s + if(a.last < 0, 0D, {literal}[a.last * 128 + ascii(x)]) as s, ascii(x) as last), a -> a.s)"
 
 
+def stretches(run: str, table: np.ndarray) -> str:
+    """SQL for the stretches (start, end) of ``run`` that reach ``THRESHOLD``, as characters inside it.
+
+    Of ``LEAST`` characters or more each: w sums the last LEAST - 1 ratios, b is the best sum that ends before
+    them (reset at 0), from bs on. A stretch is over where the sum falls by ``THRESHOLD`` below its best; the next begins there.
+    """
+    k = LEAST - 1
+    literal = f"from_json('{json.dumps(np.round(table, 4).reshape(-1).tolist())}', 'array<double>')"
+    state = lambda base, w, b, bs, best, p, e, out: f"struct({base} as base, {w} as w, {b} as b, {bs} as bs, {best} as best, {p} as p, {e} as e, {out} as out)"
+    closed = "concat(a.out, array(struct(a.p as start, a.e as end)))"
+    last = f"if(j - a.base >= {k}, r[j - {k}], 0D)"
+    now = f"struct(a.w + r[j] - {last} as w, greatest(a.b + {last}, 0D) as b, if(j - a.base < {k}, a.base, if(a.b + {last} > 0, a.bs, j - {k} + 1)) as bs)"
+    total = f"if(j - a.base >= {k} - 1, t.w + t.b, -1e9D)"
+    step = f"""case when a.best >= {THRESHOLD}D and {total} < a.best - {THRESHOLD}D then {state("j + 1", "0D", "0D", "j + 1", "0D", "0", "0", closed)}
+        when {total} > a.best then {state("a.base", "t.w", "t.b", "t.bs", total, "t.bs", "j + 2", "a.out")}
+        else {state("a.base", "t.w", "t.b", "t.bs", "a.best", "a.p", "a.e", "a.out")} end"""
+    zero = state("0", "0D", "0D", "0", "0D", "0", "0", "cast(array() as array<struct<start:int,end:int>>)")
+    walk = f"aggregate(sequence(0, size(r) - 1), {zero}, (a, j) -> transform(array({now}), t -> {step})[0], a -> if(a.best >= {THRESHOLD}D, {closed}, a.out))"
+    ratios = f"transform(array(transform(filter(split({run}, ''), y -> y != ''), y -> ascii(y))), c -> transform(sequence(0, size(c) - 2), i -> {literal}[c[i] * 128 + c[i + 1]]))[0]"
+    return f"transform(array({ratios}), r -> {walk})[0]"
+
+
 def _located(text: str, pattern: str) -> Column:
     """All leftmost matches as (m, start, end), in code points: the pieces between matches tell where each begins."""
     quoted = pattern.replace("'", "\\'")
@@ -119,7 +143,12 @@ def scan(docs: DataFrame, table: np.ndarray | None = None, text: str = "text") -
         parts.append(f"transform(filter(_{kind}, x -> {test}), x -> struct(x.start as start, {order} as ord, '{kind}' as kind, x.end as end, x.m as m))")
     out = out.withColumn("_base", F.expr(f"concat({', '.join(parts)})")).drop(*(f"_{k}" for k in KINDS))
     out = out.withColumn("_runs", F.when(F.col("_t").rlike(RUN), _located("_t", RUN)).otherwise(F.expr(none)))
-    more = f"transform(filter(_runs, x -> not exists(_base, b -> b.start = x.start and b.end = x.end) and {ratio('x.m', table)} >= {THRESHOLD}), x -> struct(x.start as start, {len(KINDS)} as ord, 'markov' as kind, x.end as end, x.m as m))"
+    before, after = "element_at(split(substring(x.m, 1, y.start), '[/=_-]', -1), -1)", "element_at(split(substring(x.m, y.end + 1), '[/=_-]', -1), 1)"
+    inner = f"transform({stretches('x.m', table)}, y -> struct(y.start - length({before}) as start, y.end + length({after}) as end))"
+    bounds = f"if({ratio('x.m', table)} >= {THRESHOLD}, array(struct(0 as start, x.end - x.start as end)), {inner})"
+    runs = "filter(_runs, x -> not exists(_base, b -> b.start = x.start and b.end = x.end))"
+    more = f"flatten(transform({runs}, x -> transform(array_distinct({bounds}), y -> struct(x.start + y.start as start, {len(KINDS)} as ord, 'markov' as kind, x.start + y.end as end, substring(x.m, y.start + 1, y.end - y.start) as m))))"
+    more = f"filter({more}, x -> not exists(_base, b -> b.start = x.start and b.end = x.end))"
     out = out.withColumn("found", F.expr(f"transform(array_sort(concat(_base, {more})), x -> struct(x.kind as kind, x.start as start, x.end as end, x.m as m))"))
     return out.drop("_t", "_base", "_runs")
 

@@ -83,6 +83,24 @@ def test_markov_models_on_held_out_strings(spark):
     assert not secrets.train(spark.createDataFrame([], "text string, secret int")).any()
 
 
+def test_secrets_inside_paths_and_assignments(spark):
+    trained = secrets.train(secrets.labelled_samples(spark))
+    rng = np.random.default_rng(4)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    path = "/usr/share/application/configuration/customer/database/connection/default/"
+    made, plain = [], [path * 3, path + "getDefaultMessageFormat"]
+    for _ in range(40):
+        a, b = "".join(rng.choice(letters, 32)), "".join(rng.choice(letters, 32))
+        made += [(path + a, [a]), (f"CUSTOMER_DATABASE_CONNECTION_CONFIGURATION_SETTING={a}", [a]), (path * 2 + a + path * 2 + b + path, [a, b])]
+    df = docs(spark, *(f"see {t} here" for t, _ in made), *plain)
+    got = {r.doc_id: r.text for r in secrets.redact(df, trained).collect()}
+    left = sum(s in got[i] for i, (_, inside) in enumerate(made) for s in inside)
+    assert left <= 0.05 * 4 * 40
+    assert not any(s[k : k + 12] in got[i] for i, (_, inside) in enumerate(made) for s in inside if s not in got[i] for k in range(20))
+    assert [got[len(made) + i] for i in range(2)] == plain
+    assert sum("/usr/share/application" in got[i] for i in range(0, len(made), 3)) >= 20
+
+
 def test_redaction(spark):
     got = {r.doc_id: r for r in secrets.redact(docs(spark, *HARD)).collect()}
     assert got[0].text is None and got[2].text == HARD[2] and got[2].n_chars == 3 and got[2].found == "y"
