@@ -5,12 +5,17 @@ labelled samples, one on random strings and one on ordinary identifiers. Their b
 ratios go into one array literal, indexed by the two characters; a run of ``LEAST`` characters or
 more whose summed ratio reaches ``THRESHOLD`` is a finding of kind ``markov``. In other runs, which may be
 a secret with the path or key around it, each best stretch of ``LEAST`` characters or more that
-reaches it is one, widened to the next ``/``, ``=``, ``_`` or ``-`` on both sides.
+reaches it is one, widened to the next ``/``, ``=``, ``_`` or ``-`` on both sides. A run or stretch that is a match
+of a fixed pattern as a whole is left to that pattern.
+
+All folds over the findings of a text go in groups of ``GROUP``: an array that grows inside a fold is
+copied at each step, so that one fold over many findings would take quadratic time.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +32,10 @@ QUICK = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 #: Characters of a run that the models judge; natural logarithm of the odds from which it is random.
 LEAST, THRESHOLD = 20, 12.0
 RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: A whole string that a fixed pattern finds.
+FIXED = r"""^(?:(?i:(?:password|passwd|secret|token|api_?key))=[A-Za-z0-9+/_=-]{6,}|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,})$"""
+#: Findings of a text that are folded at once; code points of the chunks that a text is redacted by.
+GROUP, CHUNK = 64, 4096
 #: Labelled samples, at most.
 ROWS = 20_000
 
@@ -39,7 +48,7 @@ PARTS = (
     "filter folder format function general generate global group handler header height history identifier image import index "
     "information initialize input instance integer interface internal invoice item iterator label language layout length level "
     "library license listener location manager maximum measure member memory message method minimum module monitor name network "
-    "nicht number object operation option order output package page parameter parent partition pattern payment people position "
+    "number object operation option order output package page parameter parent partition pattern payment people position "
     "previous process product profile project property protocol provider public query question reference register remote report "
     "request resource response result schedule schema search section select server service session setting source standard state "
     "status storage stream string structure subject summary system table target template thread timeout title transaction "
@@ -89,6 +98,33 @@ def ratio(run: str, table: np.ndarray) -> str:
     return f"aggregate(split({run}, ''), struct(0D as s, -1 as last), (a, x) -> struct(a.s + if(a.last < 0, 0D, {literal}[a.last * 128 + ascii(x)]) as s, ascii(x) as last), a -> a.s)"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def before(items: str, weight: Callable[[str], str], join: Callable[[str, str], str], out: Callable[[str, str, str], str], empty: str, frame: Callable[[str, str], str] | None = None, depth: int = 2) -> str:
+    """SQL for the array of ``out(x, at, f)`` over ``items``, where at joins the integer weights of all items before x, from 0 on.
+
+    Items are folded in groups of ``GROUP``, and so, ``depth`` times, are the groups' joined weights. ``frame(at, group)`` is a value for
+    each group, known as f inside it. ``empty``: the empty array of the results.
+    """
+    v = {k: f"{k}{depth}" for k in "iokgxafs"}
+    fold = lambda group, start, f: (
+        f"aggregate({group}, struct({empty} as out, {start} as at), ({v['a']}, {v['x']}) -> struct(concat({v['a']}.out, array({out(v['x'], v['a'] + '.at', f)})) as out, {join(v['a'] + '.at', weight(v['x']))} as at), {v['a']} -> {v['a']}.out)"
+    )
+    if not depth:
+        return fold(items, "0", "")
+    groups = f"transform(sequence(0, greatest(size({v['i']}) - 1, 0) div {GROUP}), {v['k']} -> slice({v['i']}, {v['k']} * {GROUP} + 1, {GROUP}))"
+    sums = f"transform({v['o']}, {v['g']} -> aggregate({v['g']}, 0, ({v['a']}, {v['x']}) -> {join(v['a'], weight(v['x']))}))"
+    starts = before(sums, lambda x: x, join, lambda x, at, f: at, "cast(array() as array<int>)", depth=depth - 1)
+    inner = fold(v["g"], f"{v['s']}[{v['k']}]", v["f"])
+    if frame:
+        inner = _let(v["f"], frame(f"{v['s']}[{v['k']}]", v["g"]), inner)
+    each = f"flatten(transform({v['o']}, ({v['g']}, {v['k']}) -> {inner}))"
+    return _let(v["i"], items, _let(v["o"], groups, _let(v["s"], starts, each)))
+
+
 def stretches(run: str, table: np.ndarray) -> str:
     """SQL for the stretches (start, end) of ``run`` that reach ``THRESHOLD``, as characters inside it.
 
@@ -97,37 +133,36 @@ def stretches(run: str, table: np.ndarray) -> str:
     """
     k = LEAST - 1
     literal = f"from_json('{json.dumps(np.round(table, 4).reshape(-1).tolist())}', 'array<double>')"
-    state = lambda base, w, b, bs, best, p, e, out: f"struct({base} as base, {w} as w, {b} as b, {bs} as bs, {best} as best, {p} as p, {e} as e, {out} as out)"
-    closed = "concat(a.out, array(struct(a.p as start, a.e as end)))"
+    state = lambda base, w, b, bs, best, p, e, out, full: f"struct({base} as base, {w} as w, {b} as b, {bs} as bs, {best} as best, {p} as p, {e} as e, {out} as out, {full} as full)"
+    now_closed = "array(struct(a.p as start, a.e as end))"
+    out, full = f"if(size(a.out) < {GROUP}, concat(a.out, {now_closed}), {now_closed})", f"if(size(a.out) < {GROUP}, a.full, concat(a.full, array(a.out)))"
     last = f"if(j - a.base >= {k}, r[j - {k}], 0D)"
     now = f"struct(a.w + r[j] - {last} as w, greatest(a.b + {last}, 0D) as b, if(j - a.base < {k}, a.base, if(a.b + {last} > 0, a.bs, j - {k} + 1)) as bs)"
     total = f"if(j - a.base >= {k} - 1, t.w + t.b, -1e9D)"
-    step = f"""case when a.best >= {THRESHOLD}D and {total} < a.best - {THRESHOLD}D then {state("j + 1", "0D", "0D", "j + 1", "0D", "0", "0", closed)}
-        when {total} > a.best then {state("a.base", "t.w", "t.b", "t.bs", total, "t.bs", "j + 2", "a.out")}
-        else {state("a.base", "t.w", "t.b", "t.bs", "a.best", "a.p", "a.e", "a.out")} end"""
-    zero = state("0", "0D", "0D", "0", "0D", "0", "0", "cast(array() as array<struct<start:int,end:int>>)")
-    walk = f"aggregate(sequence(0, size(r) - 1), {zero}, (a, j) -> transform(array({now}), t -> {step})[0], a -> if(a.best >= {THRESHOLD}D, {closed}, a.out))"
-    ratios = f"transform(array(transform(filter(split({run}, ''), y -> y != ''), y -> ascii(y))), c -> transform(sequence(0, size(c) - 2), i -> {literal}[c[i] * 128 + c[i + 1]]))[0]"
-    return f"transform(array({ratios}), r -> {walk})[0]"
+    step = f"""case when a.best >= {THRESHOLD}D and {total} < a.best - {THRESHOLD}D then {state("j + 1", "0D", "0D", "j + 1", "0D", "0", "0", out, full)}
+        when {total} > a.best then {state("a.base", "t.w", "t.b", "t.bs", total, "t.bs", "j + 2", "a.out", "a.full")}
+        else {state("a.base", "t.w", "t.b", "t.bs", "a.best", "a.p", "a.e", "a.out", "a.full")} end"""
+    zero = state("0", "0D", "0D", "0", "0D", "0", "0", "cast(array() as array<struct<start:int,end:int>>)", "cast(array() as array<array<struct<start:int,end:int>>>)")
+    finish = f"concat(flatten(a.full), a.out, if(a.best >= {THRESHOLD}D, {now_closed}, cast(array() as array<struct<start:int,end:int>>)))"
+    walk = f"aggregate(sequence(0, size(r) - 1), {zero}, (a, j) -> {_let('t', now, step)}, a -> {finish})"
+    ratios = _let("c", f"transform(filter(split({run}, ''), y -> y != ''), y -> ascii(y))", f"transform(sequence(0, size(c) - 2), i -> {literal}[c[i] * 128 + c[i + 1]])")
+    return _let("r", ratios, walk)
 
 
 def _located(text: str, pattern: str) -> Column:
     """All leftmost matches as (m, start, end), in code points: the pieces between matches tell where each begins."""
-    quoted = pattern.replace("'", "\\'")
-    found, pieces = f"regexp_extract_all({text}, r'{pattern}', 0)", f"split({text}, r'{pattern}', -1)"
-    if "'" in pattern:
-        quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-        found, pieces = f"regexp_extract_all({text}, '{quoted}', 0)", f"split({text}, '{quoted}', -1)"
-    step = "(a, x) -> struct(concat(a.out, array(struct(x.m as m, a.at + length(x.gap) as start, a.at + length(x.gap) + length(x.m) as end))) as out, a.at + length(x.gap) + length(x.m) as at)"
-    zero = "struct(cast(array() as array<struct<m:string,start:int,end:int>>) as out, 0 as at)"
-    return F.expr(f"aggregate(zip_with({found}, slice({pieces}, 1, size({found})), (m, gap) -> struct(m, gap)), {zero}, {step}, a -> a.out)")
+    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    found = f"regexp_extract_all({text}, '{quoted}', 0)"
+    pairs = f"zip_with({found}, split({text}, '{quoted}', -1), (m, gap) -> struct(m, gap))"
+    items = f"filter({pairs}, x -> x.m is not null)"
+    out = lambda x, at, f: f"struct({x}.m as m, {at} + length({x}.gap) as start, {at} + length({x}.gap) + length({x}.m) as end)"
+    return F.expr(before(items, lambda x: f"(length({x}.gap) + length({x}.m))", lambda a, b: f"{a} + {b}", out, "cast(array() as array<struct<m:string,start:int,end:int>>)"))
 
 
 def scan(docs: DataFrame, table: np.ndarray | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``found``: an array of (kind, start, end, m), sorted by start and then by kind as listed, markov last.
 
-    Offsets are code points, the end exclusive. Null texts count as empty; a markov run that has the
-    very bounds of another finding is not repeated. ``table``: ratios from ``train``; by default the
+    Offsets are code points, the end exclusive. Null texts count as empty. ``table``: ratios from ``train``; by default the
     built-in labelled sample's. A column ``found`` of ``docs`` is replaced. Every row gives one row.
     """
     if table is None:
@@ -146,9 +181,10 @@ def scan(docs: DataFrame, table: np.ndarray | None = None, text: str = "text") -
     before, after = "element_at(split(substring(x.m, 1, y.start), '[/=_-]', -1), -1)", "element_at(split(substring(x.m, y.end + 1), '[/=_-]', -1), 1)"
     inner = f"transform({stretches('x.m', table)}, y -> struct(y.start - length({before}) as start, y.end + length({after}) as end))"
     bounds = f"if({ratio('x.m', table)} >= {THRESHOLD}, array(struct(0 as start, x.end - x.start as end)), {inner})"
-    runs = "filter(_runs, x -> not exists(_base, b -> b.start = x.start and b.end = x.end))"
+    fixed = FIXED.replace("\\", "\\\\")
+    runs = f"filter(_runs, x -> not x.m rlike '{fixed}')"
     more = f"flatten(transform({runs}, x -> transform(array_distinct({bounds}), y -> struct(x.start + y.start as start, {len(KINDS)} as ord, 'markov' as kind, x.start + y.end as end, substring(x.m, y.start + 1, y.end - y.start) as m))))"
-    more = f"filter({more}, x -> not exists(_base, b -> b.start = x.start and b.end = x.end))"
+    more = f"filter({more}, x -> not x.m rlike '{fixed}')"
     out = out.withColumn("found", F.expr(f"transform(array_sort(concat(_base, {more})), x -> struct(x.kind as kind, x.start as start, x.end as end, x.m as m))"))
     return out.drop("_t", "_base", "_runs")
 
@@ -173,7 +209,13 @@ def redact(docs: DataFrame, table: np.ndarray | None = None, mark: str = "<SECRE
     finding stay untouched, null texts included.
     """
     found = scan(docs.withColumnRenamed("found", "_kept_found") if "found" in docs.columns else docs, table)
-    merged = "aggregate(found, struct(array('') as out, 0 as at), (a, x) -> if(x.start < a.at, struct(a.out as out, greatest(a.at, x.end) as at), struct(concat(a.out, array(substring(text, a.at + 1, x.start - a.at), '" + mark + "')) as out, x.end as at)), a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))"
+    kept = lambda x, at, f: f"if({x}.start < {at}, '', concat(substring({f}.part, {at} - {f}.at + 1, {x}.start - {at}), '{mark}'))"
+    # Pieces come from chunks of the text: each substring of the whole would count code points from its start.
+    cut = lambda at, n: f"substring(array_join(slice(chunks, {at} div {CHUNK} + 1, ({at} + {n}) div {CHUNK} - {at} div {CHUNK} + 1), ''), {at} % {CHUNK} + 1, {n})"
+    part = lambda at, group: f"struct({at} as at, {cut(at, f'greatest(0, array_max(transform({group}, x -> x.end)) - {at})')} as part)"
+    pieces = before("found", lambda x: f"{x}.end", lambda a, b: f"greatest({a}, {b})", kept, "cast(array() as array<string>)", part)
+    rest = _let("last", "array_max(transform(found, x -> x.end))", cut("last", "(length(text) - last)"))
+    merged = _let("chunks", f"regexp_extract_all(text, '(?s).{{1,{CHUNK}}}', 0)", f"concat(array_join({pieces}, ''), {rest})")
     out = found.withColumn("text", F.when(F.size("found") > 0, F.expr(merged)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -68,6 +69,81 @@ def test_secret_base_spans(spark):
     assert secrets.report(df.limit(0)).count() == 0
 
 
+def plain_markov(text, table):
+    """Runs and stretches by the definitions, one character after the other."""
+    out = []
+    for m in re.finditer(secrets.RUN, text or ""):
+        run, table4 = m[0], np.round(table, 4)
+        if re.search(secrets.FIXED, run):
+            continue
+        r = [float(table4[ord(a), ord(b)]) for a, b in itertools.pairwise(run)]
+        if sum(r) >= secrets.THRESHOLD:
+            out.append((m.start(), m.end()))
+            continue
+        found, base, best, at = [], 0, 0.0, None
+        for j in range(len(r)):
+            # The best sum that ends at j, of LEAST - 1 ratios or more since base; the nearest start that reaches it.
+            sums = [(sum(r[i : j + 1]), i) for i in range(base, j - secrets.LEAST + 3)] if len(r) < 400 else []
+            total, start = max(sums, key=lambda x: (round(x[0], 6), x[1])) if sums else (-1e9, 0)
+            if best >= secrets.THRESHOLD and total < best - secrets.THRESHOLD:
+                found.append(at)
+                base, best, at = j + 1, 0.0, None
+            elif total > best:
+                best, at = total, (start, j + 2)
+        if best >= secrets.THRESHOLD:
+            found.append(at)
+        for a, e in found:
+            a -= len(re.split("[/=_-]", run[:a])[-1])
+            e += len(re.split("[/=_-]", run[e:])[0])
+            if not re.search(secrets.FIXED, run[a:e]) and (m.start() + a, m.start() + e) not in out:
+                out.append((m.start() + a, m.start() + e))
+    return out
+
+
+def test_all_spans_match_a_plain_version(spark):
+    trained = secrets.train(secrets.labelled_samples(spark))
+    rng = np.random.default_rng(6)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    odd = lambda n: "".join(rng.choice(letters, n))
+    made = [f"{'/'.join(rng.choice(secrets.PARTS, 3))}/{odd(30)}_{'-'.join(rng.choice(secrets.PARTS, 4))}={odd(24)} x" for _ in range(60)] + [odd(25) + "/" + "0123456789abcdef" * 3, "token=" + odd(30)]
+    texts = [*HARD[:-1], *made]
+    got = {r.doc_id: r.spans for r in secrets.report(docs(spark, *texts).select("doc_id", "text"), trained).collect()}
+    for i, t in enumerate(texts):
+        both = sorted([(a, o, f"{k}:{a}:{e}") for a, o, k, e in plain_spans(t)] + [(a, 3, f"markov:{a}:{e}") for a, e in plain_markov(t, trained)])
+        assert got[i] == ",".join(x[2] for x in both), t
+
+
+def test_many_findings_take_linear_time(spark):
+    rng = np.random.default_rng(6)
+    trained = secrets.train(secrets.labelled_samples(spark))
+    spent = []
+    for n in (4000, 4000, 16_000):  # the first run compiles
+        text = " ".join("".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(n))
+        began = time.perf_counter()
+        got = secrets.report(docs(spark, text).select("doc_id", "text"), trained).first()
+        assert got.n_hex == n and got.spans.endswith(f"hex:{33 * (n - 1)}:{33 * n - 1}")
+        clean = secrets.redact(docs(spark, text), trained).first()
+        assert clean.text == " ".join(["<SECRET>"] * n)
+        spent.append(time.perf_counter() - began)
+    assert spent[2] < 8 * spent[1]
+
+
+def test_markov_models_on_documents(spark):
+    """Recall on the planted secrets that a pattern names, and precision over all runs that none names."""
+    trained = secrets.train(secrets.labelled_samples(spark))
+    good = bad = hit = wrong = 0
+    for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect():
+        text = r.text or ""
+        known = [(a, e) for a, _, _, e in plain_spans(text)]
+        for m in re.finditer(secrets.RUN, text):
+            found = sum(trained[ord(a), ord(b)] for a, b in itertools.pairwise(m[0])) >= secrets.THRESHOLD
+            if any(a < m.end() and e > m.start() for a, e in known):
+                good, hit = good + 1, hit + found
+            else:
+                bad, wrong = bad + 1, wrong + found
+    assert good > 50 and hit / good > 0.95 and wrong <= 0.02 * hit, (good, hit, bad, wrong)
+
+
 def test_markov_models_on_held_out_strings(spark):
     trained = secrets.train(secrets.labelled_samples(spark))
     score = lambda s: sum(trained[ord(a), ord(b)] for a, b in itertools.pairwise(s))
