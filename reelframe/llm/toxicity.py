@@ -4,8 +4,10 @@ Categories are predicted in order; the model of each category sees the text's fe
 log-odds of all earlier categories. While fitting, those log-odds come from models that did not see
 the row (out of fold), so a later model learns to trust an earlier one as far as it deserves.
 
-The chain is fitted on a bounded sample of labelled rows (``ROWS``), in one task, and comes to the driver
-as a few hundred kilobytes of weights; scoring goes over every whole text in Arrow batches.
+The chain is fitted on a bounded sample of labelled rows (``ROWS``). Features are counted in Spark; then the
+sample's whole texts become counts of the chosen features, and one task fits the chain on these: ``ROWS``
+rows of a few hundred numbers, whatever the length of the texts. Scoring goes over every whole text in
+Arrow batches.
 """
 
 from __future__ import annotations
@@ -16,15 +18,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_batches
-from .common import slices, tidy
+from ..session import ship
+from .common import Scratch, cut, longs, slices, tidy
 from .hashing import U64, Words
 
 #: Labelled rows that the chain is fitted on, at most: those whose ids hash lowest.
-ROWS = 4_000
+ROWS = 8_000
 #: Features of each category: the most strongly associated ones that ``LEAST`` sampled texts have.
 FEATURES, LEAST = 256, 4
 FOLDS, RIDGE = 4, 1.0
@@ -92,11 +94,11 @@ def counts(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, lengths
 
 
-def association(present: np.ndarray, wanted: np.ndarray, rows: int, hits: int) -> np.ndarray:
+def association(present: Column, wanted: Column, rows: int, hits: int) -> Column:
     """G squared of features that ``present`` texts have, ``wanted`` of them in the category, of ``hits`` among ``rows``."""
 
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
+    def part(seen: Column, expected: Column) -> Column:
+        return seen * F.log(F.greatest(seen, F.lit(1e-9)) / F.greatest(expected, F.lit(1e-9)))
 
     share = hits / max(rows, 1)
     absent, lost = rows - present, hits - wanted
@@ -136,8 +138,11 @@ class Chain:
     def inputs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """By how many deviations each count exceeds what a text of that length has by chance, clipped; the word counts."""
         seen, lengths = counts(texts, self.chosen)
+        return self.excess(seen, lengths), lengths
+
+    def excess(self, seen: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         usual = lengths[:, None] * self.rates
-        return np.clip((seen - usual) / np.sqrt(usual + 1), -2, 6), lengths
+        return np.clip((seen - usual) / np.sqrt(usual + 1), -2, 6)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         """Log-odds of each category; each model sees those of the categories before."""
@@ -152,27 +157,17 @@ class Chain:
         return np.where(lengths[:, None] > 0, 1 / (1 + np.exp(-self.odds(x))), 0.0)
 
 
-def fit_chain(texts: pa.Array, labels: np.ndarray, categories: Sequence[str]) -> Chain:
-    """``labels``: 0 or 1 for each text (row) and category (column), in chain order. No rows: a chain that says 0."""
-    chain, n = Chain(tuple(categories)), len(texts)
+def fit_chain(seen: np.ndarray, lengths: np.ndarray, labels: np.ndarray, categories: Sequence[str], picks: Sequence[np.ndarray]) -> Chain:
+    """A chain from the counts of the chosen features (``seen``: a row for each text, a column for each of all picks, sorted), the
+    word counts, and ``labels``: 0 or 1 for each text and category, in chain order. No rows: a chain that says 0."""
+    chain, n = Chain(tuple(categories)), len(seen)
     if not n:
         chain.weights, chain.columns = [np.append(np.zeros(k), -20.0) for k in range(len(categories))], [np.zeros(0, int)] * len(categories)
         return chain
-    feature, row = distinct_features(texts)
-    values, place, present = np.unique(feature, return_inverse=True, return_counts=True)
-    del feature
-    common = np.flatnonzero(present >= LEAST)
-    picks = []
-    for k in range(len(categories)):
-        wanted = np.bincount(place, weights=labels[row, k], minlength=len(values))[common]
-        score = association(present[common].astype(float), wanted, n, int(labels[:, k].sum()))
-        picks.append(values[common[np.argsort(-score, kind="stable")[:FEATURES]]])
-    del place, row
     chain.chosen = np.unique(np.concatenate(picks))
-    seen, lengths = counts(texts, chain.chosen)
     clean = labels.sum(axis=1) == 0
     chain.rates = (seen[clean].sum(axis=0) + 0.01) / max(1.0, lengths[clean].sum())
-    x, _ = chain.inputs(texts)
+    x = chain.excess(seen, lengths)
     fold = np.arange(n) % FOLDS
     earlier = np.zeros((n, 0))
     for k in range(len(categories)):
@@ -188,31 +183,68 @@ def fit_chain(texts: pa.Array, labels: np.ndarray, categories: Sequence[str]) ->
     return chain
 
 
+def strongest(sample: DataFrame, categories: Sequence[str]) -> list[np.ndarray]:
+    """Of each category, the ``FEATURES`` features most strongly associated with it, of those that ``LEAST`` texts of ``sample`` (text, <categories>) have."""
+    names = [f"in_{c}" for c in categories]
+
+    @tidy
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, labels = batch.column(0), np.stack([batch.column(1 + k).to_numpy() for k in range(len(names))], axis=1)
+            for first, end, _, _ in slices(texts):
+                feature, row = distinct_features(texts.slice(first, end - first))
+                values, place, present = np.unique(feature, return_inverse=True, return_counts=True)
+                wanted = [pa.array(np.bincount(place, weights=labels[first:end][row, k], minlength=len(values)).astype(np.int64)) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([longs(values), pa.array(present), *wanted], names=["feature", "present", *names])
+
+    each = sample.select("text", *categories).mapInArrow(found, "feature long, present long, " + ", ".join(f"{c} long" for c in names))
+    common = cut(each.groupBy("feature").agg(F.sum("present").alias("present"), *(F.sum(c).alias(c) for c in names)).where(F.col("present") >= LEAST))
+    n, *hits = sample.agg(F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in categories)).first()
+    out = []
+    for name, h in zip(names, hits, strict=True):
+        strength = association(F.col("present").cast("double"), F.col(name).cast("double"), n, h)
+        best = common.orderBy(F.desc(strength), "feature").limit(FEATURES).select("feature").toArrow()  # FEATURES rows
+        out.append(best.column("feature").to_numpy().view(np.uint64))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], rows: int = ROWS) -> Chain:
     """A chain fitted on the ``rows`` labelled documents whose doc_id hashes lowest.
 
     ``labels``: doc_id and one 0/1 column for each category; rows with a null in any of these are not used, nor null texts.
     """
+    spark = docs.sparkSession
+    ship(spark)
     known = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().dropDuplicates(["doc_id"])
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    names = tuple(categories)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    names, scratch = tuple(categories), Scratch(spark)
+    sample = scratch.written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), "labelled")
+    picks = strongest(sample, names)
+    every = np.unique(np.concatenate(picks))
+
+    @tidy
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, lengths = counts(batch.column(0), every)
+            ends = pa.array(np.arange(len(seen) + 1, dtype=np.int32) * len(every))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lengths), pa.ListArray.from_arrays(ends, pa.array(seen.reshape(-1)))], names=["doc_id", "mark", *names, "length", "seen"])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(batches)
+        found = [b for b in batches if b.num_rows]
         if found:
-            table = pa.Table.from_batches(found).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-            texts = table.column("text").cast(pa.large_string()).combine_chunks()
-            texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-            chain = fit_chain(texts, np.stack([table.column(c).to_numpy() for c in names], axis=1), names)
+            table = pa.Table.from_batches(found).sort_by([("doc_id", "ascending"), ("mark", "ascending")])
+            seen = table.column("seen").combine_chunks().flatten().to_numpy().reshape(table.num_rows, len(every))
+            chain = fit_chain(seen, table.column("length").to_numpy(), np.stack([table.column(c).to_numpy() for c in names], axis=1), names, picks)
         else:
-            chain = fit_chain(pa.array([], pa.large_string()), np.zeros((0, len(names))), names)
+            chain = fit_chain(np.zeros((0, 0)), np.zeros(0), np.zeros((0, len(names))), names, picks)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
 
-    small_batches(docs.sparkSession)
-    rows_of = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
-    made = rows_of.repartition(1).mapInArrow(run, "chain binary").first()
-    return pickle.loads(made[0]) if made else fit_chain(pa.array([], pa.large_string()), np.zeros((0, len(names))), names)
+    shape = "doc_id long, mark long, " + ", ".join(f"{c} int" for c in names) + ", length float, seen array<float>"
+    vectors = sample.select("text", F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), *names).mapInArrow(counted, shape)
+    made = vectors.repartition(1).mapInArrow(run, "chain binary").first()  # ROWS rows of numbers
+    scratch.clear()
+    return pickle.loads(made[0]) if made else fit_chain(np.zeros((0, 0)), np.zeros(0), np.zeros((0, len(names))), names, picks)
 
 
 def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
@@ -221,7 +253,7 @@ def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
     Null and empty texts, and texts without words, have probability 0 throughout. Repeated rows are
     scored alike. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     added = [f"p_{c}" for c in chain.categories]
     rest = [c for c in docs.columns if c not in added]
 
@@ -238,12 +270,11 @@ def score(docs: DataFrame, chain: Chain, column: str = "text") -> DataFrame:
 
 
 def chain_labels(labels: DataFrame) -> DataFrame:
-    """The categories of ``labels`` (quality, toxic), in chain order: poor, toxic, and both."""
-    poor, toxic = (F.col("quality") == 0).cast("int"), F.col("toxic").cast("int")
-    return labels.select("doc_id", poor.alias("poor"), toxic.alias("toxic"), (poor * toxic).alias("poor_toxic"))
+    """The categories that ``labels`` (quality, toxic) has, in chain order: poor and toxic."""
+    return labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("poor"), F.col("toxic").cast("int").alias("toxic"))
 
 
-CATEGORIES = ("poor", "toxic", "poor_toxic")
+CATEGORIES = ("poor", "toxic")
 
 
 def reject_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
