@@ -1,10 +1,10 @@
 """Benchmark decontamination with DataFrame functions only: a broadcast set of test n-grams.
 
 Items are cut into windows of ``WINDOW`` words (an item of fewer words is one window). Over the word
-windows of each document, bitmaps of the first two words and of whole windows (literals) pass few
-others; what passes is joined with the broadcast windows on the words themselves, which verifies the
-hit. Above ``WINDOWS_MOST`` windows nothing is broadcast and no bitmap is used: every window of the
-documents is then joined by a shuffle, with the same result.
+windows of each document, bitmaps of the first two words and of whole windows (literals of a bounded size) pass few
+others; what passes is joined with the windows on the words themselves, which verifies the hit. Up to
+``WINDOWS_MOST`` windows are broadcast; of more, those that any document may have are looked for first, once each, and
+broadcast if they are few enough. The result is the same.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Words of a window.
 WINDOW = 10
-#: So many windows are broadcast at most, about 100 bytes each.
-WINDOWS_MOST = 1 << 18
+#: So many windows are broadcast at most, about 100 bytes each; bits of a bitmap, at most and for each window.
+WINDOWS_MOST, BITS_MOST, BITS = 1 << 18, 1 << 25, 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words, after A-Z are lower-cased; and a word with what stands before it, in the text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,15 +42,31 @@ def windows(benchmark: DataFrame) -> DataFrame:
     return each.groupBy("gram", "size").agg(F.first("hash").alias("hash"), F.first("lead").alias("lead"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
 
 
-def _passes(hashes: np.ndarray, value: str) -> str:
-    """SQL for whether the hash ``value`` may be one of ``hashes``: a bitmap of 16 bits for each, as a literal of longs."""
-    bits = 1 << max(10, int(16 * max(1, len(hashes)) - 1).bit_length())
-    at = hashes.astype(np.int64) & (bits - 1)
-    flags = np.zeros(bits, np.uint8)
-    flags[at] = 1
-    packed = np.packbits(flags, bitorder="little").view(np.int64)
-    literal = f"from_json('{json.dumps(packed.tolist())}', 'array<bigint>')"
-    return f"exists(array({value}), h -> (shiftright({literal}[cast(h & {bits - 1} as int) div 64], cast(h & 63 as int)) & 1L) = 1L)"
+def _width(n: int) -> int:
+    """Bits of the bitmap of n windows."""
+    return min(BITS_MOST, 1 << max(10, (BITS * max(1, n) - 1).bit_length()))
+
+
+def bitmaps(known: DataFrame, counts: dict[int, int]) -> dict[tuple[int, str], np.ndarray]:
+    """For each size and each of ``hash`` and ``lead``: the longs of a bitmap of the windows' hashes.
+
+    They are joined in Spark, so that the driver gets a row for each long with a bit, never one for each window.
+    """
+    masks = F.create_map(*(F.lit(x) for size, n in counts.items() for x in (size, _width(n) - 1)))
+    bit = known.select("size", F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).bitwiseAND(masks[F.col("size")]).alias("bit")) for c in ("hash", "lead")))).alias("x")).select("size", "x.*")
+    words = bit.groupBy("size", "of", F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("word")).toArrow()
+    out = {(size, of): np.zeros(_width(n) // 64, np.int64) for size, n in counts.items() for of in ("hash", "lead")}
+    size, of, at, word = (words.column(c).to_numpy() for c in ("size", "of", "at", "word"))
+    for (k, name), bitmap in out.items():
+        here = (size == k) & (of == name)
+        bitmap[at[here]] = word[here]
+    return out
+
+
+def _passes(bitmap: np.ndarray, value: str) -> str:
+    """SQL for whether the hash ``value`` may be in ``bitmap``, which becomes a literal."""
+    literal = f"from_json('{json.dumps(bitmap.tolist())}', 'array<bigint>')"
+    return f"exists(array({value}), h -> (shiftright({literal}[cast(h & {64 * len(bitmap) - 1} as int) div 64], cast(h & 63 as int)) & 1L) = 1L)"
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -58,23 +76,26 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids, as strings, of the items with one. ``mark`` is a hash of the text. Null and empty texts
     have no words and no spans. Only ``doc_id`` and ``text`` are read.
     """
-    known = windows(benchmark).persist()
-    n = known.count()
-    sizes = sorted(r[0] for r in known.select("size").distinct().collect())  # at most WINDOW values
+    known = cut(windows(benchmark))
+    counts = {r[0]: r[1] for r in known.groupBy("size").count().collect()}  # at most WINDOW rows
+    n, maps = sum(counts.values()), bitmaps(known, counts) if counts else {}
     base = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
     base = base.select("doc_id", "mark", F.size("w").cast("long").alias("n_words"), "w", F.expr("transform(w, x -> xxhash64(x))").alias("wh"))
     passed = {}
-    for size in sizes:
+    for size in sorted(counts):
         places = f"if(size(wh) >= {size}, sequence(1, size(wh) - {size} + 1), array())"
-        if n <= WINDOWS_MOST:
-            marks = np.array([tuple(r) for r in known.where(F.col("size") == size).select("hash", "lead").collect()], dtype=np.int64).reshape(-1, 2)
-            if size > 2:  # two words tell most places off, at a fifth of the cost
-                places = f"filter({places}, i -> {_passes(marks[:, 1], 'xxhash64(wh[i - 1], wh[i])')})"
-            places = f"filter({places}, i -> {_passes(marks[:, 0], f'xxhash64(slice(wh, i, {size}))')})"
+        if size > 2:  # two words tell most places off, at a fifth of the cost
+            places = f"filter({places}, i -> {_passes(maps[size, 'lead'], 'xxhash64(wh[i - 1], wh[i])')})"
+        places = f"filter({places}, i -> {_passes(maps[size, 'hash'], f'xxhash64(slice(wh, i, {size}))')})"
         passed[size] = f"transform({places}, i -> struct(i as at, {size} as size, array_join(slice(w, i, {size}), ' ') as gram))"
     found = f"concat({', '.join(passed.values())})" if passed else "cast(array() as array<struct<at:int,size:int,gram:string>>)"
     rows = base.select("doc_id", "mark", "n_words", F.explode_outer(F.expr(found)).alias("x")).select("doc_id", "mark", "n_words", "x.*")
     known = known.select("gram", "size", "items")
+    if n > WINDOWS_MOST:
+        rows = cut(rows)
+        known = cut(known.join(rows.select("gram", "size").distinct(), ["gram", "size"], "left_semi"))
+        n = known.count()
+    # Beyond the bound the join is shuffled; a common window is then a skewed key of its left side, which Spark splits.
     rows = rows.join(F.broadcast(known) if n <= WINDOWS_MOST else known, ["gram", "size"], "left")
     span = F.when(F.col("items").isNotNull(), F.struct((F.col("at") - 1).alias("first"), (F.col("at") - 1 + F.col("size")).alias("end")))
     return rows.groupBy("doc_id", "mark", "n_words").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
