@@ -98,6 +98,9 @@ def test_hosts_paths_and_rules(spark):
     assert url_trust.judge(df.limit(0)).count() == 0
 
 
+ROUNDS = 10
+
+
 def test_propagation_matches_a_loop(spark):
     rng = np.random.default_rng(2)
     links = {(int(a), int(b)): float(n) for a, b, n in zip(rng.integers(0, 12, 40), rng.integers(0, 12, 40), rng.integers(1, 5, 40), strict=True) if a != b}
@@ -106,7 +109,7 @@ def test_propagation_matches_a_loop(spark):
     def rank(way, seed):
         mass = dict(seed)
         out = {a: sum(n for (x, _), n in way.items() if x == a) for a, _ in way}
-        for _ in range(url_trust.ITERATIONS):
+        for _ in range(ROUNDS):
             new = {i: 0.15 * seed.get(i, 0) for i in range(12)}
             for i, m in mass.items():
                 if i not in out:
@@ -118,7 +121,7 @@ def test_propagation_matches_a_loop(spark):
 
     trust = rank(links, {i: s[0] for i, s in seeds.items()})
     distrust = rank({(b, a): n for (a, b), n in links.items()}, {i: s[1] for i, s in seeds.items()})
-    got = url_trust.propagate(spark.createDataFrame([(str(a), str(b), n) for (a, b), n in links.items()], "src string, dst string, n double"), spark.createDataFrame([(str(i), *s) for i, s in seeds.items()], "host string, trusted double, blocked double"))
+    got = url_trust.propagate(spark.createDataFrame([(str(a), str(b), n) for (a, b), n in links.items()], "src string, dst string, n double"), spark.createDataFrame([(str(i), *s) for i, s in seeds.items()], "host string, trusted double, blocked double"), tolerance=0, rounds=ROUNDS)
     for r in got.collect():
         assert np.isclose(r.trust, trust[int(r.host)]) and np.isclose(r.distrust, distrust[int(r.host)])
 
@@ -131,6 +134,22 @@ def test_links_to_bad_hosts_spread_distrust(spark):
     assert got[0] == got[50] == "block" and got[9] == "allow"
 
 
+def test_links_keep_user_and_port(spark):
+    made = [(i, f"http://u@shop.dev:8080/{i}", "") for i in range(3)] + [(10 + i, f"http://all.com/en/{i}", '<a href="http://u@Shop.dev:8080/0">') for i in range(3)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    links = rows(url_trust.host_links(url_trust.ruled(pages).select("host", "html")))
+    assert links == [("all.com", "u@shop.dev:8080", 3.0)]
+
+
+def test_rounds_end_when_little_moves(spark):
+    links = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0)], "src string, dst string, n double")
+    seeds = spark.createDataFrame([("a", 4.0, 0.0), ("c", 0.0, 4.0)], "host string, trusted double, blocked double")
+    few, many = ({r.host: (r.trust, r.distrust) for r in url_trust.propagate(links, seeds, tolerance=t, rounds=200).collect()} for t in (0.01, 1e-9))
+    assert set(few) == set(many) and all(np.allclose(few[h], many[h], atol=0.3) for h in few)
+    assert np.isclose(sum(x[0] for x in many.values()), 4) and np.isclose(sum(x[1] for x in many.values()), 4)
+    assert url_trust.propagate(links, seeds.limit(0)).count() == 0
+
+
 # Vector search
 
 
