@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_batches
+from ..session import ship
 from .common import tidy
 
 #: Sampled texts of each language, at most, and bytes of its dictionary.
@@ -42,19 +42,18 @@ def held_out(key: str = "doc_id") -> F.Column:
 def dictionaries(labelled: DataFrame, rows: int = ROWS, size: int = DICTIONARY) -> dict[str, bytes]:
     """A dictionary for each ``lang`` of ``labelled`` (doc_id, text, lang), from ``rows`` texts of it whose ids hash lowest.
 
-    Each text gives an equal share of the bytes. Languages are counted over all rows; the sample is
-    thinned by those counts before it is ranked, so no language's rows meet in one task. The most
-    frequent language comes first.
+    Each text gives an equal share of the bytes, from its first ``size`` characters at most. Languages are
+    counted over all rows; the sample is thinned by those counts before it is ranked, so no language's
+    rows meet in one task. The most frequent language comes first. The driver holds the counts and the
+    dictionaries: one number and ``size`` bytes for each language.
     """
     known = labelled.where("lang is not null and text is not null and length(text) > 0").select("doc_id", "text", "lang")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (place < int((1 << 30) * min(1.0, 2 * rows / n))))
-    thin = known.where(keep).select("lang", "text", place.alias("place"))
+    shares = known.sparkSession.createDataFrame([(lang, int((1 << 30) * min(1.0, 2 * rows / n))) for lang, n in counts.items()], "lang string, share long")
+    thin = known.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", F.left("text", F.lit(size)).alias("text"), place.alias("place"))
     table = thin.toArrow().sort_by([("lang", "ascending"), ("place", "ascending"), ("text", "ascending")])
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(table.column("lang").to_pylist(), table.column("text").to_pylist(), strict=True):
@@ -87,9 +86,9 @@ class Sizes:
         self._make = make
 
     def of(self, text: bytes) -> np.ndarray:
-        """The compressed size with each dictionary; ties are told apart by a slower level."""
+        """The compressed size with each dictionary; sizes that differ by a byte at most are told apart by a slower level."""
         sizes = np.array([len(c.compress(text)) for c in self.fast], dtype=float)
-        if len(sizes) > 1 and len(text) < 4096 and np.sum(sizes <= sizes.min() + 1) > 1:
+        if len(sizes) > 1 and np.sum(sizes <= sizes.min() + 1) > 1:
             if self.best is None:
                 self.best = [self._make(x, 19) for x in self.languages]
             sizes = (sizes + np.array([len(c.compress(text)) for c in self.best])) / 2
@@ -111,7 +110,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     most frequent one is taken. Nothing but the text is read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     shared = spark.sparkContext.broadcast(dictionaries)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     at = rest.index(text)
