@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,13 +20,15 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local one if there is one machine only; else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
         return found.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -57,9 +60,11 @@ class Scratch:
         self.paths.clear()
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder, which stays."""
-    return Scratch(df.sparkSession).written(df, what)
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most: Python objects are made of one slice at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def tidy(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:

@@ -10,10 +10,12 @@ odd sketch: the MinHash samples folded into a parity bitmap. Then, in Spark:
    and drops low pairs; the others are confirmed on full shingle sets, and links give components;
 3. buckets that still hold several components are dealt out in blocks of ``BLOCK`` members. Within two
    blocks, sketches of different components are compared; members that pass are fetched with their
-   texts and confirmed on full sets, and what leaves the task is a spanning forest of the links. No
-   pair list is ever made, and no link between different texts is lost.
+   texts and confirmed on full sets, and what leaves the task is a spanning forest of what the links join.
+   No pair list is ever made. A block holds ``BLOCK`` members and about ``MASS`` shingles at most.
 
-Two sets with similarity 0.75 share no band with probability (1 - 0.75^6)^64 = 4e-6.
+What the method may lose: two sets with similarity 0.75 share no band with probability (1 - 0.75^6)^64 =
+4e-6, and their sketches differ by more than the five deviations allowed with less than 1e-6; both fall
+fast with higher similarity. Every other link between different texts is found.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_batches
-from .common import BROADCAST_ROWS, Scratch, cut, long_lists, longs, slices, tidy, written
+from ..session import ship
+from .common import BROADCAST_ROWS, Scratch, cut, long_lists, longs, slices, tidy
 from .components import components
 from .hashing import U64, Words, mix, runs
 
@@ -37,8 +39,8 @@ BANDS, ROWS = 64, 6
 SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch.
 BITS = 512
-#: Members of a bucket that are compared with as many others in one task.
-BLOCK = 1024
+#: Members of a bucket that are compared with as many others in one task, and their shingles, more or less.
+BLOCK, MASS = 512, 1 << 21
 
 _rng = np.random.default_rng(97)
 _A = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -123,7 +125,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """For each row (doc_id, text): the set's size and digest, band keys and odd sketch; null ones without words."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, SIGNED)
 
 
@@ -227,8 +229,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tidy
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each group, links on full shingle sets that join all components which such links join."""
-    a, b = [], []
+    """Of each group, pairs of members (a, b) that join all components which links on full shingle sets join."""
     for group in _groups(batches):
         left, right = _sides(group)
         sets = [x for _, _, data, offsets in slices(group.column(6)) for x in shingle_set(data, offsets)]
@@ -251,21 +252,27 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both += x @ y.T
         component, rep = group.column(5).to_numpy(), group.column(4).to_numpy()
         x, y = np.nonzero((100 * both >= SIMILAR * (sizes[left][:, None] + sizes[right][None, :] - both)) & (component[left][:, None] != component[right][None, :]))
-        above: dict[int, int] = {}
-        for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
-            u, v = int(component[p]), int(component[q])
-            while u in above:
-                u = above[u]
-            while v in above:
-                v = above[v]
-            if u != v:
-                above[max(u, v)] = min(u, v)
-                a.append(min(rep[p], rep[q]))
-                b.append(max(rep[p], rep[q]))
-        if len(a) >= 4096:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if len(x):
+            ends = np.concatenate([left[x], right[y]])
+            _, row, node = np.unique(component[ends], return_index=True, return_inverse=True)
+            root = least_reachable(len(row), *np.split(node, 2))
+            moved = np.flatnonzero(root != np.arange(len(row)))
+            p, q = rep[ends[row[moved]]], rep[ends[row[root[moved]]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of n nodes that each reaches over the edges a[i], b[i]."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
 
 
 def _differ(left: str, right: str) -> F.Column:
@@ -282,13 +289,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    signed = written(signatures(docs), "signed")
+    signed = scratch.written(signatures(docs), "signed")
     sets = cut(signed.where("set_a is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    leaders = signed.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sketch")
+    leaders = signed.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("rep"), F.ceil(F.log2(F.col("n_shingles") + 1)).cast("byte").alias("weight"), "bands", "sketch")
     leaders = scratch.written(leaders, "leaders")
-    banded = leaders.select("rep", F.explode("bands").alias("key"))
+    banded = leaders.select("rep", "weight", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
-    shared = scratch.written(banded.join(buckets, "key").select("key", "rep", "least"), "shared")
+    shared = scratch.written(banded.join(buckets, "key").select("key", "rep", "weight", "least"), "shared")
 
     # One candidate for each representative: the smallest member of all its buckets.
     star = shared.groupBy(F.col("rep").alias("b")).agg(F.min("least").alias("a")).where("a < b").select("a", "b")
@@ -298,9 +305,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = components(links)
 
     # Buckets that still hold several components, block against block.
-    placed = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
-    dealt = placed.join(keys, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "weight", F.coalesce("component", "rep").alias("component"))
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"), F.sum(F.pow(F.lit(2.0), "weight")).alias("mass")).where("low < high")
+    keys = keys.select("key", F.least("members", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("mass") / MASS))).cast("int").alias("blocks"))
+    dealt = placed.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "rep", "component", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rep", "component")
     apart = dealt.join(leaders, "rep").select("key", "one", "two", "own", "rep", "component", "sketch", "bands")
@@ -316,18 +324,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             joined = components(links.union(more))
 
     moved = sets.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    moved = cut(moved)
-    scratch.clear()
     found = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(moved, ["set_a", "set_b"], "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = cut(found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept")))
+    scratch.clear()
+    return found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: the document with the smallest id of each component stays.
 
-    Of rows with the same doc_id one stays; rows whose doc_id is null all stay.
+    Of rows with the same doc_id one stays: that whose text has the least hash, whatever the partitions;
+    rows whose doc_id is null all stay. Such rows are folded before the shuffle, so that no id is a task.
     """
-    judged = near_duplicates(docs)
-    gone = judged.where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    out = named.unionByName(docs.where("doc_id is null"))
+    if again.isEmpty():
+        return out.select(docs.columns)
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    rest = F.to_json(F.struct(*docs.columns))
+    one = named.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text", rest)).alias("row")).select("row.*")
+    return out.join(again, "doc_id", "left_anti").unionByName(one).select(docs.columns)

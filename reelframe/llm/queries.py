@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, language_id, near_dedup, secrets, sentencepiece_sampling, toxicity, url_trust, vector_search, warc
-from .common import spread
+from .common import Scratch, cut, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,7 +90,10 @@ def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.read_archives(spark, warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    archives = Scratch(spark)
+    archives.paths.append(warc.write_archives(table(spark, sf_dir, "pages")))
+    found = cut(warc.read_archives(spark, archives.paths[0], payloads=False))
+    archives.clear()
     return found.where("kind in ('response', 'revisit')").select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), warc.page_of("refers_to").alias("refers_to"))
 
 

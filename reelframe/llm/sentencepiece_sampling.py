@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import small_batches
+from ..session import ship
 from .common import slices, tidy
 from .hashing import U64, mix, powers
 
@@ -279,7 +279,7 @@ def encode(docs: DataFrame, key: Column | str = "doc_id", text: str = "text", mo
     ``lossless`` or ``_key`` are replaced. Rows with the same key and text get the same pieces; a null
     key is a key like any other. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (into, "lossless", "_key")]
     at = rest.index(text)
 
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, key: Column | str = "doc_id", text: str = "text", mo
 
 def decode(coded: DataFrame, pieces_column: str = "pieces", model: str = MODEL, into: str = "decoded") -> DataFrame:
     """``coded`` with the text of its piece ids in ``into``; null for a null array. Control pieces have no text."""
-    small_batches(coded.sparkSession)
+    ship(coded.sparkSession)
     rest = [c for c in coded.columns if c != into]
     at = rest.index(pieces_column)
 

@@ -21,19 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import small_batches
-from .common import BROADCAST_ROWS, cut, shared_dir
+from ..session import ship
+from .common import BROADCAST_ROWS, cut, parts, shared_dir
 
 #: Payloads of so many bytes or more are stored once.
 LEAST = 1000
-#: Records of one archive file.
-PER_FILE = 2000
+#: Bytes of payload in one archive file, about, and sizes of pages that are written apart: files of larger pages hold fewer. A larger page is a file of its own.
+FILE_BYTES, SIZES = 128 << 20, (1 << 15, 1 << 20, 1 << 24)
+#: A gzip member is read as far as this many bytes.
+INFLATED = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def records(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """One column ``value``: the WARC record of each row (page_id, url, html), without the CRLF pair at its end.
+    """(value, bytes): the WARC record of each row (page_id, url, html), without the CRLF pair at its end, and its payload's length.
 
     Of rows with equal payloads of ``LEAST`` bytes or more, that with the largest page_id is the
     response and the others are revisits of it. Rows that repeat the largest page_id too are all
@@ -61,13 +63,23 @@ def records(pages: DataFrame, date: str = DATE) -> DataFrame:
         line("Content-Length", (F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("bytes"))).cast("string")),
         F.lit("\r\n"),
     )
-    return body.select(F.concat(head, http, F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
+    return body.select(F.concat(head, http, F.when(revisit, "").otherwise(F.col("html"))).alias("value"), "bytes")
 
 
 def write_archives(pages: DataFrame, path: str | None = None, date: str = DATE) -> str:
-    """Write the records of ``pages`` below ``path`` (by default in the shared folder), and return the path."""
+    """Write the records of ``pages`` below ``path`` (by default in the shared folder), and return the path.
+
+    Pages of each class of ``SIZES`` go to files of their own, of so many records that a file has ``FILE_BYTES`` at
+    most, or one record: a reader holds a file whole.
+    """
     path = path or f"{shared_dir(pages.sparkSession)}/archives-{uuid.uuid4().hex}"
-    records(pages, date).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).text(path)
+    made, bounds = records(pages, date), [0, *SIZES, None]
+    classes = [F.col("bytes") >= low if high is None else (F.col("bytes") >= low) & (F.col("bytes") < high) for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
+    here = pages.select(F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes")).agg(*(F.bool_or(c) for c in classes)).first()
+    for present, test, high in zip(here, classes, bounds[1:], strict=True):
+        if present or high == SIZES[0]:  # a folder is there even for an empty table
+            few = max(1, FILE_BYTES // high) if high else 1
+            made.where(test).select("value").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", few).text(f"{path}/upto-{high or 'more'}")
     return path
 
 
@@ -136,11 +148,14 @@ def _single(data: bytes, at: int) -> tuple[int, list[Record | Gap], str]:
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
     """What can be read of the gzip member at ``at``, where it stops, and why if that is not its end."""
-    z, out, step = zlib.decompressobj(31), [], 1 << 16
+    z, out, step, size = zlib.decompressobj(31), [], 1 << 16, 0
     while at < len(data) and not z.eof:
+        if size > INFLATED:
+            return b"".join(out), at, "member too large"
         kept = z.copy()
         try:
             out.append(z.decompress(data[at : at + step]))
+            size += len(out[-1])
         except zlib.error as e:
             if step == 1:
                 return b"".join(out), at, str(e)
@@ -198,13 +213,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     payload_bytes and payload_digest (bare hex SHA-1) are of the full payload, for revisits too.
     All files count, in folders of any depth, but for those that Spark skips (names with _ or . first).
-    Each file is read whole by one task; ``write_archives`` bounds the records of a file.
+    Each file is read whole by one task, and has 2 GB at most; ``write_archives`` makes files of ``FILE_BYTES``.
     """
-    small_batches(spark, 2)
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("reason", pa.string()), ("record_id", pa.string()), ("target", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-        for batch in batches:
+        for batch in parts(batches, 1):
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
                 for x in salvage(content.as_py()):
