@@ -40,7 +40,7 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch.
 BITS = 512
 #: Members of a bucket that are compared with as many others in one task, and their shingles, more or less.
-BLOCK, MASS = 512, 1 << 21
+BLOCK, MASS = 1024, 1 << 21
 
 _rng = np.random.default_rng(97)
 _A = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
