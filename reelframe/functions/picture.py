@@ -16,6 +16,23 @@ CODEC_FACTOR = {"h264": 1.0, "h265": 0.65, "av1": 0.5, "vp9": 0.65, "vp8": 1.0,
 VMAF_ANCHORS = ((100, 10), (98, 20), (95, 27), (90, 32), (85, 38), (70, 55))
 STILL_ANCHORS = ((1, 255), (20, 205), (40, 162), (60, 120), (80, 72), (90, 44), (100, 1))
 TARGETS = {"visually_lossless": 20, "high": 27, "standard": 32, "low": 38}
+# Each back end's quantiser of a named target, and its (score, quantiser) anchors.
+BACKEND_TARGETS = {
+    "libaom": {"visually_lossless": 20, "high": 27, "standard": 32, "low": 38},
+    "nvenc": {"visually_lossless": 19, "high": 25, "standard": 30, "low": 36},
+    "amf": {"visually_lossless": 72, "high": 100, "standard": 120, "low": 144},
+    "amf_quality": {"visually_lossless": 95, "high": 85, "standard": 70, "low": 55},
+    "qsv": {"visually_lossless": 16, "high": 22, "standard": 26, "low": 31},
+    "h26x": {"visually_lossless": 18, "high": 22, "standard": 26, "low": 32},
+}
+BACKEND_ANCHORS = {
+    "libaom": ((100, 10), (98, 20), (95, 27), (90, 32), (85, 38), (70, 55)),
+    "nvenc": ((100, 10), (98, 19), (95, 25), (90, 30), (85, 36), (70, 52)),
+    "amf": ((100, 50), (98, 72), (95, 100), (90, 120), (85, 144), (70, 200)),
+    "amf_quality": ((100, 100), (98, 95), (95, 85), (90, 70), (85, 55), (70, 35)),
+    "qsv": ((100, 8), (98, 18), (95, 24), (90, 30), (85, 36), (70, 48)),
+    "h26x": ((100, 8), (98, 18), (95, 24), (90, 30), (85, 36), (70, 48)),
+}
 # Fixed values: (level, largest picture, largest samples per second).
 VP9_LEVELS = (
     (10, 36_864, 829_440), (11, 73_728, 2_764_800), (20, 122_880, 4_608_000), (21, 245_760, 9_216_000), (30, 552_960, 20_736_000),
@@ -98,6 +115,35 @@ def target_quantiser(target) -> Column:
     return out
 
 
+def backend_quantiser(backend: str, target=None, score=None) -> Column:
+    """MTH-10: what a back end takes for a named ``target``, or for a ``score`` (0 to 100) where that is not null: anchors joined by
+    lines, cut to whole numbers towards the better end, flat beyond both ends. Null for an unknown name."""
+    named = F.lit(None).cast("int")
+    for name, q in BACKEND_TARGETS[backend].items():
+        named = F.when(_c(target) == name, q).otherwise(named) if target is not None else named
+    if score is None:
+        return named
+    s, anchors = _c(score).cast("int"), BACKEND_ANCHORS[backend]
+    out = F.when(s.isNull(), named).when(s >= anchors[0][0], anchors[0][1])
+    for (high, q_high), (low, q_low) in pairwise(anchors):
+        step = (high - s) * abs(q_low - q_high) / (high - low)
+        out = out.when(s >= low, q_high + F.floor(step) * (1 if q_low > q_high else -1))
+    return out.otherwise(anchors[-1][1]).cast("int")
+
+
+def software_quantiser(codec, target=None, score=None, delta=0) -> Column:
+    """MTH-10: the quantiser of the software encoders: that of H.264 moved by ``delta`` within 0 to 51, on the codec's own scale by its step."""
+    qp = F.least(F.greatest(backend_quantiser("h26x", target, score) + _c(delta), F.lit(0)), F.lit(51))
+    scale = F.round(0.625 * F.pow(F.lit(2.0), qp / 6.0) / 2.6)
+    return (
+        F.when(_c(codec) == "vp8", F.least(qp * 2, F.lit(127)))
+        .when(_c(codec) == "vp9", F.least(F.greatest(F.round(qp * 3.8), F.lit(1)), F.lit(255)))
+        .when(_c(codec).isin("mpeg2", "mpeg4"), F.least(F.greatest(scale, F.lit(1.0)), F.lit(31.0)))
+        .otherwise(qp)
+        .cast("int")
+    )
+
+
 def coded_sample_rate(rate) -> Column:
     """MTH-11: the rate that MP3, AC-3 and DTS code a source at."""
     r = _c(rate)
@@ -262,3 +308,31 @@ def container_kind(head) -> Column:
         .when(sync & ((F.octet_length(b) < 189) | (F.hex(F.substring(b, 189, 1)) == "47")), "mpeg_ts")
         .otherwise("unknown")
     )
+
+
+def area_shrink(luma: str, width: str, height: str, across: int, down: int) -> Column:
+    """HSH-04: the plane ``luma`` (numbers, row by row) as ``across`` x ``down`` cells, each the mean of what it covers, parts of a pixel by their share."""
+    share = lambda at, step, i: f"(least(({at} + 1) * {step}, {i} + 1D) - greatest({at} * {step}, {i} + 0D))"
+    reach = lambda at, step, end: f"sequence(cast(floor({at} * {step}) as int), cast(least(ceil(({at} + 1) * {step}), {end}) as int) - 1)"
+    fx, fy = f"({width} / {across}D)", f"({height} / {down}D)"
+    rows = f"transform(sequence(0, cast({height} as int) - 1), r -> transform(sequence(0, {across - 1}), c -> aggregate({reach('c', fx, width)}, 0D, (a, x) -> a + {luma}[r * cast({width} as int) + x] * {share('c', fx, 'x')})))"
+    cells = f"transform(sequence(0, {down - 1}), d -> transform(sequence(0, {across - 1}), c -> aggregate({reach('d', fy, height)}, 0D, (a, r) -> a + s[r][c] * {share('d', fy, 'r')}) / ({fx} * {fy})))"
+    return F.expr(f"transform(array({rows}), s -> cast(flatten({cells}) as array<float>))[0]")
+
+
+def _packed(flags: Column) -> Column:
+    """HSH-05: flags as the bits of a long, the first one most significant."""
+    return F.aggregate(flags, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b.cast("long")))
+
+
+def average_hash(luma: str, width: str, height: str) -> Column:
+    """HSH-01: 64 bits: which of 8 x 8 cells are brighter than their mean, in single precision."""
+    cells = area_shrink(luma, width, height, 8, 8)
+    return F.transform(F.array(cells), lambda c: _packed(F.transform(c, lambda v: v > (F.aggregate(c, F.lit(0.0).cast("float"), lambda a, x: a + x) / 64).cast("float"))))[0]
+
+
+def difference_hash(luma: str, width: str, height: str) -> Column:
+    """HSH-02: 64 bits: which of the first 8 of 9 x 8 cells are darker than the one to their right."""
+    cells = area_shrink(luma, width, height, 9, 8)
+    right = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.floor(i / 8) * 9 + i % 8)
+    return F.transform(F.array(cells), lambda c: _packed(F.transform(right, lambda i: F.get(c, (i + 1).cast("int")) > F.get(c, i.cast("int")))))[0]

@@ -154,7 +154,7 @@ def hex_hash(text) -> Column:
     full = F.lpad(digits, 16, "0")
     half = lambda i: F.conv(F.substring(full, i, 8), 16, 10).cast("long")
     high = F.when(half(1) >= 2**31, half(1) - 2**32).otherwise(half(1))
-    return F.when(digits != "", F.bit_count(F.lit(0)) + high * F.lit(2**32) + half(9))
+    return F.when(digits != "", high * F.lit(2**32) + half(9))
 
 
 def digests(content) -> Column:
@@ -177,3 +177,13 @@ def key_values(line, allowed: Sequence[str]) -> Column:
     """TXT-12: struct(pairs, unknown) of ``key=value`` parts between blanks; unknown lists keys that are not allowed."""
     pairs = F.str_to_map(F.trim(_c(line)), F.lit(r"\s+"), F.lit("="))
     return F.struct(F.map_filter(pairs, lambda k, v: k.isin(*allowed)).alias("pairs"), F.array_sort(F.filter(F.map_keys(pairs), lambda k: ~k.isin(*allowed) & (k != ""))).alias("unknown"))
+
+
+# The names that encoders leave in files, as the prefixes they start with.
+ENCODERS = ("Lavc", "Lavf", "LAME", "libfaac", "FAAC", "Nero", "FhG", "iTunes", "GPAC", "libvorbis")
+
+
+def encoder_idents(content) -> Column:
+    """TXT-16: the distinct encoder names in bytes or text, by prefix and then place, each with the version of 16 digits and dots at most that follows it."""
+    text = F.decode(_c(content).cast("binary"), "ISO-8859-1")
+    return F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(rf"{name}[0-9.]{{0,16}}"), F.lit(0)) for name in ENCODERS)))

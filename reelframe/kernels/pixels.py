@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import small_batches
+from ..session import ship
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -178,12 +178,12 @@ def pq_to_nits(signal: np.ndarray) -> np.ndarray:
 
 def filtered(frames: DataFrame, chain: Sequence[Kernel]) -> DataFrame:
     """PIX-21: ``frames`` with every plane put through the kernels in turn; width and height follow."""
-    small_batches(frames.sparkSession, 64)
+    ship(frames.sparkSession)
     rest = [c for c in frames.columns if c not in ("width", "height", "pixels")]
     kernels = tuple(chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             n = len(rest)
             out = []
             for w, h, data in zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timebase as T
+from .passes import steps
 
 
 def numbered(df: DataFrame, stream: str, order: list[str], into: str = "k") -> DataFrame:
@@ -82,15 +83,16 @@ def busy_windows(frames: DataFrame, title: str, window: str, blank: str, most: f
     return share.withColumn("_rank", first).where((F.col("blank_fraction") <= most) | (F.col("_rank") == 1)).drop("_rank")
 
 
-def estimated_fps(samples: DataFrame, stream: str, pts: str, clock: int = 90_000) -> DataFrame:
+def estimated_fps(samples: DataFrame, stream: str, pts: str, clock: int = 90_000, width: int | None = None) -> DataFrame:
     """SMP-10: clock / median of the positive differences of sorted timestamps, the upper middle for an even number; null outside 1 to 240.
 
-    The median is a row picked by rank, so no list of all differences is built.
+    Differences are taken in buckets of ``width`` ticks (64 seconds by default) and counted by their value, so that no
+    stream is one task: only its buckets' bounds and its distinct differences are sorted as a whole.
     """
-    step = F.col(pts) - F.lag(pts).over(Window.partitionBy(stream).orderBy(pts))
-    steps = samples.select(stream, step.alias("step")).where("step > 0")
-    ranked = steps.withColumn("at", F.row_number().over(Window.partitionBy(stream).orderBy("step")))
-    middle = ranked.join(steps.groupBy(stream).agg(F.count("*").alias("n")), stream).where(F.expr("at = n div 2 + 1"))
+    counted = steps(samples, stream, pts, width or 64 * clock).groupBy(stream, "step").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(stream)
+    ranked = counted.withColumn("upto", F.sum("n").over(w.orderBy("step"))).withColumn("all", F.sum("n").over(w))
+    middle = ranked.where(F.expr("all div 2 + 1 <= upto and all div 2 + 1 > upto - n"))
     fps = F.lit(float(clock)) / F.col("step")
     return middle.select(stream, F.when(fps.between(1, 240), fps).alias("fps"))
 

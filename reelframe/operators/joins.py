@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .passes import ranked
 
 #: Members of a bucket of hashes that are compared with as many others at once.
 BLOCK = 2048
@@ -54,19 +58,28 @@ def as_of(points: DataFrame, targets: DataFrame, stream: str, point: str, target
     return shifted.select(stream, target, "_shifted").join(found, [stream, "_shifted"]).drop("_shifted")
 
 
-def with_rules(rungs: DataFrame, rules: DataFrame, fields: list[str], ladder: str = "ladder", position: str = "position", short_side: str = "short_side") -> DataFrame:
-    """JON-06: ``rungs`` with what the ``rules`` that select them say, folded in their order.
+#: Lines of a policy, at most.
+RULES = 256
+
+
+def with_rules(rungs: DataFrame, rules: DataFrame, fields: list[str], position: str = "position", short_side: str = "short_side") -> DataFrame:
+    """JON-06: ``rungs`` with what the ``rules`` that select them say, folded in their order; each row stays one row.
 
     rules: (ord, selector, value, quality_delta, <fields>), selector any, top, below_top, step, short_le
-    or short_ge. quality_delta adds up within 16 bits; of each other field the last value that is not
-    null holds. The rules are a policy of a few lines and are broadcast.
+    or short_ge. quality_delta adds up, held within 16 bits at each step; of each other field the last value that is not
+    null holds. The rules are a policy of ``RULES`` lines at most and become one expression: no join.
     """
-    s, v = F.col("selector"), F.col("value")
-    applies = (s == "any") | ((s == "top") & (F.col(position) == 0)) | ((s == "below_top") & (F.col(position) > 0)) | ((s == "step") & (F.col(position) == v)) | ((s == "short_le") & (F.col(short_side) <= v)) | ((s == "short_ge") & (F.col(short_side) >= v))
-    last = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("ord"))).alias(f) for f in fields]
-    delta = F.coalesce(F.sum("quality_delta"), F.lit(0))
-    out = rungs.join(F.broadcast(rules), applies, "left").groupBy(*rungs.columns).agg(F.least(F.greatest(delta, F.lit(-32768)), F.lit(32767)).cast("int").alias("quality_delta"), *last)
-    return out
+    lines = rules.orderBy("ord").limit(RULES + 1).collect()
+    if len(lines) > RULES:
+        raise ValueError(f"a policy has {RULES} lines at most")
+    place, side = F.col(position), F.col(short_side)
+    tests = {"any": lambda v: F.lit(True), "top": lambda v: place == 0, "below_top": lambda v: place > 0, "step": lambda v: place == v, "short_le": lambda v: side <= v, "short_ge": lambda v: side >= v}
+    applies = [F.coalesce(tests[r["selector"]](r["value"]), F.lit(False)) if r["selector"] in tests else F.lit(False) for r in lines]
+    delta = F.array(*(F.when(a, F.lit(int(r["quality_delta"] or 0))).otherwise(F.lit(0)) for a, r in zip(applies, lines, strict=True))).cast("array<int>")
+    total = F.aggregate(delta, F.lit(0), lambda a, x: F.least(F.greatest(a + x, F.lit(-32768)), F.lit(32767)))
+    kinds = {f.name: f.dataType for f in rules.schema.fields}
+    last = [F.coalesce(*(F.when(a, F.lit(r[f]).cast(kinds[f])) for a, r in reversed(list(zip(applies, lines, strict=True))) if r[f] is not None), F.lit(None).cast(kinds[f])).alias(f) for f in fields]
+    return rungs.select("*", total.alias("quality_delta"), *last)
 
 
 def with_defaults(jobs: DataFrame, defaults: DataFrame, fields: list[str], on: list[str]) -> DataFrame:
@@ -76,56 +89,80 @@ def with_defaults(jobs: DataFrame, defaults: DataFrame, fields: list[str], on: l
 
 
 def distinct_placements(rungs: DataFrame, ladder: str, position: str, placement: list[str]) -> DataFrame:
-    """JON-08, SET-03: ``rungs`` with ``same_as``: the position of the first rung of the ladder with the same placement, null for that one."""
-    first = F.min(position).over(Window.partitionBy(ladder, *placement))
-    return rungs.withColumn("same_as", F.when(F.col(position) != first, first))
+    """JON-08, SET-03: ``rungs`` with ``same_as``: the position of the first rung of the ladder with the same placement, null for that one.
+
+    First positions are folded before the shuffle, so a ladder with a third of all rungs is no single task.
+    """
+    by = [ladder, *placement]
+    first = rungs.groupBy(*by).agg(F.min(position).alias("_first")).select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_first")
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    return rungs.join(first, same, "left").withColumn("same_as", F.when(F.col(position) != F.col("_first"), F.col("_first"))).drop("_first", *(f"_by{i}" for i in range(len(by))))
 
 
-def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int, bands: int = 8, bits: int = 64) -> DataFrame:
-    """JON-09: (a, b, distance) for pairs of hashes that differ in ``most`` bits at most; needs most < bands, so one band is equal.
+def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int, parts: int = 4, bits: int = 64) -> DataFrame:
+    """JON-09: (a, b, distance) for pairs of hashes that differ in ``most`` bits at most.
 
     Equal hashes collapse first: pairs are between representatives (the smallest key of each value);
-    ``hamming_members`` says which rows stand behind each. The bands are cut from the lowest ``bits`` bits, those
-    that hashes use: bits that are the same everywhere would put all rows into one bucket. Buckets are dealt out in
-    blocks of ``BLOCK`` members and compared block against block. A pair counts in the first band
-    that it shares. Null keys and hashes are in no pair.
+    ``hamming_members`` says which rows stand behind each. The lowest ``bits`` bits are cut into ``parts``; two hashes so near
+    differ by most // parts bits at most in one of them, so each hash is filed, for every part, under the values within
+    half of that, rounded up, and the two meet. Wide parts make small files: of n random hashes, n / 2^(bits / parts) times the values.
+    Files are dealt out in blocks of ``BLOCK`` members and compared block against block. Null keys and hashes are in no pair.
     """
-    if not most < bands <= bits <= 64:
-        raise ValueError("some pairs would share no band")
+    if not 0 < parts <= bits <= 64 or bits // parts < 1:
+        raise ValueError("parts of one bit or more")
     ship(hashes.sparkSession)
-    edges = [i * bits // bands for i in range(bands + 1)]
-    masks = [((1 << (end - start)) - 1) << start for start, end in zip(edges[:-1], edges[1:], strict=True)]
+    reach = (most // parts + 1) // 2
+    edges = [i * bits // parts for i in range(parts + 1)]
     signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
-
-    def near(group: pa.Table) -> pa.Table:
-        band, one, two = (group.column(c)[0].as_py() for c in ("band", "one", "two"))
-        keys, h, own = group.column("key").combine_chunks(), group.column("h").to_numpy().view(np.uint64), group.column("own").to_numpy()
-        left, right = np.flatnonzero(own == one), np.flatnonzero(own == two)
-        found = []
-        for i in range(0, len(left), 64):
-            x = h[left[i : i + 64], None] ^ h[None, right]
-            p, q = np.nonzero(np.bitwise_count(x) <= most)
-            x, p, q = x[p, q], left[i + p], right[q]
-            good = (p < q) | (one != two)
-            for mask in masks[:band]:
-                good &= (x & np.uint64(mask)) != 0
-            found.append((p[good], q[good], np.bitwise_count(x[good]).astype(np.int32)))
-        p, q, distance = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)
+    filed = []
+    for part, (start, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        flips = [sum(1 << i for i in chosen) for n in range(reach + 1) for chosen in combinations(range(start, end), n)]
+        own = signed(((1 << (end - start)) - 1) << start)
+        filed.append(F.expr(f"transform(array({', '.join(f'{signed(x)}L' for x in flips)}), x -> struct({part} as part, (h & {own}L) ^ x as file))"))
+
+    def pairs_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """The pairs within runs of rows of the same block pair: each row with the one d places on, for d of 1, 2, ..., all runs at once."""
+        by = [rows.column(i).to_numpy() for i in range(4)]
+        own, keys, h = rows.column(4).to_numpy(), rows.column(5), rows.column(6).to_numpy().view(np.uint64)
+        run = np.cumsum(np.concatenate([[0], np.logical_or.reduce([c[1:] != c[:-1] for c in by])]))
+        inside = by[2] == by[3]  # a block with itself: all pairs; two blocks: those across
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int32),)]
+        i, d = np.arange(rows.num_rows), 0
+        while len(i):
+            d += 1
+            i = i[i + d < rows.num_rows]
+            i = i[run[i] == run[i + d]]
+            p = i[inside[i] | (own[i] != own[i + d])]
+            differ = np.bitwise_count(h[p] ^ h[p + d])
+            close = differ <= most
+            found.append((p[close], p[close] + d, differ[close].astype(np.int32)))
+        p, q, distance = (np.concatenate(c) for c in zip(*found, strict=True))
         x, y = keys.take(pa.array(p)), keys.take(pa.array(q))
         first = pc.less(x, y)
-        return pa.table({"a": pc.if_else(first, x, y), "b": pc.if_else(first, y, x), "distance": pa.array(distance)})
+        return pa.RecordBatch.from_arrays([pc.if_else(first, x, y), pc.if_else(first, y, x), pa.array(distance)], names=["a", "b", "distance"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            rows = batch if waiting is None else pa.concat_batches([waiting, batch])
+            if not rows.num_rows:
+                continue
+            same = np.logical_and.reduce([c == c[-1] for c in (rows.column(i).to_numpy() for i in range(4))])
+            last = int(same.argmax())  # the last run may go on
+            yield pairs_of(rows.slice(0, last))
+            waiting = rows.slice(last)
+        if waiting is not None:
+            yield pairs_of(waiting)
 
     one = hashes.where(F.col(value).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(value).cast("long").alias("h")).agg(F.min(key).alias("key"))
-    parts = F.array(*(F.struct(F.lit(i).alias("band"), F.expr(f"h & {signed(mask)}L").alias("part")) for i, mask in enumerate(masks)))
-    cut = one.select("key", "h", F.inline(parts))
-    # Buckets of more than one block: at most bands / BLOCK of the rows.
-    large = cut.groupBy("band", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = cut.join(F.broadcast(large), ["band", "part"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("key", "h", "band", "part", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.select("key", "h", "band", "part", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own")
-    by, kind = ["band", "part", "one", "two"], one.schema["key"].dataType.simpleString()
-    dealt = dealt.repartition(4 * hashes.sparkSession.sparkContext.defaultParallelism, *by)
-    return dealt.groupBy(*by).applyInArrow(near, f"a {kind}, b {kind}, distance int")
+    cut = one.select("key", "h", F.inline(F.concat(*filed)))
+    # Files of more than one block: at most their number of the rows' files by BLOCK.
+    large = cut.groupBy("part", "file").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = cut.join(F.broadcast(large), ["part", "file"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("key", "h", "part", "file", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    by, kind = ["part", "file", "one", "two"], one.schema["key"].dataType.simpleString()
+    dealt = dealt.select("part", "file", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "key", "h")
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(near, f"a {kind}, b {kind}, distance int").distinct()
 
 
 def hamming_members(hashes: DataFrame, key: str, value: str, pairs: DataFrame) -> DataFrame:
@@ -143,13 +180,16 @@ def hamming_members(hashes: DataFrame, key: str, value: str, pairs: DataFrame) -
 
 
 def prerolled(packets: DataFrame, track: str, order: str, start: str, end: str, edit: tuple[int, int], packets_before: int, ticks_before: int) -> DataFrame:
-    """JON-03: the packets that an audio edit needs: those that overlap it, and before the first of these as many as fill both prerolls."""
-    inside = (F.col(start) < edit[1]) & (F.col(end) > edit[0])
+    """JON-03: the packets that an audio edit needs: those that overlap it, and before the first of these as many as fill both prerolls.
+
+    Ticks of preroll count back from where the edit begins, not from the packet that holds it. An empty edit needs none.
+    """
+    inside = (F.col(start) < edit[1]) & (F.col(end) > edit[0]) & F.lit(edit[0] < edit[1])
     w = Window.partitionBy(track)
     out = packets.withColumn("_n", F.row_number().over(w.orderBy(order))).withColumn("_in", inside)
-    out = out.withColumn("_first", F.min(F.when(F.col("_in"), F.col("_n"))).over(w)).withColumn("_at", F.min(F.when(F.col("_in"), F.col(start))).over(w))
-    early = (F.col("_n") < F.col("_first")) & ((F.col("_n") >= F.col("_first") - packets_before) | (F.col(end) > F.col("_at") - ticks_before))
-    return out.where(F.col("_in") | early).withColumn("preroll", ~F.col("_in")).drop("_n", "_in", "_first", "_at")
+    out = out.withColumn("_first", F.min(F.when(F.col("_in"), F.col("_n"))).over(w))
+    early = (F.col("_n") < F.col("_first")) & ((F.col("_n") >= F.col("_first") - packets_before) | (F.col(end) > edit[0] - ticks_before))
+    return out.where(F.col("_in") | early).withColumn("preroll", ~F.col("_in")).drop("_n", "_in", "_first")
 
 
 def shifted_windows(video: DataFrame, audio: DataFrame, clip: str) -> DataFrame:
@@ -159,8 +199,8 @@ def shifted_windows(video: DataFrame, audio: DataFrame, clip: str) -> DataFrame:
 
 
 def continued_tracks(joined: DataFrame, clip: DataFrame, language: str, track: str) -> DataFrame:
-    """JON-13: (language, place, track, clip_track): the k-th track of a language goes on with the k-th of the clip; either may lack."""
-    number = lambda df, name: df.withColumn("place", F.row_number().over(Window.partitionBy(language).orderBy(track))).select(language, "place", F.col(track).alias(name))
+    """JON-13: (language, place, track, clip_track): the k-th track of a language, by the number ``track``, goes on with the k-th of the clip; either may lack."""
+    number = lambda df, name: ranked(df.select(language, track), language, track, "place").select(language, "place", F.col(track).alias(name))
     return number(joined, "track").join(number(clip, "clip_track"), [language, "place"], "full_outer")
 
 

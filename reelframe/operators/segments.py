@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .passes import walked
+
 
 def bandwidth(segments: DataFrame, rendition: str, size: str, seconds: str) -> DataFrame:
     """AGG-01: average and peak bits per second of each rendition; segments without length do not count for the peak, which is never below the average."""
@@ -53,58 +56,173 @@ def unwrapped(samples: DataFrame, stream: str, order: str, pts: str, bits: int =
     return samples.withColumn("_turn", turn).withColumn("unwrapped", F.col(pts) + turns * F.lit(full)).drop("_turn")
 
 
-def time_base_breaks(samples: DataFrame, stream: str, order: str, time: str, most: int) -> DataFrame:
-    """WIN-04: ``segment`` counts up where time runs backwards or jumps by more than ``most``."""
-    step = F.col(time) - F.lag(time).over(Window.partitionBy(stream).orderBy(order))
-    broken = F.when((step < 0) | (step > most), 1).otherwise(0)
-    return samples.withColumn("_b", broken).withColumn("segment", F.sum("_b").over(Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_b")
+def time_base_breaks(samples: DataFrame, stream: str, order: str, time: str, most: int, back: int = 0, flag: str | None = None, bits: int = 33) -> DataFrame:
+    """WIN-04: ``segment`` counts up at each ``broken`` row: one whose clock runs back by more than ``back`` or on by more than
+    ``most`` from the value before, taken the short way round 2^bits, or that is flagged.
+
+    A null time has no value. A flag breaks only a time base that some value has set; a flagged row without a value
+    leaves none behind.
+    """
+    w = Window.partitionBy(stream).orderBy(order)
+    flagged = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
+    lost = F.coalesce(F.sum((flagged & F.col(time).isNull()).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.last(time, ignorenulls=True).over(Window.partitionBy(stream, "_lost").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    half, full = F.lit(1 << (bits - 1)), F.lit(1 << bits)
+    step = F.pmod(F.col(time) - F.col("_last") + half, full) - half
+    broken = F.col("_last").isNotNull() & (flagged | F.coalesce((step < -back) | (step > most), F.lit(False)))
+    out = samples.withColumn("_lost", lost).withColumn("_last", last).withColumn("broken", broken)
+    return out.withColumn("segment", F.sum(F.col("broken").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_lost", "_last")
 
 
 def without_overlap(cues: DataFrame, track: str, start: str, duration: str, tie: str) -> DataFrame:
-    """WIN-05: each cue ends where the next begins at the latest, and lasts one tick at least."""
+    """WIN-05: a cue that runs into the next one ends where that begins, and lasts one tick at least; cues of no length go."""
     following = F.lead(start).over(Window.partitionBy(track).orderBy(start, tie))
-    end = F.least(F.col(start) + F.col(duration), F.coalesce(following, F.col(start) + F.col(duration)))
-    return cues.withColumn(duration, F.greatest(end - F.col(start), F.lit(1)))
+    shorter = F.greatest(F.col("_next") - F.col(start), F.lit(1))
+    out = cues.withColumn("_next", following).withColumn(duration, F.when(F.col(start) + F.col(duration) > F.col("_next"), shorter).otherwise(F.col(duration)))
+    return out.where(F.col(duration) > 0).drop("_next")
 
 
-def placed_audio(packets: DataFrame, track: str, start: str, duration: str, pictures: DataFrame | None = None) -> DataFrame:
-    """WIN-06: ``lasts`` and ``dropped``: a packet lasts to the next one's start across a hole, only as far as the video's end in
-    ``pictures`` (track, video_end) allows; one that overlaps the packet before by more than half is dropped."""
-    w = Window.partitionBy(track).orderBy(start)
-    out = packets if pictures is None else packets.join(pictures, track, "left")
-    end = F.col(start) + F.col(duration)
-    upto = F.lead(start).over(w) if pictures is None else F.least(F.lead(start).over(w), F.greatest(F.col("video_end"), end))
-    before = F.lag(end).over(w)
-    out = out.withColumn("lasts", F.greatest(F.coalesce(upto, end), end) - F.col(start)).withColumn("dropped", F.coalesce(before - F.col(start) > F.col(duration) / 2, F.lit(False)))
-    return out if pictures is None else out.drop("video_end")
+def _shown_at(packets: DataFrame, pictures: DataFrame, by: list[str], start: str, duration: str, frame_ticks: int) -> DataFrame:
+    """``packets`` with ``_from`` and ``_to``: where the output shows their start and end, by the picture nearest to each; null without pictures.
+
+    ``pictures``: (<by>, pts, frame). One sort of pictures and both ends; of two pictures as near, the earlier.
+    """
+    ends = packets.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_side")).withColumn("_t", F.when(F.col("_side") == 0, F.col(start)).otherwise(F.col(start) + F.col(duration)))
+    both = ends.withColumn("_p", F.lit(None).cast("struct<pts:bigint,frame:bigint>")).unionByName(pictures.select(*by, F.col("pts").cast("long").alias("_t"), F.struct(F.col("pts").cast("long").alias("pts"), F.col("frame").cast("long").alias("frame")).alias("_p")), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("_t", F.col("_p").isNull())
+    both = both.withColumn("_low", F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_high", F.first("_p", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    near = F.when(F.col("_low").isNull() | (F.col("_high.pts") - F.col("_t") < F.col("_t") - F.col("_low.pts")), F.col("_high")).otherwise(F.col("_low"))
+    both = both.where("_side is not null").withColumn("_near", near).withColumn("_shown", F.col("_near.frame") * frame_ticks + F.col("_t") - F.col("_near.pts"))
+    return both.groupBy(*packets.columns).agg(F.max(F.when(F.col("_side") == 0, F.col("_shown"))).alias("_from"), F.max(F.when(F.col("_side") == 1, F.col("_shown"))).alias("_to"))
+
+
+def placed_audio(packets: DataFrame, track: str, order: str, start: str, duration: str, pictures: DataFrame | None = None, frame_ticks: int = 1, breaks: str | None = None, delay: int = 0) -> DataFrame:
+    """WIN-06: ``lasts``, ``hole`` and ``dropped`` of each packet (unique in ``track`` and ``order``), walked in order.
+
+    A packet that overlaps the time due by more than half its length is dropped. A hole of more than half a packet before a
+    packet makes the kept one before it last longer: by as much as the output shows between both, where
+    ``pictures`` (track, breaks, pts, frame: the picture's number in the output) say so, and else as long as it is. After a time-base break
+    (a change of ``breaks``) timestamps say nothing about the time before: the audio goes where its video is shown, from the
+    first packet that is kept, or on without a hole if there is none. ``delay``: where the track begins, in ticks.
+    """
+    rows = packets.withColumn("_break", F.col(breaks).cast("long") if breaks else F.lit(0).cast("long"))
+    if pictures is None:
+        rows = rows.withColumn("_from", F.lit(None).cast("long")).withColumn("_to", F.lit(None).cast("long"))
+    else:
+        shown = pictures.select(track, F.col(breaks).cast("long").alias("_break") if breaks else F.lit(0).cast("long").alias("_break"), "pts", "frame")
+        rows = _shown_at(rows, shown, [track, "_break"], start, duration, frame_ticks)
+    rows = rows.withColumn("_seen", F.col("_from").isNotNull())
+    filled = [(c, F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))) for c in ("_from", "_to", start, duration)]
+    rows = rows.select("*", *(v.alias(f"_v{i}") for i, (_, v) in enumerate(filled)))
+
+    def walk(state: tuple | None, broken: np.ndarray, seen: np.ndarray, begins: np.ndarray, ends: np.ndarray, times: np.ndarray, lengths: np.ndarray) -> tuple:
+        current, against, placing, expect, shown, due, kept = state or (None, False, False, 0, 0, delay, False)
+        holes, dropped = [], []
+        for b, has, begin, end, t, n in zip(*(x.tolist() for x in (broken, seen, begins, ends, times, lengths)), strict=True):
+            if current is None:
+                current, against, expect = b, has, t
+            elif b != current:
+                current, against, placing, expect = b, has, has, expect if has else t
+            own, off = t - expect, 0
+            if against and placing:
+                off = begin - due
+            elif own > n // 2:
+                off = begin - shown if against else own
+            late = off < -(n // 2) or (not (against and placing) and own < -(n // 2))
+            hole = off if not late and off > n // 2 and kept else 0
+            holes.append(hole)
+            dropped.append(late)
+            if not late:
+                placing, kept, due, expect, shown = False, True, due + hole + n, t + n, end
+        return (current, against, placing, expect, shown, due, kept), holes, dropped
+
+    out = walked(rows, track, [order], ["_break", "_seen", "_v0", "_v1", "_v2", "_v3"], walk, "hole long, dropped boolean")
+    w = Window.partitionBy(track).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    following = F.coalesce(F.first(F.when(~F.col("dropped"), F.col("hole")), ignorenulls=True).over(w), F.lit(0))
+    return out.withColumn("lasts", F.when(F.col("dropped"), 0).otherwise(F.col(duration) + following).cast("long")).select(*packets.columns, "lasts", "hole", "dropped")
+
+
+def trimmed_audio(packets: DataFrame, track: str, order: str, duration: str, start: int, end: int | None) -> DataFrame:
+    """AUD-09: the packets that start in [start, end) ticks of their track, with ``at``: where each then starts, from 0 on."""
+    w = Window.partitionBy(track).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = packets.withColumn("at", F.coalesce(F.sum(duration).over(w), F.lit(0)).cast("long")).where(F.col("at") >= start)
+    out = out if end is None else out.where(F.col("at") < end)
+    return out.withColumn("at", F.coalesce(F.sum(duration).over(w), F.lit(0)).cast("long"))
+
+
+def nearest_boundary(packets: DataFrame, track: str, order: str, duration: str, at: str) -> DataFrame:
+    """AUD-09: (track, packets, ticks): the packet boundary nearest to ``at`` (ticks, one value for each track): how many packets lie before it and where it is, the earlier on ties."""
+    w = Window.partitionBy(track).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = packets.select(track, F.col(at).alias("_want"), F.count("*").over(w).alias("packets"), F.sum(duration).over(w).cast("long").alias("ticks"))
+    none = packets.groupBy(track).agg(F.first(at).alias("_want")).select(track, "_want", F.lit(0).cast("long").alias("packets"), F.lit(0).cast("long").alias("ticks"))
+    best = F.min_by(F.struct("packets", "ticks"), F.struct(F.abs(F.col("ticks") - F.col("_want")), "packets"))
+    return ends.union(none).groupBy(track).agg(best.alias("x")).select(track, "x.*")
+
+
+def joined_audio(first: DataFrame, second: DataFrame, track: str, order: str, duration: str, end: str, skip: str) -> DataFrame:
+    """AUD-09: ``first`` up to the packet boundary nearest to ``end`` and then ``second`` from that nearest to ``skip``, with ``piece`` (0 or 1).
+
+    What the first cut keeps too much or too little moves the second one, so that the error does not add up. ``end`` and
+    ``skip`` are ticks, one value for each track.
+    """
+    kept = nearest_boundary(first, track, order, duration, end).join(first.groupBy(track).agg(F.first(end).alias("_end")), track)
+    over = kept.select(track, "packets", (F.col("ticks") - F.col("_end")).alias("_over"))
+    number = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy(track).orderBy(order)))
+    one = number(first).join(over, track).where(F.col("_n") <= F.col("packets")).drop("_n", "packets", "_over", end).withColumn("piece", F.lit(0))
+    moved = second.join(over.drop("packets"), track).withColumn("_skip", F.greatest(F.col(skip) + F.col("_over"), F.lit(0)))
+    gone = nearest_boundary(moved, track, order, duration, "_skip").select(track, "packets")
+    two = number(second).join(gone, track).where(F.col("_n") > F.col("packets")).drop("_n", "packets", skip).withColumn("piece", F.lit(1))
+    return one.unionByName(two)
 
 
 def cut_on_keyframes(packets: DataFrame, stream: str, order: str, ticks: str, key: str, target: int) -> DataFrame:
-    """WIN-07: ``segment``: a keyframe opens a new one once ``target`` ticks or more were buffered.
+    """WIN-07: ``segment``: a keyframe opens a new one once ``target`` ticks or more were buffered since the last cut.
 
-    Keyframes are few: the greedy walk goes over a stream's keyframe times only, in an array of each
-    stream, and frames find their segment by the sums of their order.
+    One walk over the sorted packets of a stream, from cut to cut by bisection. A stream that does not begin with a
+    keyframe has one segment: what is buffered would not begin with one. Null ticks and keys count as 0 and no.
     """
-    w = Window.partitionBy(stream).orderBy(order)
-    timed = packets.withColumn("_at", F.coalesce(F.sum(ticks).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
-    keys = timed.where(F.col(key)).groupBy(stream).agg(F.array_sort(F.collect_set("_at")).alias("_keys"))
-    walk = F.aggregate("_keys", F.array(F.lit(0).cast("long")), lambda a, t: F.when(t - F.element_at(a, -1) >= target, F.concat(a, F.array(t))).otherwise(a))
-    cuts = keys.select(stream, F.posexplode(walk).alias("segment", "_from"))
-    cuts = cuts.withColumn("_to", F.coalesce(F.lead("_from").over(Window.partitionBy(stream).orderBy("_from")), F.lit(2**62).cast("long")))
-    return timed.join(cuts, stream).where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))).drop("_at", "_from", "_to")
+    if target <= 0:
+        raise ValueError("a segment has a length")
+
+    def walk(state: tuple | None, lasts: np.ndarray, keys: np.ndarray) -> tuple:
+        at, since, number, opens = state or (0, 0, 0, bool(keys[0]))
+        marks = np.zeros(len(lasts), np.int64)
+        starts = at + np.cumsum(lasts) - lasts
+        if opens:
+            places = np.flatnonzero(keys)
+            times, i = starts[places], 0
+            while (i := i + int(np.searchsorted(times[i:], since + target))) < len(places):
+                marks[places[i]], since = 1, int(times[i])
+        segment = number + np.cumsum(marks)
+        return (at + int(lasts.sum()), since, int(segment[-1]), opens), segment
+
+    rows = packets.withColumn("_ticks", F.coalesce(F.col(ticks).cast("long"), F.lit(0).cast("long"))).withColumn("_key", F.coalesce(F.col(key), F.lit(False)))
+    return walked(rows, stream, [order], ["_ticks", "_key"], walk, "segment long").drop("_ticks", "_key")
 
 
 def cut_by_length(packets: DataFrame, stream: str, order: str, ticks: str, target: int) -> DataFrame:
     """WIN-08: ``segment``: a packet opens a new one once ``target`` ticks or more were buffered: every packet is a place to cut."""
-    return cut_on_keyframes(packets.withColumn("_key", F.lit(True)), stream, order, ticks, "_key", target).drop("_key")
+    return cut_on_keyframes(packets.withColumn("_every", F.lit(True)), stream, order, ticks, "_every", target).drop("_every")
+
 
+def alignment(segments: DataFrame, rendition: str, sequence: str, seconds: str, tolerance: float = 1e-3, base: str | None = None) -> DataFrame:
+    """WIN-09, JON-10: at each boundary, how far any rendition's running seconds lie from the base rendition's, and whether all is aligned.
 
-def alignment(segments: DataFrame, rendition: str, sequence: str, seconds: str, tolerance: float = 1e-3) -> DataFrame:
-    """WIN-09, JON-10: at each boundary, how far the renditions' running seconds lie apart, and whether within tolerance and in all."""
+    ``base``: by default the first rendition in order. ``aligned``: within the tolerance, and all renditions have as
+    many segments as the base, so that each boundary has them all.
+    """
     running = F.sum(seconds).over(Window.partitionBy(rendition).orderBy(sequence).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = segments.select(rendition, sequence, running.alias("_end"))
-    out = ends.groupBy(sequence).agg((F.max("_end") - F.min("_end")).alias("drift"), F.count("*").alias("renditions"))
-    return out.withColumn("aligned", F.col("drift") <= tolerance)
+    place = F.row_number().over(Window.partitionBy(rendition).orderBy(sequence))
+    ends = segments.select(rendition, running.alias("_end"), place.alias("boundary"))
+    counts = ends.groupBy(rendition).agg(F.count("*").alias("_n"))
+    first = F.lit(base) if base is not None else F.min(rendition)
+    whole = counts.agg(F.count("*").alias("_all"), (F.min("_n") == F.max("_n")).alias("_even"), first.alias("_base"))  # one row
+    marked = ends.join(F.broadcast(whole))
+    own = F.max(F.when(F.col(rendition) == F.col("_base"), F.col("_end")))
+    out = marked.groupBy("boundary").agg(own.alias("_own"), F.max("_end").alias("_high"), F.min("_end").alias("_low"), F.count("*").alias("renditions"), F.first("_all").alias("_all"), F.first("_even").alias("_even"))
+    drift = F.greatest(F.col("_high") - F.col("_own"), F.col("_own") - F.col("_low"))
+    aligned = F.col("_even") & (F.col("renditions") == F.col("_all")) & F.coalesce(drift <= tolerance, F.lit(False))
+    return out.select("boundary", drift.alias("drift"), "renditions", aligned.alias("aligned"))
 
 
 def duration_check(pairs: DataFrame, video: str, audio: str, soft: float, hard: float = 120.0) -> DataFrame:
@@ -121,15 +239,20 @@ def rebased(cues: DataFrame, start: str, duration: str, first: int, last: int) -
 
 
 def variant_rates(video: DataFrame, audio: DataFrame, subtitles: DataFrame) -> DataFrame:
-    """AGG-14: ``video`` (rendition, average, peak) with the largest audio and subtitle rates added. The added tables are one row each."""
+    """AGG-14: ``video`` (rendition, average, peak) with the largest audio and subtitle rates added. What is joined is one row each."""
     tops = [x.agg(F.coalesce(F.max("average"), F.lit(0)).alias(f"_a{i}"), F.coalesce(F.max("peak"), F.lit(0)).alias(f"_p{i}")) for i, x in enumerate((audio, subtitles))]
     out = video.join(F.broadcast(tops[0])).join(F.broadcast(tops[1]))
     return out.select("rendition", (F.col("average") + F.col("_a0") + F.col("_a1")).alias("average"), (F.col("peak") + F.col("_p0") + F.col("_p1")).alias("peak"))
 
 
-def media_playlist(segments: DataFrame, rendition: str, sequence: str, seconds: str, uri: str) -> DataFrame:
-    """TXT-18: the text of each rendition's media playlist, its segments in order."""
-    line = F.concat(F.lit("#EXTINF:"), F.format_string("%.3f", F.col(seconds)), F.lit(",\n"), F.col(uri), F.lit("\n"))
+def media_playlist(segments: DataFrame, rendition: str, sequence: str, seconds: str, uri: str, target: int | None = None, init: str = "init.mp4", live: bool = False) -> DataFrame:
+    """TXT-18, SNK-10: the text of each rendition's media playlist, its segments in order.
+
+    ``live``: an event playlist of the segments so far, without an end; else the finished one. ``target``: the target
+    duration, by default the longest segment's, rounded up.
+    """
+    line = F.concat(F.lit("#EXTINF:"), F.format_string("%.6f", F.col(seconds).cast("double")), F.lit(",\n"), F.col(uri), F.lit("\n"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("s"), line.alias("l")))), lambda x: x["l"]), "")
-    head = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:7\n#EXT-X-TARGETDURATION:"), F.ceil(F.max(seconds)).cast("string"), F.lit("\n"))
-    return segments.groupBy(rendition).agg(F.concat(head, body, F.lit("#EXT-X-ENDLIST\n")).alias("playlist"))
+    longest = F.ceil(F.max(seconds)).cast("string") if target is None else F.lit(str(target))
+    head = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:7\n#EXT-X-TARGETDURATION:"), longest, F.lit(f"\n#EXT-X-PLAYLIST-TYPE:{'EVENT' if live else 'VOD'}\n#EXT-X-MAP:URI=\"{init}\"\n"))
+    return segments.groupBy(rendition).agg(F.concat(head, body, F.lit("" if live else "#EXT-X-ENDLIST\n")).alias("playlist"))

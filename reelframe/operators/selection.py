@@ -109,11 +109,12 @@ def one_config(parts: DataFrame, rung: str, order: str, config: str) -> DataFram
 
 
 def suppressed(boxes: DataFrame, frame: str, label: str, score: str, overlap: float, most: int) -> DataFrame:
-    """TOP-13: boxes (x0, y0, x1, y1) of each frame and label kept by score, without those that overlap a kept one by more than ``overlap``.
+    """TOP-13: boxes (x0, y0, x1, y1) of each frame kept by score, without those that overlap a kept one of their label by more
+    than ``overlap``; ``most`` of a frame over all labels, best first.
 
-    A frame's boxes of one label are a detector's output, a few hundred at most, and fold in one array.
+    A frame's boxes are a detector's output, a few hundred at most, and fold in one array.
     """
-    box = F.struct((-F.col(score)).alias("rank"), "x0", "y0", "x1", "y1")
+    box = F.struct((-F.col(score)).alias("rank"), "x0", "y0", "x1", "y1", F.col(label).alias("label"))
 
     def iou(a: Column, b: Column) -> Column:
         w = F.greatest(F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.lit(0.0))
@@ -121,6 +122,7 @@ def suppressed(boxes: DataFrame, frame: str, label: str, score: str, overlap: fl
         area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
         return w * h / F.greatest(area(a) + area(b) - w * h, F.lit(1e-12))
 
-    listed = boxes.groupBy(frame, label).agg(F.array_sort(F.collect_list(box)).alias("all"))
-    fold = F.aggregate("all", F.slice("all", F.lit(1), F.lit(0)), lambda kept, b: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: iou(k, b) > overlap), F.concat(kept, F.array(b))).otherwise(kept))
-    return listed.select(frame, label, F.explode(fold).alias("b")).select(frame, label, (-F.col("b.rank")).alias(score), "b.x0", "b.y0", "b.x1", "b.y1")
+    listed = boxes.groupBy(frame).agg(F.array_sort(F.collect_list(box)).alias("all"))
+    near = lambda k, b: k["label"].eqNullSafe(b["label"]) & (iou(k, b) > overlap)
+    fold = F.aggregate("all", F.slice("all", F.lit(1), F.lit(0)), lambda kept, b: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: near(k, b)), F.concat(kept, F.array(b))).otherwise(kept))
+    return listed.select(frame, F.explode(fold).alias("b")).select(frame, F.col("b.label").alias(label), (-F.col("b.rank")).alias(score), "b.x0", "b.y0", "b.x1", "b.y1")

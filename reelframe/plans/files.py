@@ -30,11 +30,11 @@ def snk04_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.run_lengths(packets(spark, sf_dir).withColumn("v", F.col("duration") % 2), "s", "arrival", "v")
 
 
-@query("""SELECT p_brand, sha256('#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || string_agg('#EXT-X-STREAM-INF:BANDWIDTH=' || p_partkey * 100 || ',AVERAGE-BANDWIDTH=' || p_partkey * 80 || ',RESOLUTION=' || p_size * 40 || 'x' || p_size * 30 || chr(10) || 'r' || p_partkey || '.m3u8' || chr(10), '' ORDER BY p_partkey DESC)) AS playlist FROM part GROUP BY 1""")
+@query("""SELECT p_partkey // 8 AS package, sha256('#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || string_agg('#EXT-X-STREAM-INF:BANDWIDTH=' || p_partkey * 100 || ',AVERAGE-BANDWIDTH=' || p_partkey * 80 || ',RESOLUTION=' || p_size * 40 || 'x' || p_size * 30 || chr(10) || 'r' || p_partkey || '.m3u8' || chr(10), '' ORDER BY p_partkey DESC)) AS playlist FROM part GROUP BY 1""")
 def snk09_master_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    rows = p.select("p_brand", F.concat(F.lit("r"), F.col("p_partkey").cast("string"), F.lit(".m3u8")).alias("uri"), (F.col("p_partkey") * 100).alias("peak"), (F.col("p_partkey") * 80).alias("average"), (F.col("p_size") * 40).alias("width"), (F.col("p_size") * 30).alias("height"))
-    return layout.master_playlist(rows, "p_brand").select("p_brand", F.sha2("playlist", 256).alias("playlist"))
+    rows = p.select(F.floor(F.col("p_partkey") / 8).alias("package"), F.concat(F.lit("r"), F.col("p_partkey").cast("string"), F.lit(".m3u8")).alias("uri"), (F.col("p_partkey") * 100).alias("peak"), (F.col("p_partkey") * 80).alias("average"), (F.col("p_size") * 40).alias("width"), (F.col("p_size") * 30).alias("height"))
+    return layout.master_playlist(rows, "package").select("package", F.sha2("playlist", 256).alias("playlist"))
 
 
 @query("SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM pages WHERE length(html) > 4000)")
@@ -66,7 +66,7 @@ def src36_sample_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH d AS (SELECT p_partkey, p_size * 3 + 1 AS w, p_size * 2 + 1 AS h FROM part) SELECT p_partkey, CAST(w * h + 2 * ((w + 1) // 2) * ((h + 1) // 2) AS BIGINT) AS yuv420p, CAST((w * h + 2 * ((w + 1) // 2) * h) * 2 AS BIGINT) AS yuv422p10, CAST(w * h * 3 AS BIGINT) AS rgb24 FROM d")
-def src03_frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fmt01_frame_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h = F.col("p_size") * 3 + 1, F.col("p_size") * 2 + 1
     return table(spark, sf_dir, "part").select("p_partkey", *(colour.frame_bytes(F.lit(f), w, h).alias(f) for f in ("yuv420p", "yuv422p10", "rgb24")))
 
@@ -121,12 +121,12 @@ def jon11_shifted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.shifted_windows(video, c, "conv_id").select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("until"))
 
 
-@query("SELECT p_brand, CASE WHEN n = 1 THEN p_type ELSE p_type || '-' || n END AS label FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part)")
+@query("SELECT p_partkey, CASE WHEN n = 1 THEN p_type ELSE p_type || '-' || n END AS label FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_partkey // 32, p_type ORDER BY p_partkey) AS n FROM part)")
 def win11_unique_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_brand", F.when(n == 1, F.col("p_type")).otherwise(F.concat(F.col("p_type"), F.lit("-"), n.cast("string"))).alias("label"))
+    n = F.row_number().over(Window.partitionBy(F.floor(F.col("p_partkey") / 32), "p_type").orderBy("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(n == 1, F.col("p_type")).otherwise(F.concat(F.col("p_type"), F.lit("-"), n.cast("string"))).alias("label"))
 
 
 @query("SELECT c_mktsegment, c_custkey FROM customer WHERE c_acctbal > 0 UNION ALL SELECT n_name, n_nationkey FROM nation")

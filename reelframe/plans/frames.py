@@ -88,7 +88,7 @@ p AS (SELECT event_type, d, row_number() OVER (PARTITION BY event_type ORDER BY
 SELECT event_type, CASE WHEN 90000.0 / d BETWEEN 1 AND 240 THEN round(90000.0 / d, 6) END AS fps FROM p WHERE r = n // 2 + 1""")
 def smp10_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "events").select("event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("pts"))
-    return frames.estimated_fps(samples, "event_type", "pts").select("event_type", F.round("fps", 6).alias("fps"))
+    return frames.estimated_fps(samples, "event_type", "pts", width=3600).select("event_type", F.round("fps", 6).alias("fps"))
 
 
 @query(f"WITH {_K}, v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS shown FROM k WHERE event_type <> 'error') SELECT user_id, event_id, shown FROM v WHERE shown < 40")

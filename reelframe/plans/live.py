@@ -11,31 +11,53 @@ from ..streaming import live
 from .base import query, table
 from .frames import planes
 
-_T = "e AS (SELECT user_id, event_id, CAST(epoch_us(ts) * 10 AS BIGINT) AS t FROM events)"
-_SLOT = f"{_T}, s AS (SELECT *, t - first_value(t) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM e), k AS (SELECT user_id, event_id, CASE WHEN d < 0 THEN -1 ELSE 1 END * ((2 * abs(CAST(d AS HUGEINT)) + 36000000000) // 72000000000) AS slot FROM s), b AS (SELECT *, slot - coalesce(max(slot) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), slot - 1) - 1 AS ahead FROM k)"
+_LIVE = """e AS (SELECT user_id, event_id, event_type, CAST(epoch_us(ts) * 10 AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, event_type, n, t AS t0, CAST(1 AS BIGINT) AS written, CAST(0 AS BIGINT) AS slot, 'write' AS status, CAST(0 AS BIGINT) AS repeats FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, event_type, n, CASE WHEN jump THEN t - written * 36000000000 ELSE t0 END, CASE WHEN jump THEN written + 1 WHEN k < written THEN written ELSE k + 1 END, CASE WHEN jump THEN written ELSE k END,
+CASE WHEN jump THEN 'reanchor' WHEN k < written THEN 'drop' ELSE 'write' END, CASE WHEN jump OR k < written THEN 0 ELSE k - written END
+FROM (SELECT *, abs(k - written) > 24 AS jump FROM (SELECT e.*, r.t0, r.written, CASE WHEN e.t < r.t0 THEN -1 ELSE 1 END * ((2 * abs(e.t - r.t0) + 36000000000) // 72000000000) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))"""
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 10).alias("t"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) * 10).alias("t"))
     return live.timeline(e, "user_id", "event_id", "t", 1, 3600, 24)
 
 
-@query(f"WITH {_SLOT} SELECT user_id, event_id, CAST(slot AS BIGINT) AS slot, CASE WHEN ahead > 24 THEN 'reanchor' WHEN ahead < 0 THEN 'drop' ELSE 'write' END AS status, CAST(CASE WHEN ahead > 24 OR ahead < 0 THEN 0 ELSE ahead END AS BIGINT) AS repeats FROM b")
+@query(f"WITH RECURSIVE {_LIVE} SELECT user_id, event_id, slot, status, repeats FROM r")
 def str01_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline(spark, sf_dir).select("user_id", "event_id", "slot", "status", "repeats")
 
 
-@query(f"WITH {_SLOT} SELECT user_id, count(*) AS frames, count_if(ahead BETWEEN 0 AND 24) AS written, count_if(ahead < 0) AS dropped, CAST(sum(CASE WHEN ahead BETWEEN 0 AND 24 THEN ahead ELSE 0 END) AS BIGINT) AS repeated FROM b GROUP BY 1")
+@query(f"WITH RECURSIVE {_LIVE} SELECT user_id, CAST(count_if(status <> 'drop') + sum(repeats) AS BIGINT) AS frames, CAST(sum(repeats) AS BIGINT) AS repeated, count_if(status = 'drop') AS dropped_early, CAST(0 AS BIGINT) AS dropped_behind, count_if(status = 'reanchor') AS reanchored FROM r GROUP BY 1")
 def agg11_live_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = timeline(spark, sf_dir).groupBy("user_id")
-    return out.agg(F.count("*").alias("frames"), F.count_if(F.col("status") == "write").alias("written"), F.count_if(F.col("status") == "drop").alias("dropped"), F.sum("repeats").alias("repeated"))
+    return live.live_stats(timeline(spark, sf_dir), "user_id")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, turn * 30 AS s, 10 + length(text) % 60 AS n FROM conversations), g AS (SELECT *, s - coalesce(max(s + n) OVER w, 0) AS gap, max(s + n) OVER w IS NULL AS first FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT conv_id, turn, gap > 18 AS ignored, CAST(CASE WHEN gap <= 18 AND (gap > 4 OR (first AND gap > 0)) THEN gap ELSE 0 END AS BIGINT) AS silence, CAST(CASE WHEN gap <= 18 AND gap < 0 THEN least(-gap, n) ELSE 0 END AS BIGINT) AS trim FROM g""")
+@query(f"""WITH RECURSIVE {_LIVE}, w AS (SELECT *, CASE WHEN event_id % 6 = 5 THEN 1280 ELSE 640 END AS width FROM r WHERE status <> 'drop')
+SELECT user_id, event_id, first_value(width) OVER o AS out_width, width <> first_value(width) OVER o AS rescaled, coalesce(event_type <> lag(event_type) OVER o, false) AS renewed FROM w WINDOW o AS (PARTITION BY user_id ORDER BY event_id)""")
+def str06_shape_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = timeline(spark, sf_dir).where("status <> 'drop'").withColumn("width", F.when(F.col("event_id") % 6 == 5, 1280).otherwise(640)).withColumn("height", F.lit(360))
+    return live.shape_changes(e, "user_id", "event_id", "width", "height", "event_type").select("user_id", "event_id", "out_width", "rescaled", "renewed")
+
+
+@query("SELECT event_id, round, epoch_us(ts) // 1000000 + round * 86400 AS t FROM events, range(0, 3) x(round)")
+def src30_repeated_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"))
+    return live.repeated_source(e, "t", 86_400, 3).select("event_id", F.col("round").cast("long").alias("round"), "t")
+
+
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, turn * 30 + (conv_id * 7 + turn * 13) % 25 AS at, 10 + length(text) % 60 AS n, CASE WHEN turn % 5 = 3 THEN 'b' ELSE 'a' END AS shape, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, shape AS first FROM c WHERE i = 1),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS turn, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS written, CAST(0 AS BIGINT) AS silence, CAST(0 AS BIGINT) AS trim, CAST(0 AS BIGINT) AS kept FROM f
+UNION ALL SELECT conv_id, turn, i, written + silence + kept, silence, trim, kept FROM (
+SELECT *, CASE WHEN other THEN 0 ELSE least(n - trim, greatest(200 - written - silence, 0)) END AS kept FROM (
+SELECT *, CASE WHEN NOT other AND d < 0 AND (written = 0 OR d < -4) THEN least(-d, n) ELSE 0 END AS trim, CASE WHEN NOT other AND ((written = 0 AND d > 0 AND d <= 40) OR (d > 4 AND d <= 40)) THEN least(d, greatest(200 - written, 0)) ELSE 0 END AS silence FROM (
+SELECT c.conv_id, c.turn, c.i, c.n, c.shape <> f.first AS other, r.written, c.at - r.written AS d FROM r JOIN c ON c.conv_id = r.conv_id AND c.i = r.i + 1 JOIN f ON f.conv_id = c.conv_id))))
+SELECT conv_id, turn, silence, trim, kept FROM r WHERE i > 0""")
 def str03_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 30).alias("s"), (10 + F.length("text") % 60).cast("long").alias("n"))
-    return live.audio_timeline(c, "conv_id", "turn", "s", "n", 4, 18).select("conv_id", "turn", "ignored", F.col("silence").cast("long").alias("silence"), F.col("trim").cast("long").alias("trim"))
+    at = (F.col("turn") * 30 + (F.col("conv_id") * 7 + F.col("turn") * 13) % 25).cast("long")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", at.alias("at"), (10 + F.length("text") % 60).cast("long").alias("n"), F.when(F.col("turn") % 5 == 3, "b").otherwise("a").alias("shape"))
+    return live.audio_timeline(c, "conv_id", "turn", "at", "n", 4, 40, cap=200, shape="shape").select("conv_id", F.col("turn").cast("long").alias("turn"), "silence", "trim", "kept")
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL '6 hours', ts)) // 1000000 AS start, count(*) AS frames, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -54,7 +76,7 @@ def aud01_remix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An 8x8 frame for each embedding."""
     digits = F.array_join(F.transform("y", lambda v: F.lpad(F.hex(F.floor(v)), 2, "0")), "")
-    return planes(spark, sf_dir).where("size(y) = 64").select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(digits).alias("pixels"))
+    return planes(spark, sf_dir).select("vec_id", F.expr("if(size(y) % 8 = 0, size(y) div 8, size(y))").cast("int").alias("width"), F.expr("if(size(y) % 8 = 0, 8, 1)").alias("height"), F.unhex(digits).alias("pixels"))
 
 
 @query(r"WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(least(255.0, greatest(0.0, 128 + 255 * CAST(x AS DOUBLE)))) AS INTEGER)) AS y FROM embeddings) SELECT vec_id, array_to_string(list_transform(range(0, 64), lambda i: lpad(upper(to_hex(255 - y[i // 8 * 8 + 8 - i % 8])), 2, '0')), '') AS pixels FROM p")

@@ -72,10 +72,18 @@ def top12_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.first_of_each(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 10).select("user_id", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT l_orderkey AS frame, l_returnflag AS label, l_extendedprice AS score, CAST(l_partkey % 100 AS DOUBLE) AS x0, CAST(l_suppkey % 100 AS DOUBLE) AS y0, CAST(l_quantity AS DOUBLE) AS w FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, x0, y0, x0 + w, y0 + w, label) AS n FROM b),
+r AS (SELECT frame, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(n BIGINT, label VARCHAR, x0 DOUBLE, y0 DOUBLE, w DOUBLE)[]) AS kept FROM o WHERE n = 1
+UNION ALL SELECT o.frame, o.n, CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda k: k.label = o.label AND
+greatest(0.0, least(k.x0 + k.w, o.x0 + o.w) - greatest(k.x0, o.x0)) * greatest(0.0, least(k.y0 + k.w, o.y0 + o.w) - greatest(k.y0, o.y0)) /
+greatest(k.w * k.w + o.w * o.w - greatest(0.0, least(k.x0 + k.w, o.x0 + o.w) - greatest(k.x0, o.x0)) * greatest(0.0, least(k.y0 + k.w, o.y0 + o.w) - greatest(k.y0, o.y0)), 1e-12) > 0.1)) = 0
+THEN list_append(kept, {'n': o.n, 'label': o.label, 'x0': o.x0, 'y0': o.y0, 'w': o.w}) ELSE kept END FROM r JOIN o ON o.frame = r.frame AND o.n = r.n + 1),
+l AS (SELECT frame, arg_max(kept, n) AS kept FROM r GROUP BY 1), k AS (SELECT frame, unnest(kept).n AS n FROM l)
+SELECT o.frame, label, score, x0, y0, x0 + w AS x1, y0 + w AS y1 FROM k JOIN o USING (frame, n)""")
 def top13_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes from the lines of an order; tests compare with a plain loop."""
-    return selection.suppressed(boxes(spark, sf_dir), "frame", "label", "score", 0.4, 5)
+    """Boxes from the lines of an order."""
+    return selection.suppressed(boxes(spark, sf_dir), "frame", "label", "score", 0.1, 3)
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,16 +124,14 @@ def agg06_ssim_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HSH-01/02/05: average and difference hashes of the 8x8 planes, the first bit most significant."""
-    bits = lambda flags: F.aggregate(flags, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
-    p = planes(spark, sf_dir).where("size(y) = 64").withColumn("mean", F.aggregate("y", F.lit(0.0), lambda a, v: a + v) / 64)
-    average = F.transform("y", lambda v: (v > F.col("mean")).cast("long"))
-    steps = F.expr("transform(filter(sequence(0, 62), i -> i % 8 < 7), i -> cast(y[i + 1] > y[i] as bigint))")
-    return p.select("vec_id", bits(average).alias("ahash"), bits(steps).alias("dhash"))
+    """HSH-01/02/05: average and difference hashes of the planes, in whole steps of luma."""
+    p = planes(spark, sf_dir).select("vec_id", F.transform("y", lambda v: F.floor(v)).alias("y"), F.expr("if(size(y) % 8 = 0, size(y) div 8, size(y))").alias("w"), F.expr("if(size(y) % 8 = 0, 8, 1)").alias("h"))
+    return p.select("vec_id", picture.average_hash("y", "w", "h").alias("ahash"), picture.difference_hash("y", "w", "h").alias("dhash"))
 
 
-_Y = "p AS (SELECT vec_id, list_transform(embedding, lambda x: least(255.0, greatest(0.0, 128 + 255 * CAST(x AS DOUBLE)))) AS y FROM embeddings)"
-_HASH = f"{_Y}, m AS (SELECT vec_id, y, list_sum(y) / 64 AS mean FROM p), h AS (SELECT vec_id, array_to_string(list_transform(y, lambda v: CASE WHEN v > mean THEN '1' ELSE '0' END), '') AS bits, array_to_string(list_transform(list_filter(range(0, 63), lambda i: i % 8 < 7), lambda i: CASE WHEN y[i + 2] > y[i + 1] THEN '1' ELSE '0' END), '') AS steps FROM m)"
+_HASH = """p AS (SELECT vec_id, list_transform(embedding, lambda x: floor(least(255.0, greatest(0.0, 128 + 255 * CAST(x AS DOUBLE))))) AS y FROM embeddings),
+m AS (SELECT vec_id, y, list_sum(y) / 64 AS mean, list_transform(range(0, 72), lambda i: CAST(list_sum(list_transform(range(0, 8), lambda x: y[CAST(i // 9 * 8 + x + 1 AS INTEGER)] * greatest(0.0, least((i % 9 + 1) * 8 / CAST(9 AS DOUBLE), x + 1) - greatest(i % 9 * 8 / CAST(9 AS DOUBLE), x)))) / (8 / CAST(9 AS DOUBLE)) AS FLOAT)) AS c FROM p),
+h AS (SELECT vec_id, array_to_string(list_transform(y, lambda v: CASE WHEN v > mean THEN '1' ELSE '0' END), '') AS bits, array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN c[CAST(i // 8 * 9 + i % 8 + 2 AS INTEGER)] > c[CAST(i // 8 * 9 + i % 8 + 1 AS INTEGER)] THEN '1' ELSE '0' END), '') AS steps FROM m)"""
 
 
 @query(f"WITH {_HASH} SELECT vec_id, bits FROM h")
@@ -135,19 +141,23 @@ def hsh01_ahash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_HASH} SELECT vec_id, steps AS bits FROM h")
 def hsh02_dhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashes(spark, sf_dir).select("vec_id", F.lpad(F.bin("dhash"), 56, "0").alias("bits"))
+    return hashes(spark, sf_dir).select("vec_id", F.lpad(F.bin("dhash"), 64, "0").alias("bits"))
 
 
-@query(f"WITH {_HASH}, r AS (SELECT steps, min(vec_id) AS k FROM h GROUP BY 1) SELECT a.k AS a, b.k AS b, CAST(hamming(a.steps, b.steps) AS INTEGER) AS distance FROM r a JOIN r b ON a.k < b.k AND hamming(a.steps, b.steps) <= 15")
+#: Bits in which hashes may differ to be a pair, and parts they are filed by.
+NEAR, PARTS = 14, 5
+
+
+@query(f"WITH {_HASH}, r AS (SELECT steps, min(vec_id) AS k FROM h GROUP BY 1) SELECT a.k AS a, b.k AS b, CAST(hamming(a.steps, b.steps) AS INTEGER) AS distance FROM r a JOIN r b ON a.k < b.k AND hamming(a.steps, b.steps) <= {NEAR}")
 def jon09_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.hamming_pairs(hashes(spark, sf_dir), "vec_id", "dhash", 15, bands=16, bits=56)
+    return joins.hamming_pairs(hashes(spark, sf_dir), "vec_id", "dhash", NEAR, PARTS)
 
 
-@query(f"""WITH {_HASH}, r AS (SELECT steps, min(vec_id) AS k, count(*) AS n FROM h GROUP BY 1), l AS (SELECT a.k AS k, sum(b.n) AS near FROM r a JOIN r b ON a.k <> b.k AND hamming(a.steps, b.steps) <= 15 GROUP BY 1)
+@query(f"""WITH {_HASH}, r AS (SELECT steps, min(vec_id) AS k, count(*) AS n FROM h GROUP BY 1), l AS (SELECT a.k AS k, sum(b.n) AS near FROM r a JOIN r b ON a.k <> b.k AND hamming(a.steps, b.steps) <= {NEAR} GROUP BY 1)
 SELECT vec_id, k AS class_id, CAST(n - 1 + coalesce(near, 0) AS BIGINT) AS links FROM h JOIN r USING (steps) LEFT JOIN l USING (k)""")
 def jon09_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hashes(spark, sf_dir)
-    return joins.hamming_members(h, "vec_id", "dhash", joins.hamming_pairs(h, "vec_id", "dhash", 15, bands=16, bits=56))
+    return joins.hamming_members(h, "vec_id", "dhash", joins.hamming_pairs(h, "vec_id", "dhash", NEAR, PARTS))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, sha1(text) AS sha1, md5(text) AS md5 FROM documents")

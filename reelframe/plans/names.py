@@ -68,7 +68,7 @@ def met02_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type AS model FROM events")
 def met03_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     device = F.create_map(F.lit("model"), F.col("event_type"), F.lit("serial"), F.col("user_id").cast("string"), F.lit("owner"), F.lit("x"))
-    kept = metadata.kept_device(device, ["model"], "keep")
+    kept = metadata.kept_device(device, "keep")
     return table(spark, sf_dir, "events").select("event_id", kept.alias("k")).where("size(k) = 1").select("event_id", F.col("k")["model"].alias("model"))
 
 
@@ -83,16 +83,21 @@ def agg13_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metadata.category_sets(table(spark, sf_dir, "events"), "user_id", "event_type").select("user_id", F.array_join("categories", ",").alias("categories"))
 
 
-@query("""WITH t AS (SELECT user_id, event_id, value, CASE event_type WHEN 'view' THEN 'title' WHEN 'click' THEN 'artist' WHEN 'signup' THEN 'capture_time' WHEN 'purchase' THEN 'make' ELSE 'unclassified' END AS field FROM events)
-SELECT user_id, field, arg_min(value, event_id) AS value FROM t GROUP BY 1, 2""")
+@query("""WITH t AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'v' || event_id END AS value, CASE event_type WHEN 'view' THEN 'display_name' WHEN 'click' THEN 'performer' WHEN 'signup' THEN 'capture_time' WHEN 'purchase' THEN 'make' ELSE 'unclassified' END AS field FROM events)
+SELECT user_id, field, arg_min(value, event_id) AS value FROM t WHERE value <> '' GROUP BY 1, 2""")
 def met06_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tag = F.when(F.col("event_type") == "view", " NAM").when(F.col("event_type") == "click", "Performer").when(F.col("event_type") == "signup", "creation-time").when(F.col("event_type") == "purchase", "Manufacturer").otherwise("error")
-    return metadata.first_values(table(spark, sf_dir, "events").withColumn("tag", tag), "user_id", "tag", "value", "event_id").select("user_id", "field", "value")
+    tag = F.when(F.col("event_type") == "view", "Display Name").when(F.col("event_type") == "click", "Performer").when(F.col("event_type") == "signup", "creation-time").when(F.col("event_type") == "purchase", "Manufacturer").otherwise("error")
+    value = F.when(F.col("event_id") % 3 == 0, " \0").otherwise(F.concat(F.lit(" v"), F.col("event_id").cast("string"), F.lit("\0")))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", tag.alias("tag"), value.alias("value"))
+    return metadata.first_values(e, "user_id", "tag", "value", "event_id").select("user_id", "field", "value")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'a,b,c' ELSE 'a,b,c,d' END AS united, CASE WHEN p_size % 2 = 0 THEN 'b' ELSE 'b' END AS common, p_size % 2 = 0 AND false AS holds FROM part")
+@query("""WITH s AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ['a', 'b'] ELSE ['c', 'a'] END AS a, CASE p_size % 3 WHEN 0 THEN ['b'] WHEN 1 THEN ['c', 'a'] ELSE ['d'] END AS b FROM part)
+SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS united, array_to_string(list_sort(list_filter(a, lambda x: list_contains(b, x))), ',') AS common, list_has_all(a, b) AS holds FROM s""")
 def set05_stage_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.array(F.lit("a"), F.lit("b")), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("b"), F.lit("c"), F.lit("d")))
+    of = lambda *names: F.array(*map(F.lit, names))
+    a = F.when(F.col("p_size") % 2 == 0, of("a", "b")).otherwise(of("c", "a"))
+    b = F.when(F.col("p_size") % 3 == 0, of("b")).when(F.col("p_size") % 3 == 1, of("c", "a")).otherwise(of("d"))
     s = table(spark, sf_dir, "part").select("p_partkey", metadata.stage_sets(a, b).alias("s"))
     return s.select("p_partkey", F.array_join("s.united", ",").alias("united"), F.array_join("s.common", ",").alias("common"), "s.holds")
 

@@ -79,9 +79,14 @@ def win03_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.unwrapped(wrapped(spark, sf_dir), "user_id", "n", "m", bits=32).select("user_id", "event_id", "unwrapped")
 
 
-@query(f"WITH {_WRAP}, b AS (SELECT user_id, event_id, n, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY n) > 86400000 THEN 1 ELSE 0 END AS b FROM u) SELECT user_id, event_id, CAST(sum(b) OVER (PARTITION BY user_id ORDER BY n) AS BIGINT) AS segment FROM b")
+@query("""WITH w AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n, (epoch_us(ts) // 1000) % 4294967296 AS m FROM events),
+l AS (SELECT *, lag(m) OVER (PARTITION BY user_id ORDER BY n) AS p FROM w),
+b AS (SELECT *, p IS NOT NULL AND (event_type = 'error' OR ((m - p + 6442450944) % 4294967296) - 2147483648 NOT BETWEEN 0 AND 86400000) AS broken FROM l)
+SELECT user_id, event_id, broken, CAST(count_if(broken) OVER (PARTITION BY user_id ORDER BY n) AS BIGINT) AS segment FROM b""")
 def win04_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.time_base_breaks(wrapped(spark, sf_dir), "user_id", "n", "t", 86_400_000).select("user_id", "event_id", "segment")
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "error").alias("flag"))
+    w = wrapped(spark, sf_dir).join(e, "event_id")
+    return segments.time_base_breaks(w, "user_id", "n", "m", 86_400_000, flag="flag", bits=32).select("user_id", "event_id", "broken", "segment")
 
 
 _CUES = "c AS (SELECT conv_id, turn, CAST(turn * 30 AS BIGINT) AS start, CAST(10 + length(text) % 60 AS BIGINT) AS duration, text FROM conversations)"
@@ -92,9 +97,11 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 30).cast("long").alias("start"), (10 + F.length("text") % 60).cast("long").alias("duration"), "text")
 
 
-@query(f"WITH {_CUES} SELECT conv_id, turn, start, greatest(least(start + duration, coalesce(lead(start) OVER (PARTITION BY conv_id ORDER BY start, turn), start + duration)) - start, 1) AS duration FROM c")
+@query(f"""WITH {_CUES}, z AS (SELECT conv_id, turn, start, CASE WHEN turn % 4 = 2 THEN 0 ELSE duration END AS d FROM c), n AS (SELECT *, lead(start) OVER (PARTITION BY conv_id ORDER BY start, turn) AS nx FROM z),
+o AS (SELECT conv_id, turn, start, CASE WHEN start + d > nx THEN greatest(nx - start, 1) ELSE d END AS duration FROM n) SELECT * FROM o WHERE duration > 0""")
 def win05_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.without_overlap(cues(spark, sf_dir), "conv_id", "start", "duration", "turn").select("conv_id", "turn", "start", "duration")
+    c = cues(spark, sf_dir).withColumn("duration", F.when(F.col("turn") % 4 == 2, 0).otherwise(F.col("duration")).cast("long"))
+    return segments.without_overlap(c, "conv_id", "start", "duration", "turn").select("conv_id", "turn", "start", "duration")
 
 
 _SEGMENTS = "g AS (SELECT conv_id, unnest(range(0, max(start + duration) // 40 + 1)) AS n FROM c GROUP BY 1)"
@@ -127,10 +134,26 @@ def win15_rebased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.rebased(cues(spark, sf_dir), "start", "duration", 45, 200).select("conv_id", "turn", "start", "duration")
 
 
-@query(f"""WITH {_CUES}, w AS (SELECT *, start + duration AS e FROM c), v AS (SELECT *, lead(start) OVER o AS nx, lag(e) OVER o AS pe FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY start))
-SELECT conv_id, turn, greatest(coalesce(nx, e), e) - start AS lasts, coalesce(pe - start > duration / 2, false) AS dropped FROM v""")
+#: A picture each 7 ticks, but for a hole in the video from 95 to 150.
+_PICTURES = "p AS (SELECT conv_id, pts, row_number() OVER (PARTITION BY conv_id ORDER BY pts) - 1 AS frame FROM (SELECT conv_id, unnest(range(0, max(start + duration), 7)) AS pts FROM a GROUP BY 1) WHERE pts < 95 OR pts >= 150)"
+
+
+@query(f"""WITH RECURSIVE {_CUES}, a AS (SELECT conv_id, turn, start + CASE WHEN turn % 3 = 2 THEN -14 ELSE turn % 4 * 9 END AS start, 14 + duration % 20 AS duration, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM c), {_PICTURES},
+t AS (SELECT conv_id, turn, start AS t FROM a UNION ALL SELECT conv_id, turn, start + duration FROM a),
+s AS (SELECT t.conv_id, t.t, arg_min(frame * 7 + t.t - pts, abs(t.t - pts) * 100000 + pts) AS shown FROM t JOIN p ON t.conv_id = p.conv_id GROUP BY 1, 2),
+b AS (SELECT a.*, x.shown AS since, y.shown AS upto FROM a JOIN s x ON x.conv_id = a.conv_id AND x.t = a.start JOIN s y ON y.conv_id = a.conv_id AND y.t = a.start + a.duration),
+r AS (SELECT conv_id, turn, n, start AS expect, since AS shown, CAST(0 AS BIGINT) AS hole, false AS dropped, false AS kept, duration FROM b WHERE n = 1 AND false UNION ALL SELECT conv_id, turn, n, start + duration, upto, CAST(0 AS BIGINT), false, true, duration FROM b WHERE n = 1
+UNION ALL SELECT conv_id, turn, n, CASE WHEN late THEN expect ELSE start + duration END, CASE WHEN late THEN shown ELSE upto END, CASE WHEN NOT late AND off > duration // 2 THEN off ELSE 0 END, late, true, duration
+FROM (SELECT *, own < -(duration // 2) OR off < -(duration // 2) AS late FROM (SELECT b.*, r.expect, r.shown, b.start - r.expect AS own, CASE WHEN b.start - r.expect > b.duration // 2 THEN b.since - r.shown ELSE 0 END AS off FROM r JOIN b ON b.conv_id = r.conv_id AND b.n = r.n + 1)))
+SELECT conv_id, turn, hole, dropped, CASE WHEN dropped THEN 0 ELSE duration + coalesce((SELECT q.hole FROM r q WHERE q.conv_id = r.conv_id AND q.n > r.n AND NOT q.dropped ORDER BY q.n LIMIT 1), 0) END AS lasts FROM r""")
 def win06_audio_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.placed_audio(cues(spark, sf_dir), "conv_id", "start", "duration").select("conv_id", "turn", "lasts", "dropped")
+    start = F.col("start") + F.when(F.col("turn") % 3 == 2, -14).otherwise(F.col("turn") % 4 * 9)
+    a = cues(spark, sf_dir).select("conv_id", "turn", start.cast("long").alias("start"), (14 + F.col("duration") % 20).alias("duration"))
+    last = a.groupBy("conv_id").agg(F.max(F.col("start") + F.col("duration")).alias("end"))
+    p = last.select("conv_id", F.explode(F.expr("sequence(0, end - 1, 7)")).alias("pts")).where("pts < 95 or pts >= 150")
+    # The pictures from 150 on come after the 14 before 95.
+    p = p.withColumn("frame", F.when(F.col("pts") < 95, F.floor(F.col("pts") / 7)).otherwise(F.floor((F.col("pts") - 154) / 7) + 14))
+    return segments.placed_audio(a, "conv_id", "turn", "start", "duration", p, 7).select("conv_id", "turn", "hole", "dropped", "lasts")
 
 
 _CUT = """WITH RECURSIVE p AS (SELECT s, arrival, duration, arrival % 2 = 1 AS key, coalesce(sum(duration) OVER (PARTITION BY s ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM (SELECT l_orderkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS arrival, CAST(l_quantity AS BIGINT) AS duration FROM lineitem)),
@@ -150,11 +173,24 @@ def win08_length_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.cut_by_length(packets(spark, sf_dir), "s", "arrival", "duration", 60).select("s", "arrival", F.col("segment").cast("long").alias("segment"))
 
 
-@query("""WITH s AS (SELECT l_returnflag AS r, l_linenumber AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2), e AS (SELECT r, n, sum(q) OVER (PARTITION BY r ORDER BY n) AS e FROM s)
-SELECT n AS sequence, round(max(e) - min(e), 6) AS drift, count(*) AS renditions, max(e) - min(e) <= 1000 AS aligned FROM e GROUP BY 1""")
+@query("""WITH s AS (SELECT l_orderkey % 50 AS ladder, l_returnflag AS r, l_linenumber AS n, floor(avg(l_quantity)) AS q FROM lineitem WHERE l_orderkey % 50 = 7 AND NOT (l_returnflag = 'R' AND l_linenumber > 6) GROUP BY 1, 2, 3),
+e AS (SELECT r, sum(q) OVER (PARTITION BY r ORDER BY n) AS e, row_number() OVER (PARTITION BY r ORDER BY n) AS boundary FROM s), c AS (SELECT r, count(*) AS n FROM e GROUP BY 1)
+SELECT boundary, max(abs(e - own)) AS drift, count(*) AS renditions, (SELECT min(n) = max(n) FROM c) AND count(*) = (SELECT count(*) FROM c) AND coalesce(max(abs(e - own)) <= 3, false) AS aligned FROM (SELECT e.*, (SELECT x.e FROM e x WHERE x.boundary = e.boundary AND x.r = (SELECT min(r) FROM c)) AS own FROM e) GROUP BY 1""")
 def win09_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("r"), F.col("l_linenumber").alias("sequence")).agg(F.sum("l_quantity").alias("q"))
-    return segments.alignment(s, "r", "sequence", "q", 1000.0).withColumn("drift", F.round("drift", 6))
+    """Renditions of which one has a segment less: no boundary is aligned, however small the drift."""
+    return segments.alignment(rendition_seconds(spark, sf_dir).where("not (r = 'R' and sequence > 6)"), "r", "sequence", "q", 3.0)
+
+
+def rendition_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 7")
+    return rows.groupBy(F.col("l_returnflag").alias("r"), F.col("l_linenumber").alias("sequence")).agg(F.floor(F.avg("l_quantity")).cast("double").alias("q"))
+
+
+@query("""WITH s AS (SELECT l_returnflag AS r, l_linenumber AS n, floor(avg(l_quantity)) AS q FROM lineitem WHERE l_orderkey % 50 = 7 GROUP BY 1, 2), e AS (SELECT r, sum(q) OVER (PARTITION BY r ORDER BY n) AS e, row_number() OVER (PARTITION BY r ORDER BY n) AS boundary FROM s)
+SELECT e.boundary, max(abs(e.e - x.e)) AS drift, count(*) AS renditions, max(abs(e.e - x.e)) <= 3 AS aligned FROM e JOIN e x ON x.boundary = e.boundary AND x.r = 'N' GROUP BY 1""")
+def jon10_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renditions of as many segments each, against a named base."""
+    return segments.alignment(rendition_seconds(spark, sf_dir), "r", "sequence", "q", 3.0, base="N")
 
 
 @query("SELECT o_orderkey, CASE WHEN abs(o_totalprice / 1000 - o_custkey / 10.0) > 120 THEN 'fail' WHEN abs(o_totalprice / 1000 - o_custkey / 10.0) > 40 THEN 'warn' ELSE 'ok' END AS verdict FROM orders")
@@ -184,8 +220,8 @@ def jon05_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT s, arrival, coalesce(sum(duration) OVER (PARTITION BY s ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(duration) OVER (PARTITION BY s ORDER BY arrival) AS e FROM (SELECT l_orderkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS arrival, CAST(l_quantity AS BIGINT) AS duration FROM lineitem)),
-f AS (SELECT s, min(arrival) AS n, min(a) AS t FROM p WHERE a < 90 AND e > 60 GROUP BY 1)
-SELECT p.s, p.arrival, NOT (a < 90 AND e > 60) AS preroll FROM p LEFT JOIN f USING (s) WHERE (a < 90 AND e > 60) OR (arrival < n AND (arrival >= n - 1 OR e > t - 40))""")
+f AS (SELECT s, min(arrival) AS n FROM p WHERE a < 90 AND e > 60 GROUP BY 1)
+SELECT p.s, p.arrival, NOT (a < 90 AND e > 60) AS preroll FROM p LEFT JOIN f USING (s) WHERE (a < 90 AND e > 60) OR (arrival < n AND (arrival >= n - 1 OR e > 60 - 40))""")
 def jon03_preroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -195,15 +231,16 @@ def jon03_preroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.prerolled(p, "s", "arrival", "start", "end", (60, 90), 1, 40).select("s", "arrival", "preroll")
 
 
-@query("""WITH r AS (SELECT p_partkey, p_brand, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) - 1 AS pos FROM part),
+@query("""WITH r AS (SELECT p_partkey, copy, p_size, row_number() OVER (PARTITION BY p_partkey // 8, copy ORDER BY p_size DESC, p_partkey) - 1 AS pos FROM part, range(0, 2) x(copy)),
 u(ord, sel, v, qd, codec, crf) AS (VALUES (1, 'any', 0, 0, 'h264', 30), (2, 'top', 0, -3, 'av1', NULL), (3, 'below_top', 0, 2, NULL, 34), (4, 'step', 2, 1, 'h265', NULL), (5, 'short_le', 10, 4, NULL, 40), (6, 'short_ge', 45, -1, 'vp9', NULL)),
 j AS (SELECT * FROM r JOIN u ON sel = 'any' OR (sel = 'top' AND pos = 0) OR (sel = 'below_top' AND pos > 0) OR (sel = 'step' AND pos = v) OR (sel = 'short_le' AND p_size <= v) OR (sel = 'short_ge' AND p_size >= v))
-SELECT p_partkey, CAST(sum(qd) AS INTEGER) AS quality_delta, max_by(codec, ord) FILTER (codec IS NOT NULL) AS codec, max_by(crf, ord) FILTER (crf IS NOT NULL) AS crf FROM j GROUP BY 1""")
+SELECT p_partkey, CAST(sum(qd) AS INTEGER) AS quality_delta, max_by(codec, ord) FILTER (codec IS NOT NULL) AS codec, max_by(crf, ord) FILTER (crf IS NOT NULL) AS crf FROM j GROUP BY p_partkey, copy""")
 def jon06_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey")) - 1
+    place = F.row_number().over(Window.partitionBy(F.floor(F.col("p_partkey") / 8)).orderBy(F.desc("p_size"), "p_partkey")) - 1
     rungs = table(spark, sf_dir, "part").select("p_partkey", place.alias("position"), F.col("p_size").alias("short_side"))
+    rungs = rungs.union(rungs)  # equal rungs stay rows of their own
     rules = spark.createDataFrame([(1, "any", 0, 0, "h264", 30), (2, "top", 0, -3, "av1", None), (3, "below_top", 0, 2, None, 34), (4, "step", 2, 1, "h265", None), (5, "short_le", 10, 4, None, 40), (6, "short_ge", 45, -1, "vp9", None)], "ord int, selector string, value int, quality_delta int, codec string, crf int")
     return joins.with_rules(rungs, rules, ["codec", "crf"]).select("p_partkey", "quality_delta", "codec", "crf")
 
@@ -215,21 +252,23 @@ def jon07_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_defaults(jobs, defaults, ["preset"], ["place"]).select("c_custkey", "preset")
 
 
-@query("""WITH r AS (SELECT p_partkey, p_brand, p_size // 5 AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part), f AS (SELECT *, min(pos) OVER (PARTITION BY p_brand, w) AS m FROM r)
+@query("""WITH r AS (SELECT p_partkey, p_partkey // 8 AS ladder, p_size // 15 AS w, row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) - 1 AS pos FROM part), f AS (SELECT *, min(pos) OVER (PARTITION BY ladder, w) AS m FROM r)
 SELECT p_partkey, CASE WHEN pos <> m THEN m END AS same_as FROM f""")
 def jon08_same_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.distinct_placements(placed_rungs(spark, sf_dir), "ladder", "pos", ["w"]).select("p_partkey", "same_as")
+
+
+def placed_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ladders of eight rungs."""
     from pyspark.sql import Window
 
-    rungs = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.floor(F.col("p_size") / 5).alias("w"), (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long").alias("pos"))
-    return joins.distinct_placements(rungs, "p_brand", "pos", ["w"]).select("p_partkey", "same_as")
+    rungs = table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 8).alias("ladder"), F.floor(F.col("p_size") / 15).alias("w"))
+    return rungs.withColumn("pos", (F.row_number().over(Window.partitionBy("ladder").orderBy("p_partkey")) - 1).cast("long"))
 
 
-@query("""WITH r AS (SELECT p_partkey, p_brand, p_size // 5 AS w, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos FROM part) SELECT p_partkey FROM r QUALIFY row_number() OVER (PARTITION BY p_brand, w ORDER BY pos) = 1""")
+@query("""WITH r AS (SELECT p_partkey, p_partkey // 8 AS ladder, p_size // 15 AS w, row_number() OVER (PARTITION BY p_partkey // 8 ORDER BY p_partkey) AS pos FROM part) SELECT p_partkey FROM r QUALIFY row_number() OVER (PARTITION BY ladder, w ORDER BY pos) = 1""")
 def set03_distinct_rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rungs = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.floor(F.col("p_size") / 5).alias("w"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("pos"))
-    return joins.distinct_placements(rungs, "p_brand", "pos", ["w"]).where("same_as is null").select("p_partkey")
+    return joins.distinct_placements(placed_rungs(spark, sf_dir), "ladder", "pos", ["w"]).where("same_as is null").select("p_partkey")
 
 
 @query("""WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE source < 'src15'), b AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS place FROM documents WHERE source >= 'src15')
@@ -259,8 +298,10 @@ def agg14_variant_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.variant_rates(v, two(table(spark, sf_dir, "part"), "p_size"), two(table(spark, sf_dir, "supplier"), "s_nationkey"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, '#EXTINF:' || format('{:.3f}', l_quantity) || ',' || chr(10) || 'seg' || l_linenumber || '.m4s' || chr(10) AS line FROM lineitem)
-SELECT l_orderkey, sha256('#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || CAST(CAST(ceil(max(l_quantity)) AS BIGINT) AS VARCHAR) || chr(10) || string_agg(line, '' ORDER BY l_linenumber, line) || '#EXT-X-ENDLIST' || chr(10)) AS playlist FROM l GROUP BY 1""")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, '#EXTINF:' || format('{:.6f}', l_quantity) || ',' || chr(10) || 'seg' || l_linenumber || '.m4s' || chr(10) AS line FROM lineitem),
+p AS (SELECT l_orderkey, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || CAST(CAST(ceil(max(l_quantity)) AS BIGINT) AS VARCHAR) || chr(10) || '#EXT-X-PLAYLIST-TYPE:' AS head, chr(10) || '#EXT-X-MAP:URI="init.mp4"' || chr(10) || string_agg(line, '' ORDER BY l_linenumber, line) AS body FROM l GROUP BY 1)
+SELECT l_orderkey, sha256(head || 'VOD' || body || '#EXT-X-ENDLIST' || chr(10)) AS playlist, sha256(head || 'EVENT' || body) AS growing FROM p""")
 def txt18_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("uri", F.concat(F.lit("seg"), F.col("l_linenumber").cast("string"), F.lit(".m4s")))
-    return segments.media_playlist(rows, "l_orderkey", "l_linenumber", "l_quantity", "uri").select("l_orderkey", F.sha2("playlist", 256).alias("playlist"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.concat(F.lit("seg"), F.col("l_linenumber").cast("string"), F.lit(".m4s")).alias("uri"))
+    done, live = (segments.media_playlist(rows, "l_orderkey", "l_linenumber", "l_quantity", "uri", live=x) for x in (False, True))
+    return done.join(live.withColumnRenamed("playlist", "growing"), "l_orderkey").select("l_orderkey", F.sha2("playlist", 256).alias("playlist"), F.sha2("growing", 256).alias("growing"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import files, frames, live, measures, names, timelines
+from .plans import files, frames, hooks, live, measures, names, timelines
 from .plans.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "files", "frames", "live", "measures", "names", "timelines"]
+__all__ = ["ORACLE_SQL", "QUERIES", "files", "frames", "hooks", "live", "measures", "names", "timelines"]

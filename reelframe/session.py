@@ -1,4 +1,4 @@
-"""What the Python workers need from the session: this package, and batches that fit their memory."""
+"""What the Python workers need from the session: this package. Batches are left as the session has them: Spark bounds their bytes."""
 
 from __future__ import annotations
 
@@ -21,9 +21,3 @@ def ship(spark: SparkSession) -> None:
         shutil.copytree(home, f"{room}/tree/{home.name}", ignore=shutil.ignore_patterns("__pycache__"))
         context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{home.name}", "zip", f"{room}/tree"))
     _shipped.add(context.applicationId)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that go to Python at once: texts and pixels are long, and the default of 10,000 rows holds too much memory."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,50 +1,157 @@
-"""The live timeline: frames and audio placed on slots by their timestamps, on batches and on streams.
+"""The live timeline: pictures and sound placed by their timestamps, on tables and on streams.
 
-The batch forms are window functions. The stream keeps a few numbers for each source in
-``applyInPandasWithState``; segments by time are windowed aggregates behind a watermark.
+Where a picture goes depends on all that was written before it, so both forms walk over a source's rows in
+order of arrival with a few numbers of state, and share the step (``Clock``). Segments by time are windowed
+aggregates behind a watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.timebase import live_slot
+from ..operators.passes import walked
+from ..operators.segments import media_playlist
+from ..session import ship
 
 #: Ticks of a second on the live clock.
 CLOCK = 10_000_000
+#: Pictures of a source that may wait; one more is dropped as behind.
+WAITING = 60
 
 
-def timeline(frames: DataFrame, source: str, order: str, time: str, rate_num: int, rate_den: int, max_gap: int) -> DataFrame:
-    """STR-01, AGG-11 on a table: ``slot``, ``status`` (write, drop or reanchor) and ``repeats`` of each frame.
+def nearest(ticks: int, num: int, den: int) -> int:
+    """ticks of the live clock as units of den / num seconds, to the nearest, halves away from zero."""
+    per = den * CLOCK
+    return (abs(ticks) * num * 2 + per) // (per * 2) * (1 if ticks >= 0 else -1)
 
-    A frame whose slot is not after all slots before it came late and is dropped; a gap repeats the
-    frame before; a gap of more than ``max_gap`` slots anchors the clock anew, without repeats.
+
+@dataclass(frozen=True)
+class Clock:
+    """Frames of ``rate_num / rate_den`` a second; a jump of more than ``max_gap`` frames anchors anew; ``limit``: frames of the output, at most."""
+
+    rate_num: int
+    rate_den: int
+    max_gap: int
+    limit: int | None = None
+
+    def place(self, start: int | None, written: int, t: int) -> tuple[int, int, int, str, int]:
+        """(start, written, slot, status, repeats) after a picture of time t: write, drop, reanchor, or over past the limit.
+
+        A gap repeats the picture before; a picture whose frame is written already is dropped; one too far off either
+        way moves the start so that it is the next frame.
+        """
+        if self.limit is not None and written >= self.limit:
+            return t if start is None else start, written, written, "over", 0
+        start = t if start is None else start
+        slot = nearest(t - start, self.rate_num, self.rate_den)
+        ahead = slot - written
+        if abs(ahead) > self.max_gap:
+            back = written * CLOCK * self.rate_den // self.rate_num
+            return t - back, written + 1, written, "reanchor", 0
+        if ahead < 0:
+            return start, written, slot, "drop", 0
+        room = ahead + 1 if self.limit is None else self.limit - written
+        if ahead >= room:
+            return start, written + room, slot, "over", room
+        return start, slot + 1, slot, "write", ahead
+
+
+def timeline(frames: DataFrame, source: str, order: str, time: str, rate_num: int, rate_den: int, max_gap: int, limit: int | None = None) -> DataFrame:
+    """STR-01, AGG-11 on a table: ``slot``, ``status``, ``repeats`` and ``start`` (the anchor in use) of each frame, in order of arrival.
+
+    Times are not null. A source is one walk, in bounded memory, as each place depends on the last.
+    """
+    clock = Clock(rate_num, rate_den, max_gap, limit)
+
+    def walk(state: tuple[int, int] | None, times: np.ndarray) -> tuple:
+        start, written = state or (None, 0)
+        slots, statuses, repeats, starts = [], [], [], []
+        for t in times.tolist():
+            start, written, slot, status, again = clock.place(start, written, t)
+            slots.append(slot)
+            statuses.append(status)
+            repeats.append(again)
+            starts.append(start)
+        return (start, written), slots, statuses, repeats, starts
+
+    return walked(frames, source, [order], [time], walk, "slot long, status string, repeats long, start long")
+
+
+@dataclass(frozen=True)
+class Sound:
+    """Samples of ``rate`` a second; drifts up to ``tolerance`` samples stay, beyond ``most`` they are ignored; ``cap``: samples, at most."""
+
+    rate: int
+    tolerance: int
+    most: int
+    cap: int | None = None
+
+    def place(self, written: int, at: int, length: int) -> tuple[int, int, int, int]:
+        """(written, silence before, trim at the head, kept) after ``length`` samples that belong at sample ``at``."""
+        drift, first, silence, trim = at - written, written == 0, 0, 0
+        if (first and 0 < drift <= self.most) or self.tolerance < drift <= self.most:
+            silence = drift if self.cap is None else min(drift, max(self.cap - written, 0))
+        elif drift < 0 and (first or drift < -self.tolerance):
+            trim = min(-drift, length)
+        kept = length - trim
+        if self.cap is not None:
+            kept = min(kept, max(self.cap - written - silence, 0))
+        return written + silence + kept, silence, trim, kept
+
+
+def audio_timeline(packets: DataFrame, source: str, order: str, at: str, length: str, tolerance: int, most: int, cap: int | None = None, shape: str | None = None) -> DataFrame:
+    """STR-03: ``silence`` before, ``trim`` at the head and ``kept`` samples of each packet, in order of arrival.
+
+    ``at``: the sample where the packet belongs. A gap beyond ``tolerance`` (any, before the first sample) is
+    silence; an overlap beyond it (any, before the first sample) is trimmed; a gap of more than ``most`` is ignored, its
+    samples are not. A packet of another ``shape`` than the first one's is left out: nothing of it is kept.
+    """
+    sound = Sound(0, tolerance, most, cap)
+    rows = packets.withColumn("_shape", F.coalesce(F.col(shape).cast("string"), F.lit("")) if shape else F.lit(""))
+
+    def walk(state: tuple[int, str | None] | None, ats: np.ndarray, lengths: np.ndarray, shapes: np.ndarray) -> tuple:
+        written, first = state or (0, None)
+        out: tuple[list, list, list] = ([], [], [])
+        for a, n, s in zip(ats.tolist(), lengths.tolist(), shapes.tolist(), strict=True):
+            first = s if first is None else first
+            found = (written, 0, 0, 0) if s != first else sound.place(written, a, n)
+            written = found[0]
+            for o, v in zip(out, found[1:], strict=True):
+                o.append(v)
+        return (written, first), *out
+
+    return walked(rows, source, [order], [at, length, "_shape"], walk, "silence long, trim long, kept long").drop("_shape")
+
+
+def sound_positions(packets: DataFrame, pictures: DataFrame, source: str, order: str, time: str, rate: int) -> DataFrame:
+    """``packets`` with ``at``: the sample where each belongs, from the anchor (``start`` of ``timeline``) in use when it arrived.
+
+    Packets that arrive before the first picture wait for it. One sort of both; no pair of rows is made.
     """
+    both = packets.withColumn("_start", F.lit(None).cast("long")).unionByName(pictures.select(source, order, F.col("start").alias("_start")), allowMissingColumns=True)
     w = Window.partitionBy(source).orderBy(order)
-    start = F.first(time).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = frames.withColumn("slot", live_slot(F.col(time), start, rate_num, rate_den))
-    before = F.max("slot").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.col("slot") - F.coalesce(before, F.col("slot") - 1) - 1
-    status = F.when(ahead > max_gap, "reanchor").when(ahead < 0, "drop").otherwise("write")
-    return out.withColumn("status", status).withColumn("repeats", F.when(status == "write", ahead).otherwise(0).cast("long"))
+    last = F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.first("_start", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ticks = (F.col(time) - F.coalesce("_last", "_next")) * rate
+    at = F.signum(ticks) * F.floor((F.abs(ticks) * 2 + CLOCK) / (2 * CLOCK))
+    return both.withColumn("_last", last).withColumn("_next", following).where("_start is null").withColumn("at", at.cast("long")).drop("_start", "_last", "_next")
 
 
-def audio_timeline(packets: DataFrame, source: str, order: str, start: str, length: str, tolerance: int, most: int) -> DataFrame:
-    """STR-03: ``silence`` before and ``trim`` at the head of each packet; packets more than ``most`` ahead are ``ignored``."""
+def shape_changes(frames: DataFrame, source: str, order: str, width: str, height: str, kind: str) -> DataFrame:
+    """STR-06: of written frames: ``out_width`` and ``out_height`` (of the source's first one), ``rescaled`` to these, and ``renewed`` where ``kind`` (format and colour) is not that of the frame before."""
     w = Window.partitionBy(source).orderBy(order)
-    end = F.max(F.col(start) + F.col(length)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.col(start) - F.coalesce(end, F.lit(0))
-    first = end.isNull()
-    ignored = gap > most
-    out = packets.withColumn("ignored", ignored)
-    out = out.withColumn("silence", F.when(~ignored & ((gap > tolerance) | (first & (gap > 0))), gap).otherwise(0))
-    return out.withColumn("trim", F.when(~ignored & (gap < 0), F.least(-gap, F.col(length))).otherwise(0))
+    first = {c: F.first(c).over(w) for c in (width, height)}
+    out = frames.withColumn("out_width", first[width]).withColumn("out_height", first[height])
+    renewed = F.when(F.row_number().over(w) > 1, ~F.col(kind).eqNullSafe(F.lag(kind).over(w))).otherwise(F.lit(False))
+    return out.withColumn("rescaled", (F.col(width) != F.col("out_width")) | (F.col(height) != F.col("out_height"))).withColumn("renewed", renewed)
 
 
 def timed_segments(frames: DataFrame, source: str, time: str, length: str, late: str = "30 seconds", value: str | None = None) -> DataFrame:
@@ -55,61 +162,127 @@ def timed_segments(frames: DataFrame, source: str, time: str, length: str, late:
     return out.select(source, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "frames", *(["total"] if value else []))
 
 
-STATUS = "source string, time long, slot long, status string, repeats long"
-_STATE = "start long, written long"
+STATUS = "source string, arrival long, time long, slot long, status string, repeats long, start long"
+_STATE = "start long, written long, seen boolean"
 
 
-def live_status(stream: DataFrame, source: str, time: str, rate_num: int, rate_den: int, max_gap: int, idle_ms: int | None = None) -> DataFrame:
-    """STR-01/05/11 on a stream: a row for each frame as it is placed, and, with ``idle_ms``, one with status
-    ``idle`` when a source is silent for so long.
+def live_status(stream: DataFrame, source: str, order: str, time: str, rate_num: int, rate_den: int, max_gap: int, limit: int | None = None, idle_ms: int | None = None, waiting: int | None = None) -> DataFrame:
+    """STR-01/02/05/11 on a stream: a row for each frame as it is placed, by the step that ``timeline`` takes.
 
-    State is the anchor and the number of frames written of each source. A jump beyond ``max_gap``
-    slots either way moves the anchor, so that the frame takes the next slot. Frames of one batch
-    are taken in order of time.
+    Frames of one batch are taken by ``order`` (arrival); as batches come in that order, the rows are those of ``timeline``
+    on all of them. With ``waiting``, pictures of a batch beyond so many are ``behind``: dropped, as a live source does
+    not wait; without, a file source waits (``read_arriving``). Past ``limit`` frames the status is ``over``. With ``idle_ms``, a
+    source silent for so long gives a row ``idle`` and its state goes. State: the anchor and the frames written.
     """
+    clock = Clock(rate_num, rate_den, max_gap, limit)
+    names = [x.split()[0] for x in STATUS.split(", ")]
 
     def place(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, written, seen = state.get if state.exists else (0, 0, False)
         if state.hasTimedOut:
-            start, written = state.get
             state.remove()
-            yield pd.DataFrame({"source": [key[0]], "time": [start], "slot": [written], "status": ["idle"], "repeats": [0]})
+            yield pd.DataFrame([(key[0], -1, start, written, "idle", 0, start)], columns=names)
             return
-        start, written = state.get if state.exists else (None, 0)
-        for batch in batches:
-            out = []
-            for t in sorted(batch["time"].tolist()):
-                start = t if start is None else start
-                per = rate_den * CLOCK
-                ticks = (t - start) * rate_num
-                slot = (abs(ticks) * 2 + per) // (per * 2) * (1 if ticks >= 0 else -1)
-                ahead = slot - written
-                if abs(ahead) > max_gap:
-                    start, slot = t - written * per // rate_num, written
-                    out.append((key[0], t, slot, "reanchor", 0))
-                    written += 1
-                elif ahead < 0:
-                    out.append((key[0], t, slot, "drop", 0))
-                else:
-                    out.append((key[0], t, slot, "write", ahead))
-                    written = slot + 1
-            yield pd.DataFrame(out, columns=["source", "time", "slot", "status", "repeats"])
-        state.update((start, written))
+        anchor, out = start if seen else None, []
+        rows = pd.concat(list(batches))[["arrival", "time"]].sort_values("arrival", kind="stable")
+        for n, (arrival, t) in enumerate(rows.itertuples(index=False)):
+            if waiting is not None and n >= waiting:
+                out.append((key[0], int(arrival), int(t), written, "behind", 0, anchor))
+                continue
+            anchor, written, slot, status, repeats = clock.place(anchor, written, int(t))
+            out.append((key[0], int(arrival), int(t), slot, status, repeats, anchor))
+        state.update((anchor or 0, written, anchor is not None))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=names)
 
-    rows = stream.select(F.col(source).cast("string").alias("source"), F.col(time).cast("long").alias("time"))
+    ship(stream.sparkSession)
+    rows = stream.select(F.col(source).cast("string").alias("source"), F.col(order).cast("long").alias("arrival"), F.col(time).cast("long").alias("time"))
     return rows.groupBy("source").applyInPandasWithState(place, STATUS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
+def live_stats(placed: DataFrame, source: str) -> DataFrame:
+    """AGG-11: of each source, the frames of the output, those repeated, and pictures dropped early or behind."""
+    written = F.col("status").isin("write", "reanchor")
+    return placed.groupBy(source).agg(
+        (F.count_if(written) + F.sum("repeats")).alias("frames"), F.sum("repeats").alias("repeated"), F.count_if(F.col("status") == "drop").alias("dropped_early"), F.count_if(F.col("status") == "behind").alias("dropped_behind"), F.count_if(F.col("status") == "reanchor").alias("reanchored")
+    )
+
+
 def read_arriving(spark: SparkSession, path: str, schema: str, files: int = 8) -> DataFrame:
-    """STR-02: Parquet files as they arrive, so many in a batch at most: a file source waits rather than drops."""
+    """STR-02, SRC-29/30: Parquet files as they arrive, so many in a batch at most: a file source waits rather than drops."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def repeated_source(frames: DataFrame, time: str, length: int, times: int) -> DataFrame:
+    """SRC-30: a file played ``times`` times: copies of its rows, each ``length`` ticks later than the one before, with ``round``."""
+    rounds = F.sequence(F.lit(0), F.lit(times - 1))
+    return frames.withColumn("round", F.explode(rounds)).withColumn(time, F.col(time) + F.col("round") * F.lit(length))
+
+
+class Rungs:
+    """STR-08, SNK-21: the outputs of a live stream, each a function (batch, number) that writes one micro-batch.
+
+    A rung that fails is left out from then on, and ``failed`` says why; when all have failed, the stream fails.
+    """
+
+    def __init__(self, rungs: dict[str, Callable[[DataFrame, int], None]]):
+        self.rungs = dict(rungs)
+        self.failed: dict[str, Exception] = {}
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        kept = batch.persist() if len(self.rungs) > 1 else batch
+        try:
+            for name, write in self.rungs.items():
+                if name in self.failed:
+                    continue
+                try:
+                    write(kept, number)
+                except Exception as e:  # whatever ends one rung must not end the others
+                    self.failed[name] = e
+        finally:
+            kept.unpersist()
+        if self.rungs and len(self.failed) == len(self.rungs):
+            raise RuntimeError("every rung failed: " + "; ".join(f"{k}: {v}" for k, v in self.failed.items()))
+
+
+def broadcast_to(stream: DataFrame, rungs: Rungs, checkpoint: str) -> Any:
+    """STR-08: every micro-batch to every rung that still runs."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(rungs).trigger(availableNow=True).start()
+
+
 def publish(stream: DataFrame, path: str, checkpoint: str, by: str) -> Any:
-    """STR-07/08: append what is new below ``path`` for each value of ``by``; the batch number makes a repeated batch overwrite itself."""
+    """STR-07, SNK-21: append what is new below ``path`` for each value of ``by``; the batch number makes a repeated batch overwrite itself."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+
+
+def publish_hls(segments: DataFrame, path: str, checkpoint: str, rendition: str, sequence: str, seconds: str, uri: str, target: int) -> Any:
+    """STR-07, SNK-10: segments as they come below ``path/segments``; after each batch, the growing event playlist of each rendition.
+
+    Playlists are rows (rendition, playlist) in a folder for each batch, ``path/playlists/version=n``: the highest
+    version is the newest, and a reader never sees half a rewrite. ``finish_hls`` writes the last version.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/segments/batch={number}")
+        so_far = batch.sparkSession.read.parquet(f"{path}/segments").where(F.col("batch") <= number)
+        media_playlist(so_far, rendition, sequence, seconds, uri, target=target, live=True).write.mode("overwrite").parquet(f"{path}/playlists/version={number}")
+
+    return segments.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+
+
+def finish_hls(spark: SparkSession, path: str, rendition: str, sequence: str, seconds: str, uri: str, target: int) -> DataFrame:
+    """STR-07: the finished playlists (rendition, playlist), as the version after the last one."""
+    last = spark.read.parquet(f"{path}/playlists").agg(F.max("version")).first()[0]
+    media_playlist(spark.read.parquet(f"{path}/segments"), rendition, sequence, seconds, uri, target=target).write.mode("overwrite").parquet(f"{path}/playlists/version={last + 1}")
+    return newest_playlists(spark, path)
+
+
+def newest_playlists(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the highest version below ``path``."""
+    found = spark.read.parquet(f"{path}/playlists")
+    return found.where(F.col("version") == found.agg(F.max("version")).first()[0]).drop("version")
