@@ -12,19 +12,150 @@ def run(writer):
     assert query.awaitTermination(120)
 
 
-def test_live_status(spark, tmp_path):
-    times = [0, 10, 20, 19, 50, 60, 10_000, 10_010, 5]
-    spark.createDataFrame([("a", t * live.CLOCK // 10) for t in times] + [("b", 0)], "source string, time long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = live.read_arriving(spark, str(tmp_path / "in"), "source string, time long")
-    status = live.live_status(stream, "source", "time", 1, 1, 10)
-    q = status.writeStream.format("memory").queryName("live_status").outputMode("append")
-    run(q)
+def placed(times, rate, gap, limit=None):
+    """(slot, status, repeats) by the rules, one picture after the other."""
+    start, written, out = times[0], 0, []
+    for t in times:
+        if limit is not None and written >= limit:
+            out.append((written, "over", 0))
+            continue
+        units = (t - start) * rate / live.CLOCK
+        slot = int(abs(units) + 0.5) * (1 if units >= 0 else -1)
+        if abs(slot - written) > gap:
+            start = t - written * live.CLOCK // rate
+            out.append((written, "reanchor", 0))
+            written += 1
+        elif slot < written:
+            out.append((slot, "drop", 0))
+        elif limit is not None and slot >= limit:
+            out.append((slot, "over", limit - written))
+            written = limit
+        else:
+            out.append((slot, "write", slot - written))
+            written = slot + 1
+    return out
+
+
+SECONDS = [0, 1, 2, 1000, 1001, 1002, 5, 6, 7, 7, 6, 9, 9.4, 9.6]
+
+
+def arrivals(seconds):
+    return [(i, int(t * live.CLOCK)) for i, t in enumerate(seconds)]
+
+
+def test_timeline_moves_its_anchor(spark):
+    df = spark.createDataFrame([("a", *x) for x in arrivals(SECONDS)] + [("b", 0, 5)], "source string, n long, t long")
     got = {}
-    for r in spark.table("live_status").collect():
+    for r in live.timeline(df, "source", "n", "t", 1, 1, 10).orderBy("source", "n").collect():
         got.setdefault(r.source, []).append((r.slot, r.status, r.repeats))
-    # In order of time: 0, .5, 1, 1.9, 2, 5, 6 seconds, then a jump.
-    assert got["a"] == [(0, "write", 0), (1, "write", 0), (1, "drop", 0), (2, "write", 0), (2, "drop", 0), (5, "write", 2), (6, "write", 0), (7, "reanchor", 0), (8, "write", 0)]
-    assert got["b"] == [(0, "write", 0)]
+    assert got["a"] == placed([t for _, t in arrivals(SECONDS)], 1, 10) and got["b"] == [(0, "write", 0)]
+    assert [x[:2] for x in got["a"][3:9]] == [(3, "reanchor"), (4, "write"), (5, "write"), (6, "reanchor"), (7, "write"), (8, "write")]
+    assert live.timeline(df.limit(0), "source", "n", "t", 1, 1, 10).count() == 0
+    short = live.timeline(df, "source", "n", "t", 1, 1, 10, limit=5).where("source = 'a'").orderBy("n").collect()
+    assert [(r.slot, r.status, r.repeats) for r in short] == placed([t for _, t in arrivals(SECONDS)], 1, 10, 5)
+
+
+def test_stream_agrees_with_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    times, t = [], 0
+    for _ in range(400):
+        t += rng.choice([1, 1, 1, 0, -1, 3, 40, -50]) * live.CLOCK // 2
+        times.append(t)
+    made = spark.createDataFrame([(s, i, t) for i, t in enumerate(times) for s in ("a", "b")], "source string, arrival long, time long").where("source = 'a' or arrival % 3 = 0")
+    for k in range(4):  # four files that arrive one after the other
+        made.where(f"arrival div 100 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.read_arriving(spark, str(tmp_path / "in"), "source string, arrival long, time long", files=1)
+    status = live.live_status(stream, "source", "arrival", "time", 2, 1, 20)
+    run(status.writeStream.format("memory").queryName("live_status").outputMode("append"))
+    columns = ("source", "arrival", "slot", "status", "repeats", "start")
+    batch = live.timeline(made, "source", "arrival", "time", 2, 1, 20)
+    assert rows(spark.table("live_status"), *columns) == rows(batch, *columns)
+    assert {r.status for r in batch.collect()} == {"write", "drop", "reanchor"}
+
+
+def test_waiting_pictures_are_behind(spark, tmp_path):
+    spark.createDataFrame([("a", *x) for x in arrivals(range(8))], "source string, arrival long, time long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.read_arriving(spark, str(tmp_path / "in"), "source string, arrival long, time long")
+    run(live.live_status(stream, "source", "arrival", "time", 1, 1, 10, limit=4, waiting=6).writeStream.format("memory").queryName("behind").outputMode("append"))
+    got = spark.table("behind").orderBy("arrival").collect()
+    assert [r.status for r in got] == ["write"] * 4 + ["over"] * 2 + ["behind"] * 2
+    stats = live.live_stats(spark.table("behind"), "source").first()
+    assert (stats.frames, stats.dropped_behind) == (4, 2)
+
+
+def test_sound_is_placed(spark):
+    import random
+
+    rng = random.Random(5)
+    made = [("a", i, 100 * i + rng.choice([0, 0, 3, -3, 30, -30, 700]), rng.choice([90, 100, 110]), rng.choice(["s", "s", "s", "t"]) if i else "s") for i in range(300)]
+    written, want = 0, []
+    for _, _, at, n, shape in made:
+        drift, silence, trim = at - written, 0, 0
+        if shape == "t":
+            want.append((0, 0, 0))
+            continue
+        if (not written and 0 < drift <= 200) or 4 < drift <= 200:
+            silence = min(drift, 20_000 - written)
+        elif drift < 0 and (not written or drift < -4):
+            trim = min(-drift, n)
+        kept = max(0, min(n - trim, 20_000 - written - silence))
+        written += silence + kept
+        want.append((silence, trim, kept))
+    df = spark.createDataFrame(made, "source string, n long, at long, length long, shape string")
+    got = live.audio_timeline(df.repartition(5), "source", "n", "at", "length", 4, 200, cap=20_000, shape="shape").orderBy("n").collect()
+    assert [(r.silence, r.trim, r.kept) for r in got] == want and any(w[1] for w in want) and want[-1] == (0, 0, 0)
+
+
+def test_sound_follows_the_pictures_anchor(spark):
+    pictures = live.timeline(spark.createDataFrame([("a", 2 * i + 1, int(t * live.CLOCK)) for i, t in enumerate([5, 6, 500, 501])], "source string, n long, t long"), "source", "n", "t", 1, 1, 10)
+    packets = spark.createDataFrame([("a", 0, 5 * live.CLOCK), ("a", 2, 5 * live.CLOCK + live.CLOCK // 2), ("a", 6, 501 * live.CLOCK)], "source string, n long, t long")
+    got = live.sound_positions(packets, pictures, "source", "n", "t", 1000).orderBy("n").collect()
+    assert [r["at"] for r in got] == [0, 500, 3000]
+
+
+def test_shapes_and_repeats(spark):
+    df = spark.createDataFrame([("a", 0, 64, 32, "x"), ("a", 1, 64, 32, "y"), ("a", 2, 32, 32, "y")], "source string, n long, w int, h int, kind string")
+    got = live.shape_changes(df, "source", "n", "w", "h", "kind").orderBy("n").collect()
+    assert [(r.out_width, r.rescaled, r.renewed) for r in got] == [(64, False, False), (64, False, True), (64, True, False)]
+    again = live.repeated_source(df, "n", 10, 2)
+    assert sorted(r.n for r in again.collect()) == [0, 1, 2, 10, 11, 12]
+
+
+def test_playlists_grow_and_end(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([("v", k, 4.0, f"s{k}.m4s"), ("w", k, 4.0, f"t{k}.m4s")], "rendition string, n int, seconds double, uri string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.read_arriving(spark, str(tmp_path / "in"), "rendition string, n int, seconds double, uri string", files=1)
+    out = str(tmp_path / "hls")
+    live.publish_hls(stream, out, str(tmp_path / "check"), "rendition", "n", "seconds", "uri", 4).awaitTermination(120)
+    versions = {r.version: r.playlist for r in spark.read.parquet(f"{out}/playlists").where("rendition = 'v'").collect()}
+    assert [v.count("#EXTINF:4.000000,") for _, v in sorted(versions.items())] == [1, 2, 3]
+    assert all("PLAYLIST-TYPE:EVENT" in v and "ENDLIST" not in v for v in versions.values())
+    done = live.finish_hls(spark, out, "rendition", "n", "seconds", "uri", 4).collect()
+    assert len(done) == 2 and all("PLAYLIST-TYPE:VOD" in r.playlist and r.playlist.endswith("#EXT-X-ENDLIST\n") for r in done)
+
+
+def test_dead_rungs_are_left_out(spark, tmp_path):
+    import pytest
+
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def broken(batch, number):
+        if number:
+            raise ValueError("card lost")
+        batch.write.mode("overwrite").parquet(str(tmp_path / f"broken/batch={number}"))
+
+    def dead(batch, number):
+        raise ValueError("no card")
+
+    rungs = live.Rungs({"fine": lambda batch, n: batch.write.mode("overwrite").parquet(str(tmp_path / f"fine/batch={n}")), "broken": broken})
+    live.broadcast_to(live.read_arriving(spark, str(tmp_path / "in"), "id long", files=1), rungs, str(tmp_path / "check")).awaitTermination(120)
+    assert set(rungs.failed) == {"broken"}
+    assert spark.read.parquet(str(tmp_path / "fine")).count() == 30 and spark.read.parquet(str(tmp_path / "broken")).count() == 10
+    with pytest.raises(Exception, match="every rung failed"):
+        live.broadcast_to(live.read_arriving(spark, str(tmp_path / "in"), "id long"), live.Rungs({"a": dead, "b": dead}), str(tmp_path / "check2")).awaitTermination(120)
 
 
 def test_windows_agree_with_batch(spark, tmp_path):
