@@ -85,6 +85,14 @@ def test_long_conversations_with_stateful_templates(spark, name):
     assert [(r.turn, r.start, r.end, r.rewrites, r.piece) for r in got] == want
 
 
+def test_folds_are_prefix_renderings(spark):
+    turns = [(("user", "assistant")[t % 2], f"text{t}") for t in range(200)]
+    df = spark.createDataFrame([(c, t, *x) for c in (1, 2) for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    fold = chat_format.Fold(lambda: 0, lambda n, role, text: (n + 1, f"{n}:{role}:{text};"))
+    columns = ("conv_id", "turn", "role", "start", "end", "rewrites", "piece")
+    assert rows(chat_format.turn_spans(df, fold, lambda piece: None), *columns) == rows(chat_format.turn_spans(df, stateful()["numbered"], lambda piece: None), *columns)
+
+
 # URL trust
 
 
@@ -178,6 +186,49 @@ def test_recall_and_ties(spark, monkeypatch, lists):
     assert hit / (10 * len(got)) >= 0.95
 
 
+def test_recall_on_the_embeddings(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    table = e.orderBy("vec_id").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(np.float64)
+    got = {}
+    for r in vector_search.search(e, F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, found in got.items():
+        score = x @ x[ids == q][0]
+        hit += len(found & {int(v) for v in [ids[i] for i in np.lexsort((ids, -score)) if ids[i] != q][:20]})
+        assert len(found) == 20
+    assert len(got) == sum(ids % 20 == 0) and hit / (20 * len(got)) >= 0.95
+
+
+def test_double_vectors_and_other_lengths(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((50, 6)) * 1e150  # beyond single precision
+    more = [(100, [1.0] * 7), (120, [2.0]), (140, None), (160, [0.0] * 6), (180, [float("nan")] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + more, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = {}
+    for r in vector_search.search(df, F.col("id") % 20 == 0, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {0, 20, 40}
+    for q, found in got.items():
+        score = x @ x[q]
+        assert [v for _, v, _ in sorted(found)] == [int(i) for i in np.argsort(-score) if i != q][:5]
+        assert all(np.isclose(s, score[v], rtol=1e-12) for _, v, s in found)
+    assert rows(vector_search.left_out(df), "id", "reason") == sorted([(100, "length"), (120, "length"), (140, "no vector"), (160, "zero"), (180, "not finite"), (None, "no id")], key=repr)
+
+
+def test_lists_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(vector_search, "LIST", 10)
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal((4000, 8)) + 9 * rng.standard_normal((100, 8))[rng.integers(0, 100, 4000)]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    norm = float(np.sqrt((x.astype(float) ** 2).sum(axis=1).max())) * 1.000001
+    index = vector_search.fit(df, len(x), norm, 256)
+    assert 300 <= len(index.centroids) <= 500 and len(index.ids) == 256
+    near = index.nearest(index.turned(x))
+    assert np.bincount(near).max() < 200
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (20, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = rows(vector_search.search(df, F.col("id") % 20 == 0), "query_id", "rank", "vec_id", "score")
@@ -250,9 +301,68 @@ def test_damaged_archives_of_any_name(spark, tmp_path):
     assert set(found) == {"a.warc", "b.warc.gz", "c.warc.gz", "d.warc.gz"}
 
 
+def test_salvage_of_damaged_archives_of_pages(spark, tmp_path):
+    """A damaged copy of the archives of real pages: all other records come back, and the gaps cover what was damaged."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    whole = {r.record_id: r for r in warc.read_archives(spark, warc.write_archives(pages, str(tmp_path / "whole"))).collect()}
+    assert len(whole) == pages.count() and not any(r.kind == "gap" for r in whole.values())
+    rng = np.random.default_rng(6)
+    hurt, spoiled = set(), []
+    for n, (name, own) in enumerate(sorted({p: [r for r in whole.values() if r.path == p] for p in {r.path for r in whole.values()}}.items())):
+        data = bytearray(open(name.removeprefix("file:"), "rb").read())
+        for r in rng.choice(np.arange(len(own)), max(1, len(own) // 9), replace=False):
+            at = own[r].end - 20 if own[r].kind != "revisit" else own[r].start + 2
+            data[at] ^= 0x40
+            hurt.add(own[r].record_id)
+            spoiled.append((n, own[r].start, own[r].end))
+        (tmp_path / "hurt").mkdir(exist_ok=True)
+        (tmp_path / "hurt" / f"{n:03d}.warc").write_bytes(bytes(data))
+    back = warc.read_archives(spark, str(tmp_path / "hurt")).collect()
+    records = {r.record_id: (r.kind, r.payload_digest, r.payload_bytes, r.refers_to) for r in back if r.kind != "gap"}
+    assert records == {k: (r.kind, r.payload_digest, r.payload_bytes, r.refers_to) for k, r in whole.items() if k not in hurt}
+    gaps = [(int(r.path.split("/")[-1][:3]), r.start, r.end) for r in back if r.kind == "gap"]
+    assert all(r.reason for r in back if r.kind == "gap")
+    assert all(any(g[0] == n and g[1] <= start and end <= g[2] for g in gaps) for n, start, end in spoiled)
+    assert sum(e - s for _, s, e in gaps) == sum(e - s for _, s, e in spoiled)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 16)
+    monkeypatch.setattr(warc, "SIZES", (1 << 12, 1 << 14))
+    made = [(i, "http://h/", "x" * n + str(i)) for i, n in enumerate([10, 3000] * 20 + [10_000] * 9 + [200_000, 300_000])]
+    path = warc.write_archives(spark.createDataFrame(made, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"))
+    sizes = [p.stat().st_size for p in (tmp_path / "a").rglob("part-*")]
+    assert max(sizes) < 310_000 and sum(s > 1 << 17 for s in sizes) == 2
+    assert warc.read_archives(spark, path).where("kind = 'response'").count() == len(made)
+    assert len(list(warc.salvage(gzip.compress(b"\0" * 1000)))) == 1
+
+
+def test_members_are_not_inflated_without_bound(monkeypatch):
+    monkeypatch.setattr(warc, "INFLATED", 1 << 20)
+    found = list(warc.salvage(gzip.compress(record(1, b"a" * 100) + b"\0" * (1 << 24)) + record(2, b"b")))
+    assert [x.fields["warc-record-id"] for x in found if isinstance(x, warc.Record)] == ["<urn:1>", "<urn:2>"]
+    assert any(isinstance(x, warc.Gap) for x in found)
+
+
 # Shared helpers
 
 
+def test_the_shared_folder_is_named_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7)]

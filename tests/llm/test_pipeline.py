@@ -6,12 +6,13 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_text_operators import brute_components, brute_hits, plain_spans
 
 from reelframe.llm import common, toxicity
 
 ROOT = Path(__file__).resolve().parents[2]
-SF = "/root/testdata/sf0.01"
+SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 
 def test_stages_take_effect(spark):
@@ -38,6 +39,34 @@ def test_stages_take_effect(spark):
     assert toxicity.CUT < 0.5
 
 
+def test_run_is_the_stages_one_after_the_other(spark):
+    current = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        current = common.cut(stage(spark, current, SMALL))
+    got = corpus_pipeline.run(spark, SMALL)
+    assert got.columns == current.columns
+    plain = lambda df: sorted((tuple(map(str, r)) for r in df.collect()), key=repr)
+    assert plain(got) == plain(current) and got.count() > 50
+
+
+def test_run_over_odd_tables(spark, tmp_path):
+    """Empty tables, null texts and ids, repeated rows and an extra column go through all stages."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("pieces", F.lit("clash"))
+    tables = {"documents": docs, "labels": spark.read.parquet(f"{SMALL}/labels.parquet"), "benchmark": spark.read.parquet(f"{SMALL}/benchmark.parquet")}
+    for name, df in tables.items():
+        df.limit(0).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    few = docs.orderBy("doc_id").limit(20)
+    odd = few.union(few.limit(3)).union(few.limit(2).withColumn("text", F.lit(None).cast("string"))).union(few.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    tables["labels"].limit(0).write.parquet(f"{tmp_path}/odd/labels.parquet")
+    tables["benchmark"].write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert got and all(r.lossless for r in got)
+    named = [r.doc_id for r in got if r.doc_id is not None]
+    assert len(named) == len(set(named))
+
+
 def test_entry_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'agg01_bandwidth' in q and not [n for n in q if n.startswith('op')]; print(len(q), len(e.oracle_sql()))"
     for name in ("reelframe", "__spark_entry__.py"):

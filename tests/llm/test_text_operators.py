@@ -240,6 +240,38 @@ def test_near_duplicates_of_odd_tables(spark):
     assert {r.doc_id for r in near_dedup.keep_one(odd).collect()} == {None, 4}
 
 
+def test_long_texts_are_dealt_out_by_their_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MASS", 2000)
+    rng = np.random.default_rng(11)
+    words = [f"v{i}" for i in range(9000)]
+    base = list(rng.choice(words, 700))
+    texts = []
+    for _ in range(40):
+        c = list(base)
+        for at in rng.choice(700, rng.integers(0, 45), replace=False):
+            c[at] = str(rng.choice(words))
+        texts.append(" ".join(c))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, *texts)).collect()}
+    assert got == brute_components(dict(enumerate(texts)))
+
+
+def test_least_reachable():
+    rng = np.random.default_rng(12)
+    a, b = rng.integers(0, 60, 50), rng.integers(0, 60, 50)
+    root = list(range(60))
+    for _ in range(60):
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            root[x] = root[y] = min(root[x], root[y])
+    assert near_dedup.least_reachable(60, a, b).tolist() == root
+
+
+def test_one_of_several_texts_under_an_id(spark):
+    made = [(1, f"alpha {i} beta gamma delta epsilon", i) for i in range(6)] + [(2, "other words stand here alone now", 0), (None, "x", 0), (None, "x", 1)]
+    df = spark.createDataFrame(made, "doc_id long, text string, n long")
+    one = [sorted(near_dedup.keep_one(df.repartition(n)).collect(), key=repr) for n in (1, 5)]
+    assert one[0] == one[1] and sorted(r.doc_id or 0 for r in one[0]) == [0, 0, 1, 2]
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(7)
     most = near_dedup.widest(0.75)
@@ -301,6 +333,18 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, most):
     assert not decontaminate.contamination(df, bench.limit(0)).where("contaminated").count()
 
 
+def test_decontamination_with_full_bitmaps(spark, monkeypatch):
+    """Bitmaps so small that they pass nearly everything change nothing."""
+    monkeypatch.setattr(decontaminate, "BITS_MOST", 1 << 10)
+    monkeypatch.setattr(decontaminate, "WINDOWS_MOST", 100)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(50)]
+    items = [(i, " ".join(rng.choice(words, 30))) for i in range(300)]
+    texts = [" ".join(rng.choice(words, 60)) + (" " + items[i][1] if i % 3 == 0 else "") for i in range(30)]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(docs(spark, *texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_hits(dict(enumerate(texts)), items)
+
+
 # SentencePiece
 
 
@@ -352,6 +396,28 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_languages_match_a_plain_loop(spark):
+    import zstandard
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = language_id.dictionaries(d.where(~language_id.held_out()))
+    coders = {lang: [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False) for level in (language_id.LEVEL, 19)] for lang, x in known.items()}
+    got = language_id.identify(d.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, "1 2 !")], "doc_id long, text string")), known).collect()
+    for r in got:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        plain = (" " + " ".join(re.split(r"[\W\d_]+", r.text.lower())).strip()).encode()
+        sizes = {lang: len(c[0].compress(plain)) for lang, c in coders.items()}
+        least = min(sizes.values())
+        if sum(n <= least + 1 for n in sizes.values()) > 1:
+            sizes = {lang: (n + len(coders[lang][1].compress(plain))) / 2 for lang, n in sizes.items()}
+            least = min(sizes.values())
+        assert r.lang_pred == next(lang for lang in known if sizes[lang] == least)
+        weight = {lang: math.exp((least - n) / (1 + 0.004 * least)) for lang, n in sizes.items()}
+        assert np.isclose(r.score, max(weight.values()) / sum(weight.values()))
+
+
 def test_language_of_odd_rows(spark):
     labelled = spark.createDataFrame([(i, t * 20, g) for i, (t, g) in enumerate([("the cat and the dog ", "en"), ("der hund und die katze ", "de"), ("x", None), (None, "fr")]) if t], "doc_id long, text string, lang string")
     known = language_id.dictionaries(labelled)
@@ -378,6 +444,35 @@ def test_toxicity_of_held_out_rows(spark):
     assert all(w is not None for w in chain.weights) and [len(w) for w in chain.weights][1] == len(chain.columns[1]) + 2
 
 
+def test_toxicity_matches_a_plain_loop(spark):
+    """The chain on counts that a plain loop over words and their beginnings makes, one model after the other."""
+    d, labels = table(spark, "documents"), table(spark, "labels")
+    chain = toxicity.train(d, toxicity.chain_labels(labels), toxicity.CATEGORIES)
+    assert len(chain.weights) == len(toxicity.CATEGORIES) and [len(w) - len(c) for w, c in zip(chain.weights, chain.columns, strict=True)] == [1, 2]
+    names = {}
+
+    def hashes(word):
+        if word not in names:
+            _, kinds = toxicity.occurrences(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+            names[word] = [int(h) for found, at in kinds for h in found.tolist()]
+        return names[word]
+
+    place = {int(h): i for i, h in enumerate(chain.chosen.tolist())}
+    for r in toxicity.score(d.select("doc_id", "text").limit(60), chain).collect():
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", (r.text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+        seen = np.zeros(len(place))
+        for w in words:
+            for h in hashes(w):
+                if h in place:
+                    seen[place[h]] += 1
+        usual = len(words) * chain.rates
+        x, odds = np.clip((seen - usual) / np.sqrt(usual + 1), -2, 6), []
+        for w, use in zip(chain.weights, chain.columns, strict=True):
+            odds.append(float(np.clip(np.concatenate([x[use], odds]) @ w[:-1] + w[-1], -20, 20)))
+        want = [1 / (1 + math.exp(-o)) if words else 0.0 for o in odds]
+        assert np.allclose([r.p_poor, r.p_toxic], want, atol=1e-5)
+
+
 def test_toxicity_of_odd_rows(spark):
     none = toxicity.train(docs(spark, "a").limit(0), toxicity.chain_labels(table(spark, "labels")), toxicity.CATEGORIES)
     got = toxicity.score(docs(spark, None, "", "...", "word"), none)
