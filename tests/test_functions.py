@@ -163,7 +163,7 @@ def test_wav_and_cues(spark, tmp_path):
 
 
 def test_hamming_pairs_and_members_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(joins, "BLOCK", 7)  # several blocks in most buckets
+    monkeypatch.setattr(joins, "BLOCK", 7)  # several blocks in most files
     rng = np.random.default_rng(11)
     base = [int(x) for x in rng.integers(0, 2**56, 12)]
     values = [b ^ sum(1 << int(i) for i in rng.choice(56, rng.integers(0, 12), replace=False)) for b in base for _ in range(8)] + [base[0]] * 40 + [None]
@@ -173,7 +173,7 @@ def test_hamming_pairs_and_members_match_brute_force(spark, monkeypatch):
         first.setdefault(h, i)
     far = lambda x, y: (x ^ y).bit_count()
     near = [(first[x], first[y], far(x, y)) for x in first for y in first if x is not None and y is not None and first[x] < first[y] and far(x, y) <= 15]
-    pairs = joins.hamming_pairs(df, "id", "h", 15, bands=16, bits=56)
+    pairs = joins.hamming_pairs(df, "id", "h", 15, parts=4, bits=56)
     assert rows(pairs) == sorted(near, key=repr)
     links = lambda x: sum(n for y, n in size.items() if y is not None and far(x, y) <= 15) - 1
     want = [(i, first[h], links(h)) if h is not None else (i, None, 0) for i, h in enumerate(values)] + [(None, None, 0)]
