@@ -135,6 +135,32 @@ def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(table(spark, sf_dir, "pages"))
 
 
+#: The same sums in 60 rounds, with a host ``*`` that hands out the seeds in each; the query ends its rounds when little moves.
+ORACLE_SQL["op5_url_trust"] = r"""
+WITH RECURSIVE a AS (SELECT page_id, coalesce(html, '') AS html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(coalesce(u, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(u, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+rules(verdict, h, q) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('allow', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+m AS (SELECT p.page_id, p.host, p.path, p.html, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS said FROM p LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL),
+own AS (SELECT host, count(*) AS n, count_if(said = 'allow') AS trusted, count_if(said = 'block') AS blocked FROM m WHERE host <> '' GROUP BY 1),
+x AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(?:https?:)?//([^/"''?#\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM m),
+links AS (SELECT src, dst, count(*) AS n FROM x WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2),
+hosts AS (SELECT src AS host FROM links UNION SELECT dst FROM links UNION SELECT host FROM own),
+parts AS (SELECT host, string_split(host, '.') AS w FROM hosts),
+chain AS (SELECT DISTINCT array_to_string(w[i:], '.') AS low, array_to_string(w[i + 1:], '.') AS up FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM parts WHERE len(w) > 2)),
+family AS (SELECT low, up, coalesce(own.n, 1) AS n FROM chain LEFT JOIN own ON own.host = low),
+l AS (SELECT src, dst, sum(n) AS n FROM (SELECT * FROM links UNION ALL SELECT low, up, n FROM family UNION ALL SELECT up, low, n FROM family) GROUP BY 1, 2),
+ways AS (SELECT true AS good, src AS host, dst AS far, CAST(n AS DOUBLE) AS n FROM l UNION ALL SELECT false, dst, src, n FROM l),
+seeds AS (SELECT true AS good, host, CAST(trusted AS DOUBLE) AS seed FROM own WHERE trusted > 0 UNION ALL SELECT false, host, blocked FROM own WHERE blocked > 0),
+ends AS (SELECT good, far AS host FROM ways UNION SELECT good, host FROM seeds),
+every AS (SELECT * FROM ways UNION ALL SELECT good, host, host, 1 FROM ends WHERE NOT EXISTS (SELECT 1 FROM ways w WHERE w.good = ends.good AND w.host = ends.host)),
+t AS MATERIALIZED (SELECT good, host, far, 0.85 * n / sum(n) OVER (PARTITION BY good, host) AS share FROM every UNION ALL SELECT good, '*', host, 0.15 * seed FROM seeds UNION ALL SELECT true, '*', '*', 1 UNION ALL SELECT false, '*', '*', 1),
+r AS (SELECT 0 AS i, good, host, seed AS mass FROM seeds UNION ALL SELECT 0, true, '*', 1.0 UNION ALL SELECT 0, false, '*', 1.0
+UNION ALL SELECT r.i + 1, t.good, t.far, sum(r.mass * t.share) FROM r JOIN t ON t.good = r.good AND t.host = r.host WHERE r.i < 60 GROUP BY ALL),
+bad AS (SELECT own.host FROM own LEFT JOIN r ON r.host = own.host AND r.i = 60 GROUP BY own.host, own.n HAVING coalesce(sum(CASE WHEN r.good THEN -r.mass ELSE r.mass END), 0) / own.n >= 0.2)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM m
+"""
+
+
 @query
 def op6_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
