@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .passes import walked
+
+# The strength at which a flat area keeps half its state, the difference (as a multiple of the strength) at which retention has
+# fallen to 1/e, and entries of the retention table for each code value.
+KNEE, EDGE, STEPS = 4.0, 1.5, 8
+
 
 def interleaved(chunks: DataFrame, asset: str, time: str, track: str, size: str, head: int = 0) -> DataFrame:
     """SNK-02/03: ``place`` of each chunk in the file, by time and then track, and the ``offset`` of its first byte after ``head`` bytes."""
@@ -57,3 +64,30 @@ def carried_state(frames: DataFrame, stream: str, order: str, value: str, streng
     rows = frames.withColumn("_n", F.row_number().over(w)).withColumn("_seen", seen)
     fold = F.aggregate("_seen", F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("i")), lambda a, x: F.struct(F.when(a["i"] == 0, x).otherwise((1 - strength) * x + strength * a["v"]).alias("v"), (a["i"] + 1).alias("i")), lambda a: a["v"])
     return rows.withColumn("smooth", fold).drop("_n", "_seen")
+
+
+def denoised(frames: DataFrame, stream: str, order: str, samples: str, strength: float) -> DataFrame:
+    """WIN-13: ``smooth``: each sample of a frame blended into the frame before as it came out, less the more they differ.
+
+    out = x + k(|p - x|) (p - x), p the sample before; k(d) falls from strength / (strength + ``KNEE``) with exp(-(d / (``EDGE`` strength))^2), looked up
+    in steps of 1 / ``STEPS``, and is 0 from 256 on. The first frame and one of another size start afresh. A stream is one walk, with one
+    frame of state. A null frame counts as one without samples.
+    """
+    curve = np.zeros(256 * STEPS + 1)
+    if strength > 0:
+        d = (np.arange(256 * STEPS) + 0.5) / STEPS
+        curve[:-1] = strength / (strength + KNEE) * np.exp(-((d / (EDGE * strength)) ** 2))
+
+    def walk(state: np.ndarray | None, planes: np.ndarray) -> tuple:
+        out = []
+        for plane in planes:
+            x = np.asarray(plane, np.float64)
+            if state is not None and len(state) == len(x):
+                apart = state - x
+                x = x + curve[np.minimum((np.abs(apart) * STEPS).astype(np.int64), 256 * STEPS)] * apart
+            state = x
+            out.append(x)
+        return state, out
+
+    rows = frames.withColumn("_plane", F.coalesce(F.col(samples).cast("array<double>"), F.array().cast("array<double>")))
+    return walked(rows, stream, [order], ["_plane"], walk, "smooth array<double>").drop("_plane")

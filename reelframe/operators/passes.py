@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..session import ship
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 
 
 def walked(rows: DataFrame, key: str, order: Sequence[str], inputs: Sequence[str], walk: Callable[..., tuple], added: str) -> DataFrame:

@@ -50,6 +50,21 @@ def win13_carried_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.carried_state(e, "user_id", "event_id", "value", 1 / 3).select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
+_K = "CASE WHEN i >= 2048 THEN 0 ELSE 6 / CAST(10 AS DOUBLE) * exp(-((i + 0.5) / 8 / 9) * ((i + 0.5) / 8 / 9)) END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, CAST(value AS DOUBLE) AS a, value * 2.0 AS b FROM e WHERE n = 1
+UNION ALL SELECT user_id, event_id, n, x + ka * (a - x), y + kb * (b - y) FROM (SELECT *, (SELECT {_K} FROM (SELECT floor(abs(a - x) * 8) AS i)) AS ka, (SELECT {_K} FROM (SELECT floor(abs(b - y) * 8) AS i)) AS kb
+FROM (SELECT e.user_id, e.event_id, e.n, CAST(e.value AS DOUBLE) AS x, e.value * 2.0 AS y, r.a, r.b FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)))
+SELECT user_id, event_id, round(a, 6) AS a, round(b, 6) AS b FROM r""")
+def win13_temporal_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of two samples."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.array(F.col("value").cast("double"), F.col("value") * 2.0).alias("y"))
+    out = layout.denoised(e, "user_id", "event_id", "y", 6.0)
+    return out.select("user_id", "event_id", F.round(F.col("smooth")[0], 6).alias("a"), F.round(F.col("smooth")[1], 6).alias("b"))
+
+
 @query("""SELECT p_partkey, CASE p_size % 20 WHEN 1 THEN 'bt709' WHEN 4 THEN 'bt470bg' WHEN 6 THEN 'bt709' WHEN 8 THEN 'linear' WHEN 14 THEN 'bt709' WHEN 15 THEN 'bt709' WHEN 16 THEN 'pq' WHEN 18 THEN 'hlg' ELSE 'unspecified' END AS transfer,
 CASE WHEN p_size % 3 = 0 THEN 'container' WHEN p_size % 3 = 1 THEN 'bitstream' WHEN p_size * 30 < 720 THEN 'bt601' ELSE 'bt709' END AS space FROM part""")
 def clr09_colour(spark: SparkSession, sf_dir: str) -> DataFrame:

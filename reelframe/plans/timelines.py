@@ -305,3 +305,12 @@ def txt18_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.concat(F.lit("seg"), F.col("l_linenumber").cast("string"), F.lit(".m4s")).alias("uri"))
     done, live = (segments.media_playlist(rows, "l_orderkey", "l_linenumber", "l_quantity", "uri", live=x) for x in (False, True))
     return done.join(live.withColumnRenamed("playlist", "growing"), "l_orderkey").select("l_orderkey", F.sha2("playlist", 256).alias("playlist"), F.sha2("growing", 256).alias("growing"))
+
+
+@query(f"""WITH {_CUES}, {_SEGMENTS} SELECT conv_id, sha256('#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:4' || chr(10) || '#EXT-X-PLAYLIST-TYPE:VOD' || chr(10) || string_agg('#EXTINF:4.000000,' || chr(10) || 'seg-' || n || '.vtt' || chr(10), '' ORDER BY n) || '#EXT-X-ENDLIST' || chr(10)) AS playlist FROM g GROUP BY 1""")
+def snk11_subtitle_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The playlist of the documents of ``txt04_segment_document``, on the grid of the video's segments: empty ones too."""
+    c = cues(spark, sf_dir)
+    g = c.groupBy("conv_id").agg(F.floor(F.max(F.col("start") + F.col("duration")) / 40).alias("last")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("n"))
+    g = g.withColumn("seconds", F.lit(4.0)).withColumn("uri", F.concat(F.lit("seg-"), F.col("n").cast("string"), F.lit(".vtt")))
+    return segments.media_playlist(g, "conv_id", "n", "seconds", "uri", target=4, init=None).select("conv_id", F.sha2("playlist", 256).alias("playlist"))
