@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, near_dedup, periodic, secrets, sentencepiece_sampling, toxicity, url_trust, vector_search, warc
+from . import chat_format, decontaminate, language_id, lexical, near_dedup, periodic, secrets, sentencepiece_sampling, toxicity, url_trust, vector_search, warc
 from .common import Scratch, cut, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,21 @@ SELECT t.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BI
 sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op12_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+_OP12_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+ORACLE_SQL["op12_wand_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_OP12_TERMS}, []) AS w FROM documents),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_OP12_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+g AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+t AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+f AS MATERIALIZED (SELECT row, doc_id, n, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * g.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term, g.n),
+s AS (SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + CAST(75 * f.n * g.n AS BIGINT) // CAST(g.l AS BIGINT))))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term), g GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""

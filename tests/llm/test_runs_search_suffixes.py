@@ -1,13 +1,15 @@
 """Periodic runs, ranked search and suffix-array dedup against plain loops."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from conftest import rows
 
-from reelframe.llm import periodic
+from reelframe.llm import lexical, periodic
 from reelframe.llm.hashing import mix
 
 
@@ -94,3 +96,94 @@ def test_masking_leaves_words_outside_repeats_alone():
     values[40:60] = values[np.arange(20) % 4]
     low, high = periodic.segments(values, np.array([0, 50]), np.array([50, 100]), 5)  # in two documents
     assert list(zip(low.tolist(), high.tolist(), strict=True)) == [(40, 50), (50, 60)]
+
+
+# Ranked search
+
+
+def terms_of(text):
+    import re
+
+    lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", lower)
+
+
+def plain_search(documents, items, k):
+    """(item, rank, doc, score): every document scored against every item, with whole numbers."""
+    words = [(d, Counter(terms_of(t)), len(terms_of(t))) for d, t in documents]
+    n_docs, n_all = sum(n > 0 for *_, n in words), sum(n for *_, n in words)
+    holding = Counter(t for _, c, _ in words for t in c)
+    wants = {}
+    for item, text in dict.fromkeys(items):
+        wants.setdefault(item, Counter()).update(terms_of(text))
+    out = []
+    for item, want in wants.items():
+        scored = []
+        for d, c, n in words:
+            s = sum(times * math.floor(1000 * math.log((2.0 * n_docs + 2) / (2 * holding[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * (25 + 75 * n * n_docs // n_all))) for t, times in want.items() if c[t])
+            if s > 0:
+                scored.append((-s, d is None, d or 0))
+        out += [(item, r, None if none else d, -s) for r, (s, none, d) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def random_text(r):
+    vocabulary = ["the", "The", "of", "é", "x1", "rare", "Süß", "über", *(f"w{i}" for i in range(30))]
+    return r.choice([" ", "-", "\n", "_"]).join(r.choices(vocabulary, [30, 10, 20, 5, 5, 1, 1, 2, *[1] * 30], k=r.randint(0, 40)))
+
+
+@pytest.mark.parametrize(("k", "block", "sent"), [(10, 65_536, 1_000_000), (3, 20, 5)])
+def test_search_equals_scoring_everything(spark, monkeypatch, k, block, sent):
+    monkeypatch.setattr(lexical, "BLOCK", block)
+    monkeypatch.setattr(lexical, "SENT", sent)
+    r = random.Random(11)
+    texts = [None, "", "...", "the the THE", "rare " * 2000, *(random_text(r) for _ in range(150))]
+    documents = [(None if i % 29 == 7 else i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (6, texts[9]), (900, texts[9]), (901, texts[9])]
+    items = [(0, "the of"), (1, None), (2, "rare rare über"), (2, "rare rare über"), (2, "x1"), (None, "w1 w2 the w3"), (4, "nowhere"), *((i, random_text(r)) for i in range(5, 25))]
+    df = spark.createDataFrame([(a, b, 1, 2) for a, b in documents], "doc_id long, text string, score int, item int").repartition(3)
+    wanted = spark.createDataFrame(items, "item_id long, text string")
+    assert rows(lexical.search(df, wanted, k)) == plain_search(documents, items, k)
+    assert lexical.search(df.limit(0), wanted).collect() == lexical.search(df, wanted.limit(0)).collect() == []
+
+
+def test_shards_are_bounded_and_merged(spark):
+    df = spark.createDataFrame([(i, f"a{i % 7} b{i % 3} common") for i in range(500)], "doc_id long, text string").repartition(2)
+    small = lexical.postings(df, "doc_id", "text", size=1)
+    heads = small.where("term is null").select("ids").collect()
+    assert len(heads) >= 2 and sorted(x for h in heads for x in h.ids) == list(range(500)) and all(h.ids == sorted(h.ids) for h in heads)
+
+
+def test_wand_equals_a_full_sum_and_skips():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, k = int(rng.integers(1, 3000)), int(rng.integers(1, 12))
+        lists = []
+        for _ in range(int(rng.integers(1, 12))):
+            at = np.flatnonzero(rng.random(n) < rng.random() ** 3)
+            if len(at):
+                lists.append((at.astype(np.int32), rng.integers(0, int(rng.choice([3, 50, 10_000])), len(at))))
+        if not lists:
+            continue
+        total = np.zeros(n, np.int64)
+        for at, worth in lists:
+            total[at] += worth
+        order = np.lexsort((np.arange(n), -total))[:k]
+        order = order[total[order] > 0]
+        scores, best = lexical.wand(lists, k, stride=int(rng.choice([64, 1024])))
+        assert best.tolist() == order.tolist() and scores.tolist() == total[order].tolist()
+
+    class Counted(np.ndarray):
+        """An array that counts the places that are looked up."""
+
+        seen = 0
+
+        def __getitem__(self, key):
+            if isinstance(key, np.ndarray):
+                Counted.seen += len(key)
+            return super().__getitem__(key)
+
+    n = 100_000
+    common = np.ones(n, np.int64).view(Counted)
+    rare = np.arange(0, n, 1000)
+    lexical.wand([(np.arange(n), common), (rare, np.full(len(rare), 100))], 10)
+    assert Counted.seen < n / 20  # once ten rare ones are found, common ones alone are not looked at
