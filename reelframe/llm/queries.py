@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, lexical, near_dedup, periodic, secrets, sentencepiece_sampling, toxicity, url_trust, vector_search, warc
+from . import chat_format, decontaminate, language_id, lexical, near_dedup, periodic, secrets, sentencepiece_sampling, suffix_dedup, toxicity, url_trust, vector_search, warc
 from .common import Scratch, cut, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,3 +227,24 @@ w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * g.n + 2) / (2 * count(*)
 s AS (SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + CAST(75 * f.n * g.n AS BIGINT) // CAST(g.l AS BIGINT))))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN w USING (term), g GROUP BY ALL)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
 """
+
+
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document: bytes, removed bytes, maximal removed runs, and a digest of the bytes that stay."""
+    found = suffix_dedup.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", F.col("bytes").alias("n_bytes"), (F.col("bytes") - F.length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All strings of 200 bytes as 400 hexadecimal digits.
+ORACLE_SQL["op11_suffix_dedup"] = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM (SELECT r, x, unnest(range(length(x) // 2 - 199)) AS i FROM d)),
+t AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+m AS (SELECT r, i, i - lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) > 200 AS fresh FROM s SEMI JOIN t USING (h)),
+g AS (SELECT r, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS g FROM m),
+p AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g),
+l AS (SELECT r, list(a ORDER BY a) AS low, list(b ORDER BY a) AS high FROM p GROUP BY r),
+k AS (SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(len(low), 0) AS n_spans, array_to_string(list_transform(list_zip(list_prepend(0, coalesce(high, [])), list_append(coalesce(low, []), length(x) // 2)), lambda c: substr(x, 2 * c[1] + 1, 2 * (c[2] - c[1]))), '') AS kept FROM d LEFT JOIN l USING (r))
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_bytes - length(kept) // 2 AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k
+"""

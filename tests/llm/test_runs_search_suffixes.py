@@ -1,6 +1,5 @@
 """Periodic runs, ranked search and suffix-array dedup against plain loops."""
 
-import hashlib
 import math
 import random
 from collections import Counter
@@ -9,7 +8,8 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from reelframe.llm import lexical, periodic
+from reelframe.llm import lexical, periodic, suffix_dedup, suffix_sort
+from reelframe.llm.common import Scratch
 from reelframe.llm.hashing import mix
 
 
@@ -187,3 +187,94 @@ def test_wand_equals_a_full_sum_and_skips():
     rare = np.arange(0, n, 1000)
     lexical.wand([(np.arange(n), common), (rare, np.full(len(rare), 100))], 10)
     assert Counted.seen < n / 20  # once ten rare ones are found, common ones alone are not looked at
+
+
+# Suffix-array dedup
+
+
+def test_suffixes_are_sorted_to_the_depth():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        depth, letters, n = int(r.choice([1, 7, 8, 24, 25, 40, 64])), int(r.choice([1, 2, 4, 256])), int(r.integers(64, 500))
+        d = r.integers(0, letters, n).astype(np.uint8)
+        for _ in range(int(r.integers(0, 4))):
+            size = int(r.integers(0, n))
+            i, j = r.integers(0, n - size + 1, 2)
+            d[j : j + size] = d[i : i + size].copy()
+        starts = r.permutation(n - depth + 1)[: int(r.integers(0, n - depth + 2))]
+        order, same = suffix_sort.order(d, starts, depth, int(r.choice([8, 24])))
+        strings = [d[x : x + depth].tobytes() for x in starts[order]]
+        assert strings == sorted(strings) and sorted(order.tolist()) == list(range(len(starts)))
+        assert same.tolist() == [i > 0 and strings[i] == strings[i - 1] for i in range(len(strings))]
+
+
+def plain_repeats(texts, length):
+    """Of each text, the starts whose string starts anywhere else."""
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
+    return [[i for i in range(len(x) - length + 1) if count[x[i : i + length]] > 1] for x in raw]
+
+
+def repeating_texts(r, length):
+    letter = lambda n, of="abcdefgh": "".join(r.choices(of, k=n))
+    shared = [letter(r.randint(length - 2, 3 * length)) for _ in range(3)] + [letter(5) * length, "a" * 2 * length]
+    out = [None, "", "short", "z" * (length - 1), "z" * length, "y" * (length + 1), "yz" * length, letter(7) * 40, letter(31) * 6, letter(length) * 3]
+    for _ in range(60):
+        x = letter(r.randint(0, 60), "abcdefgh é𝄞")
+        for _ in range(r.randint(0, 3)):
+            p = r.choice(shared)
+            cut = r.randint(0, len(p) // 2)
+            x += p[cut : len(p) - r.randint(0, cut)] + letter(r.randint(0, 2 * length), "abc é")
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize(("length", "group", "bits"), [(40, 1024, 1 << 20), (40, 2, 1 << 20), (60, 3, 8), (5, 1024, 1 << 20)])
+def test_repeats_equal_counting_all_strings(spark, length, group, bits):
+    """In one block, in many (group), by the map of bits and by the join (bits)."""
+    texts = repeating_texts(random.Random(length + group), length)
+    texts += [texts[20]] * 7 + ["q" + texts[21]] * 3
+    made = [(None if i == 30 else 40 if i == 41 else i, t) for i, t in enumerate(texts)] + [(12, texts[12])]
+    df = spark.createDataFrame(made, "id long, text string").selectExpr("id", "xxhash64(text) AS hash", "coalesce(text, '') AS text").repartition(3)
+    scratch = Scratch(spark)
+    found = {}
+    for x in suffix_dedup.repeats(df, length, scratch, group, bits).join(df.drop("text").distinct(), ["hash"], "left_semi").collect():
+        found.setdefault((x["id"], x["hash"]), set()).update(range(x["low"], x["high"] + 1))
+    hashes = [x["hash"] for x in spark.createDataFrame(made, "id long, text string").selectExpr("xxhash64(text) AS hash").collect()]
+    for (i, _), h, want in zip(made, hashes, plain_repeats([t for _, t in made], length), strict=True):
+        assert found.get((i, h), set()) == set(want)
+    scratch.clear()
+
+
+def test_removed_bytes_and_what_stays(spark):
+    texts = repeating_texts(random.Random(4), 40)
+    texts += texts[:30]
+    df = spark.createDataFrame([(i % 70 if i % 11 else None, t, 1, b"x", "h") for i, t in enumerate(texts)], "doc_id long, text string, bytes int, kept binary, hash string").repartition(2)
+    out = suffix_dedup.remove_repeats(df, length=40)
+    assert out.columns == ["doc_id", "text", "hash", "removed", "bytes", "kept"]
+    want = []
+    for i, (t, starts) in enumerate(zip(texts, plain_repeats(texts, 40), strict=True)):
+        raw = (t or "").encode()
+        gone = sorted({x for s in starts for x in range(s, s + 40)})
+        edges = [(a, b + 1) for a, b in zip([x for x in gone if x - 1 not in set(gone)], [x for x in gone if x + 1 not in set(gone)], strict=True)]
+        want.append((i % 70 if i % 11 else None, t, edges, len(raw), bytes(c for j, c in enumerate(raw) if j not in set(gone))))
+    got = [(x["doc_id"], x["text"], [tuple(s) for s in x["removed"]], x["bytes"], bytes(x["kept"])) for x in out.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert suffix_dedup.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_long_texts_have_the_anchors_of_their_pieces(monkeypatch):
+    """Every start has one anchor, in a text of many pieces too, and equal strings have equal ones."""
+    r = np.random.default_rng(2)
+    data = r.integers(97, 100, 3000).astype(np.uint8)
+    data[2000:2400] = data[100:500]
+    for piece in (1 << 21, 256):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        key = {}
+        for keys, text, low, high in suffix_dedup.anchors(data, np.array([0, 1500, 1550, 3000]), 50):
+            for k, t, a, b in zip(keys.tolist(), text.tolist(), low.tolist(), high.tolist(), strict=True):
+                for s in range(a, b + 1):
+                    assert s not in key and [0, 1500, 1550][t] <= s <= [1500, 1550, 3000][t] - 50
+                    key[s] = k
+        assert sorted(key) == [*range(1451), 1500, *range(1550, 2951)]
+        assert all(key[s] == key[s + 1900] for s in range(100, 451))
