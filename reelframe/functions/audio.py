@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .timebase import _c
 
-# Speakers of the usual layouts, those that each codec has from the narrowest on, and where a speaker goes at -3 dB that the output lacks.
+# Speakers of the usual layouts, and those that each codec has from the narrowest on.
 LAYOUTS = {
     "mono": ("FC",), "stereo": ("FL", "FR"), "2.1": ("FL", "FR", "LFE"), "3.0": ("FL", "FR", "FC"), "3.0(back)": ("FL", "FR", "BC"), "3.1": ("FL", "FR", "FC", "LFE"),
     "4.0": ("FL", "FR", "FC", "BC"), "quad": ("FL", "FR", "BL", "BR"), "quad(side)": ("FL", "FR", "SL", "SR"), "4.1": ("FL", "FR", "FC", "LFE", "BC"),
@@ -26,45 +26,66 @@ CARRIED = {
 }
 #: What a codec downmixes to where it carries no layout with a place for every speaker.
 DOWNMIX = {"ac3": "5.1(side)", "eac3": "5.1(side)", "dts": "5.1(side)"}
-TWINS = {"BL": "SL", "BR": "SR", "SL": "BL", "SR": "BR"}
-ROUTES = {"FC": ("FL", "FR"), "SL": ("FL",), "SR": ("FR",), "BL": ("SL", "FL"), "BR": ("SR", "FR"), "FL": ("FC",), "FR": ("FC",)}
 MINUS_3_DB = 0.5**0.5
+# Where a speaker goes that the output lacks, by preference: the first group that the output has whole takes it at that gain (0: see ``routes``).
+PREFERRED: dict[str, tuple[tuple[tuple[str, ...], float], ...]] = {
+    "FC": ((("FL", "FR"), MINUS_3_DB),), "FL": ((("FC",), MINUS_3_DB),), "FR": ((("FC",), MINUS_3_DB),), "LFE": (),
+    "BL": ((("SL",), 0), (("BC",), MINUS_3_DB), (("FL",), MINUS_3_DB)), "BR": ((("SR",), 0), (("BC",), MINUS_3_DB), (("FR",), MINUS_3_DB)),
+    "SL": ((("BL",), 0), (("BC",), MINUS_3_DB), (("FL",), MINUS_3_DB)), "SR": ((("BR",), 0), (("BC",), MINUS_3_DB), (("FR",), MINUS_3_DB)),
+    "BC": ((("BL", "BR"), MINUS_3_DB), (("SL", "SR"), MINUS_3_DB), (("FL", "FR"), 0.5)),
+}
+
+
+def routes(source: Sequence[str], target: Sequence[str]) -> list[tuple[str, str, float]]:
+    """(speaker, where it goes, gain) of every speaker of ``source``: to itself, or to the first preferred group that ``target`` has.
+
+    A back and a side speaker are one and the same unless ``source`` has both: only then the one folds into the other at -3 dB.
+    """
+    out = []
+    for name in source:
+        groups = [((name,), 1.0), *PREFERRED[name]]
+        group, gain = next(((g, v) for g, v in groups if set(g) <= set(target)), ((), 0.0))
+        out += [(name, to, gain or (MINUS_3_DB if to in source else 1.0)) for to in group]
+    return out
 
 
 def remix_matrix(source: Sequence[str], target: Sequence[str]) -> list[list[float]]:
-    """AUD-01: a row for each output speaker. Shared speakers pass; others go where ``ROUTES`` says at -3 dB; LFE is dropped if absent;
-    all rows are divided by the widest one's sum where that is above 1."""
-    rows = [[0.0] * len(source) for _ in target]
-    for j, name in enumerate(source):
-        if name in target:
-            rows[target.index(name)][j] = 1.0
-            continue
-        goes = ROUTES.get(name, ())
-        if name in ("BL", "BR") and goes[0] in target:
-            goes = goes[:1]
-        for out in goes:
-            if out in target:
-                rows[target.index(out)][j] = MINUS_3_DB
-    widest = max((sum(r) for r in rows), default=0.0)
-    return [[v / widest for v in r] for r in rows] if widest > 1 else rows
-
-
-def has_place(target: Sequence[str], source: Sequence[str], speaker: str) -> bool:
-    """Whether ``target`` has a place for a speaker of ``source`` without a downmix: its own, its twin's if ``source`` has none there, or, for the back centre, a pair."""
-    pair = any(x in target and y in target for x, y in (("BL", "BR"), ("SL", "SR")))
-    return speaker in target or (TWINS.get(speaker) in target and TWINS[speaker] not in source) or (speaker == "BC" and pair)
+    """AUD-01: a row for each output speaker, a gain for each input speaker: ``routes``, or for mono the stereo downmix, each side at -3 dB.
+
+    All gains are divided by the largest sum of a row where that is above 1, so that nothing clips.
+    """
+    if tuple(target) == ("FC",) and tuple(source) != ("FC",):
+        sides = routes(source, ("FL", "FR"))
+        gains = [[MINUS_3_DB * sum((g for name, _, g in sides if name == x), 0.0) for x in source]]
+    else:
+        gains = [[sum((g for name, to, g in routes(source, target) if (name, to) == (x, y)), 0.0) for x in source] for y in target]
+    widest = max((sum(r) for r in gains), default=0.0)
+    return [[g / widest for g in r] for r in gains] if widest > 1 + 1e-6 else gains
+
+
+def spellings(source: Sequence[str]) -> list[frozenset[str]]:
+    """The sets of speakers that say the same as ``source``: a lone surround pair is back or side, a back centre is itself or half of a pair."""
+    out = [frozenset(source)]
+    for pair, other in ((("BL", "BR"), ("SL", "SR")), (("SL", "SR"), ("BL", "BR"))):
+        if set(pair) <= set(source) and not set(other) & set(source):
+            out += [s - set(pair) | set(other) for s in out]
+    if "BC" in source:
+        out += [s - {"BC"} | set(pair) for s in out for pair in (("BL", "BR"), ("SL", "SR"))]
+    return out
 
 
 def carried_layout(codec: str, source: str) -> str | None:
-    """AUD-02: the layout that a codec carries ``source`` in: the narrowest with a place for every speaker; None if there is none.
+    """AUD-02: the layout that a codec carries ``source`` in: the first it has, as wide at least, that covers one of its spellings; None if there is none.
 
     MP3 is mono or stereo, and HE-AAC v2 always stereo.
     """
     if codec in ("mp3", "he_aac_v2"):
         return "mono" if codec == "mp3" and source == "mono" else "stereo"
-    speakers = LAYOUTS[source]
-    fits = (name for name in CARRIED[codec] if len(LAYOUTS[name]) >= len(speakers) and all(has_place(LAYOUTS[name], speakers, x) for x in speakers))
-    return next(fits, DOWNMIX.get(codec))
+    wanted = spellings(LAYOUTS[source])
+    for name in CARRIED[codec]:
+        if len(LAYOUTS[name]) >= len(LAYOUTS[source]) and any(s <= set(LAYOUTS[name]) for s in wanted):
+            return name
+    return DOWNMIX.get(codec)
 
 
 def carried(codec, layout) -> Column:
@@ -82,6 +103,17 @@ def remixed(samples, source: Sequence[str], target: Sequence[str]) -> Column:
     return F.when(F.size(_c(samples)) >= n, F.flatten(F.transform(frames, out))).otherwise(F.array().cast("array<double>"))
 
 
+def remixes(spark: SparkSession, layouts: Sequence[str] = tuple(LAYOUTS)) -> DataFrame:
+    """AUD-01: (source, target, gains: an array for each output speaker) of every pair of layouts: a few hundred rows, whatever is joined to them."""
+    rows = [(a, b, remix_matrix(LAYOUTS[a], LAYOUTS[b])) for a in layouts for b in layouts]
+    return spark.createDataFrame(rows, "source string, target string, gains array<array<double>>")
+
+
+def remixed_by(samples, gains) -> Column:
+    """AUD-01: one frame of ``samples`` through the ``gains`` of ``remixes``."""
+    return F.transform(_c(gains), lambda row: F.aggregate(F.zip_with(row, _c(samples), lambda g, v: g * v), F.lit(0.0), lambda a, x: a + x))
+
+
 def channel_map(samples, source: Sequence[str], pairs: Sequence[tuple[str, str]], target: Sequence[str]) -> Column:
     """ARR-01, AUD-04: each output speaker takes the source speaker that a pair names; silence where none does."""
     n, take = len(source), {out: source.index(into) for into, out in pairs}

@@ -73,7 +73,7 @@ class Hooks:
         """SET-07: the required hooks and the optional ones named; an unknown name is an error."""
         known = {h.name for h in self.hooks}
         if unknown := [n for n in names if n not in known]:
-            raise ValueError(f"no hook named {unknown[0]!r} is configured (configured: {', '.join(h.name for h in self.hooks)})")
+            raise ValueError(f"cannot select {sorted(unknown)}: hooks of this set are {sorted(known)}")
         return Hooks(tuple(h for h in self.hooks if h.required or h.name in names))
 
     def described(self) -> list[dict[str, Any]]:

@@ -67,10 +67,37 @@ def str04_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", F.unix_seconds("start").alias("start"), "frames", F.round("total", 4).alias("total"))
 
 
-@query("SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) + 0.7071067811865476 * CAST(embedding[3] AS DOUBLE) + 0.7071067811865476 * CAST(embedding[5] AS DOUBLE)) / 2.414213562373095, 6) AS lft, round((CAST(embedding[2] AS DOUBLE) + 0.7071067811865476 * CAST(embedding[3] AS DOUBLE) + 0.7071067811865476 * CAST(embedding[6] AS DOUBLE)) / 2.414213562373095, 6) AS rgt FROM embeddings")
+_LAYOUTS = [*audio.LAYOUTS]
+_LAYOUT_ROWS = ", ".join(f"('{n}', {list(x)})" for n, x in audio.LAYOUTS.items())
+
+
+@query(f"""WITH l(name, sp) AS (VALUES {_LAYOUT_ROWS}),
+s AS (SELECT name AS source, unnest(sp) AS x, generate_subscripts(sp, 1) AS i FROM l),
+pairs AS (SELECT a.name AS source, b.name AS target, a.sp AS src, CASE WHEN b.name = 'mono' AND a.name <> 'mono' THEN ['FL', 'FR'] ELSE b.sp END AS dst FROM l a, l b),
+c AS (SELECT source, target, src, dst, x, i, list_contains(dst, 'FL') AND list_contains(dst, 'FR') AS fronts, list_contains(dst, 'BL') AS backs, list_contains(dst, 'SL') AS sides, list_contains(src, 'BL') AND list_contains(src, 'SL') AS four FROM pairs JOIN s USING (source)),
+g AS (SELECT source, target, src, dst, i, CASE
+ WHEN list_contains(dst, x) THEN [(x, 1.0::DOUBLE)]
+ WHEN x = 'FC' AND fronts THEN [('FL', sqrt(0.5)), ('FR', sqrt(0.5))]
+ WHEN x IN ('FL', 'FR') AND list_contains(dst, 'FC') THEN [('FC', sqrt(0.5))]
+ WHEN x IN ('BL', 'BR') AND sides THEN [('S' || x[2], CASE WHEN four THEN sqrt(0.5) ELSE 1 END)]
+ WHEN x IN ('SL', 'SR') AND backs THEN [('B' || x[2], CASE WHEN four THEN sqrt(0.5) ELSE 1 END)]
+ WHEN x IN ('BL', 'BR', 'SL', 'SR') AND list_contains(dst, 'BC') THEN [('BC', sqrt(0.5))]
+ WHEN x IN ('BL', 'BR', 'SL', 'SR') AND list_contains(dst, 'F' || x[2]) THEN [('F' || x[2], sqrt(0.5))]
+ WHEN x = 'BC' AND (backs OR sides) THEN [(CASE WHEN backs THEN 'BL' ELSE 'SL' END, sqrt(0.5)), (CASE WHEN backs THEN 'BR' ELSE 'SR' END, sqrt(0.5))]
+ WHEN x = 'BC' AND fronts THEN [('FL', 0.5), ('FR', 0.5)] ELSE [] END AS goes FROM c),
+u AS (SELECT source, target, dst, i, unnest(goes) AS w FROM g),
+m AS (SELECT source, target, CASE WHEN target = 'mono' AND source <> 'mono' THEN 1 ELSE list_position(dst, w[1]) END AS o, i, sum(w[2] * CASE WHEN target = 'mono' AND source <> 'mono' THEN sqrt(0.5) ELSE 1 END) AS gain FROM u GROUP BY ALL),
+n AS (SELECT source, target, greatest(max(total), 1) AS widest FROM (SELECT source, target, o, sum(gain) AS total FROM m GROUP BY ALL) GROUP BY ALL),
+p AS (SELECT vec_id, embedding AS e, {_LAYOUTS}[CAST(vec_id % {len(_LAYOUTS)} + 1 AS INTEGER)] AS source, {_LAYOUTS}[CAST(vec_id // {len(_LAYOUTS)} % {len(_LAYOUTS)} + 1 AS INTEGER)] AS target FROM embeddings),
+k AS (SELECT p.*, unnest(range(1, len(l.sp) + 1)) AS o FROM p JOIN l ON l.name = p.target)
+SELECT k.vec_id, k.source, k.target, CAST(k.o AS INTEGER) AS speaker, round(coalesce(sum(m.gain / n.widest * CAST(k.e[CAST(m.i AS INTEGER)] AS DOUBLE)), 0), 6) AS sample FROM k LEFT JOIN m ON m.source = k.source AND m.target = k.target AND m.o = k.o LEFT JOIN n ON n.source = k.source AND n.target = k.target GROUP BY 1, 2, 3, 4""")
 def aud01_remix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", audio.remixed(F.transform("embedding", lambda x: x.cast("double")), audio.LAYOUTS["5.1"], audio.LAYOUTS["stereo"]).alias("s"))
-    return e.select("vec_id", F.round(F.col("s")[0], 6).alias("lft"), F.round(F.col("s")[1], 6).alias("rgt"))
+    """A frame from each vector, from and to each of the layouts in turn."""
+    pick = lambda n: F.element_at(F.array(*map(F.lit, _LAYOUTS)), (n % len(_LAYOUTS) + 1).cast("int"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", pick(F.col("vec_id")).alias("source"), pick(F.floor(F.col("vec_id") / len(_LAYOUTS))).alias("target"))
+    e = e.join(F.broadcast(audio.remixes(spark)), ["source", "target"]).withColumn("frame", F.slice(F.transform("embedding", lambda x: x.cast("double")), F.lit(1), F.size(F.col("gains")[0])))
+    out = e.select("vec_id", "source", "target", F.posexplode(audio.remixed_by("frame", "gains")).alias("o", "v"))
+    return out.select("vec_id", "source", "target", (F.col("o") + 1).alias("speaker"), F.round("v", 6).alias("sample"))
 
 
 def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,16 +95,19 @@ class Sound:
     cap: int | None = None
 
     def place(self, written: int, at: int, length: int) -> tuple[int, int, int, int]:
-        """(written, silence before, trim at the head, kept) after ``length`` samples that belong at sample ``at``."""
-        drift, first, silence, trim = at - written, written == 0, 0, 0
-        if (first and 0 < drift <= self.most) or self.tolerance < drift <= self.most:
-            silence = drift if self.cap is None else min(drift, max(self.cap - written, 0))
-        elif drift < 0 and (first or drift < -self.tolerance):
-            trim = min(-drift, length)
-        kept = length - trim
-        if self.cap is not None:
-            kept = min(kept, max(self.cap - written - silence, 0))
-        return written + silence + kept, silence, trim, kept
+        """(written, silence before, trim at the head, kept) after ``length`` samples that belong at sample ``at``.
+
+        The packet is moved to where the track ends, unless it is early by more than it may be (not at all for the
+        first one), or late by more than that and no more than ``most``. What it then covers beyond the track and below the cap is kept.
+        """
+        slack = self.tolerance if written else 0
+        moved = -slack <= at - written <= slack or at - written > self.most
+        begin = written if moved else at
+        end = written + length if moved else max(at + length, written)
+        top = max(end, begin, written) if self.cap is None else max(self.cap, written)
+        heard, over = min(max(begin, written), top), min(end, top)
+        trim = min(max(written - begin, 0), length)
+        return max(heard, over), heard - written, trim, max(over - heard, 0)
 
 
 def audio_timeline(packets: DataFrame, source: str, order: str, at: str, length: str, tolerance: int, most: int, cap: int | None = None, shape: str | None = None) -> DataFrame:
