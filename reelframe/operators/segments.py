@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .passes import walked
@@ -245,6 +245,11 @@ def variant_rates(video: DataFrame, audio: DataFrame, subtitles: DataFrame) -> D
     return out.select("rendition", (F.col("average") + F.col("_a0") + F.col("_a1")).alias("average"), (F.col("peak") + F.col("_p0") + F.col("_p1")).alias("peak"))
 
 
+def playlist_head(target: Column, live: bool, init: str | None) -> Column:
+    """The lines before the first segment; ``target``: the target duration as text."""
+    return F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:7\n#EXT-X-TARGETDURATION:"), target, F.lit(f"\n#EXT-X-PLAYLIST-TYPE:{'EVENT' if live else 'VOD'}\n" + (f'#EXT-X-MAP:URI="{init}"\n' if init else "")))
+
+
 def media_playlist(segments: DataFrame, rendition: str, sequence: str, seconds: str, uri: str, target: int | None = None, init: str | None = "init.mp4", live: bool = False) -> DataFrame:
     """TXT-18, SNK-10, SNK-11: the text of each rendition's media playlist, its segments in order.
 
@@ -254,5 +259,5 @@ def media_playlist(segments: DataFrame, rendition: str, sequence: str, seconds:
     line = F.concat(F.lit("#EXTINF:"), F.format_string("%.6f", F.col(seconds).cast("double")), F.lit(",\n"), F.col(uri), F.lit("\n"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("s"), line.alias("l")))), lambda x: x["l"]), "")
     longest = F.ceil(F.max(seconds)).cast("string") if target is None else F.lit(str(target))
-    head = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:7\n#EXT-X-TARGETDURATION:"), longest, F.lit(f"\n#EXT-X-PLAYLIST-TYPE:{'EVENT' if live else 'VOD'}\n" + (f'#EXT-X-MAP:URI="{init}"\n' if init else "")))
+    head = playlist_head(longest, live, init)
     return segments.groupBy(rendition).agg(F.concat(head, body, F.lit("" if live else "#EXT-X-ENDLIST\n")).alias("playlist"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio
 from ..kernels import pixels
-from ..streaming import live
+from ..streaming import live, sessions
 from .base import query, table
 from .frames import planes
 
@@ -40,6 +40,33 @@ def str06_shape_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.shape_changes(e, "user_id", "event_id", "width", "height", "event_type").select("user_id", "event_id", "out_width", "rescaled", "renewed")
 
 
+#: Hours as seconds, every third event sound at 100 samples a second; first all pictures, then all sound by the anchor that held when it came.
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, event_id % 3 = 1 AS sound, CAST(epoch_us(ts) * 10 // 3600 AS BIGINT) AS t, CASE WHEN event_id % 6 = 5 THEN 1280 ELSE 640 END AS width, 50 + event_id % 400 AS n, CASE WHEN event_id % 17 = 10 THEN 50 ELSE 100 END AS rate, row_number() OVER (PARTITION BY user_id, event_id % 3 = 1 ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, event_type, width, i, t AS t0, CAST(1 AS BIGINT) AS written, CAST(0 AS BIGINT) AS slot, 'write' AS status, CAST(0 AS BIGINT) AS repeats FROM e WHERE i = 1 AND NOT sound
+UNION ALL SELECT user_id, event_id, event_type, width, i, CASE WHEN jump THEN t - written * 10000000 ELSE t0 END, CASE WHEN jump THEN written + 1 WHEN k < written THEN written ELSE k + 1 END, CASE WHEN jump THEN written ELSE k END,
+CASE WHEN jump THEN 'reanchor' WHEN k < written THEN 'drop' ELSE 'write' END, CASE WHEN jump OR k < written THEN 0 ELSE k - written END
+FROM (SELECT *, abs(k - written) > 24 AS jump FROM (SELECT e.*, r.t0, r.written, CASE WHEN e.t < r.t0 THEN -1 ELSE 1 END * ((2 * abs(e.t - r.t0) + 10000000) // 20000000) AS k FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1 AND NOT e.sound))),
+w AS (SELECT user_id, event_id, first_value(width) OVER o AS out_width, width <> first_value(width) OVER o AS rescaled, coalesce(event_type <> lag(event_type) OVER o, false) AS renewed FROM r WHERE status <> 'drop' WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
+a AS (SELECT user_id, event_id, t0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM r),
+s AS (SELECT e.user_id, e.event_id, e.n, e.rate, e.i, coalesce(b.t0, f.t0) AS t0, e.t FROM e JOIN a f ON f.user_id = e.user_id AND f.nth = 1 ASOF LEFT JOIN a b ON b.user_id = e.user_id AND b.event_id <= e.event_id WHERE e.sound),
+b AS (SELECT *, first_value(rate) OVER (PARTITION BY user_id ORDER BY event_id) AS base FROM s),
+c AS (SELECT user_id, event_id, n, base, rate <> base AS other, CASE WHEN t < t0 THEN -1 ELSE 1 END * ((2 * abs(t - t0) * base + 10000000) // 20000000) AS pos, i FROM b),
+q AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS heard, CAST(0 AS BIGINT) AS pos, false AS other, CAST(0 AS BIGINT) AS silence, CAST(0 AS BIGINT) AS trim, CAST(0 AS BIGINT) AS kept FROM c WHERE i = 1
+UNION ALL SELECT user_id, event_id, i, CASE WHEN other THEN heard ELSE heard + silence + n - trim END, pos, other, silence, trim, n - trim FROM (
+SELECT *, CASE WHEN d > CASE WHEN heard = 0 THEN 0 ELSE base // 25 END AND d <= 10 * base THEN d ELSE 0 END AS silence, CASE WHEN d < CASE WHEN heard = 0 THEN 0 ELSE -(base // 25) END THEN least(-d, n) ELSE 0 END AS trim FROM (SELECT c.*, q.heard, c.pos - q.heard AS d FROM q JOIN c ON c.user_id = q.user_id AND c.i = q.i + 1)))
+SELECT user_id, event_id, status, slot, repeats, out_width, rescaled, renewed, NULL AS "at", NULL AS silence, NULL AS trim, NULL AS kept FROM r LEFT JOIN w USING (user_id, event_id)
+UNION ALL SELECT user_id, event_id, CASE WHEN other THEN 'reshaped' ELSE 'placed' END, NULL, NULL, NULL, NULL, NULL, CASE WHEN NOT other THEN pos END, CASE WHEN NOT other THEN silence END, CASE WHEN NOT other THEN trim END, CASE WHEN NOT other THEN kept END FROM q WHERE i > 0""")
+def str03_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures and sound of each user's events on one timeline."""
+    sound = F.col("event_id") % 3 == 1
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("source"), F.col("event_id").alias("arrival"), F.when(sound, "sound").otherwise("picture").alias("kind"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) * 10 / 3600).alias("time"), F.col("event_type").alias("shape"),
+        F.when(F.col("event_id") % 6 == 5, 1280).otherwise(640).alias("width"), F.lit(360).alias("height"), F.when(F.col("event_id") % 17 == 10, 50).otherwise(100).alias("rate"), F.lit(2).alias("channels"), (50 + F.col("event_id") % 400).alias("samples"),
+    )
+    out = sessions.placed(e, sessions.Rules(1, 1, 24)).where("kind <> 'end'")
+    return out.select(F.col("source").cast("long").alias("user_id"), F.col("arrival").alias("event_id"), "status", "slot", "repeats", "out_width", "rescaled", "renewed", "at", "silence", "trim", "kept")
+
+
 @query("SELECT event_id, round, epoch_us(ts) // 1000000 + round * 86400 AS t FROM events, range(0, 3) x(round)")
 def src30_repeated_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"))

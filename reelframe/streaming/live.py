@@ -1,30 +1,23 @@
-"""The live timeline: pictures and sound placed by their timestamps, on tables and on streams.
+"""The live timeline: pictures and sound placed by their timestamps.
 
-Where a picture goes depends on all that was written before it, so both forms walk over a source's rows in
-order of arrival with a few numbers of state, and share the step (``Clock``). Segments by time are windowed
+Where a picture goes depends on all that was written before it, so a source is a walk over its rows in order of arrival
+with a few numbers of state: ``Clock`` and ``Sound`` are the steps, ``sessions`` takes them on streams too. Segments by time are windowed
 aggregates behind a watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.passes import walked
-from ..operators.segments import media_playlist
-from ..session import ship
 
 #: Ticks of a second on the live clock.
 CLOCK = 10_000_000
-#: Pictures of a source that may wait; one more is dropped as behind.
-WAITING = 60
 
 
 def nearest(ticks: int, num: int, den: int) -> int:
@@ -165,45 +158,6 @@ def timed_segments(frames: DataFrame, source: str, time: str, length: str, late:
     return out.select(source, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "frames", *(["total"] if value else []))
 
 
-STATUS = "source string, arrival long, time long, slot long, status string, repeats long, start long"
-_STATE = "start long, written long, seen boolean"
-
-
-def live_status(stream: DataFrame, source: str, order: str, time: str, rate_num: int, rate_den: int, max_gap: int, limit: int | None = None, idle_ms: int | None = None, waiting: int | None = None) -> DataFrame:
-    """STR-01/02/05/11 on a stream: a row for each frame as it is placed, by the step that ``timeline`` takes.
-
-    Frames of one batch are taken by ``order`` (arrival); as batches come in that order, the rows are those of ``timeline``
-    on all of them. With ``waiting``, pictures of a batch beyond so many are ``behind``: dropped, as a live source does
-    not wait; without, a file source waits (``read_arriving``). Past ``limit`` frames the status is ``over``. With ``idle_ms``, a
-    source silent for so long gives a row ``idle`` and its state goes. State: the anchor and the frames written.
-    """
-    clock = Clock(rate_num, rate_den, max_gap, limit)
-    names = [x.split()[0] for x in STATUS.split(", ")]
-
-    def place(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, written, seen = state.get if state.exists else (0, 0, False)
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], -1, start, written, "idle", 0, start)], columns=names)
-            return
-        anchor, out = start if seen else None, []
-        rows = pd.concat(list(batches))[["arrival", "time"]].sort_values("arrival", kind="stable")
-        for n, (arrival, t) in enumerate(rows.itertuples(index=False)):
-            if waiting is not None and n >= waiting:
-                out.append((key[0], int(arrival), int(t), written, "behind", 0, anchor))
-                continue
-            anchor, written, slot, status, repeats = clock.place(anchor, written, int(t))
-            out.append((key[0], int(arrival), int(t), slot, status, repeats, anchor))
-        state.update((anchor or 0, written, anchor is not None))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=names)
-
-    ship(stream.sparkSession)
-    rows = stream.select(F.col(source).cast("string").alias("source"), F.col(order).cast("long").alias("arrival"), F.col(time).cast("long").alias("time"))
-    return rows.groupBy("source").applyInPandasWithState(place, STATUS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
-
-
 def live_stats(placed: DataFrame, source: str) -> DataFrame:
     """AGG-11: of each source, the frames of the output, those repeated, and pictures dropped early or behind."""
     written = F.col("status").isin("write", "reanchor")
@@ -213,7 +167,7 @@ def live_stats(placed: DataFrame, source: str) -> DataFrame:
 
 
 def read_arriving(spark: SparkSession, path: str, schema: str, files: int = 8) -> DataFrame:
-    """STR-02, SRC-29/30: Parquet files as they arrive, so many in a batch at most: a file source waits rather than drops."""
+    """SRC-30: Parquet files as they arrive, so many in a batch at most."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -223,69 +177,10 @@ def repeated_source(frames: DataFrame, time: str, length: int, times: int) -> Da
     return frames.withColumn("round", F.explode(rounds)).withColumn(time, F.col(time) + F.col("round") * F.lit(length))
 
 
-class Rungs:
-    """STR-08, SNK-21: the outputs of a live stream, each a function (batch, number) that writes one micro-batch.
-
-    A rung that fails is left out from then on, and ``failed`` says why; when all have failed, the stream fails.
-    """
-
-    def __init__(self, rungs: dict[str, Callable[[DataFrame, int], None]]):
-        self.rungs = dict(rungs)
-        self.failed: dict[str, Exception] = {}
-
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        kept = batch.persist() if len(self.rungs) > 1 else batch
-        try:
-            for name, write in self.rungs.items():
-                if name in self.failed:
-                    continue
-                try:
-                    write(kept, number)
-                except Exception as e:  # whatever ends one rung must not end the others
-                    self.failed[name] = e
-        finally:
-            kept.unpersist()
-        if self.rungs and len(self.failed) == len(self.rungs):
-            raise RuntimeError("every rung failed: " + "; ".join(f"{k}: {v}" for k, v in self.failed.items()))
-
-
-def broadcast_to(stream: DataFrame, rungs: Rungs, checkpoint: str) -> Any:
-    """STR-08: every micro-batch to every rung that still runs."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(rungs).trigger(availableNow=True).start()
-
-
 def publish(stream: DataFrame, path: str, checkpoint: str, by: str) -> Any:
-    """STR-07, SNK-21: append what is new below ``path`` for each value of ``by``; the batch number makes a repeated batch overwrite itself."""
+    """SNK-21: append what is new below ``path`` for each value of ``by``; the batch number makes a repeated batch overwrite itself."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").partitionBy(by).parquet(f"{path}/batch={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
-
-
-def publish_hls(segments: DataFrame, path: str, checkpoint: str, rendition: str, sequence: str, seconds: str, uri: str, target: int) -> Any:
-    """STR-07, SNK-10: segments as they come below ``path/segments``; after each batch, the growing event playlist of each rendition.
-
-    Playlists are rows (rendition, playlist) in a folder for each batch, ``path/playlists/version=n``: the highest
-    version is the newest, and a reader never sees half a rewrite. ``finish_hls`` writes the last version.
-    """
-
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/segments/batch={number}")
-        so_far = batch.sparkSession.read.parquet(f"{path}/segments").where(F.col("batch") <= number)
-        media_playlist(so_far, rendition, sequence, seconds, uri, target=target, live=True).write.mode("overwrite").parquet(f"{path}/playlists/version={number}")
-
-    return segments.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
-
-
-def finish_hls(spark: SparkSession, path: str, rendition: str, sequence: str, seconds: str, uri: str, target: int) -> DataFrame:
-    """STR-07: the finished playlists (rendition, playlist), as the version after the last one."""
-    last = spark.read.parquet(f"{path}/playlists").agg(F.max("version")).first()[0]
-    media_playlist(spark.read.parquet(f"{path}/segments"), rendition, sequence, seconds, uri, target=target).write.mode("overwrite").parquet(f"{path}/playlists/version={last + 1}")
-    return newest_playlists(spark, path)
-
-
-def newest_playlists(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the highest version below ``path``."""
-    found = spark.read.parquet(f"{path}/playlists")
-    return found.where(F.col("version") == found.agg(F.max("version")).first()[0]).drop("version")
