@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timebase as T
-from .passes import steps
+from .passes import Scan, steps
 
 
 def numbered(df: DataFrame, stream: str, order: list[str], into: str = "k") -> DataFrame:
     """A frame number from 0 in each stream."""
-    return df.withColumn(into, (F.row_number().over(Window.partitionBy(stream).orderBy(*order)) - 1).cast("long"))
+    return Scan(df, stream, order).take(**{into: ("sum", F.lit(1).cast("long"))}).done()
 
 
 def decimated(frames: DataFrame, ratio: Column | float, k: str = "k") -> DataFrame:
@@ -22,15 +22,14 @@ def decimated(frames: DataFrame, ratio: Column | float, k: str = "k") -> DataFra
 def repeated(frames: DataFrame, stream: str, k: str, repeats: str) -> DataFrame:
     """SMP-04: a row for each slot; frame i fills as many slots as it repeats, at least one."""
     times = F.greatest(F.coalesce(F.col(repeats), F.lit(1)), F.lit(1)).cast("long")
-    before = F.sum(times).over(Window.partitionBy(stream).orderBy(k).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - times
-    return frames.withColumn("first_slot", before).withColumn("slot", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + times - 1)))
+    return Scan(frames, stream, [k]).take(first_slot=("sum", times)).done().withColumn("slot", F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + times - 1)))
 
 
 def repeated_under_cap(frames: DataFrame, stream: str, k: str, repeats: str, ratio: float) -> DataFrame:
     """SMP-05: the output slots of each frame under a frame-rate cap, and the source period that each shows."""
     times = F.greatest(F.coalesce(F.col(repeats), F.lit(1)), F.lit(1)).cast("long")
-    after = F.sum(times).over(Window.partitionBy(stream).orderBy(k).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = frames.withColumn("_a", T.frames_out(after - times, ratio)).withColumn("_b", T.frames_out(after, ratio)).where("_b > _a")
+    out = Scan(frames, stream, [k]).take(_before=("sum", times)).done()
+    out = out.withColumn("_a", T.frames_out(F.col("_before"), ratio)).withColumn("_b", T.frames_out(F.col("_before") + times, ratio)).where("_b > _a").drop("_before")
     return out.withColumn("slot", F.explode(F.expr("sequence(_a, _b - 1)"))).withColumn("period", T.source_of("slot", ratio)).drop("_a", "_b")
 
 

@@ -12,35 +12,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .passes import ranked
+from .passes import Scan, ranked
 
 #: Members of a bucket of hashes that are compared with as many others at once.
 BLOCK = 2048
 
 
-def overlapping(cues: DataFrame, segments: DataFrame, track: str, cue: tuple[str, str], segment: tuple[str, str], width: int) -> DataFrame:
-    """JON-01: each cue with each segment of its track that it overlaps (half-open intervals of the same clock).
+def overlapping(cues: DataFrame, segments: DataFrame, track: str, cue: tuple[str, str], segment: tuple[str, str]) -> DataFrame:
+    """JON-01: each cue with each segment of its track that it overlaps (half-open intervals of whole ticks, less than 2^61 from 0; those that end where they start or before have none).
 
-    Both sides are cut into buckets of ``width`` ticks and joined by track and bucket, so the join is
-    an equi-join; a pair counts in the bucket where its overlap begins, once.
+    Bins are nested: level n cuts the line at the multiples of 2^n. A row is filed in the smallest bin that holds it, whatever its
+    length; in that bin it covers the middle, so a bin has only rows that overlap one another. The bins of two rows that overlap
+    are one and the same, or one lies in the other: the row with the smaller bin is looked up in the bins above it, a
+    copy for each level at which the other side has rows. All joins are equi-joins.
     """
-    def bucketed(df: DataFrame, start: str, end: str) -> DataFrame:
-        return df.where(F.col(end) > F.col(start)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    def filed(df: DataFrame, start: str, end: str) -> DataFrame:
+        low, high = (F.col(start).cast("long") + F.lit(1 << 62)), (F.col(end).cast("long") - 1 + F.lit(1 << 62))
+        apart = low.bitwiseXOR(high)
+        level = F.when(apart == 0, 0).otherwise(F.length(F.bin(apart)))
+        return df.where(F.col(end) > F.col(start)).withColumn("_low", low).withColumn("_level", level).withColumn("_bin", F.expr("shiftright(_low, _level)"))
 
-    left, right = bucketed(cues, *cue), bucketed(segments, *segment)
-    both = left.join(right, [track, "_bucket"])
-    begin = F.greatest(F.col(cue[0]), F.col(segment[0]))
-    return both.where((F.col(cue[0]) < F.col(segment[1])) & (F.col(cue[1]) > F.col(segment[0])) & (F.floor(begin / width) == F.col("_bucket"))).drop("_bucket")
+    def looked_up(df: DataFrame, levels: list[int], own: bool) -> DataFrame:
+        above = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda n: n >= F.col("_level") if own else n > F.col("_level"))
+        return df.withColumn("_level", F.explode(above)).withColumn("_bin", F.expr("shiftright(_low, _level)"))
+
+    left, right = filed(cues, *cue), filed(segments, *segment)
+    levels = [sorted(r[0] for r in df.select("_level").distinct().collect()) for df in (left, right)]  # 63 at most
+    meets = (F.col(cue[0]) < F.col(segment[1])) & (F.col(cue[1]) > F.col(segment[0]))
+    on = [track, "_level", "_bin"]
+    down = left.drop("_low").join(looked_up(right, levels[0], own=True).drop("_low"), on)
+    up = looked_up(left, levels[1], own=False).drop("_low").join(right.drop("_low"), on)
+    return down.unionByName(up).where(meets).drop("_level", "_bin")
 
 
 def _around(points: DataFrame, targets: DataFrame, stream: str, point: str, target: str) -> DataFrame:
     """``targets`` with the nearest point at or before (``_before``) and at or after (``_after``) each, from one sort of both."""
     both = points.select(stream, F.col(point).alias("_t"), F.col(point).alias("_p"), F.lit(None).cast("boolean").alias("_target")).distinct()
     both = both.union(targets.select(stream, F.col(target).alias("_t"), F.lit(None), F.lit(True)))
-    w = Window.partitionBy(stream).orderBy("_t")
-    out = both.withColumn("_before", F.max("_p").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    out = out.withColumn("_after", F.min("_p").over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
-    return out.where("_target").select(stream, F.col("_t").alias(target), "_before", "_after")
+    scan = Scan(both, stream, ["_t", "_target"]).take(_before=("last", F.col("_p")), _after=("next", F.col("_p"))).done()
+    return scan.where("_target").select(stream, F.col("_t").alias(target), "_before", "_after")
 
 
 def nearest(points: DataFrame, targets: DataFrame, stream: str, point: str, target: str) -> DataFrame:
@@ -185,9 +195,9 @@ def prerolled(packets: DataFrame, track: str, order: str, start: str, end: str,
     Ticks of preroll count back from where the edit begins, not from the packet that holds it. An empty edit needs none.
     """
     inside = (F.col(start) < edit[1]) & (F.col(end) > edit[0]) & F.lit(edit[0] < edit[1])
-    w = Window.partitionBy(track)
-    out = packets.withColumn("_n", F.row_number().over(w.orderBy(order))).withColumn("_in", inside)
-    out = out.withColumn("_first", F.min(F.when(F.col("_in"), F.col("_n"))).over(w))
+    out = Scan(packets, track, [order]).take(_n=("sum", F.lit(1))).done().withColumn("_in", inside)
+    first = out.where("_in").groupBy(track).agg(F.min("_n").alias("_first"))
+    out = out.join(first, track)
     early = (F.col("_n") < F.col("_first")) & ((F.col("_n") >= F.col("_first") - packets_before) | (F.col(end) > edit[0] - ticks_before))
     return out.where(F.col("_in") | early).withColumn("preroll", ~F.col("_in")).drop("_n", "_in", "_first")
 

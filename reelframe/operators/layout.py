@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .passes import walked
+from .passes import Scan, walked
 
 # The strength at which a flat area keeps half its state, the difference (as a multiple of the strength) at which retention has
 # fallen to 1/e, and entries of the retention table for each code value.
@@ -15,16 +15,15 @@ KNEE, EDGE, STEPS = 4.0, 1.5, 8
 
 def interleaved(chunks: DataFrame, asset: str, time: str, track: str, size: str, head: int = 0) -> DataFrame:
     """SNK-02/03: ``place`` of each chunk in the file, by time and then track, and the ``offset`` of its first byte after ``head`` bytes."""
-    w = Window.partitionBy(asset).orderBy(time, track)
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return chunks.withColumn("place", F.row_number().over(w) - 1).withColumn("offset", (before + head).cast("long"))
+    scan = Scan(chunks, asset, [time, track]).take(place=("sum", F.lit(1)), offset=("sum", F.col(size)))
+    return scan.also(place=F.col("place").cast("int"), offset=(F.col("offset") + head).cast("long")).done()
 
 
 def run_lengths(samples: DataFrame, stream: str, order: str, value: str) -> DataFrame:
     """SNK-04: (stream, run, count, value): equal values in a row, in order."""
-    w = Window.partitionBy(stream).orderBy(order)
-    new = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    runs = samples.select(stream, order, value, new.alias("_new")).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    new = F.when(F.col("_was").isNotNull() & F.col("_was.v").eqNullSafe(F.col(value)), 0).otherwise(1)
+    scan = Scan(samples.select(stream, order, value), stream, [order]).take(_was=("last", F.struct(F.col(value).alias("v")))).also(_new=new).take(run=("sum", F.col("_new")))
+    runs = scan.also(run=F.col("run") + F.col("_new") - 1).done()
     return runs.groupBy(stream, "run").agg(F.count("*").alias("count"), F.first(value).alias(value))
 
 

@@ -1,4 +1,4 @@
-"""One pass over each key's rows in order, with a state from row to row; and ranks and steps that split a key over tasks."""
+"""One pass over each key's rows in order, with a state from row to row; and scans, ranks and steps that split a key over tasks."""
 
 from __future__ import annotations
 
@@ -7,12 +7,18 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
 
+#: Rows of a key, at most, that one task sorts; a key with more is split.
+ROWS = 1_000_000
+#: Parts into which the order of a table with such a key is cut, at most.
+PARTS = 10_000
+
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 
 
@@ -78,3 +84,73 @@ def steps(points: DataFrame, key: str, at: str, width: int) -> DataFrame:
     across = bounds.select(key, (F.col("_low") - F.lag("_high").over(Window.partitionBy(key).orderBy("_bucket"))).alias("step"))
     inside = values.select(key, (F.col("_at") - F.lag("_at").over(Window.partitionBy(key, "_bucket").orderBy("_at"))).alias("step"))
     return inside.union(across).where("step is not null")
+
+
+class Scan:
+    """Values from all rows before or after a row of its key, in two passes where a key is too long for one task.
+
+    Rows are cut into parts by quantiles of the first order column, the same for all keys, so a part of a key has about
+    ``rows`` rows at most, or those of one value. Inside a part the values are windows; a part is summed up by an
+    associative step (sum, last value, next value), these summaries are lined up over a key, a row for each part, and what
+    comes in from other parts is handed to the rows. Rows and summaries meet by key and part, by which the rows are dealt
+    already. Without a key of more than ``rows`` rows, or if the first order column is no number or time, all is one part.
+
+    Several ``take`` share one dealing and sorting of the rows. The order should have no ties, or they go either way.
+    """
+
+    def __init__(self, df: DataFrame, key: str | Sequence[str], order: Sequence[str], rows: int | None = None):
+        rows = ROWS if rows is None else rows
+        self.columns, self.order = df.columns, [F.col(c) for c in order]
+        self.key = [key] if isinstance(key, str) else list(key)
+        kind = df.schema[order[0]].dataType
+        longest = df.groupBy(*self.key).count().agg(F.max("count"), F.sum("count")).first() if isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType)) else (0, 0)
+        self.split = (longest[0] or 0) > rows
+        self.df = df.withColumn("_k", F.struct(*self.key)).withColumn("_part", F.lit(-1.0))
+        if self.split:
+            n = min(PARTS, -(-longest[1] // rows))
+            at = df.select(F.col(order[0]).cast("timestamp_ltz" if isinstance(kind, T.TimestampNTZType) else kind).cast("double").alias("_v"))
+            cuts = sorted(set(at.where("not isnan(_v)").approxQuantile("_v", [i / n for i in range(1, n)], 0.1 / n)))
+            if cuts:
+                value = F.col(order[0]).cast("timestamp_ltz" if isinstance(kind, T.TimestampNTZType) else kind).cast("double")
+                buckets = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_v", outputCol="_part", handleInvalid="keep")
+                dealt = buckets.transform(self.df.drop("_part").withColumn("_v", value))
+                self.df = dealt.withColumn("_part", F.when(F.col("_v").isNull(), -1.0).otherwise(F.col("_part"))).drop("_v")
+
+    def take(self, **values: tuple[str, Column]) -> Scan:
+        """Columns more: ``sum``: of the rows before, 0 without any; ``last``: the last value before that is not null; ``next``: the first one after."""
+        w = Window.partitionBy("_k", "_part").orderBy(*self.order)
+        before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+        place = F.struct(*self.order)
+        local, whole, carried = [], [], []
+        parts = Window.partitionBy("_k").orderBy("_part")
+        early, late = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+        for name, (kind, value) in values.items():
+            if kind == "sum":
+                local.append(F.coalesce(F.sum(value).over(before), F.lit(0)).alias(name))
+                whole.append(F.sum(value).alias(name))
+                carried.append(F.coalesce(F.sum(name).over(early), F.lit(0)).alias(f"_c_{name}"))
+            else:
+                there = F.when(value.isNotNull(), place)
+                back = kind == "last"
+                local.append((F.last(value, ignorenulls=True).over(before) if back else F.first(value, ignorenulls=True).over(after)).alias(name))
+                whole.append((F.max_by(value, there) if back else F.min_by(value, there)).alias(name))
+                carried.append((F.last(name, ignorenulls=True).over(early) if back else F.first(name, ignorenulls=True).over(late)).alias(f"_c_{name}"))
+        kept = [c for c in self.df.columns if c not in values]
+        out = self.df.select(*kept, *local)
+        if self.split:
+            sums = self.df.groupBy("_k", "_part").agg(*whole).select("_k", "_part", *carried)
+            found = out.join(sums, ["_k", "_part"])
+            both = [(F.col(n) + F.col(f"_c_{n}") if kind == "sum" else F.coalesce(n, f"_c_{n}")).alias(n) for n, (kind, _) in values.items()]
+            out = found.select(*kept, *both)
+        self.df = out
+        return self
+
+    def also(self, **values: Column) -> Scan:
+        """Columns more, of each row by itself."""
+        for name, value in values.items():
+            self.df = self.df.withColumn(name, value)
+        return self
+
+    def done(self, *drop: str) -> DataFrame:
+        """The rows, without the columns named."""
+        return self.df.drop("_k", "_part", *drop)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .passes import walked
+from .passes import Scan, walked
 
 
 def bandwidth(segments: DataFrame, rendition: str, size: str, seconds: str) -> DataFrame:
@@ -33,12 +33,11 @@ def merge_check(parts: DataFrame, rendition: str, sequence: str, agree: list[str
 
 def composition_offsets(packets: DataFrame, stream: str, arrival: str, pts: str, duration: str) -> DataFrame:
     """WIN-01: offset of each packet: the decode time at its rank by pts, less the decode time at its arrival; streams that repeat a pts give no rows."""
-    w = Window.partitionBy(stream)
-    running = F.coalesce(F.sum(duration).over(w.orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = packets.withColumn("_place", F.row_number().over(w.orderBy(arrival))).withColumn("_rank", F.row_number().over(w.orderBy(pts))).withColumn("_dt", running)
-    same = (F.lag(pts).over(w.orderBy(pts)) == F.col(pts)).cast("int")
-    base = base.withColumn("_same", same).withColumn("_twice", F.max("_same").over(w)).where("_twice is null or _twice = 0").drop("_same", "_twice")
-    at = base.select(stream, F.col("_place").alias("_rank"), F.col("_dt").alias("_at"))
+    decoded = Scan(packets, stream, [arrival]).take(_place=("sum", F.lit(1)), _dt=("sum", F.col(duration))).done()
+    shown = Scan(decoded, stream, [pts]).take(_rank=("sum", F.lit(1)), _was=("last", F.col(pts))).done()
+    twice = shown.where(F.col("_was") == F.col(pts)).select(stream).distinct()
+    base = shown.drop("_was").join(twice, stream, "left_anti")
+    at = decoded.select(stream, F.col("_place").alias("_rank"), F.col("_dt").alias("_at"))
     return base.join(at, [stream, "_rank"]).withColumn("offset", F.col("_at") - F.col("_dt")).drop("_place", "_rank", "_dt", "_at")
 
 
@@ -50,10 +49,10 @@ def is_reordered(offsets: DataFrame, stream: str) -> DataFrame:
 def unwrapped(samples: DataFrame, stream: str, order: str, pts: str, bits: int = 33) -> DataFrame:
     """WIN-03: timestamps that wrap at 2^bits as a continuous count: each step is taken the short way round."""
     full, half = 1 << bits, 1 << (bits - 1)
-    step = F.col(pts) - F.lag(pts).over(Window.partitionBy(stream).orderBy(order))
+    step = F.col(pts) - F.col("_was.t")
     turn = F.when(step < -half, 1).when(step > half, -1).otherwise(0)
-    turns = F.sum("_turn").over(Window.partitionBy(stream).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return samples.withColumn("_turn", turn).withColumn("unwrapped", F.col(pts) + turns * F.lit(full)).drop("_turn")
+    scan = Scan(samples, stream, [order]).take(_was=("last", F.struct(F.col(pts).alias("t")))).also(_turn=turn).take(_turns=("sum", F.col("_turn")))
+    return scan.also(unwrapped=F.col(pts) + (F.col("_turns") + F.col("_turn")) * F.lit(full)).done("_was", "_turn", "_turns")
 
 
 def time_base_breaks(samples: DataFrame, stream: str, order: str, time: str, most: int, back: int = 0, flag: str | None = None, bits: int = 33) -> DataFrame:
@@ -63,22 +62,19 @@ def time_base_breaks(samples: DataFrame, stream: str, order: str, time: str, mos
     A null time has no value. A flag breaks only a time base that some value has set; a flagged row without a value
     leaves none behind.
     """
-    w = Window.partitionBy(stream).orderBy(order)
     flagged = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
-    lost = F.coalesce(F.sum((flagged & F.col(time).isNull()).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = F.last(time, ignorenulls=True).over(Window.partitionBy(stream, "_lost").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    says = F.when(F.col(time).isNotNull() | flagged, F.struct(F.col(time).alias("t")))  # a value, or that there is none any more
     half, full = F.lit(1 << (bits - 1)), F.lit(1 << bits)
-    step = F.pmod(F.col(time) - F.col("_last") + half, full) - half
-    broken = F.col("_last").isNotNull() & (flagged | F.coalesce((step < -back) | (step > most), F.lit(False)))
-    out = samples.withColumn("_lost", lost).withColumn("_last", last).withColumn("broken", broken)
-    return out.withColumn("segment", F.sum(F.col("broken").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_lost", "_last")
+    step = F.pmod(F.col(time) - F.col("_last.t") + half, full) - half
+    broken = F.col("_last.t").isNotNull() & (flagged | F.coalesce((step < -back) | (step > most), F.lit(False)))
+    scan = Scan(samples, stream, [order]).take(_last=("last", says)).also(broken=broken).take(_before=("sum", F.col("broken").cast("int")))
+    return scan.also(segment=F.col("_before") + F.col("broken").cast("int")).done("_last", "_before")
 
 
 def without_overlap(cues: DataFrame, track: str, start: str, duration: str, tie: str) -> DataFrame:
     """WIN-05: a cue that runs into the next one ends where that begins, and lasts one tick at least; cues of no length go."""
-    following = F.lead(start).over(Window.partitionBy(track).orderBy(start, tie))
     shorter = F.greatest(F.col("_next") - F.col(start), F.lit(1))
-    out = cues.withColumn("_next", following).withColumn(duration, F.when(F.col(start) + F.col(duration) > F.col("_next"), shorter).otherwise(F.col(duration)))
+    out = Scan(cues, track, [start, tie]).take(_next=("next", F.col(start))).done().withColumn(duration, F.when(F.col(start) + F.col(duration) > F.col("_next"), shorter).otherwise(F.col(duration)))
     return out.where(F.col(duration) > 0).drop("_next")
 
 
@@ -144,16 +140,15 @@ def placed_audio(packets: DataFrame, track: str, order: str, start: str, duratio
 
 def trimmed_audio(packets: DataFrame, track: str, order: str, duration: str, start: int, end: int | None) -> DataFrame:
     """AUD-09: the packets that start in [start, end) ticks of their track, with ``at``: where each then starts, from 0 on."""
-    w = Window.partitionBy(track).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = packets.withColumn("at", F.coalesce(F.sum(duration).over(w), F.lit(0)).cast("long")).where(F.col("at") >= start)
+    out = Scan(packets, track, [order]).take(at=("sum", F.col(duration))).done().where(F.col("at") >= start)
     out = out if end is None else out.where(F.col("at") < end)
-    return out.withColumn("at", F.coalesce(F.sum(duration).over(w), F.lit(0)).cast("long"))
+    return Scan(out.drop("at"), track, [order]).take(at=("sum", F.col(duration))).done().withColumn("at", F.col("at").cast("long"))
 
 
 def nearest_boundary(packets: DataFrame, track: str, order: str, duration: str, at: str) -> DataFrame:
     """AUD-09: (track, packets, ticks): the packet boundary nearest to ``at`` (ticks, one value for each track): how many packets lie before it and where it is, the earlier on ties."""
-    w = Window.partitionBy(track).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = packets.select(track, F.col(at).alias("_want"), F.count("*").over(w).alias("packets"), F.sum(duration).over(w).cast("long").alias("ticks"))
+    upto = Scan(packets, track, [order]).take(_n=("sum", F.lit(1)), _t=("sum", F.col(duration))).done()
+    ends = upto.select(track, F.col(at).alias("_want"), (F.col("_n") + 1).alias("packets"), (F.col("_t") + F.col(duration)).cast("long").alias("ticks"))
     none = packets.groupBy(track).agg(F.first(at).alias("_want")).select(track, "_want", F.lit(0).cast("long").alias("packets"), F.lit(0).cast("long").alias("ticks"))
     best = F.min_by(F.struct("packets", "ticks"), F.struct(F.abs(F.col("ticks") - F.col("_want")), "packets"))
     return ends.union(none).groupBy(track).agg(best.alias("x")).select(track, "x.*")
@@ -167,7 +162,7 @@ def joined_audio(first: DataFrame, second: DataFrame, track: str, order: str, du
     """
     kept = nearest_boundary(first, track, order, duration, end).join(first.groupBy(track).agg(F.first(end).alias("_end")), track)
     over = kept.select(track, "packets", (F.col("ticks") - F.col("_end")).alias("_over"))
-    number = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy(track).orderBy(order)))
+    number = lambda df: Scan(df, track, [order]).take(_n=("sum", F.lit(1))).also(_n=F.col("_n") + 1).done()
     one = number(first).join(over, track).where(F.col("_n") <= F.col("packets")).drop("_n", "packets", "_over", end).withColumn("piece", F.lit(0))
     moved = second.join(over.drop("packets"), track).withColumn("_skip", F.greatest(F.col(skip) + F.col("_over"), F.lit(0)))
     gone = nearest_boundary(moved, track, order, duration, "_skip").select(track, "packets")

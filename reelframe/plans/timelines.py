@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins, segments
 from .base import query, table
 
-BUCKET = 40
-
 
 @query("""WITH s AS (SELECT l_returnflag AS rendition, sum(l_extendedprice) AS b, sum(l_quantity) AS s, max(CASE WHEN l_quantity > 0 THEN floor(l_extendedprice * 8 / l_quantity) END) AS p FROM lineitem GROUP BY 1)
 SELECT rendition, CAST(floor(b * 8 / s) AS BIGINT) AS average, CAST(greatest(p, floor(b * 8 / s)) AS BIGINT) AS peak FROM s""")
@@ -111,7 +109,7 @@ def cue_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cues(spark, sf_dir).withColumn("end", F.col("start") + F.col("duration"))
     g = c.groupBy("conv_id").agg(F.floor(F.max("end") / 40).alias("last")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("segment"))
     g = g.withColumn("first", F.col("segment") * 40).withColumn("until", F.col("first") + 40)
-    return joins.overlapping(c, g, "conv_id", ("start", "end"), ("first", "until"), BUCKET)
+    return joins.overlapping(c, g, "conv_id", ("start", "end"), ("first", "until"))
 
 
 @query(f"WITH {_CUES}, {_SEGMENTS} SELECT c.conv_id, turn, CAST(n AS BIGINT) AS segment FROM c JOIN g ON c.conv_id = g.conv_id AND c.start < n * 40 + 40 AND c.start + c.duration > n * 40")
@@ -173,24 +171,24 @@ def win08_length_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.cut_by_length(packets(spark, sf_dir), "s", "arrival", "duration", 60).select("s", "arrival", F.col("segment").cast("long").alias("segment"))
 
 
-@query("""WITH s AS (SELECT l_orderkey % 50 AS ladder, l_returnflag AS r, l_linenumber AS n, floor(avg(l_quantity)) AS q FROM lineitem WHERE l_orderkey % 50 = 7 AND NOT (l_returnflag = 'R' AND l_linenumber > 6) GROUP BY 1, 2, 3),
+@query("""WITH s AS (SELECT l_returnflag AS r, least(l_orderkey % 70 + 1, CASE WHEN l_returnflag = 'R' THEN 69 ELSE 70 END) AS n, floor(avg(l_quantity)) AS q FROM lineitem GROUP BY 1, 2),
 e AS (SELECT r, sum(q) OVER (PARTITION BY r ORDER BY n) AS e, row_number() OVER (PARTITION BY r ORDER BY n) AS boundary FROM s), c AS (SELECT r, count(*) AS n FROM e GROUP BY 1)
 SELECT boundary, max(abs(e - own)) AS drift, count(*) AS renditions, (SELECT min(n) = max(n) FROM c) AND count(*) = (SELECT count(*) FROM c) AND coalesce(max(abs(e - own)) <= 3, false) AS aligned FROM (SELECT e.*, (SELECT x.e FROM e x WHERE x.boundary = e.boundary AND x.r = (SELECT min(r) FROM c)) AS own FROM e) GROUP BY 1""")
 def win09_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Renditions of which one has a segment less: no boundary is aligned, however small the drift."""
-    return segments.alignment(rendition_seconds(spark, sf_dir).where("not (r = 'R' and sequence > 6)"), "r", "sequence", "q", 3.0)
+    """Renditions of which one has its last two segments as one: no boundary is aligned, however small the drift."""
+    return segments.alignment(rendition_seconds(spark, sf_dir, F.when(F.col("l_returnflag") == "R", 69).otherwise(70)), "r", "sequence", "q", 3.0)
 
 
-def rendition_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 7")
-    return rows.groupBy(F.col("l_returnflag").alias("r"), F.col("l_linenumber").alias("sequence")).agg(F.floor(F.avg("l_quantity")).cast("double").alias("q"))
+def rendition_seconds(spark: SparkSession, sf_dir: str, last: Column) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.col("l_returnflag").alias("r"), F.least(F.col("l_orderkey") % 70 + 1, last).alias("sequence")).agg(F.floor(F.avg("l_quantity")).cast("double").alias("q"))
 
 
-@query("""WITH s AS (SELECT l_returnflag AS r, l_linenumber AS n, floor(avg(l_quantity)) AS q FROM lineitem WHERE l_orderkey % 50 = 7 GROUP BY 1, 2), e AS (SELECT r, sum(q) OVER (PARTITION BY r ORDER BY n) AS e, row_number() OVER (PARTITION BY r ORDER BY n) AS boundary FROM s)
+@query("""WITH s AS (SELECT l_returnflag AS r, l_orderkey % 70 AS n, floor(avg(l_quantity)) AS q FROM lineitem GROUP BY 1, 2), e AS (SELECT r, sum(q) OVER (PARTITION BY r ORDER BY n) AS e, row_number() OVER (PARTITION BY r ORDER BY n) AS boundary FROM s)
 SELECT e.boundary, max(abs(e.e - x.e)) AS drift, count(*) AS renditions, max(abs(e.e - x.e)) <= 3 AS aligned FROM e JOIN e x ON x.boundary = e.boundary AND x.r = 'N' GROUP BY 1""")
 def jon10_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Renditions of as many segments each, against a named base."""
-    return segments.alignment(rendition_seconds(spark, sf_dir), "r", "sequence", "q", 3.0, base="N")
+    return segments.alignment(rendition_seconds(spark, sf_dir, F.lit(70)), "r", "sequence", "q", 3.0, base="N")
 
 
 @query("SELECT o_orderkey, CASE WHEN abs(o_totalprice / 1000 - o_custkey / 10.0) > 120 THEN 'fail' WHEN abs(o_totalprice / 1000 - o_custkey / 10.0) > 40 THEN 'warn' ELSE 'ok' END AS verdict FROM orders")
