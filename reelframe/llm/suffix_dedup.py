@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,6 +35,8 @@ GROUP = 1024
 #: Bits of the map of repeated anchors, which goes to all tasks (16 MB); more than an eighth as many anchors are joined instead.
 BITS = 1 << 27
 _PAGE = 32_768
+#: Stretches of starts, of all texts, that are sent to all tasks at most (some 40 MB); to more of them the texts are shuffled.
+SPANS = 1_000_000
 #: Bytes of contexts that are sorted at once, where anchors allow it.
 SORTED = 2 << 20
 #: A text is taken in pieces of so many starts: a place in it fits the low bits of a packed hash.
@@ -249,6 +251,15 @@ def repeats(rows: DataFrame, length: int, scratch: Scratch, group: int = GROUP,
     return found.where("digest is null").select("id", "hash", "low", "high").union(late.select("id", "hash", "low", "high"))
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """(id, hash, spans): of each text, its stretches of starts, those that touch or overlap as one. One shuffle, by text."""
+    w = Window.partitionBy("id", "hash").orderBy("low", "high")
+    fresh = F.col("low") > F.coalesce(F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1))
+    islands = found.withColumn("fresh", fresh).withColumn("island", F.sum(F.col("fresh").cast("int")).over(w))
+    spans = islands.groupBy("id", "hash", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return spans.groupBy("id", "hash").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with removed (start, end of the maximal runs of removed bytes), bytes (of the text in UTF-8) and kept (the bytes that stay), in place of columns of such names.
 
@@ -263,10 +274,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     rest = [c for c in docs.columns if c not in ("removed", "bytes", "kept")]
     name = uuid.uuid4().hex
     rows = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    starts = cut(repeats(rows, length, scratch).groupBy(F.col("id").alias(f"i{name}"), F.col("hash").alias(f"h{name}")).agg(F.collect_list(F.struct("low", "high")).alias(f"s{name}")))
+    starts = cut(merged(repeats(rows, length, scratch)).select(F.col("id").alias(f"i{name}"), F.col("hash").alias(f"h{name}"), F.col("spans").alias(f"s{name}")))
     scratch.clear()
     on = F.col(key).eqNullSafe(F.col(f"i{name}")) & (F.xxhash64(text) == F.col(f"h{name}"))
-    joined = docs.select(rest).join(F.broadcast(starts) if starts.count() <= BROADCAST_ROWS else starts, on, "left").select(*rest, f"s{name}")
+    small = (starts.agg(F.sum(F.size(f"s{name}"))).first()[0] or 0) <= SPANS
+    joined = docs.select(rest).join(F.broadcast(starts) if small else starts, on, "left").select(*rest, f"s{name}")
     column = rest.index(text)
     shape = docs.select(rest).schema
     for c in StructType.fromDDL("removed array<struct<start: bigint, end: bigint>>, bytes bigint, kept binary"):
