@@ -4,9 +4,8 @@ A template is any function from a list of (role, text) turns to a string. The tu
 are rendered prefix by prefix; where one output continues the last, what is new is the span of the
 new turn; where it does not, the template rewrites history, and the turn is marked and its span
 starts where the outputs part. A template sees every prefix whole, so the turns and the last output of
-one conversation are in memory; nothing is cut off. Two kinds of templates stream a conversation of any
-length through its task in bounded memory: one that declares itself ``turn_local`` is given each turn
-alone, and a ``Fold`` is given its own state and the next turn.
+one conversation are in memory; nothing is cut off. A template that is no black box can be given as a ``Fold``, its own
+state and the next turn: it streams a conversation of any length in bounded memory.
 
 The default template escapes its control strings inside texts and roles, reversibly.
 """
@@ -14,7 +13,6 @@ The default template escapes its control strings inside texts and roles, reversi
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -46,12 +44,6 @@ def unescape(text: str) -> str:
     return re.sub(r"\\[\\lb]", lambda m: _PLAIN[m[0]], text)
 
 
-def turn_local(template: Callable[[Turns], str]) -> Callable[[Turns], str]:
-    """Declares that the template's output is that of each turn by itself, one after the other."""
-    template.turn_local = True
-    return template
-
-
 @dataclass(frozen=True)
 class Fold:
     """A template that is no black box: ``step(state, role, text)`` gives the next state and what the turn adds; ``start`` makes the first state."""
@@ -60,7 +52,6 @@ class Fold:
     step: Callable[[Any, str, str], tuple[Any, str]]
 
 
-@turn_local
 def marked_turns(turns: Turns) -> str:
     """The default template: each turn between marks."""
     return "".join(f"<s>{escape(role)}[INST]{escape(text)}[/INST]</s>\n" for role, text in turns)
@@ -72,10 +63,19 @@ def read_back(span: str) -> tuple[str, str, int, int] | None:
     return m and (unescape(m[1]), unescape(m[2]), m.start(2), m.end(2))
 
 
+def _shared(a: str, b: str) -> int:
+    """How many code points two strings begin with alike, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        half = (low + high + 1) // 2
+        low, high = (half, high) if a[low:half] == b[low:half] else (low, half - 1)
+    return low
+
+
 SPANS = "conv_id long, turn long, role string, start long, end long, text_start long, text_end long, in_loss boolean, rewrites boolean, piece string"
 
 
-def _spans(batches: Iterator[pa.RecordBatch], template: Callable[[Turns], str] | Fold, local: bool, reader: Callable, trained: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], template: Callable[[Turns], str] | Fold, reader: Callable, trained: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     fold = template if isinstance(template, Fold) else None
     current, turns, before, length, fresh, state = object(), [], "", 0, True, None
     for batch in parts(batches):
@@ -84,9 +84,8 @@ def _spans(batches: Iterator[pa.RecordBatch], template: Callable[[Turns], str] |
             if fresh or conv != current:
                 current, turns, before, length, fresh = conv, [], "", 0, False
                 state = fold.start() if fold else None
-            if local or fold:
-                turns, before = [], ""
             if fold:
+                before = ""
                 state, now = fold.step(state, role or "", text or "")
             else:
                 turns.append((role or "", text or ""))
@@ -94,7 +93,7 @@ def _spans(batches: Iterator[pa.RecordBatch], template: Callable[[Turns], str] |
             kept = len(before)
             rewrites = not now.startswith(before)
             if rewrites:
-                kept = len(os.path.commonprefix([before, now]))
+                kept = _shared(before, now)
             start = length - (len(before) - kept)
             piece = now[kept:]
             length, before = start + len(piece), now
@@ -113,15 +112,13 @@ def turn_spans(conversations: DataFrame, template: Callable[[Turns], str] | Fold
 
     Rows of a conversation stand together and in order (turn, then role and text for ties; nulls
     first). Null roles and texts count as empty; a null conv_id is a conversation like any other.
-    Repeated rows are turns of their own. An empty table gives an empty result. The work of a template
-    that is neither ``turn_local`` nor a ``Fold`` grows with the square of a conversation's turns. A
-    conversation is a sequence, and so one task.
+    Repeated rows are turns of their own. An empty table gives an empty result. The work of a black box grows
+    with the square of a conversation's turns, that of a ``Fold`` with the turns. A conversation is a sequence, and so one task.
     """
-    local = getattr(template, "turn_local", False)
     ship(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(lambda batches: _spans(batches, template, local, reader, trained), SPANS)
+    return rows.mapInArrow(lambda batches: _spans(batches, template, reader, trained), SPANS)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
