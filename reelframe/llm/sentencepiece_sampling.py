@@ -192,9 +192,10 @@ class Lattice:
             sums[lo:hi] = part_sum / np.repeat(total, size)
         self.forward = forward
         last = np.append(groups[1:], len(target)) - 1 if len(groups) else groups
-        running = np.cumsum(sums)
-        self.upto = running - np.repeat(np.concatenate([[0.0], running[last[:-1]]]) if len(groups) else [], np.diff(np.append(groups, len(target))))
-        self.upto[last] = 2.0  # rounding never runs past a node's last piece
+        # In units of 2^-53, in whole numbers modulo 2^64: what a node's pieces add up to does not depend on what else is in the batch.
+        running = np.cumsum((sums * 2.0**53).astype(np.uint64))
+        self.upto = running - np.repeat(np.concatenate([np.zeros(1, np.uint64), running[last[:-1]]]) if len(groups) else np.zeros(0, np.uint64), np.diff(np.append(groups, len(target))))
+        self.upto[last] = U64(1 << 62)  # rounding never runs past a node's last piece
 
     def sample(self, parts: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of one sampled path through each of ``parts``, joined, and how many each has; ``draws`` seeds each path."""
@@ -205,7 +206,7 @@ class Lattice:
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         step = 0
         while len(who):
-            u = (mix(draws[who] + U64(step * 0x9E3779B97F4A7C15 % 2**64)) >> U64(11)).astype(np.float64) * 2.0**-53
+            u = mix(draws[who] + U64(step * 0x9E3779B97F4A7C15 % 2**64)) >> U64(11)
             edge = self.first[node]
             behind = np.flatnonzero(self.upto[edge] <= u)
             while len(behind):
