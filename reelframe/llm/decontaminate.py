@@ -10,6 +10,7 @@ broadcast if they are few enough. The result is the same.
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -121,12 +122,14 @@ def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents") -> Da
     The columns stay as they are; rows without a hit stay untouched. A cut word goes with the
     separators before it.
     """
-    marked = hits(docs, benchmark).where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark"))
+    own = uuid.uuid4().hex
+    key, mark, spans = f"k{own}", f"m{own}", f"s{own}"
+    marked = hits(docs, benchmark).where("size(spans) > 0").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("spans").alias(spans))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(mark))
     if what == "documents":
-        return docs.join(marked.drop("_spans"), same, "left_anti")
+        return docs.join(marked.drop(spans), same, "left_anti")
     cut = F.concat(
-        F.array_join(F.expr(rf"filter(regexp_extract_all(text, r'{WITH_GAP}', 0), (x, i) -> not exists(_spans, s -> i >= s.first and i < s.end))"), ""),
+        F.array_join(F.expr(rf"filter(regexp_extract_all(text, r'{WITH_GAP}', 0), (x, i) -> not exists({spans}, s -> i >= s.first and i < s.end))"), ""),
         F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0),
     )
-    return docs.join(marked, same, "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(docs.columns)
+    return docs.join(marked, same, "left").withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut)).select(docs.columns)

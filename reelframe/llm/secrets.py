@@ -168,7 +168,8 @@ def scan(docs: DataFrame, table: np.ndarray | None = None, text: str = "text") -
     if table is None:
         table = train(labelled_samples(docs.sparkSession))
     none = "cast(array() as array<struct<m:string,start:int,end:int>>)"
-    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    rest = [c for c in docs.columns if c != "found"]
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_t"))  # no name of the caller's can clash
     parts = []
     for order, (kind, (pattern, needs)) in enumerate(KINDS.items()):
         quick = QUICK.get(kind, pattern)
@@ -186,7 +187,7 @@ def scan(docs: DataFrame, table: np.ndarray | None = None, text: str = "text") -
     more = f"flatten(transform({runs}, x -> transform(array_distinct({bounds}), y -> struct(x.start + y.start as start, {len(KINDS)} as ord, 'markov' as kind, x.start + y.end as end, substring(x.m, y.start + 1, y.end - y.start) as m))))"
     more = f"filter({more}, x -> not x.m rlike '{fixed}')"
     out = out.withColumn("found", F.expr(f"transform(array_sort(concat(_base, {more})), x -> struct(x.kind as kind, x.start as start, x.end as end, x.m as m))"))
-    return out.drop("_t", "_base", "_runs")
+    return out.select(*(F.col(f"_row.`{c}`") for c in rest), "found")
 
 
 def listed(found: str) -> Column:
@@ -208,7 +209,7 @@ def redact(docs: DataFrame, table: np.ndarray | None = None, mark: str = "<SECRE
     The columns stay as they are; ``n_chars``, where it exists, follows the new text. Rows without a
     finding stay untouched, null texts included.
     """
-    found = scan(docs.withColumnRenamed("found", "_kept_found") if "found" in docs.columns else docs, table)
+    found = scan(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), table)
     kept = lambda x, at, f: f"if({x}.start < {at}, '', concat(substring({f}.part, {at} - {f}.at + 1, {x}.start - {at}), '{mark}'))"
     # Pieces come from chunks of the text: each substring of the whole would count code points from its start.
     cut = lambda at, n: f"substring(array_join(slice(chunks, {at} div {CHUNK} + 1, ({at} + {n}) div {CHUNK} - {at} div {CHUNK} + 1), ''), {at} % {CHUNK} + 1, {n})"
@@ -216,8 +217,7 @@ def redact(docs: DataFrame, table: np.ndarray | None = None, mark: str = "<SECRE
     pieces = before("found", lambda x: f"{x}.end", lambda a, b: f"greatest({a}, {b})", kept, "cast(array() as array<string>)", part)
     rest = _let("last", "array_max(transform(found, x -> x.end))", cut("last", "(length(text) - last)"))
     merged = _let("chunks", f"regexp_extract_all(text, '(?s).{{1,{CHUNK}}}', 0)", f"concat(array_join({pieces}, ''), {rest})")
-    out = found.withColumn("text", F.when(F.size("found") > 0, F.expr(merged)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    out = out.drop("found")
-    return (out.withColumnRenamed("_kept_found", "found") if "found" in docs.columns else out).select(docs.columns)
+    hit = F.size("found") > 0
+    out = found.withColumn("text", F.when(hit, F.expr(merged)).otherwise(F.col("text")))
+    new = {"text": F.col("text"), "n_chars": F.when(hit, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

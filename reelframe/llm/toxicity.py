@@ -211,11 +211,11 @@ def strongest(sample: DataFrame, categories: Sequence[str]) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], rows: int = ROWS) -> Chain:
     """A chain fitted on the ``rows`` labelled documents whose doc_id hashes lowest.
 
-    ``labels``: doc_id and one 0/1 column for each category; rows with a null in any of these are not used, nor null texts.
+    ``labels``: doc_id and one 0/1 column for each category; rows with a null in any of these are not used, nor null texts; of several rows of a document, each category counts if any row has it.
     """
     spark = docs.sparkSession
     ship(spark)
-    known = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in categories)).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     names, scratch = tuple(categories), Scratch(spark)
     sample = scratch.written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), "labelled")
@@ -279,5 +279,5 @@ CATEGORIES = ("poor", "toxic")
 
 def reject_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     """``docs`` without the rows whose probability of ``toxic`` is ``CUT`` or more; the columns stay as they are."""
-    marked = score(docs.select(*(F.col(c) for c in docs.columns)), chain)
-    return marked.where(F.col("p_toxic") < CUT).select(docs.columns)
+    marked = score(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text"), chain)  # the caller's own p_toxic stays its own
+    return marked.where(F.col("p_toxic") < CUT).select(*(F.col(f"row.`{c}`") for c in docs.columns))
