@@ -314,10 +314,12 @@ def area_shrink(luma: str, width: str, height: str, across: int, down: int) -> C
     """HSH-04: the plane ``luma`` (numbers, row by row) as ``across`` x ``down`` cells, each the mean of what it covers, parts of a pixel by their share."""
     share = lambda at, step, i: f"(least(({at} + 1) * {step}, {i} + 1D) - greatest({at} * {step}, {i} + 0D))"
     reach = lambda at, step, end: f"sequence(cast(floor({at} * {step}) as int), cast(least(ceil(({at} + 1) * {step}), {end}) as int) - 1)"
-    fx, fy = f"({width} / {across}D)", f"({height} / {down}D)"
-    rows = f"transform(sequence(0, cast({height} as int) - 1), r -> transform(sequence(0, {across - 1}), c -> aggregate({reach('c', fx, width)}, 0D, (a, x) -> a + {luma}[r * cast({width} as int) + x] * {share('c', fx, 'x')})))"
-    cells = f"transform(sequence(0, {down - 1}), d -> transform(sequence(0, {across - 1}), c -> aggregate({reach('d', fy, height)}, 0D, (a, r) -> a + s[r][c] * {share('d', fy, 'r')}) / ({fx} * {fy})))"
-    return F.expr(f"transform(array({rows}), s -> cast(flatten({cells}) as array<float>))[0]")
+    fx, fy = f"(p.w / {across}D)", f"(p.h / {down}D)"
+    rows = f"transform(sequence(0, p.h - 1), r -> transform(sequence(0, {across - 1}), c -> aggregate({reach('c', fx, 'p.w')}, 0D, (a, x) -> a + p.y[r * p.w + x] * {share('c', fx, 'x')})))"
+    cells = f"transform(sequence(0, {down - 1}), d -> transform(sequence(0, {across - 1}), c -> aggregate({reach('d', fy, 'p.h')}, 0D, (a, r) -> a + s[r][c] * {share('d', fy, 'r')}) / ({fx} * {fy})))"
+    # The plane is bound once: an expression that makes it would else run again for each pixel.
+    bound = f"array(struct({luma} as y, cast({width} as int) as w, cast({height} as int) as h))"
+    return F.expr(f"transform({bound}, p -> transform(array({rows}), s -> cast(flatten({cells}) as array<float>))[0])[0]")
 
 
 def _packed(flags: Column) -> Column:

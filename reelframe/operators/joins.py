@@ -166,9 +166,8 @@ def hamming_pairs(hashes: DataFrame, key: str, value: str, most: int, parts: int
 
     one = hashes.where(F.col(value).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(value).cast("long").alias("h")).agg(F.min(key).alias("key"))
     cut = one.select("key", "h", F.inline(F.concat(*filed)))
-    # Files of more than one block: at most their number of the rows' files by BLOCK.
     large = cut.groupBy("part", "file").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = cut.join(F.broadcast(large), ["part", "file"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = cut.join(large, ["part", "file"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.select("key", "h", "part", "file", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     by, kind = ["part", "file", "one", "two"], one.schema["key"].dataType.simpleString()
     dealt = dealt.select("part", "file", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "key", "h")
