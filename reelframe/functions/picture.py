@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import pairwise
 
 from pyspark.sql import Column
@@ -310,8 +311,8 @@ def container_kind(head) -> Column:
     )
 
 
-def area_shrink(luma: str, width: str, height: str, across: int, down: int) -> Column:
-    """HSH-04: the plane ``luma`` (numbers, row by row) as ``across`` x ``down`` cells, each the mean of what it covers, parts of a pixel by their share."""
+def _cells(luma: str, width: str, height: str, across: int, down: int) -> str:
+    """``area_shrink`` as SQL."""
     share = lambda at, step, i: f"(least(({at} + 1) * {step}, {i} + 1D) - greatest({at} * {step}, {i} + 0D))"
     reach = lambda at, step, end: f"sequence(cast(floor({at} * {step}) as int), cast(least(ceil(({at} + 1) * {step}), {end}) as int) - 1)"
     fx, fy = f"(p.w / {across}D)", f"(p.h / {down}D)"
@@ -319,7 +320,12 @@ def area_shrink(luma: str, width: str, height: str, across: int, down: int) -> C
     cells = f"transform(sequence(0, {down - 1}), d -> transform(sequence(0, {across - 1}), c -> aggregate({reach('d', fy, 'p.h')}, 0D, (a, r) -> a + s[r][c] * {share('d', fy, 'r')}) / ({fx} * {fy})))"
     # The plane is bound once: an expression that makes it would else run again for each pixel.
     bound = f"array(struct({luma} as y, cast({width} as int) as w, cast({height} as int) as h))"
-    return F.expr(f"transform({bound}, p -> transform(array({rows}), s -> cast(flatten({cells}) as array<float>))[0])[0]")
+    return f"transform({bound}, p -> transform(array({rows}), s -> cast(flatten({cells}) as array<float>))[0])[0]"
+
+
+def area_shrink(luma: str, width: str, height: str, across: int, down: int) -> Column:
+    """HSH-04: the plane ``luma`` (numbers, row by row) as ``across`` x ``down`` cells, each the mean of what it covers, parts of a pixel by their share."""
+    return F.expr(_cells(luma, width, height, across, down))
 
 
 def _packed(flags: Column) -> Column:
@@ -338,3 +344,18 @@ def difference_hash(luma: str, width: str, height: str) -> Column:
     cells = area_shrink(luma, width, height, 9, 8)
     right = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.floor(i / 8) * 9 + i % 8)
     return F.transform(F.array(cells), lambda c: _packed(F.transform(right, lambda i: F.get(c, (i + 1).cast("int")) > F.get(c, i.cast("int")))))[0]
+
+
+def fingerprint(luma: str, width: str, height: str) -> Column:
+    """UDF-06: 64 bits of a perceptual hash: which of the 8 x 8 lowest frequencies of 32 x 32 cells are above their median.
+
+    The cosine transform is two products with a constant table: rows, then columns, each sum from the left.
+    """
+    table = ", ".join(f"array({', '.join(f'{math.cos(math.pi * (2 * n + 1) * k / 64)!r}D' for n in range(32))})" for k in range(8))
+    product = lambda value: f"aggregate(sequence(0, 31), 0D, (a, n) -> a + {value})"
+    rows = f"transform(sequence(0, 31), y -> transform(sequence(0, 7), k -> {product('cast(p.c[y * 32 + n] as double) * p.b[k][n]')}))"
+    low = f"flatten(transform(sequence(0, 7), k -> transform(sequence(0, 7), x -> {product('r[n][x] * p.b[k][n]')})))"
+    bits = "aggregate(f, 0L, (a, v) -> shiftleft(a, 1) | if(v > (o[31] + o[32]) / 2D, 1L, 0L))"
+    # Each step is bound once, by a transform of an array of one.
+    bound = f"transform(array(struct({_cells(luma, width, height, 32, 32)} as c, array({table}) as b)), p -> transform(array({rows}), r -> transform(array({low}), f -> transform(array(array_sort(f)), o -> {bits})[0])[0])[0])[0]"
+    return F.expr(bound)

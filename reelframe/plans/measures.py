@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import picture
-from ..operators import joins, selection
+from ..operators import joins, quality, selection
 from .base import query, table
 from .frames import planes
 
@@ -123,6 +123,44 @@ def agg06_ssim_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_scores(spark, sf_dir).select("vec_id", F.round("ssim", 6).alias("ssim"))
 
 
+#: Sixteen vectors one below the other as a plane of 64 columns (what is left over is in the last one), and the same in steps of 16.
+_PLANES = """u AS (SELECT vec_id, least(vec_id // 16, (SELECT count(*) // 16 - 1 FROM embeddings)) AS plane, embedding FROM embeddings WHERE len(embedding) = 64),
+v AS (SELECT plane, row_number() OVER (PARTITION BY plane ORDER BY vec_id) - 1 AS r, list_transform(embedding, lambda x: floor(least(255.0, greatest(0.0, 128 + 255 * CAST(x AS DOUBLE))))) AS y FROM u),
+px AS (SELECT plane, r, unnest(range(0, 64)) AS c, unnest(y) AS x, 16 * floor(unnest(y) / 16) AS y FROM v)"""
+
+
+def stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = planes(spark, sf_dir).where("size(y) = 64").select("vec_id", F.transform("y", lambda v: F.floor(v).cast("double")).alias("y"))
+    last = table(spark, sf_dir, "embeddings").count() // 16 - 1
+    rows = p.groupBy(F.least(F.floor(F.col("vec_id") / 16), F.lit(last)).alias("plane")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "y"))).alias("rows"))
+    return rows.select("plane", F.flatten("rows.y").alias("x"), F.size("rows").alias("h"), F.lit(64).alias("w")).withColumn("y", F.transform("x", lambda v: 16.0 * F.floor(v / 16)))
+
+
+@query(f"""WITH {_PLANES}, g AS (SELECT i, exp(-(i - 5) * (i - 5) / CAST(4.5 AS DOUBLE)) / (SELECT sum(exp(-(j - 5) * (j - 5) / CAST(4.5 AS DOUBLE))) FROM range(0, 11) t(j)) AS w FROM range(0, 11) s(i)),
+n AS (SELECT plane, max(r) + 1 AS h FROM px GROUP BY 1),
+m AS (SELECT plane, r - a.i AS r, c - b.i AS c, sum(a.w * b.w * x) AS mx, sum(a.w * b.w * y) AS my, sum(a.w * b.w * x * x) AS xx, sum(a.w * b.w * y * y) AS yy, sum(a.w * b.w * x * y) AS xy
+ FROM px JOIN n USING (plane), g a, g b WHERE h >= 11 AND r >= a.i AND r - a.i <= h - 11 AND c >= b.i AND c - b.i <= 53 GROUP BY 1, 2, 3
+ UNION ALL SELECT plane, 0, 0, avg(x), avg(y), avg(x * x), avg(y * y), avg(x * y) FROM px JOIN n USING (plane) WHERE h < 11 GROUP BY 1)
+SELECT plane, round(avg(((2 * mx * my + 6.5025) * (2 * (xy - mx * my) + 58.5225)) / ((mx * mx + my * my + 6.5025) * (xx - mx * mx + yy - my * my + 58.5225))), 6) AS ssim FROM m GROUP BY 1""")
+def agg06_ssim_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.windowed_ssim(stacked(spark, sf_dir), ["plane"], "x", "y", "w", "h", tile=16).withColumn("ssim", F.round("ssim", 6))
+
+
+@query(f"""WITH {_PLANES}, n AS (SELECT plane, max(r) + 1 AS h FROM px GROUP BY 1),
+o AS (SELECT plane, i // 32 AS d, i % 32 AS a, h / CAST(32 AS DOUBLE) AS fy FROM n, range(0, 1024) t(i)),
+s AS (SELECT o.plane, d, a, CAST(sum(x * (least((d + 1) * fy, r + 1) - greatest(d * fy, r))) / (2 * fy) AS FLOAT) AS v FROM o JOIN px ON px.plane = o.plane AND px.c // 2 = a AND px.r < (d + 1) * fy AND px.r + 1 > d * fy GROUP BY o.plane, d, a, fy),
+b AS (SELECT k, j, cos(pi() * (2 * j + 1) * k / 64) AS b FROM range(0, 8) p(k), range(0, 32) q(j)),
+l AS (SELECT plane, y.k AS ky, x.k AS kx, sum(CAST(v AS DOUBLE) * y.b * x.b) AS f FROM s JOIN b y ON y.j = d JOIN b x ON x.j = a GROUP BY 1, 2, 3),
+z AS (SELECT plane, list_sort(list(f)) AS f FROM l GROUP BY 1)
+SELECT plane, string_agg(CASE WHEN l.f > (z.f[32] + z.f[33]) / 2 THEN '1' ELSE '0' END, '' ORDER BY ky, kx) AS bits FROM l JOIN z USING (plane) GROUP BY 1""")
+def udf06_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(spark, sf_dir).select("plane", F.lpad(F.bin("hash"), 64, "0").alias("bits"))
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stacked(spark, sf_dir).select("plane", picture.fingerprint("x", "w", "h").alias("hash"))
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HSH-01/02/05: average and difference hashes of the planes, in whole steps of luma."""
     p = planes(spark, sf_dir).select("vec_id", F.transform("y", lambda v: F.floor(v)).alias("y"), F.expr("if(size(y) % 8 = 0, size(y) div 8, size(y))").alias("w"), F.expr("if(size(y) % 8 = 0, 8, 1)").alias("h"))
