@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import audio
 from ..kernels import pixels
+from ..sources import pcm
 from ..streaming import live, sessions
 from .base import query, table
 from .frames import planes
@@ -127,6 +128,20 @@ def aud01_remix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "source", "target", (F.col("o") + 1).alias("speaker"), F.round("v", 6).alias("sample"))
 
 
+@query("""WITH b AS (SELECT vec_id // 50 AS track, vec_id % 50 AS block, embedding AS e FROM embeddings), c AS (SELECT p_partkey, p_partkey % 10 AS track, p_partkey * 13 % 1700 - 20 AS low, p_partkey * 13 % 1700 - 20 + 3 * p_size - 20 AS high FROM part),
+s AS (SELECT track, block * 32 + (i - 1) // 2 AS frame, i % 2 AS side, CAST(e[CAST(i AS INTEGER)] AS DOUBLE) AS v FROM b, range(1, 65) t(i) WHERE i <= len(e))
+SELECT p_partkey, count(*) AS samples, CAST(min(frame) AS BIGINT) AS first, round(sum(v), 5) AS total, round(arg_min(v, frame * 2 - side), 6) AS head, round(arg_max(v, frame * 2 - side), 6) AS tail FROM c JOIN s ON s.track = c.track AND frame >= low AND frame < high GROUP BY 1""")
+def aud08_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty vectors are a track of two channels, a block each; each part cuts a window out of one."""
+    e = table(spark, sf_dir, "embeddings")
+    blocks = e.select(F.floor(F.col("vec_id") / 50).cast("string").alias("path"), F.lit(2).alias("channels"), (F.col("vec_id") % 50).alias("block"), F.transform("embedding", lambda v: v.cast("float")).alias("samples"))
+    start = F.col("p_partkey") * 13 % 1700 - 20
+    cuts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 10).cast("string").alias("path"), start.alias("start"), (start + 3 * F.col("p_size") - 20).alias("end"))
+    whole = pcm.joined(pcm.windows(blocks, cuts, block=32), ["p_partkey", "start"])
+    total = F.reduce("samples", F.lit(0.0), lambda a, v: a + v)
+    return whole.select("p_partkey", F.size("samples").cast("long").alias("samples"), F.greatest("start", F.lit(0)).cast("long").alias("first"), F.round(total, 5).alias("total"), F.round(F.get("samples", F.lit(0)).cast("double"), 6).alias("head"), F.round(F.element_at("samples", -1).cast("double"), 6).alias("tail"))
+
+
 def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An 8x8 frame for each embedding."""
     digits = F.array_join(F.transform("y", lambda v: F.lpad(F.hex(F.floor(v)), 2, "0")), "")

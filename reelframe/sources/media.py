@@ -1,4 +1,4 @@
-"""Readers that give media relations: containers by their first bytes, PCM, cues, playlists and job manifests."""
+"""Readers that give media relations: containers by their first bytes, cues, playlists and job manifests."""
 
 from __future__ import annotations
 
@@ -15,33 +15,6 @@ def assets(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", "length", container_kind(F.col("content")).alias("container"))
 
 
-def _number(content: Column, at: int, size: int, signed: bool = False) -> Column:
-    """A little-endian whole number of ``size`` bytes at the 0-based offset ``at``."""
-    parts = [F.conv(F.hex(F.substring(content, at + 1 + i, 1)), 16, 10).cast("long") * (1 << (8 * i)) for i in range(size)]
-    total = sum(parts[1:], parts[0])
-    return F.when(total >= 1 << (8 * size - 1), total - (1 << (8 * size))).otherwise(total) if signed else total
-
-
-def wav(spark: SparkSession, path: str) -> DataFrame:
-    """SRC: (path, channels, sample_rate, bits, data_bytes) of WAV files with the usual 44-byte head; others go."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-    c = F.col("content")
-    fine = files.where(container_kind(c) == "wav").where(F.hex(F.substring(c, 13, 4)) == b"fmt ".hex().upper())
-    return fine.select("path", _number(c, 22, 2).alias("channels"), _number(c, 24, 4).alias("sample_rate"), _number(c, 34, 2).alias("bits"), _number(c, 40, 4).alias("data_bytes"), "content")
-
-
-def pcm16(files: DataFrame, block: int = 4096) -> DataFrame:
-    """AUD-05: (path, block, samples) of 16-bit PCM from ``wav``, in blocks of samples as numbers from -1 to 1."""
-    c, n = F.col("content"), F.floor(F.col("data_bytes") / 2)
-    blocks = files.where("bits = 16").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))))
-    digits = F.hex(F.substring(c, 45 + (F.col("block") * block * 2).cast("int"), F.least(F.lit(block * 2), (n - F.col("block") * block) * 2).cast("int")))
-    low = lambda i: F.conv(F.substring(digits, i * 4 + 1, 2), 16, 10).cast("int")
-    high = lambda i: F.conv(F.substring(digits, i * 4 + 3, 2), 16, 10).cast("int")
-    value = lambda i: low(i) + high(i) * 256 - F.when(high(i) >= 128, 65_536).otherwise(0)
-    at = F.sequence(F.lit(0), (F.length(digits) / 4).cast("int") - 1)
-    return blocks.select("path", "block", F.transform(at, lambda i: (value(i) / 32_768.0).cast("float")).alias("samples"))
-
-
 def _milliseconds(stamp: Column) -> Column:
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(stamp, r"(?:(\d+):)?(\d+):(\d+)[.,](\d{3})", i), F.lit("")).cast("long"), F.lit(0).cast("long"))
     return part(1) * 3_600_000 + part(2) * 60_000 + part(3) * 1000 + part(4)

@@ -141,16 +141,10 @@ def test_resampling_keeps_a_tone():
     assert np.abs(out - want)[200:-200].max() < 1e-3
 
 
-def test_wav_and_cues(spark, tmp_path):
+def test_cues_playlists_and_manifests(spark, tmp_path):
     from reelframe.sources import media
 
-    samples = (np.sin(np.arange(5000) / 9) * 20_000).astype("<i2")
-    head = b"RIFF" + struct.pack("<I", 36 + 10_000) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16_000, 2, 16) + b"data" + struct.pack("<I", 10_000)
-    (tmp_path / "a.wav").write_bytes(head + samples.tobytes())
-    files = media.wav(spark, str(tmp_path))
-    assert rows(files, "channels", "sample_rate", "bits", "data_bytes") == [(1, 8000, 16, 10_000)]
-    got = [v for _, b in sorted((r.block, r.samples) for r in media.pcm16(files).collect()) for v in b]
-    assert np.allclose(got, samples / 32768)
+    (tmp_path / "a.wav").write_bytes(b"RIFF\x00\x00\x00\x00WAVEfmt ")
     assert rows(media.assets(spark, str(tmp_path), "*.wav"), "container") == [("wav",)]
     (tmp_path / "c").mkdir()
     (tmp_path / "c/x.vtt").write_text("WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.500\n<b>Hi</b> &amp; bye\n\n00:03.000 --> 00:04.000\ntwo\n")
