@@ -7,11 +7,13 @@ order. Records come out as rows: (job, stage, item, hook, mode, verdict, reason,
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,13 +91,12 @@ def _called(events: DataFrame, number: int, judge: Callable[[dict[str, Any]], tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            reached = batch.column(at).to_pylist()
-            for i, stage in enumerate(reached):
-                if stage not in wanted:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[at] not in wanted:
                     out.append(None)
                     continue
                 try:
-                    reason, notes = judge({c: batch.column(k)[i].as_py() for k, c in enumerate(names)})
+                    reason, notes = judge(dict(zip(names, row, strict=True)))
                     out.append({"reason": reason, "annotations": list((notes or {}).items()), "error": None})
                 except Exception as e:  # a hook that errs is a record, not a failed task
                     out.append({"reason": None, "annotations": [], "error": f"{type(e).__name__}: {e}"})
@@ -144,26 +145,86 @@ def rejections(found: DataFrame) -> DataFrame:
     return ended.groupBy("job").agg(first.alias("x")).select("job", "x.*")
 
 
-def per_title(frames: DataFrame, title: str, deltas: Sequence[int], measure: Callable[[pa.Table, int], dict[str, float]], scores: str) -> DataFrame:
-    """UDF-07: a row (title, delta, <scores>) for each title and candidate: ``measure(rows of the title's sample, delta)``.
+@dataclass(frozen=True)
+class Measure:
+    """A measure in parts: ``update(state, rows, delta)`` takes a batch of a title's rows into a state, ``merge`` makes one of two, ``finish(state, delta)`` gives the scores.
+
+    States can be pickled. Rows come in any order and any batches, so the three must not depend on these.
+    """
+
+    start: Callable[[], Any]
+    update: Callable[[Any, pa.RecordBatch, int], Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any, int], dict[str, float]]
+
 
-    Each pair is a task's group; the rows of a title are its sample, a few hundred frames. A candidate that fails is left
-    out, not the sweep. ``scores``: DDL of what the measure returns.
+def per_title(frames: DataFrame, title: str, deltas: Sequence[int], measure: Measure, scores: str) -> DataFrame:
+    """UDF-07: a row (title, delta, <scores>) for each title and candidate. ``scores``: DDL of what the measure returns.
+
+    Each batch of rows becomes a state for each of its titles and candidates where it lies; only states are shuffled, and merged
+    one by one, so a title of any number of rows is many tasks and one state. A candidate that fails, in any part, is left
+    out, not the sweep. A null title is a title.
     """
     ship(frames.sparkSession)
-    names = [x.split()[0] for x in scores.split(", ")]
-    rows = frames.withColumn("delta", F.explode(F.array(*map(F.lit, deltas)).cast("array<int>")))
+    names, rest = [x.split()[0] for x in scores.split(", ")], [c for c in frames.columns if c != title]
     kind = frames.schema[title].dataType.simpleString()
 
-    def one(group: pa.Table) -> pa.Table:
-        delta = group.column("delta")[0].as_py()
-        try:
-            found = [measure(group, delta)]
-        except Exception:  # one setting that cannot be measured must not cost the others
-            found = []
-        return pa.table({title: group.column(title)[: len(found)].combine_chunks(), "delta": pa.array([delta] * len(found), pa.int32()), **{c: pa.array([float(f[c]) for f in found], pa.float64()) for c in names}})
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices
+            order = pc.sort_indices(codes)
+            rows, ends = batch.take(order), pc.run_end_encode(codes.take(order)).run_ends.to_pylist()
+            at, out, low = [], [], 0
+            for high in ends:
+                mine = rows.slice(low, high - low)
+                for delta in deltas:
+                    try:
+                        state = pickle.dumps(measure.update(measure.start(), mine, delta))
+                    except Exception:  # one setting that cannot be measured must not cost the others
+                        state = None
+                    at.append(low)
+                    out.append((delta, state))
+                low = high
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at)), pa.array([d for d, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["title", "delta", "state"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, fine, value = None, None, False, None
+        done: list[tuple[pa.Array, int, dict[str, float]]] = []
+
+        def close() -> None:
+            if key is not None and fine:
+                try:
+                    found = measure.finish(state, key[1])
+                    done.append((value, key[1], {c: float(found[c]) for c in names}))
+                except Exception:  # as above
+                    pass
 
-    return rows.groupBy(title, "delta").applyInArrow(one, f"{title} {kind}, delta int, " + ", ".join(f"{c} double" for c in names))
+        for batch in batches:
+            for i, (name, delta, part) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if key != (name, delta):
+                    close()
+                    key, state, fine, value = (name, delta), None, True, batch.column(0).slice(i, 1)
+                try:
+                    fine = fine and part is not None
+                    if fine:
+                        mine = pickle.loads(part)
+                        state = mine if state is None else measure.merge(state, mine)
+                except Exception:  # as above
+                    fine = False
+            if len(done) > 1000:
+                yield shown(done)
+                done.clear()
+        close()
+        if done:
+            yield shown(done)
+
+    def shown(done: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([v for v, _, _ in done]), pa.array([d for _, d, _ in done], pa.int32()), *(pa.array([x[c] for *_, x in done], pa.float64()) for c in names)], names=[title, "delta", *names])
+
+    states = frames.select(F.col(title).alias("title"), *rest).mapInArrow(parts, f"title {kind}, delta int, state binary")
+    return states.repartition("title", "delta").sortWithinPartitions("title", "delta").mapInArrow(merged, f"`{title}` {kind}, delta int, " + ", ".join(f"{c} double" for c in names))
 
 
 def detected(frames: DataFrame, keep: Sequence[str], inputs: Sequence[str], detector: Callable[..., list[tuple[str, float, float, float, float, float]]]) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.picture import ssim_db
+from ..session import kept
 
 
 def sweep_rows(packets: DataFrame, by: list[str], size: str, ssim: str, psnr: str) -> DataFrame:
@@ -108,21 +112,85 @@ def one_config(parts: DataFrame, rung: str, order: str, config: str) -> DataFram
     return parts.withColumn("_first", first).where(~F.col(config).eqNullSafe(F.col("_first"))).drop("_first")
 
 
-def suppressed(boxes: DataFrame, frame: str, label: str, score: str, overlap: float, most: int) -> DataFrame:
+#: Boxes of a frame that fold in one array; a frame with more goes by a grid.
+FOLDED = 512
+
+
+def _iou(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    w = F.greatest(F.least(a("x1"), b("x1")) - F.greatest(a("x0"), b("x0")), F.lit(0.0))
+    h = F.greatest(F.least(a("y1"), b("y1")) - F.greatest(a("y0"), b("y0")), F.lit(0.0))
+    area = lambda r: (r("x1") - r("x0")) * (r("y1") - r("y0"))
+    return w * h / F.greatest(area(a) + area(b) - w * h, F.lit(1e-12))
+
+
+def suppressed(boxes: DataFrame, frame: str, label: str, score: str, overlap: float, most: int | None = None, folded: int = FOLDED) -> DataFrame:
     """TOP-13: boxes (x0, y0, x1, y1) of each frame kept by score, without those that overlap a kept one of their label by more
-    than ``overlap``; ``most`` of a frame over all labels, best first.
+    than ``overlap`` (from 0 on); ``most`` of a frame over all labels, best first. Of equal scores the smaller coordinates, then label, are better.
 
-    A frame's boxes are a detector's output, a few hundred at most, and fold in one array.
+    A detector's few hundred boxes of a frame fold in one array. Frames with more than ``folded`` boxes go by ``suppressed_on_grid``: the same rows.
+    """
+    rows = boxes.select(frame, F.col(label).alias("label"), F.col(score).alias("score"), *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    large = rows.groupBy(frame).count().where(F.col("count") > folded).select(F.col(frame).alias("_large"))
+    if large.isEmpty():
+        out = _folded(rows, frame, overlap, most)
+    else:
+        on = F.col(frame).eqNullSafe(F.col("_large"))
+        out = _folded(rows.join(large, on, "left_anti"), frame, overlap, most).unionByName(suppressed_on_grid(rows.join(large, on, "left_semi"), frame, overlap, most))
+    return out.select(frame, F.col("label").alias(label), F.col("score").alias(score), "x0", "y0", "x1", "y1")
+
+
+def _folded(rows: DataFrame, frame: str, overlap: float, most: int | None) -> DataFrame:
+    box = F.struct((-F.col("score")).alias("rank"), "x0", "y0", "x1", "y1", "label")
+    listed = rows.groupBy(frame).agg(F.array_sort(F.collect_list(box)).alias("all"))
+    near = lambda k, b: k["label"].eqNullSafe(b["label"]) & (_iou(lambda c: k[c], lambda c: b[c]) > overlap)
+    room = lambda kept: F.lit(True) if most is None else F.size(kept) < most
+    fold = F.aggregate("all", F.slice("all", F.lit(1), F.lit(0)), lambda kept, b: F.when(room(kept) & ~F.exists(kept, lambda k: near(k, b)), F.concat(kept, F.array(b))).otherwise(kept))
+    return listed.select(frame, F.explode(fold).alias("b")).select(frame, "b.label", (-F.col("b.rank")).alias("score"), "b.x0", "b.y0", "b.x1", "b.y1")
+
+
+def suppressed_on_grid(rows: DataFrame, frame: str, overlap: float, most: int | None = None) -> DataFrame:
+    """TOP-13 for frames of any number of boxes (frame, label, score, x0, y0, x1, y1): pairs by a grid, then rounds of local maxima.
+
+    A box is filed in the cells that it touches of a grid as coarse as its longer side, four at most. Of two boxes that
+    overlap by a share s the longer sides differ by 1 / s at most, so the smaller one is looked up in few coarser grids; a
+    pair counts in the cell where its common part begins. In each round, boxes without a better undecided neighbour are kept, and
+    neighbours of kept ones go. Boxes of no area overlap none. Equal boxes are one first; of others, a place where many overlap gives all their pairs.
     """
-    box = F.struct((-F.col(score)).alias("rank"), "x0", "y0", "x1", "y1", F.col(label).alias("label"))
-
-    def iou(a: Column, b: Column) -> Column:
-        w = F.greatest(F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.lit(0.0))
-        h = F.greatest(F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]), F.lit(0.0))
-        area = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
-        return w * h / F.greatest(area(a) + area(b) - w * h, F.lit(1e-12))
-
-    listed = boxes.groupBy(frame).agg(F.array_sort(F.collect_list(box)).alias("all"))
-    near = lambda k, b: k["label"].eqNullSafe(b["label"]) & (iou(k, b) > overlap)
-    fold = F.aggregate("all", F.slice("all", F.lit(1), F.lit(0)), lambda kept, b: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: near(k, b)), F.concat(kept, F.array(b))).otherwise(kept))
-    return listed.select(frame, F.explode(fold).alias("b")).select(frame, F.col("b.label").alias(label), (-F.col("b.rank")).alias(score), "b.x0", "b.y0", "b.x1", "b.y1")
+    place = F.struct((-F.col("score")).alias("rank"), "x0", "y0", "x1", "y1", "label")
+    flat = (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0"))
+    same = [frame, "label", "x0", "y0", "x1", "y1"]
+    solid = rows.where(~flat).groupBy(*same).agg(F.max("score").alias("score")) if overlap < 1 else rows.where(~flat)
+    solid = kept(solid.withColumn("id", F.monotonically_increasing_id()).withColumn("place", place))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    sized = solid.withColumn("level", F.ceil(F.log2(side)).cast("int"))
+    levels = [r[0] for r in sized.select("level").distinct().collect()]  # powers of two: some tens
+    reach = 4096 if overlap <= 0 else math.ceil(math.log2(1 / overlap)) + 1
+
+    def filed(df: DataFrame) -> DataFrame:
+        cell = F.pow(F.lit(2.0), F.col("level"))
+        span = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
+        return df.withColumn("across", F.explode(span("x0", "x1"))).withColumn("down", F.explode(span("y0", "y1")))
+
+    above = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda n: (n >= F.col("level")) & (n <= F.col("level") + reach))
+    up = filed(sized.withColumn("own", F.col("level")).withColumn("level", F.explode(above)))
+    a, b = filed(sized).alias("a"), up.alias("b")
+    here = F.pow(F.lit(2.0), F.col("a.level"))
+    first = (F.floor(F.greatest("a.x0", "b.x0") / here) == F.col("a.across")) & (F.floor(F.greatest("a.y0", "b.y0") / here) == F.col("a.down"))
+    once = (F.col("b.own") < F.col("a.level")) | (F.col("a.id") < F.col("b.id"))
+    on = F.col(f"a.{frame}").eqNullSafe(F.col(f"b.{frame}")) & F.col("a.label").eqNullSafe(F.col("b.label")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.across") == F.col("b.across")) & (F.col("a.down") == F.col("b.down"))
+    near = a.join(b, on).where(first & once & (_iou(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")) > overlap))
+    wins = (F.col("a.place") < F.col("b.place")) | ((F.col("a.place") == F.col("b.place")) & (F.col("a.id") < F.col("b.id")))
+    edges = kept(near.select(F.when(wins, F.col("a.id")).otherwise(F.col("b.id")).alias("better"), F.when(wins, F.col("b.id")).otherwise(F.col("a.id")).alias("worse")))
+    lost = None
+    while not edges.isEmpty():
+        beaten = edges.select(F.col("worse").alias("better")).distinct()
+        tops = edges.join(beaten, "better", "left_anti").select("worse").distinct()  # next to one that nothing undecided beats
+        gone = tops.withColumnRenamed("worse", "id")
+        lost = gone if lost is None else lost.union(gone)
+        left = edges.join(gone, F.col("worse") == F.col("id"), "left_anti").join(gone, F.col("better") == F.col("id"), "left_anti")
+        edges, lost = kept(left), kept(lost)
+    out = (solid if lost is None else solid.join(lost, "id", "left_anti")).select(*rows.columns).unionByName(rows.where(flat))
+    if most is None:
+        return out
+    best = F.row_number().over(Window.partitionBy(frame).orderBy(place))
+    return out.withColumn("_best", best).where(F.col("_best") <= most).drop("_best")
