@@ -14,8 +14,9 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +29,8 @@ from .common import BROADCAST_ROWS, cut, parts, shared_dir
 LEAST = 1000
 #: Bytes of payload in one archive file, about, and sizes of pages that are written apart: files of larger pages hold fewer. A larger page is a file of its own.
 FILE_BYTES, SIZES = 128 << 20, (1 << 15, 1 << 20, 1 << 24)
-#: A gzip member is read as far as this many bytes.
-INFLATED = 1 << 30
+#: Bytes in which the head of a record ends; more are damage.
+HEAD = 1 << 24
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -102,15 +103,15 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
-def _plain(data: bytes, at: int) -> Record | str:
-    """The record at ``at``, or why there is none."""
+def _plain(data: bytes, at: int, rest: int = 0) -> Record | str | None:
+    """The record at ``at``, or why there is none; None if that takes some of the ``rest`` bytes that follow ``data``."""
     if not _VERSION.match(data, at):
-        return "no version line"
+        return "no version line" if len(data) - at >= 10 or not rest else None
     blank = data.find(b"\r\n\r\n", at)
     if blank < 0:
-        return "header without end"
+        return "header without end" if not rest or len(data) - at > HEAD else None
     fields: dict[str, str] = {}
-    for line in data[at:blank].split(b"\r\n")[1:]:
+    for line in bytes(data[at:blank]).split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")
         if not colon:
             return "bad header line"
@@ -118,9 +119,11 @@ def _plain(data: bytes, at: int) -> Record | str:
     if not all(k in fields for k in ("warc-type", "warc-record-id", "content-length")) or not fields["content-length"].isascii() or not fields["content-length"].isdigit():
         return "missing fields"
     start, size = blank + 4, int(fields["content-length"])
-    if start + size > len(data):
+    if start + size > len(data) + rest:
         return "block cut short"
-    block = data[start : start + size]
+    if start + size + 4 > len(data) and rest:
+        return None
+    block = bytes(data[start : start + size])
     if data[start + size : start + size + 4] != b"\r\n\r\n":
         return "no end of record"
     payload = block
@@ -143,61 +146,107 @@ def _plain(data: bytes, at: int) -> Record | str:
 def _single(data: bytes, at: int) -> tuple[int, list[Record | Gap], str]:
     """The end of the plain record at ``at`` and the record, or why there is none."""
     got = _plain(data, at)
-    return (at, [], got) if isinstance(got, str) else (got.end, [got], "")
+    return (got.end, [got], "") if isinstance(got, Record) else (at, [], str(got))
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """What can be read of the gzip member at ``at``, where it stops, and why if that is not its end."""
-    z, out, step, size = zlib.decompressobj(31), [], 1 << 16, 0
+def _inflate(data: bytes, at: int) -> Generator[bytes, None, tuple[int, str]]:
+    """What can be read of the gzip member at ``at``, part by part; returns where it stops, and why if that is not its end."""
+    z, step = zlib.decompressobj(31), 1 << 14
     while at < len(data) and not z.eof:
-        if size > INFLATED:
-            return b"".join(out), at, "member too large"
         kept = z.copy()
         try:
-            out.append(z.decompress(data[at : at + step]))
-            size += len(out[-1])
+            part = z.decompress(data[at : at + step])
         except zlib.error as e:
             if step == 1:
-                return b"".join(out), at, str(e)
-            z, step = kept, step // 16
+                return at, str(e)
+            z, step = kept, max(1, step // 16)
             continue
+        yield part
         at = min(at + step, len(data))
-    return b"".join(out), at - len(z.unused_data), "" if z.eof else "member cut short"
+    return at - len(z.unused_data), "" if z.eof else "member cut short"
 
 
-def _member(data: bytes, at: int) -> tuple[int, list[Record | Gap], str]:
-    """The end of the gzip member at ``at``, its records and the gaps between them, and what is wrong with it as a whole.
+def _extent(data: bytes, at: int) -> tuple[int, int, str]:
+    """Of the gzip member at ``at``: how many bytes it has inflated, where it stops, and why if that is not its end."""
+    size, steps = 0, _inflate(data, at)
+    while True:
+        try:
+            size += len(next(steps))
+        except StopIteration as done:
+            return size, *done.value
+
+
+def _within(data: bytes, at: int, size: int, end: int, failed: str, why: list[str]) -> Iterator[Record | Gap]:
+    """The records of the gzip member at ``at`` and the gaps between them, through a window that holds one record or the place where the next is sought.
 
-    All have the bounds of the member, or of the part that can be read. Without a single record the member is no member.
+    All have the bounds of the member, or of the part that can be read. Without a single record the member is no member: nothing
+    comes out but the reason, in ``why``.
     """
-    plain, end, failed = _inflated(data, at)
-    found = []
-    for x in salvage(plain, members=False):
-        if isinstance(x, Gap):
-            if failed and x.end == len(plain):
-                break  # the rest of a member that fails: part of the gap after it
-            x.reason = f"bytes {x.start} to {x.end} of the member: {x.reason}"
-        x.start, x.end = at, end
-        found.append(x)
-    if found and not any(isinstance(x, Record) for x in found):
-        return at, [], failed or found[0].reason
-    return end, found, failed
-
-
-def salvage(data: bytes, members: bool = True) -> Iterator[Record | Gap]:
-    """All records that pass their checks, in order, and the gaps between them; ``members``: gzip members too."""
-    marks = _NEXT if members else _VERSION
+    steps, window, base, pos = _inflate(data, at), bytearray(), 0, 0
+    bad, reason, early, any_record = 0, "", [], False
+
+    def gap(upto: int) -> Gap:
+        return Gap(at, end, f"bytes {bad} to {upto} of the member: {reason}")
+
+    while pos < size:
+        got = _plain(window, pos - base, size - base - len(window))
+        if got is None:  # twice what is here, or all
+            want = 2 * (len(window) - pos + base) + (1 << 16)
+            del window[: pos - base]
+            base = pos
+            while len(window) < want and (part := next(steps, None)) is not None:
+                window += part
+            continue
+        if isinstance(got, Record):
+            if reason:
+                early.append(gap(pos))
+                reason = ""
+            yield from early
+            early, any_record, pos = [], True, base + got.end
+            got.start, got.end = at, end
+            yield got
+            continue
+        if not reason:
+            bad, reason = pos, got
+        seek = pos + 1
+        while not (found := _VERSION.search(window, seek - base)):
+            seek = max(seek, base + len(window) - 9)  # a version line may begin here
+            del window[: seek - base]
+            base = seek
+            if (part := next(steps, None)) is None:
+                break
+            window += part
+        pos = base + found.start() if found else size
+    if not any_record and (failed or reason):
+        why.append(failed or reason)
+    elif reason and not failed:  # the rest of a member that fails is part of the gap after it
+        yield gap(size)
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """All records that pass their checks, plain or in gzip members of any size, in order, and the gaps between them."""
     at, bad, reason = 0, None, ""
     while at < len(data):
-        end, got, failed = (_member if members and data.startswith(b"\x1f\x8b\x08", at) else _single)(data, at)
-        if bad is not None and (got or not failed):
+        if data.startswith(b"\x1f\x8b\x08", at):
+            why: list[str] = []
+            size, end, failed = _extent(data, at)
+            found = _within(data, at, size, end, failed, why)
+            first = next(found, None)
+            got = chain([] if first is None else [first], found)
+            if why:
+                end, failed = at, why[0]
+            some = first is not None
+        else:
+            end, got, failed = _single(data, at)
+            some = bool(got)
+        if bad is not None and (some or not failed):
             yield Gap(bad, at, reason)
             bad = None
         yield from got
         if failed:
             if bad is None:
                 bad, reason = at, failed
-            after = marks.search(data, at + 1)
+            after = _NEXT.search(data, at + 1)
             at = after.start() if after else len(data)
         else:
             at = end

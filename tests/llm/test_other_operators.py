@@ -337,11 +337,29 @@ def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     assert len(list(warc.salvage(gzip.compress(b"\0" * 1000)))) == 1
 
 
-def test_members_are_not_inflated_without_bound(monkeypatch):
-    monkeypatch.setattr(warc, "INFLATED", 1 << 20)
-    found = list(warc.salvage(gzip.compress(record(1, b"a" * 100) + b"\0" * (1 << 24)) + record(2, b"b")))
-    assert [x.fields["warc-record-id"] for x in found if isinstance(x, warc.Record)] == ["<urn:1>", "<urn:2>"]
-    assert any(isinstance(x, warc.Gap) for x in found)
+def test_members_of_any_size_are_read_through_a_window():
+    """A record, 128 MB of damage, a record of 3 MB and a thousand small ones, in one member: all are found, in a fraction of that memory."""
+    import tracemalloc
+
+    small = b"".join(record(i, b"c" * 500) for i in range(10, 1010))
+    data = gzip.compress(record(1, b"a" * 100) + b"\0" * (1 << 27) + record(2, b"x" * (3 << 20)) + small, 1) + record(3, b"b")
+    tracemalloc.start()
+    names, gaps = [], []
+    for x in warc.salvage(data):
+        (names if isinstance(x, warc.Record) else gaps).append(x.fields["warc-record-id"] if isinstance(x, warc.Record) else (x.start, x.reason[:30]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == [f"<urn:{i}>" for i in (1, 2, *range(10, 1010), 3)] and len(gaps) == 1
+    assert peak < 60 << 20
+
+
+def test_a_length_that_is_wrong_holds_nothing_back():
+    """A block longer than the rest of its member is damage at once; records after it are found."""
+    wrong = record(1, b"a" * 100).replace(b"Content-Length: 1", b"Content-Length: 91", 1)
+    data = gzip.compress(wrong + record(2, b"b") + b"WARC/1.0\r\nno head")
+    found = list(warc.salvage(data))
+    assert [x.fields["warc-record-id"] for x in found if isinstance(x, warc.Record)] == ["<urn:2>"]
+    assert len([x for x in found if isinstance(x, warc.Gap)]) == 2
 
 
 # Shared helpers
