@@ -28,23 +28,6 @@ def _around(p: np.ndarray, reach: int) -> np.ndarray:
     return np.stack([wide[y : y + h, x : x + w] for y in range(2 * reach + 1) for x in range(2 * reach + 1)])
 
 
-def crop(x: int, y: int, w: int, h: int) -> Kernel:
-    """PIX-01"""
-    return lambda p: p[y : y + h, x : x + w]
-
-
-def pad(w: int, h: int, black: int = 16) -> Kernel:
-    """PIX-02: centred on a black canvas, at even offsets."""
-
-    def run(p: np.ndarray) -> np.ndarray:
-        out = np.full((h, w), black, np.uint8)
-        y, x = (h - p.shape[0]) // 4 * 2, (w - p.shape[1]) // 4 * 2
-        out[y : y + p.shape[0], x : x + p.shape[1]] = p
-        return out
-
-    return run
-
-
 def hflip(p: np.ndarray) -> np.ndarray:
     """PIX-03"""
     return p[:, ::-1]
@@ -55,26 +38,11 @@ def vflip(p: np.ndarray) -> np.ndarray:
     return p[::-1]
 
 
-def rotate(degrees: int) -> Kernel:
-    """PIX-05: clockwise, by quarter turns."""
-    return lambda p: np.rot90(p, -(degrees // 90) % 4)
-
-
 def invert(p: np.ndarray) -> np.ndarray:
     """PIX-07"""
     return 255 - p
 
 
-def brightness(delta: float) -> Kernel:
-    """PIX-08"""
-    return lambda p: _bytes(p.astype(np.float32) + delta)
-
-
-def contrast(factor: float) -> Kernel:
-    """PIX-09, PIX-10: away from the middle, 128."""
-    return lambda p: _bytes((p.astype(np.float32) - 128) * factor + 128)
-
-
 def bilateral(p: np.ndarray, spatial: float = 2.0, tonal: float = 20.0) -> np.ndarray:
     """PIX-12: 5x5, weighted by nearness in place and tone."""
     near = _around(p, 2)
@@ -94,21 +62,6 @@ def median(p: np.ndarray) -> np.ndarray:
     return np.median(_around(p, 1), axis=0).astype(np.uint8)
 
 
-def mean(p: np.ndarray) -> np.ndarray:
-    """PIX-15: 3x3."""
-    return _bytes(_around(p, 1).mean(axis=0))
-
-
-def anisotropic(p: np.ndarray, rounds: int = 8, kappa: float = 20.0, step: float = 0.2) -> np.ndarray:
-    """PIX-17: Perona and Malik."""
-    x = p.astype(np.float32)
-    for _ in range(rounds):
-        wide = np.pad(x, 1, mode="edge")
-        flow = [wide[:-2, 1:-1] - x, wide[2:, 1:-1] - x, wide[1:-1, :-2] - x, wide[1:-1, 2:] - x]
-        x = x + step * sum(d * np.exp(-((d / kappa) ** 2)) for d in flow)
-    return _bytes(x)
-
-
 def blend(kernel: Kernel, strength: float) -> Kernel:
     """PIX-18: so much of the kernel's result, the rest of the source."""
     return lambda p: _bytes(strength * kernel(p).astype(np.float32) + (1 - strength) * p)
@@ -128,54 +81,6 @@ def bilinear(w: int, h: int) -> Kernel:
     return run
 
 
-def area_shrink(p: np.ndarray, w: int, h: int) -> np.ndarray:
-    """HSH-04: the mean of each cell, edge pixels by the share that lies in it."""
-
-    def cover(n: int, m: int) -> np.ndarray:
-        edge = np.arange(m + 1) * n / m
-        return np.clip(np.minimum(edge[1:, None], np.arange(1, n + 1)) - np.maximum(edge[:-1, None], np.arange(n)), 0, None) * m / n
-
-    return cover(p.shape[0], h) @ p.astype(np.float64) @ cover(p.shape[1], w).T
-
-
-def phash(p: np.ndarray) -> int:
-    """HSH-03: of the 32x32 cosine transform the low 8x8 corner, each above the median; the first bit most significant."""
-    k, n = np.mgrid[0:8, 0:32]
-    basis = np.cos(np.pi * (2 * n + 1) * k / 64)
-    low = (basis @ area_shrink(p, 32, 32) @ basis.T).reshape(-1)
-    middle = np.sort(low)[31:33].mean()
-    return int("".join("1" if v > middle else "0" for v in low), 2)
-
-
-def ssim(a: np.ndarray, b: np.ndarray) -> float:
-    """AGG-06: 11x11 Gaussian windows of deviation 1.5 that lie inside; planes below 11 are one window."""
-    x, y = a.astype(np.float64), b.astype(np.float64)
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    if min(x.shape) < 11:
-        mx, my, vx, vy, c = x.mean(), y.mean(), x.var(), y.var(), ((x - x.mean()) * (y - y.mean())).mean()
-        return float((2 * mx * my + c1) * (2 * c + c2) / ((mx**2 + my**2 + c1) * (vx + vy + c2)))
-    taps = np.exp(-((np.arange(11) - 5) ** 2) / (2 * 1.5**2))
-    taps /= taps.sum()
-    smooth = lambda z: np.apply_along_axis(np.convolve, 1, np.apply_along_axis(np.convolve, 0, z, taps, "valid"), taps, "valid")
-    mx, my = smooth(x), smooth(y)
-    vx, vy, c = smooth(x * x) - mx**2, smooth(y * y) - my**2, smooth(x * y) - mx * my
-    return float(((2 * mx * my + c1) * (2 * c + c2) / ((mx**2 + my**2 + c1) * (vx + vy + c2))).mean())
-
-
-def tonemapped(linear: np.ndarray, exposure: float = 2.0, white: float = 1000.0) -> np.ndarray:
-    """CLR-07: the Hable curve on linear light in nits, 1 at ``white``."""
-    a, b, c, d, e, f = 0.15, 0.50, 0.10, 0.20, 0.02, 0.30  # fixed values of the curve
-    curve = lambda x: (x * (a * x + c * b) + d * e) / (x * (a * x + b) + d * f) - e / f
-    return np.clip(curve(linear / 100 * exposure) / curve(white / 100 * exposure), 0, 1)
-
-
-def pq_to_nits(signal: np.ndarray) -> np.ndarray:
-    """CLR-07: the perceptual quantiser's signal of 0 to 1 as light."""
-    m1, m2, c1, c2, c3 = 2610 / 16384, 2523 / 4096 * 128, 3424 / 4096, 2413 / 4096 * 32, 2392 / 4096 * 32  # fixed values of the standard
-    p = np.power(np.clip(signal, 0, 1), 1 / m2)
-    return 10_000 * np.power(np.maximum(p - c1, 0) / (c2 - c3 * p), 1 / m1)
-
-
 def filtered(frames: DataFrame, chain: Sequence[Kernel]) -> DataFrame:
     """PIX-21: ``frames`` with every plane put through the kernels in turn; width and height follow."""
     ship(frames.sparkSession)
@@ -196,76 +101,3 @@ def filtered(frames: DataFrame, chain: Sequence[Kernel]) -> DataFrame:
 
     ordered = frames.selectExpr(*rest, "cast(width as int) width", "cast(height as int) height", "pixels")
     return ordered.mapInArrow(run, ordered.schema)
-
-
-def grayscale(planes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """PIX-06: neutral chroma."""
-    return planes[0], np.full_like(planes[1], 128), np.full_like(planes[2], 128)
-
-
-def overlaid(p: np.ndarray, mark: np.ndarray, alpha: np.ndarray, x: int, y: int) -> np.ndarray:
-    """PIX-11: ``mark`` over the plane with its left top at (x, y), by ``alpha`` of 0 to 255; what lies outside is cut."""
-    out = p.copy()
-    h, w = max(0, min(mark.shape[0], p.shape[0] - y)), max(0, min(mark.shape[1], p.shape[1] - x))
-    a = alpha[:h, :w].astype(np.float32) / 255
-    out[y : y + h, x : x + w] = _bytes(mark[:h, :w] * a + p[y : y + h, x : x + w] * (1 - a))
-    return out
-
-
-def nlmeans(p: np.ndarray, patch: int = 3, search: int = 9, sigma: float = 10.0) -> np.ndarray:
-    """PIX-16: neighbours within ``search``, weighted by how alike the patches around them are."""
-    reach, half = search // 2, patch // 2
-    x = p.astype(np.float32)
-    wide = np.pad(x, reach, mode="edge")
-    total, weights = np.zeros_like(x), np.zeros_like(x)
-    for dy in range(search):
-        for dx in range(search):
-            other = wide[dy : dy + x.shape[0], dx : dx + x.shape[1]]
-            apart = _around((x - other) ** 2, half).mean(axis=0)
-            w = np.exp(-apart / sigma**2)
-            total += w * other
-            weights += w
-    return _bytes(total / weights)
-
-
-def halved(plane: np.ndarray) -> np.ndarray:
-    """CLR-04: the mean of each 2x2 block, edges repeated for odd sizes."""
-    wide = np.pad(plane.astype(np.float32), ((0, plane.shape[0] % 2), (0, plane.shape[1] % 2)), mode="edge")
-    return _bytes((wide[::2, ::2] + wide[1::2, ::2] + wide[::2, 1::2] + wide[1::2, 1::2]) / 4)
-
-
-def narrowed(plane: np.ndarray, bits: int = 10) -> np.ndarray:
-    """CLR-06: to 8 bits, rounded."""
-    shift = bits - 8
-    return np.minimum((plane.astype(np.uint32) + (1 << shift >> 1)) >> shift, 255).astype(np.uint8)
-
-
-def widened(plane: np.ndarray, bits: int = 10) -> np.ndarray:
-    """CLR-06: from 8 bits, shifted."""
-    return plane.astype(np.uint16) << (bits - 8)
-
-
-def _luma_weights(kr: float, kb: float) -> np.ndarray:
-    """RGB to Y, Cb, Cr of full range for the two weights of a standard."""
-    kg = 1 - kr - kb
-    return np.array([[kr, kg, kb], [-kr / (2 * (1 - kb)), -kg / (2 * (1 - kb)), 0.5], [0.5, -kg / (2 * (1 - kr)), -kb / (2 * (1 - kr))]])
-
-
-def bt601_to_709(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """CLR-03: limited-range planes of one size, through RGB, from the one standard's weights to the other's."""
-    turn = _luma_weights(0.2126, 0.0722) @ np.linalg.inv(_luma_weights(0.299, 0.114))
-    scaled = np.stack([(y.astype(np.float64) - 16) / 219, (u.astype(np.float64) - 128) / 224, (v.astype(np.float64) - 128) / 224])
-    out = np.einsum("ij,jhw->ihw", turn, scaled)
-    return _bytes(np.clip(out[0] * 219 + 16, 16, 235)), _bytes(np.clip(out[1] * 224 + 128, 16, 240)), _bytes(np.clip(out[2] * 224 + 128, 16, 240))
-
-
-def resampled(samples: np.ndarray, source: int, target: int, taps: int = 64, beta: float = 12.3) -> np.ndarray:
-    """AUD-03: a windowed sinc up to nine tenths of the lower half rate; ceil(n * target / source) samples, without delay."""
-    n = -(-len(samples) * target // source)
-    at = np.arange(n) * (source / target)
-    cut_at = 0.9 * min(1.0, target / source)
-    k = np.floor(at).astype(int)[:, None] + np.arange(1 - taps, taps + 1)[None, :]
-    away = at[:, None] - k
-    window = np.i0(beta * np.sqrt(np.clip(1 - (away / taps) ** 2, 0, None))) / np.i0(beta)
-    held = np.where((k >= 0) & (k < len(samples)), samples[np.clip(k, 0, max(len(samples) - 1, 0))], 0.0) if len(samples) else np.zeros(k.shape)
-    return (held * cut_at * np.sinc(cut_at * away) * window).sum(axis=1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
 import pyarrow as pa
@@ -45,6 +46,26 @@ def udf01_hook_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hooks.records(events(spark, sf_dir), hook_set()).select("job", "stage", "item", "hook", "verdict", "reason", "error")
 
 
+def later_set() -> hooks.Hooks:
+    """Hooks of a second configuration: one of a name that ``hook_set`` has too, and an optional one of its own."""
+    short = hooks.Hook("length", ["decoded-frame", "artifact"], hooks.answer(F.when(F.col("n_chars") < 600, "too short")))
+    return hooks.Hooks().with_hook(hooks.Hook("late", ["completed"], hooks.answer(None, {"chars": F.col("n_chars")}))).with_hook(short)
+
+
+@query("""WITH e AS (SELECT source AS job, doc_id % 4 AS s, ['probe', 'decoded-frame', 'artifact', 'completed'][CAST(doc_id % 4 + 1 AS INTEGER)] AS stage, doc_id AS item, n_chars, quality FROM documents JOIN labels USING (doc_id)),
+x AS (SELECT job, stage, s, item, 0 AS n, 'quality' AS hook, CASE WHEN quality = 0 AND item % 5 = 0 THEN 'poor' END AS reason FROM e WHERE s IN (1, 2)
+UNION ALL SELECT job, stage, s, item, 1, 'late', NULL FROM e WHERE s = 3
+UNION ALL SELECT job, stage, s, item, 2, 'length', CASE WHEN n_chars < 600 THEN 'too short' END FROM e WHERE s IN (1, 2)),
+o AS (SELECT *, (s * 1000000000 + item) * 10 + n AS place FROM x), f AS (SELECT job, min(place) AS stop FROM o WHERE reason IS NOT NULL AND n <> 0 GROUP BY 1),
+b AS (SELECT o.job, min(s) AS last FROM o LEFT JOIN f USING (job) WHERE reason IS NOT NULL AND n = 0 AND (stop IS NULL OR place <= stop) GROUP BY 1)
+SELECT job, stage, item, hook, CASE WHEN hook = 'quality' THEN 'background' ELSE 'blocking' END AS mode, CASE WHEN reason IS NULL THEN 'continue' ELSE 'reject' END AS verdict, reason FROM o LEFT JOIN f USING (job) LEFT JOIN b USING (job) WHERE (stop IS NULL OR place <= stop) AND (last IS NULL OR s <= last)""")
+def set07_cascaded_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set over another: a hook of both is the later one's, and runs last; without the optional one that was not asked for."""
+    first = hooks.Hooks(tuple(replace(h, required=False) for h in hook_set().hooks))
+    cascade = first.merged(later_set()).select(["length", "quality", "late"])
+    return hooks.records(events(spark, sf_dir), cascade).select("job", "stage", "item", "hook", "mode", "verdict", "reason")
+
+
 def _floor_sum(state: tuple[int, float], rows: pa.RecordBatch, delta: int) -> tuple[int, float]:
     prices = rows.column(1).to_numpy()
     return state[0] + len(prices), state[1] + float((prices // 2**delta).sum())

@@ -357,3 +357,12 @@ def prj04_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, 'avc1.' || lpad(lower(to_hex(p_size)), 2, '0') || lpad(lower(to_hex(p_partkey % 256)), 2, '0') || lpad(lower(to_hex(31)), 2, '0') AS avc, 'av01.0.' || lpad(CAST(p_size % 24 AS VARCHAR), 2, '0') || CASE WHEN p_size % 2 = 0 THEN 'M' ELSE 'H' END || '.08' AS av1 FROM part")
 def prj05_codec_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", picture.avc_codec("p_size", F.col("p_partkey") % 256, F.lit(31)).alias("avc"), picture.av1_codec(F.lit(0), F.col("p_size") % 24, F.col("p_size") % 2, F.lit(8)).alias("av1"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_partkey * 3003 / CAST((p_size % 7) * 1000 AS DOUBLE) END AS seconds, CAST(greatest(round(coalesce(CASE WHEN p_size % 3 > 0 THEN (p_size % 3) * 1.5::DOUBLE END, 2) * CAST(23.976 AS DOUBLE)), 1) AS BIGINT) AS gop FROM part")
+def prj03_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of clocks, one of 0 Hz among them, as seconds; the frames of a GOP of so many seconds, or of none given."""
+    from ..functions.timebase import keyframe_interval, seconds
+
+    length = F.when(F.col("p_size") % 3 > 0, (F.col("p_size") % 3) * 1.5)
+    return table(spark, sf_dir, "part").select("p_partkey", seconds(F.col("p_partkey") * 3003, F.col("p_size") % 7 * 1000).alias("seconds"), keyframe_interval(length, 23.976).alias("gop"))

@@ -25,11 +25,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The same rows by a checkpoint below ``spark.checkpoint.dir``, so that what follows starts from them. Where that is unset, a local folder serves on one machine."""
+    """The same rows by a checkpoint below ``spark.checkpoint.dir``, so that what follows starts from them; removed once no table is made from them. Where that is unset, a local folder serves on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="shared"))
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
