@@ -34,8 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, so that a lost executor costs no recomputation."""
+    """The same rows, kept in the shared folder, so that a lost executor costs no recomputation. Spark removes them once no table is made from them any more."""
     shared_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 

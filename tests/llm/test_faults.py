@@ -85,3 +85,38 @@ def test_thresholds_do_not_depend_on_the_batch(spark):
     together = lattice(texts)
     for i in (0, 17, 39):
         assert thresholds(together, i) == thresholds(lattice([texts[i]]), 0)
+
+
+def test_nothing_is_left_but_what_results_are_made_from(spark):
+    """Tables that an operator kept go with its result."""
+    import gc
+    import time
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from reelframe.llm.common import shared_dir
+    from reelframe.llm.components import components
+
+    folder = Path(urlparse(shared_dir(spark)).path)
+
+    def there():
+        return {str(x) for x in folder.glob("**/rdd-*")} | {str(x) for x in folder.iterdir() if x.name.split("-")[0] in ("anchors", "repeats", "terms", "postings", "archives", "labelled")}
+
+    def settled(low):
+        for _ in range(60):
+            gc.collect()
+            spark._jvm.System.gc()
+            if len(there() - before) <= low:
+                return True
+            time.sleep(0.5)
+        return False
+
+    before = there()
+    chain = components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"))
+    texts = spark.createDataFrame([(i, "the same words again and again in a text that is long enough to repeat " * 4) for i in range(4)], "doc_id long, text string")
+    cleaned = suffix_dedup.remove_repeats(texts)
+    found = lexical.search(texts, texts.selectExpr("doc_id as item_id", "text"))
+    assert chain.count() == 61 and cleaned.count() == 4 and found.count() == 16
+    assert there() > before and all("/rdd-" in x for x in there() - before)  # scratch tables went at once
+    del chain, cleaned, found
+    assert settled(1)
