@@ -68,7 +68,7 @@ def as_of(points: DataFrame, targets: DataFrame, stream: str, point: str, target
     return shifted.select(stream, target, "_shifted").join(found, [stream, "_shifted"]).drop("_shifted")
 
 
-#: Lines of a policy, at most.
+#: Lines of a policy in one expression; a longer policy is a chain of them.
 RULES = 256
 
 
@@ -76,20 +76,22 @@ def with_rules(rungs: DataFrame, rules: DataFrame, fields: list[str], position:
     """JON-06: ``rungs`` with what the ``rules`` that select them say, folded in their order; each row stays one row.
 
     rules: (ord, selector, value, quality_delta, <fields>), selector any, top, below_top, step, short_le
-    or short_ge. quality_delta adds up, held within 16 bits at each step; of each other field the last value that is not
-    null holds. The rules are a policy of ``RULES`` lines at most and become one expression: no join.
+    or short_ge; other selectors select nothing. quality_delta adds up, held within 16 bits at each step; of each other field the last value that is not
+    null holds. The rules are a policy, a job's own lines: they become expressions of ``RULES`` lines each, one after the other, without a join.
     """
-    lines = rules.orderBy("ord").limit(RULES + 1).collect()
-    if len(lines) > RULES:
-        raise ValueError(f"a policy has {RULES} lines at most")
+    lines, kinds = rules.orderBy("ord").collect(), {f.name: f.dataType for f in rules.schema.fields}
     place, side = F.col(position), F.col(short_side)
     tests = {"any": lambda v: F.lit(True), "top": lambda v: place == 0, "below_top": lambda v: place > 0, "step": lambda v: place == v, "short_le": lambda v: side <= v, "short_ge": lambda v: side >= v}
-    applies = [F.coalesce(tests[r["selector"]](r["value"]), F.lit(False)) if r["selector"] in tests else F.lit(False) for r in lines]
-    delta = F.array(*(F.when(a, F.lit(int(r["quality_delta"] or 0))).otherwise(F.lit(0)) for a, r in zip(applies, lines, strict=True))).cast("array<int>")
-    total = F.aggregate(delta, F.lit(0), lambda a, x: F.least(F.greatest(a + x, F.lit(-32768)), F.lit(32767)))
-    kinds = {f.name: f.dataType for f in rules.schema.fields}
-    last = [F.coalesce(*(F.when(a, F.lit(r[f]).cast(kinds[f])) for a, r in reversed(list(zip(applies, lines, strict=True))) if r[f] is not None), F.lit(None).cast(kinds[f])).alias(f) for f in fields]
-    return rungs.select("*", total.alias("quality_delta"), *last)
+    kept = [c for c in rungs.columns if c not in ("quality_delta", *fields)]
+    out = rungs.select(*kept, F.lit(0).alias("quality_delta"), *(F.lit(None).cast(kinds[f]).alias(f) for f in fields))
+    for first in range(0, len(lines), RULES):
+        some = lines[first : first + RULES]
+        applies = [F.coalesce(tests[r["selector"]](r["value"]), F.lit(False)) if r["selector"] in tests else F.lit(False) for r in some]
+        delta = F.array(*(F.when(a, F.lit(int(r["quality_delta"] or 0))).otherwise(F.lit(0)) for a, r in zip(applies, some, strict=True))).cast("array<int>")
+        total = F.aggregate(delta, F.col("quality_delta"), lambda a, x: F.least(F.greatest(a + x, F.lit(-32768)), F.lit(32767)))
+        last = [F.coalesce(*(F.when(a, F.lit(r[f]).cast(kinds[f])) for a, r in reversed(list(zip(applies, some, strict=True))) if r[f] is not None), F.col(f)).alias(f) for f in fields]
+        out = out.select(*kept, total.alias("quality_delta"), *last)
+    return out
 
 
 def with_defaults(jobs: DataFrame, defaults: DataFrame, fields: list[str], on: list[str]) -> DataFrame:

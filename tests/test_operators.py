@@ -106,6 +106,25 @@ def test_rules_keep_equal_rungs_and_hold_the_sum(spark):
     assert got == [(0, 32757, "b"), (0, 32757, "b"), (1, 32767, "c"), (2, 32767, "a")]
 
 
+def test_a_policy_of_many_lines_folds_in_order(spark):
+    import random
+
+    rng = random.Random(6)
+    lines = [(i, rng.choice(["any", "top", "below_top", "step", "short_le", "short_ge", "odd"]), rng.randint(0, 40), rng.choice([0, 900, -700, 30_000, -30_000]), rng.choice([None, "a", "b", "c"])) for i in range(700)]
+    made = [(p, s) for p in (0, 1, 7) for s in (5, 20, 39, None)]
+    want = []
+    for place, side in made:
+        total, codec = 0, None
+        for _, selector, value, delta, name in lines:
+            on = {"any": True, "top": place == 0, "below_top": place > 0, "step": place == value, "short_le": side is not None and side <= value, "short_ge": side is not None and side >= value}
+            if on.get(selector):
+                total, codec = max(-32768, min(32767, total + delta)), name or codec
+        want.append((place, side, total, codec))
+    rules = spark.createDataFrame(lines, "ord int, selector string, value int, quality_delta int, codec string").repartition(3)
+    got = rows(joins.with_rules(spark.createDataFrame(made, "position int, short_side int"), rules, ["codec"]))
+    assert got == sorted(want, key=repr)
+
+
 def test_time_base_breaks(spark):
     full = 1 << 33
     clock = [full - 10, 5, 20, None, 30, 10, None, 12, 13]
