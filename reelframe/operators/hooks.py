@@ -158,36 +158,61 @@ class Measure:
     finish: Callable[[Any, int], dict[str, float]]
 
 
+def _or_none(made: Callable[[], Any]) -> Any:
+    """What ``made`` gives; None if it fails: one setting that cannot be measured must not cost the others."""
+    try:
+        return made()
+    except Exception:
+        return None
+
+
+def _same(a: Any, b: Any) -> bool:
+    """Whether two titles are one, as Spark has it: NaN is one title."""
+    return a == b or (a != a and b != b)
+
+
 def per_title(frames: DataFrame, title: str, deltas: Sequence[int], measure: Measure, scores: str) -> DataFrame:
     """UDF-07: a row (title, delta, <scores>) for each title and candidate. ``scores``: DDL of what the measure returns.
 
-    Each batch of rows becomes a state for each of its titles and candidates where it lies; only states are shuffled, and merged
-    one by one, so a title of any number of rows is many tasks and one state. A candidate that fails, in any part, is left
-    out, not the sweep. A null title is a title.
+    Rows are dealt and sorted by title, so a batch has few titles or all rows of them; it becomes a state for each of its titles and candidates,
+    and those of a title in a task are merged as they come. A title with more rows than a task should have is split by Spark (a rebalance),
+    and the states of its parts are merged after a shuffle. A candidate that fails, in any part, is left out, not the sweep. A null title is a title.
     """
     ship(frames.sparkSession)
     names, rest = [x.split()[0] for x in scores.split(", ")], [c for c in frames.columns if c != title]
     kind = frames.schema[title].dataType.simpleString()
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, value, states = None, None, None
+        done: list[tuple[pa.Array, list[bytes | None]]] = []
+
+        def shown() -> pa.RecordBatch:
+            values = pa.concat_arrays([v for v, _ in done]).take(pa.array([i for i in range(len(done)) for _ in deltas], pa.int64()))
+            return pa.RecordBatch.from_arrays([values, pa.array([d for _ in done for d in deltas], pa.int32()), pa.array([x for _, xs in done for x in xs], pa.binary())], names=["title", "delta", "state"])
+
+        def close() -> None:
+            if value is not None:
+                done.append((value, [_or_none(lambda x=x: pickle.dumps(x[0])) if x else None for x in states]))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices
-            order = pc.sort_indices(codes)
-            rows, ends = batch.take(order), pc.run_end_encode(codes.take(order)).run_ends.to_pylist()
-            at, out, low = [], [], 0
-            for high in ends:
-                mine = rows.slice(low, high - low)
-                for delta in deltas:
-                    try:
-                        state = pickle.dumps(measure.update(measure.start(), mine, delta))
-                    except Exception:  # one setting that cannot be measured must not cost the others
-                        state = None
-                    at.append(low)
-                    out.append((delta, state))
+            ends, low = pc.run_end_encode(batch.column(0).dictionary_encode(null_encoding="encode").indices).run_ends.to_pylist(), 0
+            for name, high in zip(batch.column(0).take(pa.array([0, *ends[:-1]])).to_pylist(), ends, strict=True):
+                if value is None or not _same(name, last):
+                    close()
+                    last, value, states = name, batch.column(0).slice(low, 1), None
+                mine = batch.slice(low, high - low)
+                # a state is in a list of its own; None once it failed
+                fresh = [_or_none(lambda d=d: [measure.update(measure.start(), mine, d)]) for d in deltas]
+                states = fresh if states is None else [x and y and _or_none(lambda x=x, y=y: [measure.merge(x[0], y[0])]) for x, y in zip(states, fresh, strict=True)]
                 low = high
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at)), pa.array([d for d, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["title", "delta", "state"])
+            if len(done) > 1000:
+                yield shown()
+                done.clear()
+        close()
+        if done:
+            yield shown()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state, fine, value = None, None, False, None
@@ -198,12 +223,12 @@ def per_title(frames: DataFrame, title: str, deltas: Sequence[int], measure: Mea
                 try:
                     found = measure.finish(state, key[1])
                     done.append((value, key[1], {c: float(found[c]) for c in names}))
-                except Exception:  # as above
+                except Exception:  # one setting that cannot be measured must not cost the others
                     pass
 
         for batch in batches:
             for i, (name, delta, part) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
-                if key != (name, delta):
+                if key is None or key[1] != delta or not _same(name, key[0]):
                     close()
                     key, state, fine, value = (name, delta), None, True, batch.column(0).slice(i, 1)
                 try:
@@ -223,7 +248,8 @@ def per_title(frames: DataFrame, title: str, deltas: Sequence[int], measure: Mea
     def shown(done: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.concat_arrays([v for v, _, _ in done]), pa.array([d for _, d, _ in done], pa.int32()), *(pa.array([x[c] for *_, x in done], pa.float64()) for c in names)], names=[title, "delta", *names])
 
-    states = frames.select(F.col(title).alias("title"), *rest).mapInArrow(parts, f"title {kind}, delta int, state binary")
+    dealt = frames.select(F.col(title).alias("title"), *rest).hint("rebalance", "title").sortWithinPartitions("title")
+    states = dealt.mapInArrow(parts, f"title {kind}, delta int, state binary")
     return states.repartition("title", "delta").sortWithinPartitions("title", "delta").mapInArrow(merged, f"`{title}` {kind}, delta int, " + ", ".join(f"{c} double" for c in names))
 
 

@@ -81,3 +81,46 @@ def test_a_merge_that_fails_costs_its_candidate_alone(spark):
         assert rows(hooks.per_title(one, "t", [1], measure, "n double")) == [("a", 1, 1.0)]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+
+def counted_parts():
+    """A measure that counts its rows, and the states they were in."""
+
+    def update(state, batch, delta):
+        if delta == 2 and batch.column(0)[0].as_py() == 3.0:
+            raise ValueError("no such setting")
+        return state[0], state[1] + batch.num_rows
+
+    return hooks.Measure(lambda: (1, 0), update, lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s, _: {"parts": s[0], "n": s[1]})
+
+
+def test_titles_that_lie_apart_are_few_states(spark):
+    """A title's rows come together before they are measured, however they lie in the table: not a state for each title in each batch."""
+    title = F.when(F.col("id") % 7 == 5, F.lit("NaN").cast("double")).when(F.col("id") % 7 != 6, (F.col("id") % 7).cast("double"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        got = hooks.per_title(spark.range(0, 70_000, 1, 3).select(title.alias("t"), "id"), "t", [0, 2], counted_parts(), "parts double, n double").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((str(r.t), r.delta, r.n) for r in got) == sorted((t, d, 10_000.0) for t in ("0.0", "1.0", "2.0", "3.0", "4.0", "nan", "None") for d in (0, 2) if (t, d) != ("3.0", 2))
+    assert max(r.parts for r in got) <= 12  # 70 batches have rows of each title as they lie
+
+
+def test_a_long_title_is_several_tasks(spark):
+    """A title with most of the rows is split, and its parts are merged."""
+
+    def update(state, batch, delta):
+        from pyspark import TaskContext
+
+        return state[0] | {TaskContext.get().partitionId()}, state[1] + batch.num_rows
+
+    measure = hooks.Measure(lambda: (frozenset(), 0), update, lambda a, b: (a[0] | b[0], a[1] + b[1]), lambda s, _: {"tasks": len(s[0]), "n": s[1]})
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        made = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 50 == 0, F.col("id") / 50.0).otherwise(-1.0).alias("t"), F.rand(1).alias("x"))
+        got = {r.t: r for r in hooks.per_title(made, "t", [0], measure, "tasks double, n double").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(got) == 4001 and got[7.0].n == 1
+    assert got[-1.0].n == 196_000 and got[-1.0].tasks > 1
