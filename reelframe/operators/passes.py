@@ -93,7 +93,8 @@ class Scan:
     ``rows`` rows at most, or those of one value. Inside a part the values are windows; a part is summed up by an
     associative step (sum, last value, next value), these summaries are lined up over a key, a row for each part, and what
     comes in from other parts is handed to the rows. Rows and summaries meet by key and part, by which the rows are dealt
-    already. Without a key of more than ``rows`` rows, or if the first order column is no number or time, all is one part.
+    already. Without a key of more than ``rows`` rows, or if the first order column is no number or time, all is one part: windows go by
+    the key itself, so rows that are dealt by it are not shuffled, nor is what is grouped by it and more.
 
     Several ``take`` share one dealing and sorting of the rows. The order should have no ties, or they go either way.
     """
@@ -105,8 +106,10 @@ class Scan:
         kind = df.schema[order[0]].dataType
         longest = df.groupBy(*self.key).count().agg(F.max("count"), F.sum("count")).first() if isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType)) else (0, 0)
         self.split = (longest[0] or 0) > rows
-        self.df = df.withColumn("_k", F.struct(*self.key)).withColumn("_part", F.lit(-1.0))
+        self.df, self.by = df, self.key
         if self.split:
+            self.by = ["_k", "_part"]
+            self.df = df.withColumn("_k", F.struct(*self.key)).withColumn("_part", F.lit(-1.0))
             n = min(PARTS, -(-longest[1] // rows))
             at = df.select(F.col(order[0]).cast("timestamp_ltz" if isinstance(kind, T.TimestampNTZType) else kind).cast("double").alias("_v"))
             cuts = sorted(set(at.where("not isnan(_v)").approxQuantile("_v", [i / n for i in range(1, n)], 0.1 / n)))
@@ -118,7 +121,7 @@ class Scan:
 
     def take(self, **values: tuple[str, Column]) -> Scan:
         """Columns more: ``sum``: of the rows before, 0 without any; ``last``: the last value before that is not null; ``next``: the first one after."""
-        w = Window.partitionBy("_k", "_part").orderBy(*self.order)
+        w = Window.partitionBy(*self.by).orderBy(*self.order)
         before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
         place = F.struct(*self.order)
         local, whole, carried = [], [], []

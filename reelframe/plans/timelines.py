@@ -37,11 +37,13 @@ _PACKETS = """p AS (SELECT l_orderkey AS s, row_number() OVER (PARTITION BY l_or
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt by ``s``, so what goes by it needs no shuffle: the window is over the column's new name, as Spark takes the old one for another."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    w = Window.partitionBy("s").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     pts = F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1_000_000) * 1000 + F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s"), F.row_number().over(w).alias("arrival"), pts.cast("long").alias("pts"), F.col("l_quantity").cast("long").alias("duration"))
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "s")
+    return rows.select("s", F.row_number().over(w).alias("arrival"), pts.cast("long").alias("pts"), F.col("l_quantity").cast("long").alias("duration"))
 
 
 _CTTS = f"""WITH {_PACKETS}, d AS (SELECT DISTINCT s FROM (SELECT s, pts FROM p GROUP BY 1, 2 HAVING count(*) > 1)),

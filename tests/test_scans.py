@@ -99,3 +99,11 @@ def test_a_long_cue_is_one_row_in_its_bin(spark):
     out = joins.overlapping(long, short, "s", ("x", "y"), ("f", "t"))
     assert out.count() == 1000
     assert "sequence" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_dealt_by_key_are_not_dealt_again(spark):
+    """Runs of one table of packets: one shuffle for places, values before, sums and groups, where no stream is split."""
+    from reelframe.queries import QUERIES
+
+    plan = QUERIES["snk04_run_lengths"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
