@@ -62,8 +62,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         ahead = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)[:n]  # from a start to the end of its row
         behind = np.minimum.accumulate(rows, axis=1).reshape(-1)[window - 1 : window - 1 + n]  # from the row's begin to the last gram
         best = (np.minimum(ahead, behind) & _LOW).astype(np.int64)
-        text = np.searchsorted(offsets, np.arange(first, first + n), side="right") - 1 if len(offsets) > 2 else np.zeros(n, np.int64)
-        starts = np.flatnonzero(np.arange(first, first + n) + length <= offsets[text + 1])
+        some = slice(np.searchsorted(offsets, first, side="right") - 1, np.searchsorted(offsets, first + n, side="left"))  # texts with starts here
+        sizes = np.minimum(offsets[1:][some], first + n) - np.maximum(offsets[:-1][some], first)
+        text = np.repeat(np.arange(some.start, some.stop), sizes)
+        starts = np.flatnonzero(np.arange(first + length, first + length + n) <= np.repeat(offsets[1:][some], sizes))
         if not len(starts):
             continue
         new = np.ones(len(starts), bool)

@@ -23,11 +23,11 @@ class Suffixes:
     def __init__(self, data: np.ndarray, starts: np.ndarray, depth: int):
         self.data = np.concatenate([data, np.zeros(_PAD, np.uint8)])
         self.starts, self.depth = starts.astype(np.int64), depth
-        self._words = np.ndarray((len(self.data) - 7,), ">u8", self.data, 0, (1,))
+        self._words = np.ndarray((len(self.data) - 7,), ">u8", self.data, 0, (1,)).astype(np.uint64)  # of each place, aligned and in the machine's order
 
     def word(self, which: np.ndarray, at: int) -> np.ndarray:
         """Eight bytes of the suffixes from ``at`` on; those past the depth are 0."""
-        out = self._words[self.starts[which] + at].astype(np.uint64)
+        out = self._words[self.starts[which] + at]
         past = at + 8 - self.depth
         return out if past <= 0 else out >> np.uint64(8 * past) << np.uint64(8 * past)
 
@@ -37,20 +37,25 @@ class Suffixes:
     def parts_at(self, a: np.ndarray, b: np.ndarray, first: int) -> np.ndarray:
         """The first bit where suffixes a and b differ, from byte ``first`` on; -1 if none does."""
         out = np.full(len(a), -1, np.int64)
-        left = np.arange(len(a))
+        left, x, y = np.arange(len(a)), self.starts[a], self.starts[b]
         for at in range(first, self.depth, 8):
             if not len(left):
                 break
-            differ = self.word(a[left], at) ^ self.word(b[left], at)
-            found = differ != 0
-            x = differ[found]
-            high = np.zeros(len(x), np.int64)
+            differ = self._words[x + at] ^ self._words[y + at]
+            if (past := at + 8 - self.depth) > 0:
+                differ = differ >> np.uint64(8 * past)  # those past the depth do not count
+            same = differ == 0
+            if same.all():
+                continue
+            found = ~same
+            z = differ[found]
+            high = np.full(len(z), 8 * max(past, 0), np.int64)
             for shift in (32, 16, 8, 4, 2, 1):  # the highest bit that is set
-                big = x >> np.uint64(shift) != 0
-                x = np.where(big, x >> np.uint64(shift), x)
+                big = z >> np.uint64(shift) != 0
+                z = np.where(big, z >> np.uint64(shift), z)
                 high += shift * big
             out[left[found]] = 8 * at + 63 - high
-            left = left[~found]
+            left, x, y = left[same], x[same], y[same]
         return out
 
 

@@ -278,3 +278,14 @@ def test_long_texts_have_the_anchors_of_their_pieces(monkeypatch):
                     key[s] = k
         assert sorted(key) == [*range(1451), 1500, *range(1550, 2951)]
         assert all(key[s] == key[s + 1900] for s in range(100, 451))
+
+
+def test_every_start_has_an_anchor_in_pieces_of_any_size(monkeypatch):
+    """Empty and short texts among others, and texts that go on from piece to piece."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        length, n = int(rng.integers(2, 12)), int(rng.integers(1, 9))
+        offsets = np.append(0, np.cumsum(rng.integers(0, 30, n) * (rng.random(n) < 0.7)))
+        monkeypatch.setattr(suffix_dedup, "PIECE", int(rng.integers(3, 40)))
+        got = [(t, s) for _, *x in suffix_dedup.anchors(rng.integers(97, 100, offsets[-1]).astype(np.uint8), offsets, length) for t, a, b in zip(*map(np.ndarray.tolist, x), strict=True) for s in range(a, b + 1)]
+        assert sorted(got) == [(t, s) for t in range(n) for s in range(offsets[t], offsets[t + 1] - length + 1)]
